@@ -50,6 +50,12 @@ def _pages(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return pg.eligible_pages(fixtures.page_records(spark, sf_dir), **options)
 
 
+def _stored_pages(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The eligible pages as a table, for jobs that read them more than once."""
+    path = _path(spark, "pages", sf_dir, *sorted(options.items()))
+    return materialize(spark, lambda: _pages(spark, sf_dir, **options), path)
+
+
 DOCUMENTS = {
     "benchmark": fixtures.benchmark_documents,
     "conversations": fixtures.conversation_documents,
@@ -145,34 +151,34 @@ def stem_vocabulary(spark, sf_dir):
 
 
 def query_terms(spark, sf_dir):
-    found = similar.query_terms(_pages(spark, sf_dir), _index(spark, sf_dir))
+    found = similar.query_terms(_stored_pages(spark, sf_dir), _index(spark, sf_dir))
     return _rounded(found, "idf", "weight")
 
 
 def query_terms_whole_text(spark, sf_dir):
     index = _index(spark, sf_dir, "conversations")
-    return _rounded(similar.query_terms(_pages(spark, sf_dir), index, max_words=None), "idf", "weight")
+    return _rounded(similar.query_terms(_stored_pages(spark, sf_dir), index, max_words=None), "idf", "weight")
 
 
 def page_similarity_of(spark, sf_dir, docs="benchmark", **options):
-    found = _pages(spark, sf_dir, require_category=False, require_title=True)
+    found = _stored_pages(spark, sf_dir, require_category=False, require_title=True)
     return _rounded(page_similarity(found, _index(spark, sf_dir, docs, **options)), "score")
 
 
 def document_category_scores(spark, sf_dir):
-    found = _pages(spark, sf_dir)
+    found = _stored_pages(spark, sf_dir)
     weights = categories.category_weights(found)
     return _rounded(document_scores(found, _index(spark, sf_dir), weights), "score")
 
 
 def document_context_of(spark, sf_dir, docs="benchmark", **options):
-    found = _pages(spark, sf_dir)
+    found = _stored_pages(spark, sf_dir)
     weights = categories.category_weights(found)
     return _rounded(document_context(found, _index(spark, sf_dir, docs, **options), weights), "score")
 
 
 def document_context_rendered(spark, sf_dir):
-    found = _pages(spark, sf_dir)
+    found = _stored_pages(spark, sf_dir)
     weights = categories.category_weights(found)
     return categories.render_context(document_context(found, _index(spark, sf_dir), weights))
 

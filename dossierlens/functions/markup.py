@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rows import let
+
 # Marks of the dump format.
 TEXT_OPEN = '<text xml:space="preserve">'
 TEXT_CLOSE = "</text>"
 TITLE_OPEN = "<title>"
 TITLE_CLOSE = "</title>"
 REDIRECT = "<redirect />"
-CATEGORY_OPEN = "[[Category:"
-CATEGORY_CLOSE = "]]"
 
 _CATEGORY_SPAN = r"(?s)\[\[Category:(?=(.*?)\]\])"
 _EDGE_CONTROLS = r"^[\x00-\x20]+|[\x00-\x20]+$"
@@ -20,9 +20,15 @@ _EDGE_CONTROLS = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 def extract_between(text: Column, start: str, end: str) -> Column:
     """Text between the first ``start`` and the next ``end``; null if either is absent."""
-    at = F.locate(start, text)
-    rest = F.substr(text, at + F.lit(len(start)))
-    return F.when((at > 0) & F.contains(rest, F.lit(end)), F.substring_index(rest, end, 1))
+
+    def up_to_end(rest: Column) -> Column:
+        return F.when(F.contains(rest, F.lit(end)), F.substring_index(rest, end, 1))
+
+    def behind_start(whole: Column) -> Column:
+        at = F.locate(start, whole)
+        return F.when(at > 0, F.substr(whole, at + F.lit(len(start))))
+
+    return let(let(text, behind_start), up_to_end)
 
 
 def at_least_utf16(text: Column, n: int) -> Column:
@@ -39,12 +45,6 @@ def at_least_utf16(text: Column, n: int) -> Column:
     )
 
 
-def has_category(body: Column) -> Column:
-    """Whether ``body`` holds a closed category mark, without running a regex."""
-    at = F.locate(CATEGORY_OPEN, body)
-    return (at > 0) & F.contains(F.substr(body, at + F.lit(len(CATEGORY_OPEN))), F.lit(CATEGORY_CLOSE))
-
-
 def normalize_category(name: Column) -> Column:
     """Upper case, no control characters or blanks at the edges, single blanks inside."""
     return F.regexp_replace(F.regexp_replace(F.upper(name), _EDGE_CONTROLS, ""), r"\s+", " ")

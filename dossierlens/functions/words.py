@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rows import let
+
 # What counts as one word.
 WORD = r"[\p{L}\p{N}]+"
 WORD_WITH_APOSTROPHES = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
@@ -19,11 +19,6 @@ def words(text: Column, apostrophes: bool = False, limit: int | None = None) ->
     return found if limit is None else F.slice(found, 1, limit)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def word_counts(found: Column, min_count: int = 1) -> Column:
     """``array<struct<term, tf>>`` of the words in one row.
 
@@ -45,7 +40,7 @@ def word_counts(found: Column, min_count: int = 1) -> Column:
             F.sequence(F.lit(1), F.size(ordered)),
             lambda i: (i == F.size(ordered)) | (F.get(ordered, i - 1) != F.get(ordered, i)),
         )
-        counts = _let(last_of_run, lambda ends: runs(ordered, ends))
+        counts = let(last_of_run, lambda ends: runs(ordered, ends))
         return counts if min_count <= 1 else F.filter(counts, lambda c: c["tf"] >= min_count)
 
-    return F.when(F.size(found) > 0, _let(F.sort_array(found), counted))
+    return let(F.sort_array(found), lambda w: F.when(F.size(w) > 0, counted(w)))

@@ -100,7 +100,7 @@ def build_index(
     numbers = stored("numbers", lambda: _numbered(case_docs))
     documents = stored("documents", lambda: _documents(case_docs, numbers, stem, apostrophes))
     n_files, n_documents = documents.agg(F.count("*"), F.count_distinct("content")).first()
-    contents = _contents(documents)
+    contents = _contents(documents, n_documents < n_files)
     terms = stored("terms", lambda: _terms(contents, n_files))
     n_terms, n_entries, longest = terms.agg(
         F.count("*"), F.coalesce(F.sum("n_entries"), F.lit(0)), F.coalesce(F.max("n_entries"), F.lit(0))
@@ -172,8 +172,12 @@ def _documents(case_docs: DataFrame, numbers: DataFrame, stem: bool, apostrophes
     return counted.withColumn("content", content)
 
 
-def _contents(documents: DataFrame) -> DataFrame:
+def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:
     """``(doc_no, copies, len, counts)``: one row for all files with the same word counts."""
+    if not has_copies:
+        return documents.select(
+            F.col("file_no").alias("doc_no"), F.lit(1).cast("long").alias("copies"), "len", "counts"
+        )
     same = documents.groupBy("content").agg(
         F.min("file_no").alias("doc_no"), F.count("*").alias("copies")
     )

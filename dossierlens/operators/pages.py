@@ -29,8 +29,8 @@ def eligible_pages(
 
     Drops null records, redirects (the exact ``<redirect />``, or ``redirect_pattern`` for
     dumps that name the target), records without a text block, bodies under ``min_chars``
-    UTF-16 units and, if asked, pages without a category or a title. Substring tests
-    come first; the category regex runs only on what is left.
+    UTF-16 units and, if asked, pages without a category or a title. The category regex
+    runs only on what the cheaper tests leave.
 
     Input without a ``page_id`` gets a generated one. It is fixed for one evaluation only,
     so write the table (``materialize``) before joining it with itself.
@@ -44,13 +44,16 @@ def eligible_pages(
         kept = kept.where(F.contains(value, F.lit(markup.TITLE_CLOSE)))
 
     body = markup.extract_between(value, text_open, markup.TEXT_CLOSE)
-    kept = kept.where(markup.at_least_utf16(body, min_chars))
+    long_enough = F.filter(F.array(body), lambda b: markup.at_least_utf16(b, min_chars))
+    found = F.transform(
+        long_enough,
+        lambda b: F.struct(
+            b.alias("body"), markup.page_categories(b, strip_sort_key).alias("categories")
+        ),
+    )
     if require_category:
-        kept = kept.where(markup.has_category(body))
+        found = F.filter(found, lambda p: F.size(p["categories"]) > 0)
     page_id = F.col("page_id") if "page_id" in pages.columns else F.monotonically_increasing_id()
-    return kept.select(
-        page_id.alias("page_id"),
-        markup.extract_between(value, markup.TITLE_OPEN, markup.TITLE_CLOSE).alias("title"),
-        body.alias("body"),
-        markup.page_categories(body, strip_sort_key).alias("categories"),
-    )
+    title = markup.extract_between(value, markup.TITLE_OPEN, markup.TITLE_CLOSE)
+    # The generator yields one row or none, and takes body and categories apart only once.
+    return kept.select(page_id.alias("page_id"), title.alias("title"), F.inline(found))

@@ -48,6 +48,20 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
+def _spread(queries: DataFrame, n_queries: int) -> DataFrame:
+    """``queries`` in tasks sized by the pairs they will make, not by their own few bytes.
+
+    A fixed number of partitions is not merged at run time. It must differ from the
+    session's default, which Spark would take for the partitioning already there.
+    """
+    default = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = max(
+        4 * queries.sparkSession.sparkContext.defaultParallelism,
+        math.ceil(n_queries * MAX_TERMS / QUERY_TERMS_PER_TASK),
+    )
+    return queries.repartition(n_tasks + (n_tasks == default), *QUERY)
+
+
 def query_terms(
     pages: DataFrame,
     index: Index,
@@ -115,14 +129,9 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     ``asked`` is a stored ``page_queries`` table. A score is
     ``matched / asked * query norm * sum(impact)``; ties go by file name.
     """
-    n_tasks = max(
-        int(index.spark.conf.get("spark.sql.shuffle.partitions")),
-        math.ceil(asked.count() * MAX_TERMS / QUERY_TERMS_PER_TASK),
-    )
-    queries = (
-        asked.groupBy(*QUERY)
-        .agg(F.first("terms").alias("terms"), F.first("scale").alias("scale"))
-        .repartition(n_tasks, *QUERY)
+    queries = _spread(
+        asked.groupBy(*QUERY).agg(F.first("terms").alias("terms"), F.first("scale").alias("scale")),
+        asked.count(),
     )
     if index.n_tails:
         sums = _sums_with_tails(queries, index, k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import computed_once
+
 
 def read_delimited(
     spark: SparkSession,
@@ -41,7 +43,5 @@ def read_delimited(
     else:
         kept = pieces.where(F.contains(value, F.lit(start)))
         record = F.concat(F.substr(value, F.locate(start, value)), F.lit(end))
-    records = kept.select(record.alias("value"))
-    if max_bytes is not None:
-        records = records.where(F.octet_length("value") <= max_bytes)
-    return records
+    records = kept.select(computed_once(record).alias("value"))
+    return records if max_bytes is None else records.where(F.octet_length("value") <= max_bytes)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import TEXT_CLOSE, TEXT_OPEN
+from ..functions.rows import computed_once
 from .delimited import read_delimited
 
 # Page marks of the dump format.
@@ -34,4 +35,4 @@ def read_wiki_pages(
         F.substr(value, F.locate(TEXT_OPEN, value) + F.lit(len(TEXT_OPEN))), F.lit(TEXT_OPEN)
     )
     moved = F.when((F.locate(TEXT_OPEN, value) > 0) & several, F.concat(metadata, last_block))
-    return pages.select(F.coalesce(moved, value).alias("value"))
+    return pages.select(computed_once(F.coalesce(moved, value)).alias("value"))
