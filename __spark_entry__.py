@@ -64,7 +64,13 @@ DOCUMENTS = {
 
 def _index(spark: SparkSession, sf_dir: str, docs: str = "benchmark", **options) -> Index:
     options = {"stem": False, **options}
-    return build_index(DOCUMENTS[docs](spark, sf_dir), _path(spark, "index", sf_dir, docs), **options)
+    case_docs = _stored_documents(spark, sf_dir, docs)
+    return build_index(case_docs, _path(spark, "index", sf_dir, docs), **options)
+
+
+def _stored_documents(spark: SparkSession, sf_dir: str, docs: str) -> DataFrame:
+    path = _path(spark, "documents", sf_dir, docs)
+    return materialize(spark, lambda: DOCUMENTS[docs](spark, sf_dir), path)
 
 
 def _dump(spark: SparkSession, sf_dir: str) -> str:
@@ -185,9 +191,7 @@ def document_context_rendered(spark, sf_dir):
 
 def context_run_reuse(spark, sf_dir):
     """Two full runs from files: the second reuses pages, weights and index."""
-    docs = materialize(
-        spark, lambda: fixtures.benchmark_documents(spark, sf_dir), _path(spark, "bench-docs", sf_dir)
-    )
+    docs = _stored_documents(spark, sf_dir, "benchmark")
     out = scratch_path(spark, "run")
     for _ in range(2):
         context = run_context(spark, _dump(spark, sf_dir), docs, out, stem=False)

@@ -129,14 +129,13 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     ``asked`` is a stored ``page_queries`` table. A score is
     ``matched / asked * query norm * sum(impact)``; ties go by file name.
     """
-    queries = _spread(
-        asked.groupBy(*QUERY).agg(F.first("terms").alias("terms"), F.first("scale").alias("scale")),
-        asked.count(),
+    queries = asked.groupBy(*QUERY).agg(
+        F.first("terms").alias("terms"), F.first("scale").alias("scale")
     )
     if index.n_tails:
-        sums = _sums_with_tails(queries, index, k)
+        sums = _sums_with_tails(queries, asked.count(), index, k)
     else:
-        sums = _head_sums(queries, index, ["scale"])
+        sums = _head_sums(_spread(queries, asked.count()), index, ["scale"])
     scored = sums.withColumn("score", F.col("scale") * F.col("matched") * F.col("impact"))
     best = [rank_value(F.col("score")).desc()]
     hits = top_per_group(scored, QUERY, [*best, F.col("doc_no")], k)
@@ -161,21 +160,25 @@ def _head_sums(queries: DataFrame, index: Index, carried: list[str]) -> DataFram
     )
 
 
-def _sums_with_tails(queries: DataFrame, index: Index, k: int) -> DataFrame:
+def _sums_with_tails(queries: DataFrame, n_queries: int, index: Index, k: int) -> DataFrame:
     """Complete sums of every document that can be among the ``k`` best.
 
     A document that is in none of the lists opened for a query matches at most the ``j``
     tails left closed, so ``matched * impact`` is at most ``j * sum(tail_max)``.
     """
     bounds = _small(index.tail_bounds, index.n_tails)
-    in_tail = (
-        queries.select(*QUERY, F.explode("terms").alias("term"))
-        .join(bounds, "term")
-        .groupBy(*QUERY)
-        .agg(F.sort_array(F.collect_list(F.struct("tail_max", "term"))).alias("tails"))
-    )
     no_tails = F.array().cast("array<struct<tail_max: double, term: string>>")
-    bounded = queries.join(in_tail, QUERY, "left").withColumn("tails", F.coalesce("tails", no_tails))
+
+    def with_tails() -> DataFrame:
+        in_tail = (
+            queries.select(*QUERY, F.explode("terms").alias("term"))
+            .join(bounds, "term")
+            .groupBy(*QUERY)
+            .agg(F.sort_array(F.collect_list(F.struct("tail_max", "term"))).alias("tails"))
+        )
+        return queries.join(in_tail, QUERY, "left").withColumn("tails", F.coalesce("tails", no_tails))
+
+    bounded = materialize(index.spark, with_tails, scratch_path(index.spark, "bounded"))
 
     def total(tails: Column) -> Column:
         return F.aggregate(tails, F.lit(0.0), lambda acc, t: acc + t["tail_max"])
@@ -184,7 +187,7 @@ def _sums_with_tails(queries: DataFrame, index: Index, k: int) -> DataFrame:
     reach = F.col("matched") * F.col("impact")
     by_reach = Window.partitionBy(*QUERY).orderBy(reach.desc())
     heads = _head_sums(
-        bounded.withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
+        _spread(bounded, n_queries).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
         index,
         ["scale", "n_tails", "tail_sum"],
     )
@@ -210,7 +213,8 @@ def _sums_with_tails(queries: DataFrame, index: Index, k: int) -> DataFrame:
         lambda j: j * total(F.slice("tails", 1, j)) < F.col("needed") * _SLACK,
     )
     decided = (
-        bounded.join(needed, QUERY, "left")
+        _spread(bounded, n_queries)
+        .join(needed, QUERY, "left")
         .withColumn("needed", F.coalesce("needed", F.lit(0.0)))
         .withColumn("n_closed", F.when(F.size("tails") > 0, F.size(fall_short)).otherwise(0))
         .withColumn("closed", F.slice("tails", 1, F.col("n_closed")))

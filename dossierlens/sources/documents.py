@@ -13,11 +13,17 @@ def read_case_documents(spark: SparkSession, folder: str) -> DataFrame:
     Sub-folders are not entered. Spark's file listing leaves out names that begin with a
     dot or an underscore, and files of no bytes.
     """
-    files = spark.read.text(folder.rstrip("/"), wholetext=True)
+    # Without partition inference, sub-folders of any name are listed alike; the filter on
+    # the path leaves their files out before anything is read.
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     # File paths are percent-encoded, but a plus sign in them stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    folder_path = F.substring_index(path, "/", -2)
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    return files.select(folder_path.alias("filename"), F.col("value").alias("text")).where(
-        F.startswith("filename", F.lit(name + "/"))
+    name = F.substring_index(path, "/", -1)
+    parent = F.substr(path, F.lit(1), F.length(path) - F.length(name) - 1)
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    absolute = location.getFileSystem(hadoop).makeQualified(location).toUri().getPath()
+    return files.where(F.endswith(parent, F.lit(absolute))).select(
+        F.concat(F.lit(location.getName() + "/"), name).alias("filename"),
+        F.col("value").alias("text"),
     )
