@@ -42,6 +42,11 @@ def _path(spark: SparkSession, *what) -> str:
     return _kept[key]
 
 
+def forget_kept_tables() -> None:
+    """Let the next query make its tables anew."""
+    _kept.clear()
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 

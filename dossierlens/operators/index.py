@@ -7,10 +7,13 @@ the form the similarity join reads:
   ties by number is ranking them by name. Files with the same words share one ``doc_no``,
   the lowest of their numbers, and are scored once.
 * ``terms(term, df, idf)``.
-* ``heads(term, df, entries)``: the postings of highest impact of each term, at most
+* ``heads(shard, term, df, entries)``: the postings of highest impact of each term, at most
   ``head_size`` of them, packed in one row.
-* ``tails(term, df, doc_no, impact)``: all other postings, one row each.
-* ``tail_bounds(term, tail_max)``: the highest impact in each tail.
+* ``tails(shard, term, df, doc_no, impact)``: all other postings, one row each.
+* ``bounds(shard, term, tail_max)``: the highest impact in each tail.
+
+Documents are dealt to as many shards as it takes for the postings of one shard to be
+broadcast. A document is in one shard only, so its score never needs another one.
 
 The impact ``sqrt(tf) * idf^2 * norm`` is all of a document's score that does not depend on
 the query.
@@ -18,6 +21,7 @@ the query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +33,11 @@ from ..functions.words import word_counts, words
 from ..sources.stored import is_complete, materialize, scratch_path
 from .terms import stem_vocabulary, term_counts, vocabulary
 
-HEAD_SIZE = 1024
+HEAD_SIZE = 65_536
+"""Most postings of a term that every query asking it is paired with."""
+
+SHARD_ENTRIES = 4_000_000
+"""Postings per shard: 64 MB of numbers, and what a task can hold of an index."""
 
 
 def postings(case_docs: DataFrame) -> DataFrame:
@@ -53,6 +61,14 @@ def term_stats(case_docs: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Shard:
+    """Sizes of one shard's tables: packed entries in its heads, terms with a tail."""
+
+    n_entries: int
+    n_tails: int
+
+
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
@@ -60,12 +76,11 @@ class Index:
     terms: DataFrame
     heads: DataFrame
     tails: DataFrame | None
-    tail_bounds: DataFrame | None
+    bounds: DataFrame | None
+    shards: dict[int, Shard]
     n_files: int
     n_documents: int
     n_terms: int
-    n_head_entries: int
-    n_tails: int
     stem: bool
     apostrophes: bool
 
@@ -77,6 +92,7 @@ def build_index(
     norm: str = "exact",
     apostrophes: bool = False,
     head_size: int = HEAD_SIZE,
+    shard_entries: int = SHARD_ENTRIES,
     if_exists: str = "reuse",
 ) -> Index:
     """Write the tables of ``case_docs(filename, text)`` below ``path`` and open them.
@@ -88,7 +104,7 @@ def build_index(
     if norm not in NORMS:
         raise ValueError(f"norm must be one of {sorted(NORMS)}, not {norm!r}")
     spark = case_docs.sparkSession
-    settings = ["stems" if stem else "words", *(["apostrophes"] if apostrophes else []), norm, str(head_size)]
+    settings = ["stems" if stem else "words", *(["apostrophes"] if apostrophes else []), norm, str(head_size), str(shard_entries)]
     folder = f"{path or scratch_path(spark, 'index')}/{'-'.join(settings)}"
     replace = if_exists == "overwrite"
 
@@ -106,28 +122,30 @@ def build_index(
         F.count("*"), F.coalesce(F.sum("n_entries"), F.lit(0)), F.coalesce(F.max("n_entries"), F.lit(0))
     ).first()
 
+    n_shards = max(1, math.ceil(n_entries / shard_entries))
+    tails = bounds = None
     if longest <= head_size:
-        heads = stored("heads", lambda: _packed(_entries(contents, terms, NORMS[norm])))
-        tails, bounds, n_tail_entries, n_tails = None, None, 0, 0
+        heads = stored("heads", lambda: _packed(_entries(contents, terms, NORMS[norm], n_shards)))
     else:
-        entries = stored("entries", lambda: _entries(contents, terms, NORMS[norm]))
-        levels = stored("bounds", lambda: _bounds(entries, head_size))
-        tails = stored("tails", lambda: _tails(entries, levels))
-        heads = stored("heads", lambda: _packed(_heads(entries, levels)))
-        bounds = levels.select("term", "tail_max")
-        n_tail_entries, n_tails = tails.count(), bounds.count()
+        entries = stored("entries", lambda: _entries(contents, terms, NORMS[norm], n_shards))
+        bounds = stored("bounds", lambda: _bounds(entries, head_size))
+        tails = stored("tails", lambda: _tails(entries, bounds))
+        heads = stored("heads", lambda: _packed(_heads(entries, bounds)))
+    sizes = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n")).collect()
+    with_tail = bounds.groupBy("shard").count().collect() if bounds is not None else []
+    n_tails = {r["shard"]: r["count"] for r in with_tail}
+    n_heads = {r["shard"]: r["n"] for r in sizes}
     return Index(
         spark=spark,
         files=_files(numbers, documents),
         terms=terms.select("term", "df", "idf"),
         heads=heads,
         tails=tails,
-        tail_bounds=bounds,
+        bounds=bounds,
+        shards={s: Shard(n_heads.get(s, 0), n_tails.get(s, 0)) for s in sorted(n_heads | n_tails)},
         n_files=n_files,
         n_documents=n_documents,
         n_terms=n_terms,
-        n_head_entries=n_entries - n_tail_entries,
-        n_tails=n_tails,
         stem=stem,
         apostrophes=apostrophes,
     )
@@ -201,13 +219,18 @@ def _terms(contents: DataFrame, n_files: int) -> DataFrame:
     )
 
 
-def _entries(contents: DataFrame, terms: DataFrame, norm) -> DataFrame:
-    """``(term, df, n_entries, doc_no, impact)`` of every posting."""
+def _entries(contents: DataFrame, terms: DataFrame, norm, n_shards: int) -> DataFrame:
+    """``(shard, term, df, n_entries, doc_no, impact)`` of every posting."""
     impact = F.sqrt("tf") * F.col("idf") * F.col("idf") * norm(F.col("len"))
     return (
-        contents.select("doc_no", "len", F.inline("counts"))
+        contents.select(
+            F.pmod(F.xxhash64("doc_no"), F.lit(n_shards)).cast("int").alias("shard"),
+            "doc_no",
+            "len",
+            F.inline("counts"),
+        )
         .join(terms, "term")
-        .select("term", "df", "n_entries", "doc_no", impact.alias("impact"))
+        .select("shard", "term", "df", "n_entries", "doc_no", impact.alias("impact"))
     )
 
 
@@ -217,41 +240,47 @@ def _level(impact: Column) -> Column:
 
 
 def _bounds(entries: DataFrame, head_size: int) -> DataFrame:
-    """``(term, head_level, tail_max)`` of the terms with more than ``head_size`` postings.
+    """``(shard, term, head_level, tail_max)`` of the lists with more than ``head_size`` postings.
 
     Postings are counted by impact level; the head takes whole levels from the top while
-    they fit. At most ``postings / head_size`` terms have a tail, and a term has only as
+    they fit. At most ``postings / head_size`` lists have a tail, and a list has only as
     many levels as quarter-octaves separate its lowest from its highest impact.
     """
     levels = (
         entries.where(F.col("n_entries") > head_size)
-        .groupBy("term", _level(F.col("impact")).alias("level"))
+        .groupBy("shard", "term", _level(F.col("impact")).alias("level"))
         .agg(F.count("*").alias("n"), F.max("impact").alias("top"))
     )
-    above = Window.partitionBy("term").orderBy(F.col("level").desc())
+    above = Window.partitionBy("shard", "term").orderBy(F.col("level").desc())
     placed = levels.withColumn("in_head", F.sum("n").over(above) <= head_size)
-    return placed.groupBy("term").agg(
-        F.min(F.when(F.col("in_head"), F.col("level"))).alias("head_level"),
-        F.max(F.when(~F.col("in_head"), F.col("top"))).alias("tail_max"),
+    return (
+        placed.groupBy("shard", "term")
+        .agg(
+            F.min(F.when(F.col("in_head"), F.col("level"))).alias("head_level"),
+            F.max(F.when(~F.col("in_head"), F.col("top"))).alias("tail_max"),
+        )
+        .where(F.col("tail_max").isNotNull())
     )
 
 
 def _split(entries: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``entries`` with ``in_head``; terms without a bound have no tail."""
+    """``entries`` with ``in_head``; lists without a bound have no tail."""
     head = F.coalesce(_level(F.col("impact")) >= F.col("head_level"), F.lit(False))
-    return entries.join(bounds, "term", "left").withColumn("in_head", F.col("tail_max").isNull() | head)
+    return entries.join(bounds, ["shard", "term"], "left").withColumn(
+        "in_head", F.col("tail_max").isNull() | head
+    )
 
 
 def _packed(heads: DataFrame) -> DataFrame:
-    """One row per term; a head holds no more than ``head_size`` entries."""
-    return heads.groupBy("term", "df").agg(
+    """One row per list; a head holds no more than ``head_size`` entries."""
+    return heads.groupBy("shard", "term", "df").agg(
         F.collect_list(F.struct("doc_no", "impact")).alias("entries")
     )
 
 
 def _heads(entries: DataFrame, bounds: DataFrame) -> DataFrame:
-    return _split(entries, bounds).where("in_head").select("term", "df", "doc_no", "impact")
+    return _split(entries, bounds).where("in_head").select("shard", "term", "df", "doc_no", "impact")
 
 
 def _tails(entries: DataFrame, bounds: DataFrame) -> DataFrame:
-    return _split(entries, bounds).where("not in_head").select("term", "df", "doc_no", "impact")
+    return _split(entries, bounds).where("not in_head").select("shard", "term", "df", "doc_no", "impact")

@@ -5,8 +5,9 @@ Three properties keep the join small without changing its result:
 
 * Pages with the same terms ask the same query. Queries are scored once, so a group of
   copies of any size costs one query.
-* Queries stay where they are: the heads of the posting lists are broadcast while their
-  known size allows it, so a query's pairs are made and summed in the task that holds it.
+* Queries stay where they are: a shard of the index has a size that can be broadcast, so a
+  query's pairs are made and summed in the task that holds it. Shards are taken in turn,
+  and only the ``k`` best of each are kept for the final choice.
 * Long posting lists are not paired with every query. Their heads give each query a lower
   bound for its k-th score; a tail is opened only if documents found nowhere else could
   still reach that bound, and is otherwise looked up for the documents that can.
@@ -35,7 +36,7 @@ MIN_DOC_FREQ = 5
 MAX_TERMS = 25
 MAX_HITS = 20
 
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 8_000_000
 """Most rows or packed entries a table may have to be broadcast; beyond, joins shuffle."""
 
 QUERY_TERMS_PER_TASK = 50_000
@@ -132,13 +133,19 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     queries = asked.groupBy(*QUERY).agg(
         F.first("terms").alias("terms"), F.first("scale").alias("scale")
     )
-    if index.n_tails:
-        sums = _sums_with_tails(queries, asked.count(), index, k)
-    else:
-        sums = _head_sums(_spread(queries, asked.count()), index, ["scale"])
-    scored = sums.withColumn("score", F.col("scale") * F.col("matched") * F.col("impact"))
+    n_queries = asked.count()
     best = [rank_value(F.col("score")).desc()]
-    hits = top_per_group(scored, QUERY, [*best, F.col("doc_no")], k)
+    shards = list(index.shards) or [0]
+    if len(shards) == 1:
+        hits = _shard_hits(queries, n_queries, index, shards[0], k)
+    else:
+        queries = materialize(index.spark, lambda: queries, scratch_path(index.spark, "distinct"))
+        path = scratch_path(index.spark, "shard-hits")
+        for shard in shards:
+            _shard_hits(queries, n_queries, index, shard, k).write.mode("append").parquet(path)
+        hits = top_per_group(
+            index.spark.read.parquet(path).drop("rank"), QUERY, [*best, F.col("doc_no")], k
+        )
     if index.n_documents == index.n_files:
         return hits.select(*QUERY, F.col("doc_no").alias("file_no"), "score", "rank")
     # No query can take more than the k first copies of a document.
@@ -149,9 +156,21 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     )
 
 
-def _head_sums(queries: DataFrame, index: Index, carried: list[str]) -> DataFrame:
+def _shard_hits(queries: DataFrame, n_queries: int, index: Index, shard: int, k: int) -> DataFrame:
+    """``(*QUERY, doc_no, score, rank)``: the ``k`` best documents of one shard."""
+    if shard in index.shards and index.shards[shard].n_tails:
+        sums = _sums_with_tails(queries, n_queries, index, shard, k)
+    else:
+        sums = _head_sums(_spread(queries, n_queries), index, shard, ["scale"])
+    scored = sums.withColumn("score", F.col("scale") * F.col("matched") * F.col("impact"))
+    order = [rank_value(F.col("score")).desc(), F.col("doc_no")]
+    return top_per_group(scored, QUERY, order, k).select(*QUERY, "doc_no", "score", "rank")
+
+
+def _head_sums(queries: DataFrame, index: Index, shard: int, carried: list[str]) -> DataFrame:
     """``(*QUERY, *carried, doc_no, impact, matched)`` from the heads of the query terms."""
-    heads = _small(index.heads.select("term", "entries"), index.n_head_entries)
+    n_entries = index.shards[shard].n_entries if index.shards else 0
+    heads = _small(index.heads.where(F.col("shard") == shard).select("term", "entries"), n_entries)
     pairs = queries.select(*QUERY, *carried, F.explode("terms").alias("term")).join(heads, "term")
     return (
         pairs.select(*QUERY, *carried, F.inline("entries"))
@@ -160,13 +179,17 @@ def _head_sums(queries: DataFrame, index: Index, carried: list[str]) -> DataFram
     )
 
 
-def _sums_with_tails(queries: DataFrame, n_queries: int, index: Index, k: int) -> DataFrame:
+def _sums_with_tails(
+    queries: DataFrame, n_queries: int, index: Index, shard: int, k: int
+) -> DataFrame:
     """Complete sums of every document that can be among the ``k`` best.
 
     A document that is in none of the lists opened for a query matches at most the ``j``
     tails left closed, so ``matched * impact`` is at most ``j * sum(tail_max)``.
     """
-    bounds = _small(index.tail_bounds, index.n_tails)
+    bounds = index.bounds.where(F.col("shard") == shard).select("term", "tail_max")
+    bounds = _small(bounds, index.shards[shard].n_tails)
+    tails = index.tails.where(F.col("shard") == shard).select("term", "doc_no", "impact")
     no_tails = F.array().cast("array<struct<tail_max: double, term: string>>")
 
     def with_tails() -> DataFrame:
@@ -189,6 +212,7 @@ def _sums_with_tails(queries: DataFrame, n_queries: int, index: Index, k: int) -
     heads = _head_sums(
         _spread(bounded, n_queries).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
         index,
+        shard,
         ["scale", "n_tails", "tail_sum"],
     )
     placed = heads.withColumn("place", F.row_number().over(by_reach)).withColumn(
@@ -227,7 +251,7 @@ def _sums_with_tails(queries: DataFrame, n_queries: int, index: Index, k: int) -
             F.explode(F.slice("tails", F.col("n_closed") + 1, F.size("tails"))).alias("tail"),
         )
         .select(*QUERY, "scale", F.col("tail.term").alias("term"))
-        .join(index.tails.select("term", "doc_no", "impact"), "term")
+        .join(tails, "term")
         .select(*QUERY, "scale", "doc_no", "impact", F.lit(1).cast("long").alias("matched"))
     )
     candidates = (
@@ -245,7 +269,7 @@ def _sums_with_tails(queries: DataFrame, n_queries: int, index: Index, k: int) -
     rows = (
         candidates.where(possible >= F.col("needed") * _SLACK)
         .select(*QUERY, "scale", "doc_no", "impact", "matched", F.explode(asked).alias("term"))
-        .join(index.tails.select("term", "doc_no", F.col("impact").alias("added")), ["term", "doc_no"], "left")
+        .join(tails.withColumnRenamed("impact", "added"), ["term", "doc_no"], "left")
     )
     is_sum = F.col("term").isNull()
     return rows.groupBy(*QUERY, "scale", "doc_no").agg(

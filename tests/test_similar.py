@@ -49,13 +49,20 @@ def collected(rows):
     return found
 
 
-def run(spark, pages, docs, k=20, head_size=1024, **choice):
-    doc_rows = spark.createDataFrame(list(docs.items()), "filename string, text string")
-    page_rows = spark.createDataFrame(
+def indexed(spark, docs, **options):
+    rows = spark.createDataFrame(list(docs.items()), "filename string, text string")
+    return build_index(rows, stem=False, **options)
+
+
+def asked(spark, pages, index, k=20, **choice):
+    rows = spark.createDataFrame(
         [(p, f"title {p}", b) for p, b in pages.items()], "page_id long, title string, body string"
     )
-    index = build_index(doc_rows, stem=False, head_size=head_size)
-    return collected(page_similarity(page_rows, index, k, **choice))
+    return collected(page_similarity(rows, index, k, **choice))
+
+
+def run(spark, pages, docs, k=20, head_size=1024, shard_entries=10**6):
+    return asked(spark, pages, indexed(spark, docs, head_size=head_size, shard_entries=shard_entries), k)
 
 
 def corpus(seed, n_docs=120, n_pages=25, vocabulary=60):
@@ -82,6 +89,12 @@ def test_same_as_brute_force(spark, head_size, k):
     assert run(spark, pages, docs, k, head_size) == brute_force(pages, docs, k)
 
 
+def test_same_with_several_shards(spark):
+    pages, docs = corpus(4)
+    assert run(spark, pages, docs, 20, 1024, shard_entries=700) == brute_force(pages, docs)
+    assert run(spark, pages, docs, 20, 8, shard_entries=1000) == brute_force(pages, docs)
+
+
 def test_same_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
     pages, docs = corpus(5)
@@ -93,28 +106,30 @@ def test_tails_stay_closed_where_they_cannot_matter(spark):
     docs = {f"d{i:03}": f"the own{i} " + " ".join(f"x{j}" for j in range(30)) for i in range(200)}
     docs |= {f"r{i}": f"rare the own{i}" for i in range(10)}
     pages = {0: "rare rare the the"}
-    assert run(spark, pages, docs, 5, 16) == brute_force(pages, docs, 5)
-    doc_rows = spark.createDataFrame(list(docs.items()), "filename string, text string")
-    index = build_index(doc_rows, stem=False, head_size=16)
+    index = indexed(spark, docs, head_size=16)
+    assert asked(spark, pages, index, 5) == brute_force(pages, docs, 5)
     # Each of the 31 common words leaves its 200 documents in the tail.
-    assert index.n_tails == 31 and index.tails.where("term = 'the'").count() == 200
+    assert index.shards[0].n_tails == 31 and index.tails.where("term = 'the'").count() == 200
     page_rows = spark.createDataFrame([(0, pages[0])], "page_id long, body string")
-    asked = similar.page_queries(similar.query_terms(page_rows, index))
-    scored = similar._sums_with_tails(asked.drop("page_id"), 1, index, 5)
+    queries = similar.page_queries(similar.query_terms(page_rows, index))
+    scored = similar._sums_with_tails(queries.drop("page_id"), 1, index, 0, 5)
     assert scored.count() == 10, "no document with the common word alone was paired"
 
 
 def test_defaults_and_options(spark):
     docs = {f"d{i}": "common shared " + ("seldom" if i < 4 else "often") for i in range(12)}
-    assert run(spark, {1: "seldom seldom"}, docs) == {}, "four documents are too few"
-    assert run(spark, {1: "often"}, docs) == {}, "one occurrence is too few"
-    assert len(run(spark, {1: "common common often"}, docs)[1]) == 12
-    late = {1: "x " * 5000 + "common common"}
-    assert run(spark, late, docs) == {}
-    assert len(run(spark, late, docs, max_words=None)[1]) == 12
-    both = {1: "common common often often"}
-    assert len(run(spark, both, docs, max_doc_freq=8)[1]) == 8
-    assert run(spark, both, docs, 2, max_terms=1) == brute_force(both, docs, 2, max_terms=1)
+    index = indexed(spark, docs)
+    late = "x " * 5000 + "common common"
+    both = "common common often often"
+    pages = {1: "seldom seldom", 2: "often", 3: "common common often", 4: late, 5: both}
+    found = asked(spark, pages, index)
+    assert 1 not in found, "four documents are too few"
+    assert 2 not in found, "one occurrence is too few"
+    assert 4 not in found, "only the first 5000 words are looked at"
+    assert (len(found[3]), len(found[5])) == (12, 12)
+    assert len(asked(spark, {4: late}, index, max_words=None)[4]) == 12
+    assert len(asked(spark, {5: both}, index, max_doc_freq=8)[5]) == 8
+    assert asked(spark, {5: both}, index, 2, max_terms=1) == brute_force({5: both}, docs, 2, max_terms=1)
 
 
 def test_stemmed_words_meet(spark):
