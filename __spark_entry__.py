@@ -74,6 +74,9 @@ def _index(spark: SparkSession, sf_dir: str, docs: str = "benchmark", **options)
 
 
 def _stored_documents(spark: SparkSession, sf_dir: str, docs: str) -> DataFrame:
+    """Conversations have to be put together, so jobs that read them twice store them."""
+    if docs == "benchmark":
+        return DOCUMENTS[docs](spark, sf_dir)
     path = _path(spark, "documents", sf_dir, docs)
     return materialize(spark, lambda: DOCUMENTS[docs](spark, sf_dir), path)
 

@@ -43,9 +43,22 @@ _POSSESSIVE = re.compile(r"(?:'s'|'s|')$")
 _CONSONANT_Y = re.compile(r"(^|[aeiouy])y")
 
 
-def _longest(word: str, endings) -> str:
-    """The longest of ``endings`` that ``word`` ends with, or an empty string."""
-    return max((e for e in endings if word.endswith(e)), key=len, default="")
+def _longest_first(endings) -> tuple[str, ...]:
+    return tuple(sorted(endings, key=len, reverse=True))
+
+
+_ENDINGS_1A = _longest_first(("sses", "ied", "ies", "us", "ss", "s"))
+_ENDINGS_1B = _longest_first(("eed", "eedly", "ed", "edly", "ing", "ingly"))
+_ENDINGS_2, _ENDINGS_3, _ENDINGS_4 = map(_longest_first, (STEP2, STEP3, STEP4))
+
+
+def _ending(word: str, endings: tuple[str, ...]) -> str:
+    """The first of ``endings`` that ``word`` ends with, or an empty string."""
+    if word.endswith(endings):
+        for end in endings:
+            if word.endswith(end):
+                return end
+    return ""
 
 
 def _region(word: str, start: int) -> int:
@@ -59,13 +72,14 @@ def stem(word: str) -> str:
     if word in WHOLE_WORDS:
         return WHOLE_WORDS[word]
     word = word.replace("’", "'").removeprefix("'")
-    word = _CONSONANT_Y.sub(r"\1Y", word)
+    if "y" in word:
+        word = _CONSONANT_Y.sub(r"\1Y", word)
 
-    prefix = next((p for p in R1_PREFIXES if word.startswith(p)), "")
+    prefix = next((p for p in R1_PREFIXES if word.startswith(p)), "") if word.startswith(R1_PREFIXES) else ""
     r1 = len(prefix) or _region(word, 0)
     r2 = _region(word, r1)
 
-    word = _plural(_POSSESSIVE.sub("", word))
+    word = _plural(_POSSESSIVE.sub("", word) if "'" in word else word)
     if word in KEPT_AFTER_1A:
         return word
     word = _past_and_gerund(word, r1)
@@ -79,7 +93,7 @@ def stem(word: str) -> str:
 
 
 def _plural(word: str) -> str:
-    end = _longest(word, ("sses", "ied", "ies", "us", "ss", "s"))
+    end = _ending(word, _ENDINGS_1A)
     if end == "sses":
         return word[:-2]
     if end in ("ied", "ies"):
@@ -90,7 +104,7 @@ def _plural(word: str) -> str:
 
 
 def _past_and_gerund(word: str, r1: int) -> str:
-    end = _longest(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    end = _ending(word, _ENDINGS_1B)
     if not end:
         return word
     base = word[: -len(end)]
@@ -108,7 +122,7 @@ def _past_and_gerund(word: str, r1: int) -> str:
 
 
 def _suffix_2(word: str, r1: int) -> str:
-    end = _longest(word, STEP2)
+    end = _ending(word, _ENDINGS_2)
     base = word[: len(word) - len(end)]
     if not end or len(base) < r1:
         return word
@@ -120,7 +134,7 @@ def _suffix_2(word: str, r1: int) -> str:
 
 
 def _suffix_3(word: str, r1: int, r2: int) -> str:
-    end = _longest(word, STEP3)
+    end = _ending(word, _ENDINGS_3)
     base = word[: len(word) - len(end)]
     if not end or len(base) < (r2 if end == "ative" else r1):
         return word
@@ -128,7 +142,7 @@ def _suffix_3(word: str, r1: int, r2: int) -> str:
 
 
 def _suffix_4(word: str, r2: int) -> str:
-    end = _longest(word, STEP4)
+    end = _ending(word, _ENDINGS_4)
     base = word[: len(word) - len(end)]
     if not end or len(base) < r2:
         return word

@@ -113,8 +113,11 @@ def build_index(
         replace = replace or not is_complete(spark, f"{folder}/{name}")
         return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse")
 
-    numbers = stored("numbers", lambda: _numbered(case_docs))
-    documents = stored("documents", lambda: _documents(case_docs, numbers, stem, apostrophes))
+    if stem:
+        stems = stored("stems", lambda: _stem_counts(case_docs, apostrophes))
+        documents = stored("documents", lambda: _numbered(stems))
+    else:
+        documents = stored("documents", lambda: _numbered_counts(case_docs, apostrophes))
     n_files, n_documents = documents.agg(F.count("*"), F.count_distinct("content")).first()
     contents = _contents(documents, n_documents < n_files)
     terms = stored("terms", lambda: _terms(contents, n_files))
@@ -131,18 +134,18 @@ def build_index(
         bounds = stored("bounds", lambda: _bounds(entries, head_size))
         tails = stored("tails", lambda: _tails(entries, bounds))
         heads = stored("heads", lambda: _packed(_heads(entries, bounds)))
-    sizes = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n")).collect()
-    with_tail = bounds.groupBy("shard").count().collect() if bounds is not None else []
-    n_tails = {r["shard"]: r["count"] for r in with_tail}
-    n_heads = {r["shard"]: r["n"] for r in sizes}
+    if n_shards == 1 and bounds is None:
+        shards = {0: Shard(n_entries, 0)}
+    else:
+        shards = _shards(heads, bounds)
     return Index(
         spark=spark,
-        files=_files(numbers, documents),
+        files=_files(documents),
         terms=terms.select("term", "df", "idf"),
         heads=heads,
         tails=tails,
         bounds=bounds,
-        shards={s: Shard(n_heads.get(s, 0), n_tails.get(s, 0)) for s in sorted(n_heads | n_tails)},
+        shards=shards,
         n_files=n_files,
         n_documents=n_documents,
         n_terms=n_terms,
@@ -151,43 +154,49 @@ def build_index(
     )
 
 
-def _numbered(case_docs: DataFrame) -> DataFrame:
-    """File numbers in the order of names, by a range-partitioned sort."""
-    return (
-        case_docs.select("filename")
-        .orderBy("filename")
-        .select("filename", F.monotonically_increasing_id().alias("file_no"))
+def _numbered(counted: DataFrame) -> DataFrame:
+    """``(file_no, filename, len, counts, content)``, numbered in the order of names.
+
+    The sort is a range partitioning, so no task sees all names.
+    """
+    return counted.orderBy("filename").select(
+        F.monotonically_increasing_id().alias("file_no"),
+        "filename",
+        "len",
+        "counts",
+        _content().alias("content"),
     )
 
 
-def _documents(case_docs: DataFrame, numbers: DataFrame, stem: bool, apostrophes: bool) -> DataFrame:
-    """``(file_no, content, len, counts)``: the words of each file, counted in its row."""
+def _content() -> Column:
+    return F.coalesce(F.sha2(F.to_json("counts"), 256), F.lit("no words"))
+
+
+def _numbered_counts(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
+    """Documents sorted as they come, and counted behind the sort: the sampling that a range
+    partitioning begins with then reads texts but does not take them apart."""
     found = words(F.col("text"), apostrophes)
-    numbered = case_docs.join(numbers, "filename")
-    if not stem:
-        counted = numbered.select(
-            "file_no", F.size(found).alias("len"), word_counts(found).alias("counts")
-        )
-    else:
-        lexicon = stem_vocabulary(vocabulary(case_docs, "text", apostrophes))
-        stems = (
-            numbered.select("file_no", F.inline(word_counts(found)))
-            .join(lexicon, "term")
-            .groupBy("file_no", F.col("stem").alias("term"))
-            .agg(F.sum("tf").cast("int").alias("tf"))
-        )
-        counted = (
-            numbered.select("file_no", F.size(found).alias("len"))
-            .join(
-                stems.groupBy("file_no").agg(
-                    F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("counts")
-                ),
-                "file_no",
-                "left",
-            )
-        )
-    content = F.coalesce(F.sha2(F.to_json("counts"), 256), F.lit("no words"))
-    return counted.withColumn("content", content)
+    counted = case_docs.select("filename", "text").orderBy("filename").select(
+        F.monotonically_increasing_id().alias("file_no"),
+        "filename",
+        F.inline(F.array(F.struct(F.size(found).alias("len"), word_counts(found).alias("counts")))),
+    )
+    return counted.withColumn("content", _content())
+
+
+def _stem_counts(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
+    """``(filename, len, counts)`` with words replaced by their stems."""
+    found = words(F.col("text"), apostrophes)
+    lexicon = stem_vocabulary(vocabulary(case_docs, "text", apostrophes))
+    stems = (
+        term_counts(case_docs, "filename", "text", apostrophes)
+        .join(lexicon, "term")
+        .groupBy("filename", F.col("stem").alias("term"))
+        .agg(F.sum("tf").cast("int").alias("tf"))
+        .groupBy("filename")
+        .agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("counts"))
+    )
+    return case_docs.select("filename", F.size(found).alias("len")).join(stems, "filename", "left")
 
 
 def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:
@@ -199,15 +208,23 @@ def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:
     same = documents.groupBy("content").agg(
         F.min("file_no").alias("doc_no"), F.count("*").alias("copies")
     )
-    return same.join(documents.drop("content"), F.col("doc_no") == F.col("file_no")).select(
-        "doc_no", "copies", "len", "counts"
-    )
+    return same.join(
+        documents.select("file_no", "len", "counts"), F.col("doc_no") == F.col("file_no")
+    ).select("doc_no", "copies", "len", "counts")
 
 
-def _files(numbers: DataFrame, documents: DataFrame) -> DataFrame:
-    named = documents.select("file_no", "content")
+def _files(documents: DataFrame) -> DataFrame:
+    named = documents.select("file_no", "filename", "content")
     same = named.groupBy("content").agg(F.min("file_no").alias("doc_no"))
-    return numbers.join(named, "file_no").join(same, "content").select("file_no", "filename", "doc_no")
+    return named.join(same, "content").select("file_no", "filename", "doc_no")
+
+
+def _shards(heads: DataFrame, bounds: DataFrame | None) -> dict[int, Shard]:
+    sizes = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n")).collect()
+    n_heads = {r["shard"]: r["n"] for r in sizes}
+    with_tail = bounds.groupBy("shard").count().collect() if bounds is not None else []
+    n_tails = {r["shard"]: r["count"] for r in with_tail}
+    return {s: Shard(n_heads.get(s, 0), n_tails.get(s, 0)) for s in sorted(n_heads | n_tails)}
 
 
 def _terms(contents: DataFrame, n_files: int) -> DataFrame:
