@@ -24,6 +24,7 @@ def eligible_pages(
     strip_sort_key: bool = False,
     redirect_pattern: str | None = None,
     text_open: str = markup.TEXT_OPEN,
+    text_pattern: str | None = None,
 ) -> DataFrame:
     """``(page_id, title, body, categories)`` of the records worth analysing.
 
@@ -32,6 +33,9 @@ def eligible_pages(
     UTF-16 units and, if asked, pages without a category or a title. The category regex
     runs only on what the cheaper tests leave.
 
+    The body begins behind ``text_open``, or behind a match of ``text_pattern`` for dumps
+    whose text marks vary. Records without that mark are dropped.
+
     Input without a ``page_id`` gets a generated one. It is fixed for one evaluation only,
     so write the table (``materialize``) before joining it with itself.
     """
@@ -44,6 +48,9 @@ def eligible_pages(
         kept = kept.where(F.contains(value, F.lit(markup.TITLE_CLOSE)))
 
     body = markup.extract_between(value, text_open, markup.TEXT_CLOSE)
+    if text_pattern is not None:
+        block = f"(?s)(?:{text_pattern})(.*?){markup.TEXT_CLOSE}"
+        body = F.when(value.rlike(block), F.regexp_extract(value, block, 1))
     long_enough = F.filter(F.array(body), lambda b: markup.at_least_utf16(b, min_chars))
     found = F.transform(
         long_enough,

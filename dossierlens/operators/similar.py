@@ -85,10 +85,10 @@ def query_terms(
         pages, "page_id", "body", index.apostrophes, max_words, 1 if index.stem else min_term_freq
     )
     if index.stem:
-        spoken = stem_vocabulary(vocabulary(pages, "body", index.apostrophes))
-        lexicon = spoken.join(known.withColumnRenamed("term", "stem"), "stem")
+        lexicon = _lexicon(pages, index, known)
         counts = (
             counts.join(lexicon, "term")
+            .repartition("page_id")
             .groupBy("page_id", F.col("stem").alias("term"), "idf")
             .agg(F.sum("tf").alias("tf"))
             .where(F.col("tf") >= min_term_freq)
@@ -102,6 +102,22 @@ def query_terms(
     )
 
 
+def _lexicon(pages: DataFrame, index: Index, known: DataFrame) -> DataFrame:
+    """``(term, stem, idf)`` of the words on pages whose stem can be asked for.
+
+    Written down so that its size is known: in most cases it can be broadcast, and the
+    words of the pages are not shuffled to meet it. One shuffle by page then serves both
+    the sum over words of one stem and the choice of the best terms.
+    """
+    spoken = stem_vocabulary(vocabulary(pages, "body", index.apostrophes))
+    lexicon = materialize(
+        index.spark,
+        lambda: spoken.join(known.withColumnRenamed("term", "stem"), "stem"),
+        scratch_path(index.spark, "lexicon"),
+    )
+    return _small(lexicon, lexicon.count())
+
+
 def page_queries(terms: DataFrame) -> DataFrame:
     """``(page_id, query_a, query_b, terms, scale)``: one query per page.
 

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_weights(weights: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def _ordered(rows: DataFrame, order_by: list[str] | None) -> DataFrame:
+    return rows.orderBy(*order_by) if order_by else rows
+
+
+def write_weights(
+    weights: DataFrame, path: str, mode: str = "errorifexists", order_by: list[str] | None = None
+) -> None:
     """Write ``category<TAB>weight`` lines. Plain text, as a CSV writer would quote names."""
     line = F.concat_ws("\t", "category", F.col("weight").cast("string"))
-    weights.select(line.alias("value")).write.mode(mode).text(path)
+    _ordered(weights, order_by).select(line.alias("value")).write.mode(mode).text(path)
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +27,9 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_context(rendered: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_context(
+    rendered: DataFrame, path: str, mode: str = "overwrite", order_by: list[str] | None = None
+) -> None:
     """Write ``filename<TAB>rendered`` lines, in place of an earlier result."""
     line = F.concat_ws("\t", "filename", "rendered")
-    rendered.select(line.alias("value")).write.mode(mode).text(path)
+    _ordered(rendered, order_by).select(line.alias("value")).write.mode(mode).text(path)

@@ -114,6 +114,16 @@ def test_second_run_reuses_tables_and_replaces_the_context(spark, inputs, tmp_pa
     assert stamp("context.parquet") != replaced
 
 
+def test_command_line(spark, inputs, tmp_path):
+    from dossierlens.__main__ import main
+
+    dump, folder, out = inputs
+    main([dump, folder, out, "-n", "1", "--no-stem"])
+    assert all(" / " not in r.value for r in spark.read.text(f"{out}/context").collect())
+    with pytest.raises(Exception):
+        main([str(tmp_path / "absent.xml"), folder, str(tmp_path / "other")])
+
+
 def test_context_takes_the_best_of_all_scores(spark, inputs):
     docs = spark.createDataFrame([(f"d{i}", "fish law fish") for i in range(6)], "filename string, text string")
     values = [(i, record("t", f"fish fish [[Category:C{i % 4}]] [[Category:D]]" + FILL)) for i in range(9)]

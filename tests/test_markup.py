@@ -82,6 +82,9 @@ def test_eligible_options(spark):
     assert sorted(eligible(spark, *values, require_category=False, redirect_pattern="<redirect ")) == [0, 1]
     other = record("o", LONG).replace('<text xml:space="preserve">', "<text>")
     assert sorted(eligible(spark, other, require_category=False, text_open="<text>")) == [0]
+    sized = record("s", LONG).replace("<text ", '<text bytes="7" ')
+    found = eligible(spark, other, sized, require_category=False, text_pattern="<text[^>]*>")
+    assert [found[0].body, found[1].body] == [LONG, LONG]
 
 
 @pytest.mark.parametrize("body, kept", [("x" * 2047, False), ("x" * 2048, True), ("x" * 2046 + "😀", True)])

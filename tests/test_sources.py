@@ -116,6 +116,17 @@ def test_weights_survive_a_round_trip(spark, tmp_path):
         write_weights(df, str(tmp_path / "w"))
 
 
+def test_results_can_be_written_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(c, 1.0) for c in "CABED"], "category string, weight double").repartition(5)
+    write_weights(df, str(tmp_path / "w"), order_by=["category"])
+    parts = sorted((tmp_path / "w").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "A\t1.0\nB\t1.0\nC\t1.0\nD\t1.0\nE\t1.0\n"
+
+
+def test_an_empty_folder_has_no_documents(spark, tmp_path):
+    assert read_case_documents(spark, str(tmp_path)).count() == 0
+
+
 def test_context_sink_replaces(spark, tmp_path):
     path = str(tmp_path / "c")
     for text in ("old", "new"):
