@@ -81,6 +81,8 @@ class Index:
     n_files: int
     n_documents: int
     n_terms: int
+    list_length: float
+    """Entries a shard's head has on average, seen from a posting drawn at random."""
     stem: bool
     apostrophes: bool
 
@@ -121,9 +123,9 @@ def build_index(
     n_files, n_documents = documents.agg(F.count("*"), F.count_distinct("content")).first()
     contents = _contents(documents, n_documents < n_files)
     terms = stored("terms", lambda: _terms(contents, n_files))
-    n_terms, n_entries, longest = terms.agg(
-        F.count("*"), F.coalesce(F.sum("n_entries"), F.lit(0)), F.coalesce(F.max("n_entries"), F.lit(0))
-    ).first()
+    n = F.col("n_entries")
+    sizes = terms.agg(F.count("*"), F.sum(n), F.max(n), F.sum(n.cast("double") * n)).first()
+    n_terms, n_entries, longest, squares = (value or 0 for value in sizes)
 
     n_shards = max(1, math.ceil(n_entries / shard_entries))
     tails = bounds = None
@@ -149,6 +151,7 @@ def build_index(
         n_files=n_files,
         n_documents=n_documents,
         n_terms=n_terms,
+        list_length=min(head_size, squares / n_entries / n_shards) if n_entries else 0.0,
         stem=stem,
         apostrophes=apostrophes,
     )

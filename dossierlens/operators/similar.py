@@ -39,7 +39,8 @@ MAX_HITS = 20
 BROADCAST_ROWS = 8_000_000
 """Most rows or packed entries a table may have to be broadcast; beyond, joins shuffle."""
 
-QUERY_TERMS_PER_TASK = 50_000
+PAIRS_PER_TASK = 20_000_000
+MAX_TASKS = 100_000
 
 _SLACK = 1 - 1e-6
 """Scores are ranked as 32-bit numbers; bounds leave more room than their rounding."""
@@ -49,16 +50,17 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def _spread(queries: DataFrame, n_queries: int) -> DataFrame:
+def _spread(queries: DataFrame, n_queries: int, index: Index) -> DataFrame:
     """``queries`` in tasks sized by the pairs they will make, not by their own few bytes.
 
     A fixed number of partitions is not merged at run time. It must differ from the
     session's default, which Spark would take for the partitioning already there.
     """
-    default = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    default = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = n_queries * MAX_TERMS * index.list_length
     n_tasks = max(
-        4 * queries.sparkSession.sparkContext.defaultParallelism,
-        math.ceil(n_queries * MAX_TERMS / QUERY_TERMS_PER_TASK),
+        4 * index.spark.sparkContext.defaultParallelism,
+        min(MAX_TASKS, math.ceil(pairs / PAIRS_PER_TASK)),
     )
     return queries.repartition(n_tasks + (n_tasks == default), *QUERY)
 
@@ -177,7 +179,7 @@ def _shard_hits(queries: DataFrame, n_queries: int, index: Index, shard: int, k:
     if shard in index.shards and index.shards[shard].n_tails:
         sums = _sums_with_tails(queries, n_queries, index, shard, k)
     else:
-        sums = _head_sums(_spread(queries, n_queries), index, shard, ["scale"])
+        sums = _head_sums(_spread(queries, n_queries, index), index, shard, ["scale"])
     scored = sums.withColumn("score", F.col("scale") * F.col("matched") * F.col("impact"))
     order = [rank_value(F.col("score")).desc(), F.col("doc_no")]
     return top_per_group(scored, QUERY, order, k).select(*QUERY, "doc_no", "score", "rank")
@@ -226,7 +228,7 @@ def _sums_with_tails(
     reach = F.col("matched") * F.col("impact")
     by_reach = Window.partitionBy(*QUERY).orderBy(reach.desc())
     heads = _head_sums(
-        _spread(bounded, n_queries).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
+        _spread(bounded, n_queries, index).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
         index,
         shard,
         ["scale", "n_tails", "tail_sum"],
@@ -253,7 +255,7 @@ def _sums_with_tails(
         lambda j: j * total(F.slice("tails", 1, j)) < F.col("needed") * _SLACK,
     )
     decided = (
-        _spread(bounded, n_queries)
+        _spread(bounded, n_queries, index)
         .join(needed, QUERY, "left")
         .withColumn("needed", F.coalesce("needed", F.lit(0.0)))
         .withColumn("n_closed", F.when(F.size("tails") > 0, F.size(fall_short)).otherwise(0))

@@ -49,12 +49,24 @@ def test_query_terms_are_cut_before_the_shuffle(stored):
 def test_scoring_moves_queries_but_no_pairs(spark, stored):
     _, pages, index = stored
     asked = materialize(spark, lambda: similar.page_queries(similar.query_terms(pages, index)), scratch_path(spark, "q"))
-    text = plan(similar._head_sums(similar._spread(asked, 40), index, 0, ["scale"]))
+    text = plan(similar._head_sums(similar._spread(asked, 40, index), index, 0, ["scale"]))
     # The one exchange spreads the queries; their pairs are summed where they are made.
     assert text.count("hashpartitioning") == 1
     assert text.index("HashAggregate") < text.index("inline(entries") < text.index("hashpartitioning")
 
 
+def test_scoring_tasks_are_sized_by_pairs(stored, monkeypatch):
+    _, pages, index = stored
+    # Two words of one distinct document: lists of one entry.
+    assert index.list_length == 1
+    tasks = lambda n: similar._spread(pages.selectExpr("page_id query_a", "page_id query_b"), n, index).rdd.getNumPartitions()
+    assert tasks(40) == 16
+    monkeypatch.setattr(similar, "PAIRS_PER_TASK", 20)
+    assert tasks(40) == 50
+    monkeypatch.setattr(similar, "MAX_TASKS", 30)
+    assert tasks(40) == 30
+
+
 def test_a_hot_query_is_split(spark):
     """A third of all pages asks one query: the join with its hits is split at run time."""
     settings = {
