@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -211,7 +212,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return document_context_of(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """The training-data package's queries, if that package is here; its own import errors raise."""
+    if importlib.util.find_spec("dossierlens.llm") is None:
+        return None
+    from dossierlens.llm import registry
+
+    return registry
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    more = _training_data()
+    return _queries() | (more.queries() if more else {})
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "eligible_pages": eligible_pages,
         "page_source_roundtrip": page_source_roundtrip,
@@ -248,4 +263,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql(MAX_RECORD_BYTES)
+    more = _training_data()
+    return oracles.oracle_sql(MAX_RECORD_BYTES) | (more.oracle_sql() if more else {})
