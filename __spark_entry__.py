@@ -213,17 +213,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _training_data():
-    """The training-data package's queries, if that package is here; its own import errors raise."""
-    if importlib.util.find_spec("dossierlens.llm") is None:
-        return None
+    """The training-data queries and SQL, if their modules are here; import errors inside raise."""
+    if not all(map(importlib.util.find_spec, ("dossierlens.llm", "corpus_pipeline"))):
+        return {}, {}
+    import corpus_pipeline
     from dossierlens.llm import registry
 
-    return registry
+    pipeline = corpus_pipeline.ORACLE_SQL
+    sql = registry.oracle_sql() | ({"pipeline": pipeline} if pipeline else {})
+    return registry.queries() | {"pipeline": corpus_pipeline.run}, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    more = _training_data()
-    return _queries() | (more.queries() if more else {})
+    return _queries() | _training_data()[0]
 
 
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -263,5 +265,4 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    more = _training_data()
-    return oracles.oracle_sql(MAX_RECORD_BYTES) | (more.oracle_sql() if more else {})
+    return oracles.oracle_sql(MAX_RECORD_BYTES) | _training_data()[1]
