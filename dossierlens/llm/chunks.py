@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from .common import kept, read_documents, slices
 
 WINDOW = 16
-MEAN_BYTES = 32
+MEAN_BYTES = 24
 """Of so many positions one may be cut at."""
 
-MIN_BYTES = 16
+MIN_BYTES = 12
 MAX_BYTES = 1024
-MIN_WORDS = 24
+MIN_WORDS = 20
 """Words in matched chunks that make a passage. A passage loses up to a chunk at either
 end, so one of 50 words or more is found; a shared line is not."""
 
@@ -36,7 +36,7 @@ _WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 def cuts(data: bytes) -> np.ndarray:
     """Ends of the chunks of ``data``.
 
-    Cuts lie at positions whose hash of the last 16 bytes is chosen, at least 16 bytes
+    Cuts lie at positions whose hash of the last 16 bytes is chosen, at least 12 bytes
     behind the one before; a chunk of 1024 bytes without one is cut there.
     """
     size = len(data)

@@ -25,14 +25,14 @@ from .common import kept, slices
 from .components import connected
 
 MIN_COSINE = 0.95
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 SAMPLE_BYTES = 32 << 20
 """The rotations are learned on no more rows, and no more bytes, than these."""
 
 ROTATIONS = 9
 BITS = 64
 PART = 16
-ROUNDS = 40
+ROUNDS = 25
 BLOCK = 256
 HOT = 2048
 """Buckets with more members are searched by several tasks."""
