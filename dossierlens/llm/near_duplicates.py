@@ -51,7 +51,7 @@ class WordHashes(Bounded):
         return self.put(word, xxhash.xxh64_intdigest(word))
 
 
-_word_hashes = WordHashes(300_000)
+_word_hashes = WordHashes(50_000)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -113,20 +113,28 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 4000):
+        column = batch.column("signature")
+        values = column.flatten().to_numpy().view(np.uint32).reshape(-1, HASHES).astype(np.uint64)
+        values = np.hstack([values, values[:, : DEPTH + 2]])
+        ids = batch.column("id").to_numpy()
+        for order in range(ORDERS):
+            begin = order * DEPTH
+            region = np.full(len(ids), order + 1, dtype=np.uint64)
+            for place in range(begin, begin + DEPTH):
+                region = (region ^ values[:, place]) * np.uint64(0x9E3779B97F4A7C15)
+                region ^= region >> np.uint64(32)
+            deeper = (values[:, begin + DEPTH] << _SHIFT) + values[:, begin + DEPTH + 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(region.view(np.int64)), pa.array(deeper.view(np.int64)), pa.array(ids)],
+                names=["region", "deeper", "id"],
+            )
+
+
 def _forest(classes: DataFrame) -> DataFrame:
     """``(region, deeper, id)``: every class in every order."""
-    twice = F.concat("signature", "signature")
-
-    def entry(order):
-        begin = order * DEPTH + 1
-        deeper = F.slice(twice, begin + DEPTH, 2)
-        return F.struct(
-            F.xxhash64(order, F.slice(twice, begin, DEPTH)).alias("region"),
-            (F.shiftleft(F.get(deeper, F.lit(0)).cast("long"), 32) + F.get(deeper, F.lit(1))).alias("deeper"),
-        )
-
-    entries = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), entry)
-    return classes.select(F.explode(entries).alias("e"), "id").select("e.region", "e.deeper", "id")
+    return classes.select("id", "signature").mapInArrow(_in_orders, "region long, deeper long, id long")
 
 
 def _neighbours(members: DataFrame) -> DataFrame:
