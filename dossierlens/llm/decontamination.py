@@ -11,6 +11,8 @@ All of it is DataFrame functions; nothing runs in Python on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,33 +30,38 @@ MIN_LITERAL = 0.5
 MIN_COVERAGE = 0.5
 """The least share of an item's words in matched windows."""
 
-NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+NAME, NUMBER, UNIT, POINT = "\x01", "\x02", "\x03", "\x04"
 MARKS = NAME + NUMBER + UNIT
-
-# A capitalised word inside a sentence; what begins one may be any word.
-_NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{L}\p{N}]*"
-_NUMBER = r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-# Number words and units.
-_NUMBER_WORDS = r"(?<![\p{L}\p{N}])(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million)(?![\p{L}\p{N}])"
+"""``POINT`` stands for a point, comma, colon or slash inside a number."""
+
+# A capitalised word inside a sentence; what begins one may be any word. Patterns begin with
+# the test that fails soonest.
+_NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;:] )\p{Lu}"
+_INNER = r"[.,:/](?=[0-9])(?<=[0-9][.,:/])"
+_NUMBER = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{POINT}])"
+# Units, which stand behind a digit, and number words.
 _UNITS = (
-    r"(?<=\p{Nd}|\p{Nd} )(?:%|°|km|cm|mm|m|kg|g|mg|l|ml|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
+    r"(?i)([0-9]) ?(%|°|km|cm|mm|m|kg|g|mg|l|ml|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
     r"meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|cents?|usd|eur|percent)(?![\p{L}\p{N}])"
 )
-_BETWEEN = rf"(?:[^\p{{L}}\p{{N}}{MARKS}%°.,:/]|[.,:/](?!\p{{Nd}})|(?<!\p{{Nd}})[.,:/])+"
+_NUMBER_WORDS = (
+    r" (two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million)(?= |$)"
+)
+_BETWEEN = rf"[^\p{{L}}\p{{N}}{MARKS}{POINT}%°]++"
 
 
 def marked(text: Column) -> Column:
     """The words of ``text``, one space apart; names, numbers and units begin with a mark.
 
-    Numbers and units are only looked for in texts that hold a digit or a number word.
+    Numbers and units are only looked for in texts that hold a digit from 0 to 9.
     """
-    plain = F.translate(text, MARKS, "   ")
-    spaced = F.regexp_replace(plain, r"[ \t\x0B\f\r]+", " ")
-    named = F.regexp_replace(spaced, _NAME, NAME + "$0")
-    units = F.when(named.rlike(r"\p{Nd}"), F.regexp_replace(named, "(?i)" + _UNITS, " " + UNIT + "$0")).otherwise(named)
-    numbers = F.when(units.rlike(r"\p{Nd}"), F.regexp_replace(units, _NUMBER, NUMBER + "$0")).otherwise(units)
-    spelled = F.regexp_replace(numbers, _NUMBER_WORDS, NUMBER + "$0")
-    return F.trim(F.regexp_replace(spelled, _BETWEEN, " "))
+    plain = F.translate(text, MARKS + POINT + "\t\x0b\f\r", " " * 8)
+    named = F.regexp_replace(plain, _NAME, NAME + "$0")
+    inner = F.regexp_replace(named, _INNER, POINT)
+    units = F.regexp_replace(inner, _UNITS, "$1 " + UNIT + "$2")
+    numbers = F.when(named.rlike("[0-9]"), F.regexp_replace(units, _NUMBER, NUMBER)).otherwise(named)
+    words = F.concat(F.lit(" "), F.regexp_replace(numbers, _BETWEEN, " "))
+    return F.trim(F.regexp_replace(words, _NUMBER_WORDS, " " + NUMBER + "$1"))
 
 
 def template(marked_text: Column) -> Column:
@@ -66,18 +73,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _windows(sizes: list[int]) -> Column:
-    """``array<struct<at, window>>`` of column ``code``, the hashes of a template's words."""
-
-    def of(size: int) -> Column:
-        starts = F.when(F.size("code") >= size, F.sequence(F.lit(0), F.size("code") - size))
-        window = F.transform(
-            starts,
-            lambda at: F.struct(at.alias("at"), F.xxhash64(F.lit(size), F.slice("code", at + 1, size)).alias("window")),
-        )
-        return F.coalesce(window, F.array().cast("array<struct<at:int,window:bigint>>"))
-
-    return F.concat(*[of(size) for size in sizes])
+def _windows(codes: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, at, window)`` of ``codes(doc_id, code)``, the hashes of a template's words."""
+    starts = F.when(F.size("code") >= size, F.sequence(F.lit(1), F.size("code") - size + 1))
+    windows = F.transform(starts, lambda at: F.xxhash64(F.lit(size), F.slice("code", at, size)))
+    return codes.select("doc_id", F.posexplode(windows).alias("at", "window"))
 
 
 def _codes(texts: DataFrame, id: str) -> DataFrame:
@@ -131,9 +131,9 @@ def find_leaks(
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [window]
     n_windows = items.count()
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
-    windows = _codes(texts, "doc_id").select("doc_id", F.explode(_windows(sizes)).alias("w")).select(
-        "doc_id", "w.at", "w.window"
-    )
+    codes = _codes(texts, "doc_id")
+    # All long items share one size; each shorter one, fewer than that, takes a pass of its own.
+    windows = reduce(DataFrame.unionByName, [_windows(codes, size) for size in sizes])
     places = small(items.select("window", "item_id", "wpos", "words", "size"), n_windows, 64)
     shift = (F.col("at") - F.col("wpos")).alias("shift")
     runs = kept(

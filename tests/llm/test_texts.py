@@ -26,7 +26,7 @@ def test_templates(table):
     found = table([(1, "He met Anna, who had 3.5 kg, 1,000 euros and twenty books."), (2, ""), (3, None)])
     rows = found.select(marked(F.col("text")).alias("m"), template(marked(F.col("text"))).alias("t")).collect()
     assert rows[0]["t"] == "he met \x01 who had \x02 \x03 \x02 \x03 and \x02 books"
-    assert rows[0]["m"] == "He met \x01Anna who had \x023.5 \x03kg \x021,000 \x03euros and \x02twenty books"
+    assert rows[0]["m"] == "He met \x01Anna who had \x023\x045 \x03kg \x021\x04000 \x03euros and \x02twenty books"
     assert rows[1]["t"] == "" and rows[2]["t"] is None
 
 
