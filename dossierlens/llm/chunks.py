@@ -129,6 +129,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     owners = every.where("first").groupBy("digest").agg(
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("owner_start")
     ).where("owner < last").drop("last")
+    owners = kept(owners, "owners")  # as a table, so that the join can split a chunk of a third of all rows
     found = kept(
         every.join(owners, "digest")
         .where("doc_id <> owner")
