@@ -26,6 +26,7 @@ from dossierlens.sources import (
     read_weights,
     read_wiki_pages,
     scratch_path,
+    write_context,
     write_weights,
 )
 from dossierlens.sources.wiki import PAGE_CLOSE, PAGE_OPEN
@@ -103,10 +104,29 @@ def _title() -> Column:
 def page_source_roundtrip(spark, sf_dir):
     body = markup.extract_between(F.col("value"), markup.TEXT_OPEN, markup.TEXT_CLOSE)
     return read_wiki_pages(spark, _dump(spark, sf_dir)).select(
-        _title(), F.length(body).alias("n_chars"), F.octet_length("value").alias("n_bytes")
+        _title(), F.md5(body).alias("digest"), F.octet_length("value").alias("n_bytes")
     )
 
 
+def page_source_bzip2(spark, sf_dir):
+    """The same dump, packed; bzip2 is read in splits."""
+    path = scratch_path(spark, "packed")
+    records = fixtures.page_records(spark, sf_dir).select("value")
+    records.write.option("compression", "bzip2").text(path)
+    body = markup.extract_between(F.col("value"), markup.TEXT_OPEN, markup.TEXT_CLOSE)
+    return read_wiki_pages(spark, path).select(_title(), F.md5(body).alias("digest"))
+
+
+def page_source_revisions(spark, sf_dir):
+    """Pages with an older revision in front: the last text is the body."""
+    path = scratch_path(spark, "revisions")
+    older = F.concat(F.lit("    <revision>\n      " + markup.TEXT_OPEN + "older"), F.lit(markup.TEXT_CLOSE + "\n    </revision>\n    <revision>"))
+    records = fixtures.page_records(spark, sf_dir).select(F.replace("value", F.lit("    <revision>"), older).alias("value"))
+    records.write.text(path)
+    body = markup.extract_between(F.col("value"), markup.TEXT_OPEN, markup.TEXT_CLOSE)
+    return read_wiki_pages(spark, path).select(_title(), F.md5(body).alias("digest"))
+
+
 def oversize_records_dropped(spark, sf_dir):
     records = read_delimited(spark, _dump(spark, sf_dir), PAGE_OPEN, PAGE_CLOSE, MAX_RECORD_BYTES)
     return records.select(_title(), F.octet_length("value").alias("n_bytes"))
@@ -172,7 +192,7 @@ def query_terms(spark, sf_dir):
 
 def query_terms_whole_text(spark, sf_dir):
     index = _index(spark, sf_dir, "conversations")
-    return _rounded(similar.query_terms(_stored_pages(spark, sf_dir), index, max_words=None), "idf", "weight")
+    return _rounded(similar.query_terms(_stored_pages(spark, sf_dir), index), "idf", "weight")
 
 
 def page_similarity_of(spark, sf_dir, docs="benchmark", **options):
@@ -195,7 +215,10 @@ def document_context_of(spark, sf_dir, docs="benchmark", **options):
 def document_context_rendered(spark, sf_dir):
     found = _stored_pages(spark, sf_dir)
     weights = categories.category_weights(found)
-    return categories.render_context(document_context(found, _index(spark, sf_dir), weights))
+    path = scratch_path(spark, "context")
+    write_context(categories.render_context(document_context(found, _index(spark, sf_dir), weights), 6), path)
+    fields = F.split("value", "\t")
+    return spark.read.text(path).select(fields[0].alias("filename"), fields[1].alias("rendered"))
 
 
 def context_run_reuse(spark, sf_dir):
@@ -232,6 +255,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "eligible_pages": eligible_pages,
         "page_source_roundtrip": page_source_roundtrip,
+        "page_source_bzip2": page_source_bzip2,
+        "page_source_revisions": page_source_revisions,
         "oversize_records_dropped": oversize_records_dropped,
         "case_documents_roundtrip": case_documents_roundtrip,
         "page_titles": page_titles,

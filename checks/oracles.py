@@ -51,7 +51,7 @@ term_stat as (
 )"""
 
 
-def with_terms(pages: str, max_words: int | None = 5000) -> str:
+def with_terms(pages: str, max_words: int | None = None) -> str:
     found = WORDS.format("body")
     if max_words is not None:
         found = f"list_slice({found}, 1, {max_words})"
@@ -97,6 +97,10 @@ context as (
   ) z where rank <= 10
 )"""
 
+BODIES = f"""{WITH_PAGES} select split_part(split_part(value, '<title>', 2), '</title>', 1) as title,
+            md5(split_part(split_part(value, '<text xml:space="preserve">', 2), '</text>', 1)) as digest from record"""
+RENDERED = """select filename, string_agg(category || ' (' || printf('%.6f', score) || ')', ' / ' order by rank) as rendered
+            from context group by filename"""
 PAIRS = "select page_id, pos, category, n_categories from pair"
 WEIGHTS = "select category, round(weight, 6) as weight from weight"
 CONTEXT = "select filename, rank, category, round(score, 6) as score from context"
@@ -112,7 +116,7 @@ def _from_pages(select: str) -> str:
     return f"{WITH_PAGES} {select}"
 
 
-def _terms(docs: str, max_words: int | None = 5000) -> str:
+def _terms(docs: str, max_words: int | None = None) -> str:
     return f"{WITH_PAGES}, {with_index(docs)}, {with_terms('page', max_words)} {TERMS}"
 
 
@@ -130,8 +134,10 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
     return {
         "eligible_pages": _from_pages("select page_id, length(body) as n_chars, len(categories) as n_categories from page"),
         "page_source_roundtrip": f"""{WITH_PAGES} select split_part(split_part(value, '<title>', 2), '</title>', 1) as title,
-            length(split_part(split_part(value, '<text xml:space="preserve">', 2), '</text>', 1)) as n_chars,
+            md5(split_part(split_part(value, '<text xml:space="preserve">', 2), '</text>', 1)) as digest,
             strlen(value) as n_bytes from record""",
+        "page_source_bzip2": BODIES,
+        "page_source_revisions": BODIES,
         "oversize_records_dropped": f"""{WITH_PAGES} select split_part(split_part(value, '<title>', 2), '</title>', 1) as title,
             strlen(value) as n_bytes from record where strlen(value) <= {max_record_bytes}""",
         "case_documents_roundtrip": f"with d as ({conv}) select length(text) as n_chars, md5(text) as digest from d",
@@ -151,7 +157,7 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
         "term_stats_conversations": _index(conv, "select term, df, round(idf, 6) as idf from term_stat"),
         "doc_stats": _index(bench, "select filename, len from doc_len"),
         "query_terms": _terms(bench),
-        "query_terms_whole_text": _terms(conv, None),
+        "query_terms_whole_text": _terms(conv),
         "page_similarity": _similarity(bench),
         "page_similarity_byte_norm": _similarity(bench, BYTE_NORM),
         "page_similarity_conversations": _similarity(conv),
@@ -159,5 +165,6 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
         "document_category_scores": _scores(bench, "select filename, category, round(score, 6) as score from doc_category"),
         "document_context": context,
         "document_context_conversations": _scores(conv, CONTEXT),
+        "document_context_rendered": _scores(bench, RENDERED),
         "context_run_reuse": context,
     }

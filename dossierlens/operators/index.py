@@ -28,10 +28,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import let
 from ..functions.scoring import NORMS, idf
 from ..functions.words import word_counts, words
-from ..sources.stored import is_complete, materialize, scratch_path
-from .terms import stem_vocabulary, term_counts, vocabulary
+from ..sources.stored import is_current, materialize, scratch_path
+from .terms import stem_vocabulary, term_counts
 
 HEAD_SIZE = 65_536
 """Most postings of a term that every query asking it is paired with."""
@@ -52,12 +53,12 @@ def doc_stats(case_docs: DataFrame) -> DataFrame:
 
 def term_stats(case_docs: DataFrame) -> DataFrame:
     """``(term, df, idf)`` over all documents."""
-    counted = case_docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    n_docs = case_docs.count()
-    return (
-        counted.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .withColumn("idf", idf(F.col("df"), n_docs))
+    # Every document also counts under a null term, whose sum is the size of the collection.
+    found = F.concat(F.array_distinct(words(F.coalesce("text", F.lit("")))), F.array(F.lit(None).cast("string")))
+    counts = case_docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n_docs = counts.where("term is null").select(F.col("df").alias("n_docs"))
+    return counts.where("term is not null").crossJoin(F.broadcast(n_docs)).select(
+        "term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")
     )
 
 
@@ -81,6 +82,7 @@ class Index:
     n_files: int
     n_documents: int
     n_terms: int
+    term_bytes: int
     list_length: float
     """Entries a shard's head has on average, seen from a posting drawn at random."""
     stem: bool
@@ -96,12 +98,13 @@ def build_index(
     head_size: int = HEAD_SIZE,
     shard_entries: int = SHARD_ENTRIES,
     if_exists: str = "reuse",
+    fingerprint: str | None = None,
 ) -> Index:
     """Write the tables of ``case_docs(filename, text)`` below ``path`` and open them.
 
     Settings are part of the folder name, so a finished index is reused only for the
-    settings it was built with. A step that has to be written again also replaces the
-    steps that follow from it.
+    settings it was built with, and only for the ``fingerprint`` of its documents if one is
+    given. A step that has to be written again also replaces the steps that follow from it.
     """
     if norm not in NORMS:
         raise ValueError(f"norm must be one of {sorted(NORMS)}, not {norm!r}")
@@ -112,20 +115,18 @@ def build_index(
 
     def stored(name: str, compute: Callable[[], DataFrame]) -> DataFrame:
         nonlocal replace
-        replace = replace or not is_complete(spark, f"{folder}/{name}")
-        return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse")
+        replace = replace or not is_current(spark, f"{folder}/{name}", fingerprint)
+        return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse", fingerprint)
 
-    if stem:
-        stems = stored("stems", lambda: _stem_counts(case_docs, apostrophes))
-        documents = stored("documents", lambda: _numbered(stems))
-    else:
-        documents = stored("documents", lambda: _numbered_counts(case_docs, apostrophes))
+    counted = stored("counted" if stem else "documents", lambda: _numbered_counts(case_docs, apostrophes))
+    documents = stored("documents", lambda: _stem_counts(counted)) if stem else counted
     n_files, n_documents = documents.agg(F.count("*"), F.count_distinct("content")).first()
     contents = _contents(documents, n_documents < n_files)
     terms = stored("terms", lambda: _terms(contents, n_files))
     n = F.col("n_entries")
-    sizes = terms.agg(F.count("*"), F.sum(n), F.max(n), F.sum(n.cast("double") * n)).first()
-    n_terms, n_entries, longest, squares = (value or 0 for value in sizes)
+    letters = F.sum(F.octet_length("term"))
+    sizes = terms.agg(F.count("*"), F.sum(n), F.max(n), F.sum(n.cast("double") * n), letters).first()
+    n_terms, n_entries, longest, squares, letters = (value or 0 for value in sizes)
 
     n_shards = max(1, math.ceil(n_entries / shard_entries))
     tails = bounds = None
@@ -151,26 +152,13 @@ def build_index(
         n_files=n_files,
         n_documents=n_documents,
         n_terms=n_terms,
+        term_bytes=64 * n_terms + letters,
         list_length=min(head_size, squares / n_entries / n_shards) if n_entries else 0.0,
         stem=stem,
         apostrophes=apostrophes,
     )
 
 
-def _numbered(counted: DataFrame) -> DataFrame:
-    """``(file_no, filename, len, counts, content)``, numbered in the order of names.
-
-    The sort is a range partitioning, so no task sees all names.
-    """
-    return counted.orderBy("filename").select(
-        F.monotonically_increasing_id().alias("file_no"),
-        "filename",
-        "len",
-        "counts",
-        _content().alias("content"),
-    )
-
-
 def _content() -> Column:
     return F.coalesce(F.sha2(F.to_json("counts"), 256), F.lit("no words"))
 
@@ -182,24 +170,24 @@ def _numbered_counts(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
     counted = case_docs.select("filename", "text").orderBy("filename").select(
         F.monotonically_increasing_id().alias("file_no"),
         "filename",
-        F.inline(F.array(F.struct(F.size(found).alias("len"), word_counts(found).alias("counts")))),
+        F.inline(F.array(let(found, lambda w: F.struct(F.size(w).alias("len"), word_counts(w).alias("counts"))))),
     )
     return counted.withColumn("content", _content())
 
 
-def _stem_counts(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
-    """``(filename, len, counts)`` with words replaced by their stems."""
-    found = words(F.col("text"), apostrophes)
-    lexicon = stem_vocabulary(vocabulary(case_docs, "text", apostrophes))
+def _stem_counts(counted: DataFrame) -> DataFrame:
+    """``counted`` with words replaced by their stems. File numbers are the key, as names may repeat."""
+    lexicon = stem_vocabulary(counted.select(F.explode("counts.term").alias("term")).distinct())
     stems = (
-        term_counts(case_docs, "filename", "text", apostrophes)
+        counted.select("file_no", F.inline("counts"))
         .join(lexicon, "term")
-        .groupBy("filename", F.col("stem").alias("term"))
+        .groupBy("file_no", F.col("stem").alias("term"))
         .agg(F.sum("tf").cast("int").alias("tf"))
-        .groupBy("filename")
+        .groupBy("file_no")
         .agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("counts"))
     )
-    return case_docs.select("filename", F.size(found).alias("len")).join(stems, "filename", "left")
+    stemmed = counted.select("file_no", "filename", "len").join(stems, "file_no", "left")
+    return stemmed.withColumn("content", _content())
 
 
 def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:

@@ -30,45 +30,43 @@ QUERY = ["query_a", "query_b"]
 """Two 64-bit hashes of a query's terms, together its key."""
 
 # Defaults of the "more like this" query and of the search.
-MAX_WORDS = 5000
 MIN_TERM_FREQ = 2
 MIN_DOC_FREQ = 5
 MAX_TERMS = 25
 MAX_HITS = 20
 
-BROADCAST_ROWS = 8_000_000
-"""Most rows or packed entries a table may have to be broadcast; beyond, joins shuffle."""
+BROADCAST_BYTES = 256 << 20
+"""Most bytes a table may have to be broadcast, by its counted rows; beyond, joins shuffle."""
 
+ENTRY_BYTES = 16
+ROW_BYTES = 64
 PAIRS_PER_TASK = 20_000_000
-MAX_TASKS = 100_000
 
 _SLACK = 1 - 1e-6
 """Scores are ranked as 32-bit numbers; bounds leave more room than their rounding."""
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+def _small(table: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(table) if n_bytes <= BROADCAST_BYTES else table
 
 
-def _spread(queries: DataFrame, n_queries: int, index: Index) -> DataFrame:
-    """``queries`` in tasks sized by the pairs they will make, not by their own few bytes.
+def _spread(queries: DataFrame, n_asked: int, index: Index) -> DataFrame:
+    """``queries``, asking ``n_asked`` terms in all, in tasks sized by the pairs they will
+    make, not by their own few bytes.
 
     A fixed number of partitions is not merged at run time. It must differ from the
     session's default, which Spark would take for the partitioning already there.
     """
     default = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = n_queries * MAX_TERMS * index.list_length
-    n_tasks = max(
-        4 * index.spark.sparkContext.defaultParallelism,
-        min(MAX_TASKS, math.ceil(pairs / PAIRS_PER_TASK)),
-    )
+    pairs = n_asked * index.list_length
+    n_tasks = max(4 * index.spark.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_PER_TASK))
     return queries.repartition(n_tasks + (n_tasks == default), *QUERY)
 
 
 def query_terms(
     pages: DataFrame,
     index: Index,
-    max_words: int | None = MAX_WORDS,
+    max_words: int | None = None,
     min_term_freq: int = MIN_TERM_FREQ,
     min_doc_freq: int = MIN_DOC_FREQ,
     max_doc_freq: int | None = None,
@@ -76,13 +74,13 @@ def query_terms(
 ) -> DataFrame:
     """``(page_id, rank, term, tf, idf, weight)``: the best terms of each page by ``tf * idf``.
 
-    ``max_words`` is the search library's own limit on the words a query looks at, part of
-    what the operator computes; ``None`` uses the whole text. Ties go by term.
+    The whole text asks; ``max_words`` is for callers who want only its beginning to. Ties
+    go by term.
     """
     known = index.terms.where(F.col("df") >= min_doc_freq)
     if max_doc_freq is not None:
         known = known.where(F.col("df") <= max_doc_freq)
-    known = _small(known.select("term", "idf"), index.n_terms)
+    known = _small(known.select("term", "idf"), index.term_bytes)
     counts = term_counts(
         pages, "page_id", "body", index.apostrophes, max_words, 1 if index.stem else min_term_freq
     )
@@ -117,7 +115,8 @@ def _lexicon(pages: DataFrame, index: Index, known: DataFrame) -> DataFrame:
         lambda: spoken.join(known.withColumnRenamed("term", "stem"), "stem"),
         scratch_path(index.spark, "lexicon"),
     )
-    return _small(lexicon, lexicon.count())
+    rows, letters = lexicon.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("stem"))).first()
+    return _small(lexicon, rows * ROW_BYTES + (letters or 0))
 
 
 def page_queries(terms: DataFrame) -> DataFrame:
@@ -151,16 +150,16 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     queries = asked.groupBy(*QUERY).agg(
         F.first("terms").alias("terms"), F.first("scale").alias("scale")
     )
-    n_queries = asked.count()
+    n_asked = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     best = [rank_value(F.col("score")).desc()]
     shards = list(index.shards) or [0]
     if len(shards) == 1:
-        hits = _shard_hits(queries, n_queries, index, shards[0], k)
+        hits = _shard_hits(queries, n_asked, index, shards[0], k)
     else:
         queries = materialize(index.spark, lambda: queries, scratch_path(index.spark, "distinct"))
         path = scratch_path(index.spark, "shard-hits")
         for shard in shards:
-            _shard_hits(queries, n_queries, index, shard, k).write.mode("append").parquet(path)
+            _shard_hits(queries, n_asked, index, shard, k).write.mode("append").parquet(path)
         hits = top_per_group(
             index.spark.read.parquet(path).drop("rank"), QUERY, [*best, F.col("doc_no")], k
         )
@@ -174,12 +173,12 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     )
 
 
-def _shard_hits(queries: DataFrame, n_queries: int, index: Index, shard: int, k: int) -> DataFrame:
+def _shard_hits(queries: DataFrame, n_asked: int, index: Index, shard: int, k: int) -> DataFrame:
     """``(*QUERY, doc_no, score, rank)``: the ``k`` best documents of one shard."""
     if shard in index.shards and index.shards[shard].n_tails:
-        sums = _sums_with_tails(queries, n_queries, index, shard, k)
+        sums = _sums_with_tails(queries, n_asked, index, shard, k)
     else:
-        sums = _head_sums(_spread(queries, n_queries, index), index, shard, ["scale"])
+        sums = _head_sums(_spread(queries, n_asked, index), index, shard, ["scale"])
     scored = sums.withColumn("score", F.col("scale") * F.col("matched") * F.col("impact"))
     order = [rank_value(F.col("score")).desc(), F.col("doc_no")]
     return top_per_group(scored, QUERY, order, k).select(*QUERY, "doc_no", "score", "rank")
@@ -188,7 +187,7 @@ def _shard_hits(queries: DataFrame, n_queries: int, index: Index, shard: int, k:
 def _head_sums(queries: DataFrame, index: Index, shard: int, carried: list[str]) -> DataFrame:
     """``(*QUERY, *carried, doc_no, impact, matched)`` from the heads of the query terms."""
     n_entries = index.shards[shard].n_entries if index.shards else 0
-    heads = _small(index.heads.where(F.col("shard") == shard).select("term", "entries"), n_entries)
+    heads = _small(index.heads.where(F.col("shard") == shard).select("term", "entries"), n_entries * ENTRY_BYTES + index.term_bytes)
     pairs = queries.select(*QUERY, *carried, F.explode("terms").alias("term")).join(heads, "term")
     return (
         pairs.select(*QUERY, *carried, F.inline("entries"))
@@ -198,7 +197,7 @@ def _head_sums(queries: DataFrame, index: Index, shard: int, carried: list[str])
 
 
 def _sums_with_tails(
-    queries: DataFrame, n_queries: int, index: Index, shard: int, k: int
+    queries: DataFrame, n_asked: int, index: Index, shard: int, k: int
 ) -> DataFrame:
     """Complete sums of every document that can be among the ``k`` best.
 
@@ -206,7 +205,7 @@ def _sums_with_tails(
     tails left closed, so ``matched * impact`` is at most ``j * sum(tail_max)``.
     """
     bounds = index.bounds.where(F.col("shard") == shard).select("term", "tail_max")
-    bounds = _small(bounds, index.shards[shard].n_tails)
+    bounds = _small(bounds, index.shards[shard].n_tails * ROW_BYTES)
     tails = index.tails.where(F.col("shard") == shard).select("term", "doc_no", "impact")
     no_tails = F.array().cast("array<struct<tail_max: double, term: string>>")
 
@@ -228,7 +227,7 @@ def _sums_with_tails(
     reach = F.col("matched") * F.col("impact")
     by_reach = Window.partitionBy(*QUERY).orderBy(reach.desc())
     heads = _head_sums(
-        _spread(bounded, n_queries, index).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
+        _spread(bounded, n_asked, index).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
         index,
         shard,
         ["scale", "n_tails", "tail_sum"],
@@ -255,7 +254,7 @@ def _sums_with_tails(
         lambda j: j * total(F.slice("tails", 1, j)) < F.col("needed") * _SLACK,
     )
     decided = (
-        _spread(bounded, n_queries, index)
+        _spread(bounded, n_asked, index)
         .join(needed, QUERY, "left")
         .withColumn("needed", F.coalesce("needed", F.lit(0.0)))
         .withColumn("n_closed", F.when(F.size("tails") > 0, F.size(fall_short)).otherwise(0))

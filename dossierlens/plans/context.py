@@ -9,6 +9,7 @@ from ..operators import categories as cat
 from ..operators.index import Index, build_index
 from ..operators.pages import eligible_pages
 from ..operators.similar import MAX_HITS, QUERY, page_queries, query_hits, query_terms
+from ..sources.stored import drop_table, files_fingerprint, rows_fingerprint
 from ..sources import (
     materialize,
     read_case_documents,
@@ -38,7 +39,12 @@ def page_similarity(
 ) -> DataFrame:
     """``(page_id, title, filename, score, rank)``: the ``k`` documents most like each page."""
     asked = _stored_queries(pages, index, work_path, **choice)
-    hits = query_hits(asked, index, k).join(index.files.select("file_no", "filename"), "file_no")
+    # As a table, hits come into the join by a shuffle, and a query that many pages ask is split.
+    hits = materialize(
+        index.spark,
+        lambda: query_hits(asked, index, k).join(index.files.select("file_no", "filename"), "file_no"),
+        scratch_path(index.spark, "hits"),
+    )
     return (
         asked.select("page_id", *QUERY)
         .join(hits.drop("file_no"), QUERY)
@@ -99,31 +105,54 @@ def document_context(
 
 def run_context(
     spark: SparkSession,
-    dump: str,
+    dump: str | list[str],
     documents: str | DataFrame,
     out: str,
     n: int = 10,
+    k: int = MAX_HITS,
     stem: bool = True,
     norm: str = "exact",
+    apostrophes: bool = False,
+    on_missing: str = "error",
+    page_options: dict | None = None,
+    search_options: dict | None = None,
 ) -> DataFrame:
     """Everything from a dump and a folder (or table) of case documents to results below ``out``.
 
-    Pages, weights and index are kept and reused by later runs; the context is always made
-    anew. ``out/weights`` and ``out/context`` are tab-separated text, the rest is parquet.
+    ``page_options`` go to ``eligible_pages``, ``search_options`` to ``query_terms``. Pages,
+    weights and index are kept, each with a fingerprint of its inputs and options, and are made
+    anew when these have changed; the context is always made anew. ``out/weights`` and
+    ``out/context`` are tab-separated text, the rest is parquet.
     """
+    page_options = page_options or {}
+    marks = {"text_open": page_options["text_open"]} if "text_open" in page_options else {}
+    made_for = files_fingerprint(spark, dump, "pages", sorted(page_options.items()))
     pages = materialize(
-        spark, lambda: eligible_pages(read_wiki_pages(spark, dump)), f"{out}/pages"
+        spark,
+        lambda: eligible_pages(read_wiki_pages(spark, dump, **marks), **page_options),
+        f"{out}/pages",
+        fingerprint=made_for,
+    )
+    weights = materialize(
+        spark, lambda: cat.category_weights(pages), f"{out}/weights.parquet", fingerprint=made_for
     )
-    weights = materialize(spark, lambda: cat.category_weights(pages), f"{out}/weights.parquet")
     if isinstance(documents, str):
-        documents = read_case_documents(spark, documents)
-    index = build_index(documents, f"{out}/index", stem=stem, norm=norm)
+        case_docs, made_for = read_case_documents(spark, documents), files_fingerprint(spark, documents)
+    else:
+        case_docs, made_for = documents, rows_fingerprint(documents.select("filename", "text"))
+    index = build_index(
+        case_docs, f"{out}/index", stem=stem, norm=norm, apostrophes=apostrophes, fingerprint=made_for
+    )
+    queries = f"{out}/queries"
     context = materialize(
         spark,
-        lambda: document_context(pages, index, weights, n, work_path=f"{out}/queries"),
+        lambda: document_context(
+            pages, index, weights, n, k, on_missing, work_path=queries, **(search_options or {})
+        ),
         f"{out}/context.parquet",
         "overwrite",
     )
+    drop_table(spark, queries)
     write_weights(weights, f"{out}/weights", mode="overwrite")
     write_context(cat.render_context(context), f"{out}/context")
     return context

@@ -7,6 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import computed_once
 
+TAIL_BYTES = 1 << 20
+"""How much of a file's end is looked at for an unfinished record."""
+
+BETWEEN_BYTES = 1 << 20
+"""Text between two records that a limit on record bytes leaves room for."""
+
+LINE_LIMIT = "mapreduce.input.linerecordreader.line.maxlength"
+
+
+def _ends_finished(spark: SparkSession, path: str, start: str, end: str) -> bool:
+    """Whether no record is left open at the end of a plain file. Reads its last bytes."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    if jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file) is not None:
+        return False
+    system = file.getFileSystem(conf)
+    stream = system.open(file)
+    try:
+        stream.seek(max(0, system.getFileStatus(file).getLen() - TAIL_BYTES))
+        tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    _, found, rest = tail.rpartition(end.encode())
+    return bool(found) and start.encode() not in rest
+
 
 def read_delimited(
     spark: SparkSession,
@@ -14,34 +40,55 @@ def read_delimited(
     start: str,
     end: str,
     max_bytes: int | None = None,
-    anchor: str = "start",
+    anchor: str = "auto",
 ) -> DataFrame:
     """Read ``(value)``: every record from a ``start`` mark to the next ``end`` mark.
 
     Both marks stay in the record; text outside is skipped. The text source splits files
     (bzip2 ones too) among tasks and gives a record to the split that holds its start.
 
-    ``anchor="start"`` cuts the file at start marks: an unfinished record is dropped, a
-    start mark inside a record begins a new one, and an end mark before the first start
-    mark yields a record of its own. ``anchor="end"`` cuts at end marks: start marks may
-    repeat inside a record, but an unfinished last record comes through and has to be
-    screened by the caller. In escaped dumps neither mark can occur inside a record, so
-    ``"start"`` is exact for them.
+    ``anchor="end"`` cuts the file at end marks. A piece then holds one record at most, from
+    its first start mark on, so text in front of the first record is skipped and start
+    marks may repeat inside a record; but an unfinished last record comes through.
+    ``anchor="start"`` cuts at start marks: an unfinished record is dropped, but a start mark
+    inside a record begins a new one, and an end mark before the first start mark yields a
+    record of its own. In escaped dumps neither mark can occur inside a record, and both
+    are exact. ``"auto"`` looks at the end of each plain file and cuts it at end marks, unless
+    a record is left open there; such files and compressed ones are cut at start marks.
 
-    ``max_bytes`` drops records above that many bytes, marks included.
+    ``max_bytes`` drops records above that many bytes, marks included. Pieces far above it
+    are passed over by the reader and never held.
     """
     if not start or not end:
         raise ValueError("both marks must be non-empty")
-    if anchor not in ("start", "end"):
-        raise ValueError(f"anchor must be 'start' or 'end', not {anchor!r}")
-    cut = start if anchor == "start" else end
-    pieces = spark.read.option("lineSep", cut).text(path)
+    if anchor not in ("auto", "start", "end"):
+        raise ValueError(f"anchor must be 'auto', 'start' or 'end', not {anchor!r}")
     value = F.col("value")
-    if anchor == "start":
-        kept = pieces.where(F.contains(value, F.lit(end)))
+
+    def pieces(paths: str | list[str], cut: str) -> DataFrame:
+        reader = spark.read.option("lineSep", cut)
+        if max_bytes is not None:
+            reader = reader.option(LINE_LIMIT, str(min(max_bytes + BETWEEN_BYTES, 2**31 - 1)))
+        return reader.text(paths)
+
+    def from_starts(paths: str | list[str]) -> DataFrame:
         record = F.concat(F.lit(start), F.substring_index(value, end, 1), F.lit(end))
-    else:
-        kept = pieces.where(F.contains(value, F.lit(start)))
+        return pieces(paths, start).where(F.contains(value, F.lit(end))).select(computed_once(record).alias("value"))
+
+    def from_ends(paths: str | list[str]) -> DataFrame:
         record = F.concat(F.substr(value, F.locate(start, value)), F.lit(end))
-    records = kept.select(computed_once(record).alias("value"))
+        return pieces(paths, end).where(F.contains(value, F.lit(start))).select(computed_once(record).alias("value"))
+
+    if anchor == "auto":
+        files = spark.read.text(path).inputFiles()
+        finished = [f for f in files if _ends_finished(spark, f, start, end)]
+        others = sorted(set(files) - set(finished))
+        if len(finished) == len(files):
+            records = from_ends(path)
+        elif len(others) == len(files):
+            records = from_starts(path)
+        else:
+            records = from_ends(finished).unionByName(from_starts(others))
+    else:
+        records = from_starts(path) if anchor == "start" else from_ends(path)
     return records if max_bytes is None else records.where(F.octet_length("value") <= max_bytes)

@@ -23,7 +23,8 @@ def read_case_documents(spark: SparkSession, folder: str) -> DataFrame:
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     absolute = location.getFileSystem(hadoop).makeQualified(location).toUri().getPath()
-    return files.where(F.endswith(parent, F.lit(absolute))).select(
+    without_store = F.regexp_replace(parent, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return files.where(without_store == F.lit(absolute)).select(
         F.concat(F.lit(location.getName() + "/"), name).alias("filename"),
         F.col("value").alias("text"),
     )

@@ -7,6 +7,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MARK = ".made-for"
+"""What is put behind a table's path to name the place of its fingerprint."""
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
@@ -35,20 +39,56 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+def is_current(spark: SparkSession, path: str, fingerprint: str | None) -> bool:
+    """Whether ``path`` holds a finished table, made for ``fingerprint`` if that is given."""
+    if not is_complete(spark, path) or fingerprint is None:
+        return is_complete(spark, path)
+    mark = path + MARK
+    return is_complete(spark, mark) and [r[0] for r in spark.read.text(mark).collect()] == [fingerprint]
+
+
+def files_fingerprint(spark: SparkSession, path: str | list[str], *settings) -> str:
+    """A digest of the names, sizes and times of the files below ``path``, and of settings."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .load(path)
+        .select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+        .agg(F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1 << 31))))
+    )
+    return f"{'/'.join(map(str, files.first()))} {settings}"
+
+
+def rows_fingerprint(rows: DataFrame, *settings) -> str:
+    """A digest of all rows, whatever their order, and of settings."""
+    h = F.xxhash64(*rows.columns)
+    found = rows.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
+    return f"{'/'.join(map(str, found))} {settings}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that this run made and has no further reader."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(
     spark: SparkSession,
     compute: Callable[[], DataFrame],
     path: str,
     if_exists: str = "reuse",
+    fingerprint: str | None = None,
 ) -> DataFrame:
     """The table at ``path``, computed and written first where needed.
 
     ``reuse`` takes a finished table as it is; one without its success mark is written
-    again. ``overwrite`` always replaces it. Reading the table back cuts the lineage and
-    gives the optimizer its size.
+    again, and so is one that was written for another ``fingerprint`` of its inputs.
+    ``overwrite`` always replaces it. Reading the table back cuts the lineage and gives the
+    optimizer its size.
     """
     if if_exists not in ("reuse", "overwrite"):
         raise ValueError(f"if_exists must be 'reuse' or 'overwrite', not {if_exists!r}")
-    if if_exists == "overwrite" or not is_complete(spark, path):
+    if if_exists == "overwrite" or not is_current(spark, path, fingerprint):
         compute().write.mode("overwrite").parquet(path)
+        if fingerprint is not None:
+            spark.range(1).select(F.lit(fingerprint)).write.mode("overwrite").text(path + MARK)
     return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from dossierlens.operators import categories as cat
 from dossierlens.operators import similar
 from dossierlens.operators.index import build_index
 from dossierlens.operators.pages import eligible_pages
+from dossierlens.plans import page_similarity
 from dossierlens.sources import materialize, scratch_path
 
 
@@ -49,7 +50,7 @@ def test_query_terms_are_cut_before_the_shuffle(stored):
 def test_scoring_moves_queries_but_no_pairs(spark, stored):
     _, pages, index = stored
     asked = materialize(spark, lambda: similar.page_queries(similar.query_terms(pages, index)), scratch_path(spark, "q"))
-    text = plan(similar._head_sums(similar._spread(asked, 40, index), index, 0, ["scale"]))
+    text = plan(similar._head_sums(similar._spread(asked, 80, index), index, 0, ["scale"]))
     # The one exchange spreads the queries; their pairs are summed where they are made.
     assert text.count("hashpartitioning") == 1
     assert text.index("HashAggregate") < text.index("inline(entries") < text.index("hashpartitioning")
@@ -60,35 +61,54 @@ def test_scoring_tasks_are_sized_by_pairs(stored, monkeypatch):
     # Two words of one distinct document: lists of one entry.
     assert index.list_length == 1
     tasks = lambda n: similar._spread(pages.selectExpr("page_id query_a", "page_id query_b"), n, index).rdd.getNumPartitions()
-    assert tasks(40) == 16
+    assert tasks(1000) == 16
     monkeypatch.setattr(similar, "PAIRS_PER_TASK", 20)
-    assert tasks(40) == 50
-    monkeypatch.setattr(similar, "MAX_TASKS", 30)
-    assert tasks(40) == 30
+    assert tasks(1000) == 50
+
+
+SKEW = {
+    "spark.sql.files.maxPartitionBytes": "16KB",
+    "spark.sql.files.openCostInBytes": "1",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 
 
 def test_a_hot_query_is_split(spark):
-    """A third of all pages asks one query: the join with its hits is split at run time."""
-    settings = {
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
+    """A third of all pages asks one query. Both sides of their join with its hits come
+    straight from a shuffle, which is what lets Spark split a hot key."""
+    before = {key: spark.conf.get(key, None) for key in SKEW}
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
     try:
-        pages = spark.range(0, 60_000, 1, 8).select(
-            F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("q")
+        word = F.when(F.col("id") % 3 == 0, "w0").otherwise(F.concat(F.lit("w"), F.col("id") % 2000))
+        pages = spark.range(0, 24_000, 1, 8).select(
+            F.xxhash64("id").alias("page_id"), F.lit("t").alias("title"), F.concat_ws(" ", word, word).alias("body")
+        )
+        docs = spark.range(10_000).select(
+            F.format_string("d%05d", "id").alias("filename"), F.concat(F.lit("w"), F.col("id") % 2000).alias("text")
         )
-        hits = spark.range(60_000).select(F.col("id").alias("q"), F.lit("f").alias("filename"))
-        joined = pages.join(hits, "q")
-        assert joined.count() == 60_000
-        done = joined.agg(F.sum("page_id"))
-        done.collect()
-        assert "skew=true" in plan(done)
+        pages = materialize(spark, lambda: pages, scratch_path(spark, "hot"))
+        index = build_index(docs, stem=False)
+        found = page_similarity(pages, index, k=1)
+        found.collect()
+        assert found.groupBy("page_id").count().count() == 24_000
+        below = plan(found).split("Initial Plan")[0].split("SortMergeJoin [query_a")[1]
+        assert len(re.findall(r"Exchange hashpartitioning\(query_a[^\n]*ENSURE_REQUIREMENTS", below)) == 2
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_documents_without_words_are_one_content(spark):
+    """A third of all documents holds no word: they are one row of the index, counted each."""
+    docs = spark.range(900).select(
+        F.format_string("d%03d", "id").alias("filename"), F.when(F.col("id") % 3 == 0, "...").otherwise(F.concat(F.lit("w"), F.col("id"))).alias("text")
+    )
+    for stem in (False, True):
+        index = build_index(docs, stem=stem)
+        assert (index.n_files, index.n_documents) == (900, 601)

@@ -17,7 +17,7 @@ def f32(x):
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
-def brute_force(pages, docs, k=20, max_words=5000, min_tf=2, min_df=5, max_terms=25):
+def brute_force(pages, docs, k=20, max_words=None, min_tf=2, min_df=5, max_terms=25):
     """Every page against every document, straight from the formulas."""
     counts = {name: Counter(text.split()) for name, text in docs.items()}
     df = Counter(t for c in counts.values() for t in c)
@@ -96,7 +96,7 @@ def test_same_with_several_shards(spark):
 
 
 def test_same_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(similar, "BROADCAST_BYTES", -1)
     pages, docs = corpus(5)
     assert run(spark, pages, docs, 20, 16) == brute_force(pages, docs)
 
@@ -125,9 +125,9 @@ def test_defaults_and_options(spark):
     found = asked(spark, pages, index)
     assert 1 not in found, "four documents are too few"
     assert 2 not in found, "one occurrence is too few"
-    assert 4 not in found, "only the first 5000 words are looked at"
+    assert len(found[4]) == 12, "the whole text is looked at"
     assert (len(found[3]), len(found[5])) == (12, 12)
-    assert len(asked(spark, {4: late}, index, max_words=None)[4]) == 12
+    assert 4 not in asked(spark, {4: late}, index, max_words=5000), "unless the caller wants only its beginning"
     assert len(asked(spark, {5: both}, index, max_doc_freq=8)[5]) == 8
     assert asked(spark, {5: both}, index, 2, max_terms=1) == brute_force({5: both}, docs, 2, max_terms=1)
 
@@ -172,6 +172,23 @@ def test_an_index_is_reused_for_its_own_settings_only(spark):
     assert build_index(more, path, stem=False, if_exists="overwrite").n_files == 2
 
 
+def test_an_index_for_other_documents_is_made_anew(spark):
+    path = scratch_path(spark, "kept")
+    few = spark.createDataFrame([("a", "x")], "filename string, text string")
+    more = spark.createDataFrame([("a", "x"), ("b", "y")], "filename string, text string")
+    assert build_index(few, path, fingerprint="few").n_files == 1
+    assert build_index(more, path, fingerprint="few").n_files == 1
+    assert build_index(more, path, fingerprint="more").n_files == 2
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_files_of_one_name_are_two_documents(spark, stem):
+    docs = spark.createDataFrame([("same", "alpha beta"), ("same", "gamma"), ("other", "gamma")], "filename string, text string")
+    index = build_index(docs, stem=stem)
+    assert index.n_files == 3
+    assert {r.term: r.df for r in index.terms.collect()} == {t: n for t, n in zip([r.term for r in index.terms.orderBy("term").collect()], (1, 1, 2))}
+
+
 def test_partitioning_does_not_change_the_result(spark):
     pages, docs = corpus(11)
     rows = spark.createDataFrame(list(docs.items()), "filename string, text string")

@@ -35,7 +35,29 @@ def test_delimited_records_keep_their_marks(spark, tmp_path):
 def test_delimited_anchor_end_keeps_nested_start_marks(spark, tmp_path):
     path = write(tmp_path / "f", "pre} x{a{b} {c} after")
     assert values(read_delimited(spark, path, "{", "}", anchor="end")) == ["{a{b}", "{c}"]
-    assert values(read_delimited(spark, path, "{", "}")) == ["{b}", "{c}", "{pre}"]
+    assert values(read_delimited(spark, path, "{", "}")) == ["{a{b}", "{c}"]
+    assert values(read_delimited(spark, path, "{", "}", anchor="start")) == ["{b}", "{c}", "{pre}"]
+
+
+def test_delimited_preamble_nested_marks_and_open_tails(spark, tmp_path):
+    text = "junk <z> tail <a>one<z> <a>two<a>three<z>"
+    path = write(tmp_path / "f", text)
+    assert values(read_delimited(spark, path, "<a>", "<z>")) == ["<a>one<z>", "<a>two<a>three<z>"]
+    left_open = write(tmp_path / "g", "<a>four<z><a>five")
+    assert values(read_delimited(spark, left_open, "<a>", "<z>")) == ["<a>four<z>"]
+    both = values(read_delimited(spark, [path, left_open], "<a>", "<z>"))
+    assert both == ["<a>four<z>", "<a>one<z>", "<a>two<a>three<z>"]
+    packed = tmp_path / "h.bz2"
+    packed.write_bytes(bz2.compress(b"<a>six<z><a>seven"))
+    assert values(read_delimited(spark, str(packed), "<a>", "<z>")) == ["<a>six<z>"]
+
+
+def test_a_record_far_above_the_limit_is_passed_over(spark, tmp_path, monkeypatch):
+    from dossierlens.sources import delimited
+
+    monkeypatch.setattr(delimited, "BETWEEN_BYTES", 100)
+    path = write(tmp_path / "f", "{aa}{" + "b" * 200_000 + "}{cc}")
+    assert values(read_delimited(spark, path, "{", "}", max_bytes=6)) == ["{aa}", "{cc}"]
 
 
 def test_delimited_rejects_bad_arguments(spark, tmp_path):
@@ -103,6 +125,9 @@ def test_case_documents(spark, tmp_path):
     write(folder / "part=1" / "inner.txt", "i")
     (folder / "case").mkdir()
     write(folder / "case" / "inner.txt", "i")
+    nested = folder / str(folder).lstrip("/")
+    nested.mkdir(parents=True)
+    write(nested / "inner.txt", "i")
     got = {r.filename: r.text for r in read_case_documents(spark, str(folder) + "/").collect()}
     assert got == {"case/one.txt": "line\n\nline", "case/two + two%20é.txt": "x"}
 
