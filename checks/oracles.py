@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import RECORD
+from .stems import with_stems
 
 UTF16_LENGTH = r"length(body) + length(regexp_replace(body, '[^\x{10000}-\x{10FFFF}]', '', 'g'))"
 
@@ -39,10 +40,17 @@ BYTE_EXPONENT = "pow(2.0, 2 - floor(log2(1.0 / sqrt(len))))"
 BYTE_NORM = f"floor({BYTE_EXPONENT} / sqrt(len)) / {BYTE_EXPONENT}"
 
 
-def with_index(docs: str) -> str:
+def with_index(docs: str, stem_with: str | None = None) -> str:
+    """The index tables; ``stem_with`` names the pages whose words are stemmed as well."""
+    words = WORDS.format("text")
+    found, stems = f"select filename, unnest({words}) as term from case_doc", ""
+    if stem_with:
+        every = f"(select text from case_doc union all select body as text from {stem_with})"
+        stems = with_stems(f"select distinct unnest({words}) as term from {every}") + ","
+        found = f"select filename, stem as term from ({found}) join stemmed using (term)"
     return f"""
-case_doc as ({docs}),
-doc_word as (select filename, unnest({WORDS.format('text')}) as term from case_doc),
+case_doc as ({docs}),{stems}
+doc_word as ({found}),
 posting as (select term, filename, count(*) as tf from doc_word group by term, filename),
 doc_len as (select filename, len({WORDS.format('text')}) as len from case_doc),
 term_stat as (
@@ -51,12 +59,15 @@ term_stat as (
 )"""
 
 
-def with_terms(pages: str, max_words: int | None = None) -> str:
+def with_terms(pages: str, max_words: int | None = None, stem: bool = False) -> str:
     found = WORDS.format("body")
     if max_words is not None:
         found = f"list_slice({found}, 1, {max_words})"
+    words = f"select page_id, unnest({found}) as term from {pages}"
+    if stem:
+        words = f"select page_id, stem as term from ({words}) join stemmed using (term)"
     return f"""
-page_word as (select page_id, unnest({found}) as term from {pages}),
+page_word as ({words}),
 page_count as (select page_id, term, count(*) as tf from page_word group by page_id, term having count(*) >= 2),
 weighed as (
   select page_id, term, tf, idf, tf * idf as weight,
@@ -120,12 +131,14 @@ def _terms(docs: str, max_words: int | None = None) -> str:
     return f"{WITH_PAGES}, {with_index(docs)}, {with_terms('page', max_words)} {TERMS}"
 
 
-def _similarity(docs: str, norm: str = EXACT_NORM) -> str:
-    return f"{WITH_PAGES}, {with_index(docs)}, {with_terms('any_page')}, {with_hits(norm)} {SIMILARITY}"
+def _similarity(docs: str, norm: str = EXACT_NORM, stem: bool = False) -> str:
+    index = with_index(docs, "any_page" if stem else None)
+    return f"{WITH_PAGES}, {index}, {with_terms('any_page', stem=stem)}, {with_hits(norm)} {SIMILARITY}"
 
 
-def _scores(docs: str, select: str) -> str:
-    return f"{WITH_PAGES}, {with_index(docs)}, {with_terms('page')}, {with_hits()}, {WITH_SCORES} {select}"
+def _scores(docs: str, select: str, stem: bool = False) -> str:
+    index = with_index(docs, "page" if stem else None)
+    return f"{WITH_PAGES}, {index}, {with_terms('page', stem=stem)}, {with_hits()}, {WITH_SCORES} {select}"
 
 
 def oracle_sql(max_record_bytes: int) -> dict[str, str]:
@@ -156,6 +169,10 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
         "term_stats": _index(bench, "select term, df, round(idf, 6) as idf from term_stat"),
         "term_stats_conversations": _index(conv, "select term, df, round(idf, 6) as idf from term_stat"),
         "doc_stats": _index(bench, "select filename, len from doc_len"),
+        "stem_vocabulary": f"""with {with_stems(f"select distinct unnest({WORDS.format('text')}) as term from documents")}
+            select term, stem from stemmed""",
+        "page_similarity_stemmed": _similarity(conv, stem=True),
+        "document_context_stemmed": _scores(conv, CONTEXT, stem=True),
         "query_terms": _terms(bench),
         "query_terms_whole_text": _terms(conv),
         "page_similarity": _similarity(bench),

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import english
-from ..functions.english import stem
+from ..functions.english import stems
 from ..functions.words import word_counts, words
 
-# Send the stemmer with the task, so that workers need not have this package installed.
-cloudpickle.register_pickle_by_value(english)
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def tokenize(texts: DataFrame, id: str, text: str, apostrophes: bool = False) -> DataFrame:
     """``(id, pos, term)``: the lower-cased words of each text, counted from 0."""
@@ -44,11 +34,6 @@ def vocabulary(texts: DataFrame, text: str, apostrophes: bool = False) -> DataFr
     ).distinct()
 
 
-def _stem_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(stem=[stem(term) for term in batch["term"]])
-
-
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
-    """``(term, stem)`` of distinct ``terms``: the one step that runs Python on workers."""
-    return terms.select("term").mapInPandas(_stem_batches, "term string, stem string")
+    """``(term, stem)`` of distinct ``terms``."""
+    return stems(terms.select("term"))

@@ -4,7 +4,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dossierlens.functions.english import stem
+from english_by_hand import stem
+from dossierlens.functions import english
 from dossierlens.functions.scoring import byte_length_norm
 from dossierlens.functions.words import word_counts, words
 from dossierlens.operators.terms import stem_vocabulary, tokenize, vocabulary
@@ -79,3 +80,17 @@ def test_byte_norm_keeps_two_mantissa_bits(spark):
     df = spark.createDataFrame([(n,) for n in lengths], "n int")
     got = {r.n: r.x for r in df.select("n", byte_length_norm(F.col("n")).alias("x")).collect()}
     assert got == {n: cut(n) for n in lengths}
+
+
+def test_stems_match_the_word_by_word_algorithm(spark):
+    rng = random.Random(3)
+    ends = [*english.STEP2, *english.STEP3, *english.STEP4, *english.PAST, "s", "ies", "ied", "sses", "us", "y", "'s", "ll", "e", "logi", ""]
+    made = {
+        "".join(rng.choice("aeioubcdtlysgnyz") for _ in range(rng.randint(0, 7))) + rng.choice(ends) + rng.choice(ends)
+        for _ in range(5000)
+    }
+    made = sorted(made | {*english.WHOLE_WORDS, *english.KEPT_AFTER_1A, "generate", "arsenal", "été", "dog’s"} - {""})
+    found = stem_vocabulary(spark.createDataFrame([(w,) for w in made], "term string"))
+    assert {r.term: r.stem for r in found.collect()} == {w: stem(w) for w in made}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
