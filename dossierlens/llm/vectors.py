@@ -1,9 +1,11 @@
 """Near-duplicate embeddings: iterative quantisation, Hamming tables, exact rerank.
 
-Nine rotations are learned on a bounded sample, each by iterative quantisation from another
-start; every vector is indexed. A rotation gives a balanced 64-bit code, whose four 16-bit
-parts index four tables: codes within a Hamming distance of three share a part, and over nine
-rotations pairs at the least similarity share one of the 36 with probability 0.999.
+Rotations are learned on a bounded sample, each by iterative quantisation from another start;
+every vector is indexed. A rotation gives a balanced 64-bit code, whose parts of 16 bits or
+more index a table each: codes whose Hamming distance is less than their parts share one. Parts
+are as wide as the logarithm of the number of vectors, so that buckets do not fill up, and there
+are as many tables as pairs at the least similarity need to share one with probability
+0.999: nine rotations of four parts up to 65536 vectors.
 Within a bucket, vectors stay that have a partner near enough over all bits; only these meet
 as vectors, in blocks, where the cosine is taken in double precision. A pair belongs to
 the first table that holds it, so links are counted once and need not be written as pairs.
@@ -29,9 +31,9 @@ SAMPLE_ROWS = 10_000
 SAMPLE_BYTES = 32 << 20
 """The rotations are learned on no more rows, and no more bytes, than these."""
 
-ROTATIONS = 9
 BITS = 64
-PART = 16
+LEAST_PART = 16
+MISS = 0.001
 ROUNDS = 25
 BLOCK = 256
 HOT = 2048
@@ -45,6 +47,14 @@ class Rotations:
     dim: int
 
 
+def layout(n: int, n_bits: int = BITS) -> tuple[int, int]:
+    """Bits of a part, and rotations, for ``n`` vectors with codes of ``n_bits``."""
+    part = min(n_bits, max(LEAST_PART, math.ceil(math.log2(max(2, n)))))
+    agree = (1 - math.acos(MIN_COSINE) / math.pi) ** part
+    tables = math.log(MISS) / math.log(1 - agree)
+    return part, math.ceil(tables / (n_bits // part))
+
+
 def _units(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
     """Which vectors can be compared, and each as doubles."""
     found = []
@@ -59,7 +69,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
-def fit(sample: np.ndarray, seed: int = 3) -> Rotations:
+def fit(sample: np.ndarray, rotations: int = layout(0)[1], seed: int = 3) -> Rotations:
     """Iterative quantisation: turn the principal axes so that signs lose the least."""
     dim = sample.shape[1]
     mean = sample.mean(axis=0)
@@ -68,7 +78,7 @@ def fit(sample: np.ndarray, seed: int = 3) -> Rotations:
     axes = axes[:, ::-1][:, : min(BITS, dim)]
     projected = centred @ axes
     planes, rng = [], np.random.default_rng(seed)
-    for _ in range(ROTATIONS):
+    for _ in range(rotations):
         turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
         for _ in range(ROUNDS):
             u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
@@ -78,8 +88,8 @@ def fit(sample: np.ndarray, seed: int = 3) -> Rotations:
 
 
 def codes(units: np.ndarray, model: Rotations) -> np.ndarray:
-    """``(rows, ROTATIONS)`` 64-bit codes."""
-    out = np.zeros((len(units), ROTATIONS), dtype=np.uint64)
+    """``(rows, rotations)`` 64-bit codes."""
+    out = np.zeros((len(units), len(model.planes)), dtype=np.uint64)
     for r, plane in enumerate(model.planes):
         bits = (units - model.mean) @ plane >= 0
         weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
@@ -102,7 +112,14 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(keyed, "vec_id long, embedding array<double>, key binary")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _parts(codes: np.ndarray, width: int, n_bits: int) -> np.ndarray:
+    """The parts of codes in the order of the tables."""
+    mask = np.uint64((1 << width) - 1) if width < 64 else np.uint64(2**64 - 1)
+    shifts = np.arange(0, n_bits - n_bits % width, width, dtype=np.uint64)
+    return ((codes[:, :, None] >> shifts) & mask).reshape(len(codes), -1)
+
+
+def _block_links(table: pa.Table, width: int, n_bits: int) -> pa.Table:
     """Links of one pair of blocks of a bucket: how many each vector has, and enough of them
     to connect what is connected here."""
     part = table.column("part")[0].as_py()
@@ -110,7 +127,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     first = table.column("first").to_numpy(zero_copy_only=False)
     second = table.column("second").to_numpy(zero_copy_only=False)
     units = np.array([_unit(np.array(v)) for v in table.column("embedding").to_pylist()])
-    parts = np.array(table.column("codes").to_pylist(), dtype=np.int64).view(np.uint16).reshape(len(ids), -1)
+    parts = _parts(np.array(table.column("codes").to_pylist(), dtype=np.int64).view(np.uint64), width, n_bits)
     left, right = np.flatnonzero(first), np.flatnonzero(second)
     near = units[left] @ units[right].T >= MIN_COSINE
     # In a block against itself each pair counts once; ids are distinct in a bucket.
@@ -174,11 +191,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
             F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < min(1.0, 1.2 * n / sizes["count"]) * (1 << 30)
         ).limit(n).toArrow()
         sample = np.array([_unit(np.array(v)) for v in drawn.column("embedding").to_pylist()]).reshape(-1, dim)
-        model = fit(sample) if len(sample) else None
+        width, rotations = layout(sizes["count"], min(BITS, dim))
+        model = fit(sample, rotations) if len(sample) else None
     if model is None:
         links = spark.createDataFrame([], "id long, n long, other long")
     else:
-        links = kept(_links(classes.where(F.size("embedding") == dim), model), "links")
+        links = kept(_links(classes.where(F.size("embedding") == dim), model, width), "links")
 
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     found = connected(links.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
@@ -194,7 +212,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _links(classes: DataFrame, model: Rotations) -> DataFrame:
+def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
     """``(id, n, other)``: links counted per block, and a link of each vector that has one."""
     shared = classes.sparkSession.sparkContext.broadcast(model)
 
@@ -209,17 +227,17 @@ def _links(classes: DataFrame, model: Rotations) -> DataFrame:
             )
 
     coded_ids = kept(classes.select("id", "embedding").mapInArrow(coded, "id long, codes array<long>"), "codes")
-    n_bits = min(BITS, model.dim)
-    per_code = BITS // PART
-    used = [p for p in range(per_code) if p * PART < n_bits]
+    n_bits, rotations = min(BITS, model.dim), len(model.planes)
+    shifts = range(0, n_bits - n_bits % width, width)
+    mask = (1 << width) - 1 if width < 64 else -1
     parts = F.array(
         *[
             F.struct(
-                F.lit(r * per_code + p).alias("part"),
-                F.shiftrightunsigned(F.get("codes", F.lit(r)), p * PART).bitwiseAND(F.lit((1 << PART) - 1)).alias("bits"),
+                F.lit(r * len(shifts) + p).alias("part"),
+                F.shiftrightunsigned(F.get("codes", F.lit(r)), shift).bitwiseAND(F.lit(mask)).cast("long").alias("bits"),
             )
-            for r in range(ROTATIONS)
-            for p in used
+            for r in range(rotations)
+            for p, shift in enumerate(shifts)
         ]
     )
     entries = coded_ids.select("id", "codes", F.explode(parts).alias("e")).select("id", "codes", "e.part", "e.bits")
@@ -229,9 +247,9 @@ def _links(classes: DataFrame, model: Rotations) -> DataFrame:
 
     # Who has a partner near over all bits: a pair at the least cosine differs in a share of
     # acos(0.95) / pi of them, with a standard error that 4.5 times over is added here.
-    share, total = math.acos(MIN_COSINE) / math.pi, ROTATIONS * n_bits
+    share, total = math.acos(MIN_COSINE) / math.pi, rotations * n_bits
     most = math.ceil(total * share + 4.5 * 1.5 * math.sqrt(total * share * (1 - share)))
-    distance = sum((F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("codes2", F.lit(r)))) for r in range(ROTATIONS)), F.lit(0))
+    distance = sum((F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("codes2", F.lit(r)))) for r in range(rotations)), F.lit(0))
     tasks = F.ceil(F.col("n") / HOT)
     asking = crowded.withColumn("salt", F.pmod(F.xxhash64("id"), tasks))
     asked = crowded.select(
@@ -258,7 +276,7 @@ def _links(classes: DataFrame, model: Rotations) -> DataFrame:
         *bucket, "id", "codes", "p.i", "p.j", (F.col("mine") == F.col("p.i")).alias("first"), (F.col("mine") == F.col("p.j")).alias("second")
     )
     full = dealt.join(classes.select("id", "copies", "embedding"), "id")
-    return full.groupBy(*bucket, "i", "j").applyInArrow(_block_links, "id long, n long, other long")
+    return full.groupBy(*bucket, "i", "j").applyInArrow(lambda table: _block_links(table, width, n_bits), "id long, n long, other long")
 
 
 def op3_embedding_near_dedup(spark, sf_dir):
