@@ -279,6 +279,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_similarity_bounded_lists": lambda s, d: page_similarity_of(
             s, d, "conversations", head_size=32
         ),
+        "page_similarity_many_shards": lambda s, d: page_similarity_of(
+            s, d, "conversations", head_size=256, shard_entries=20_000
+        ),
         "page_similarity_stemmed": lambda s, d: page_similarity_of(s, d, "conversations", stem=True),
         "document_category_scores": document_category_scores,
         "document_context": document_context_of,

@@ -179,6 +179,7 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
         "page_similarity_byte_norm": _similarity(bench, BYTE_NORM),
         "page_similarity_conversations": _similarity(conv),
         "page_similarity_bounded_lists": _similarity(conv),
+        "page_similarity_many_shards": _similarity(conv),
         "document_category_scores": _scores(bench, "select filename, category, round(score, 6) as score from doc_category"),
         "document_context": context,
         "document_context_conversations": _scores(conv, CONTEXT),

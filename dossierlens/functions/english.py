@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import computed_once
+
 # Fixed values of the published algorithm.
 WHOLE_WORDS = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -135,4 +137,5 @@ def stems(terms: DataFrame) -> DataFrame:
     ))
     whole = F.create_map(*[F.lit(x) for pair in WHOLE_WORDS.items() for x in pair])
     stem = F.when(F.length(term) <= 2, term).otherwise(F.coalesce(F.try_element_at(whole, term), "kept", F.replace(w, F.lit("Y"), F.lit("y"))))
-    return rows.select("term", stem.alias("stem"))
+    # Behind a generator, so that filters on stems do not copy all steps into themselves.
+    return rows.select("term", computed_once(stem).alias("stem"))

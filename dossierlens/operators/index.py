@@ -7,10 +7,12 @@ the form the similarity join reads:
   ties by number is ranking them by name. Files with the same words share one ``doc_no``,
   the lowest of their numbers, and are scored once.
 * ``terms(term, df, idf)``.
-* ``heads(shard, term, df, entries)``: the postings of highest impact of each term, at most
-  ``head_size`` of them, packed in one row.
-* ``tails(shard, term, df, doc_no, impact)``: all other postings, one row each.
-* ``bounds(shard, term, tail_max)``: the highest impact in each tail.
+* ``heads(term, df, entries, shard)``: the postings of highest impact of each term, at most
+  ``head_size`` of them over all shards, packed in one row per shard.
+* ``tails(term, df, doc_no, impact, shard)``: all other postings, one row each.
+* ``bounds(term, head_level, tail_max)``: the highest impact in each tail.
+
+Heads and tails are written in a folder per shard, so that a job reads only its own.
 
 Documents are dealt to as many shards as it takes for the postings of one shard to be
 broadcast. A document is in one shard only, so its score never needs another one.
@@ -35,7 +37,10 @@ from ..sources.stored import is_current, materialize, scratch_path
 from .terms import stem_vocabulary, term_counts
 
 HEAD_SIZE = 65_536
-"""Most postings of a term that every query asking it is paired with."""
+"""Most postings of a term, in the whole collection, that every query asking it is paired with."""
+
+HEADS = "term string, df long, entries array<struct<doc_no: long, impact: double>>, shard int"
+TAILS = "term string, df long, doc_no long, impact double, shard int"
 
 SHARD_ENTRIES = 4_000_000
 """Postings per shard: 64 MB of numbers, and what a task can hold of an index."""
@@ -62,14 +67,6 @@ def term_stats(case_docs: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Shard:
-    """Sizes of one shard's tables: packed entries in its heads, terms with a tail."""
-
-    n_entries: int
-    n_tails: int
-
-
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
@@ -78,7 +75,11 @@ class Index:
     heads: DataFrame
     tails: DataFrame | None
     bounds: DataFrame | None
-    shards: dict[int, Shard]
+    n_shards: int
+    head_entries: int
+    """Packed entries in the heads of the largest shard."""
+    n_tails: int
+    """Terms with a tail."""
     n_files: int
     n_documents: int
     n_terms: int
@@ -113,10 +114,10 @@ def build_index(
     folder = f"{path or scratch_path(spark, 'index')}/{'-'.join(settings)}"
     replace = if_exists == "overwrite"
 
-    def stored(name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    def stored(name: str, compute: Callable[[], DataFrame], schema: str | None = None) -> DataFrame:
         nonlocal replace
         replace = replace or not is_current(spark, f"{folder}/{name}", fingerprint)
-        return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse", fingerprint)
+        return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse", fingerprint, ["shard"] if schema else None, schema)
 
     counted = stored("counted" if stem else "documents", lambda: _numbered_counts(case_docs, apostrophes))
     documents = stored("documents", lambda: _stem_counts(counted)) if stem else counted
@@ -131,16 +132,13 @@ def build_index(
     n_shards = max(1, math.ceil(n_entries / shard_entries))
     tails = bounds = None
     if longest <= head_size:
-        heads = stored("heads", lambda: _packed(_entries(contents, terms, NORMS[norm], n_shards)))
+        heads = stored("heads", lambda: _packed(_entries(contents, terms, NORMS[norm], n_shards)), HEADS)
     else:
         entries = stored("entries", lambda: _entries(contents, terms, NORMS[norm], n_shards))
         bounds = stored("bounds", lambda: _bounds(entries, head_size))
-        tails = stored("tails", lambda: _tails(entries, bounds))
-        heads = stored("heads", lambda: _packed(_heads(entries, bounds)))
-    if n_shards == 1 and bounds is None:
-        shards = {0: Shard(n_entries, 0)}
-    else:
-        shards = _shards(heads, bounds)
+        tails = stored("tails", lambda: _tails(entries, bounds), TAILS)
+        heads = stored("heads", lambda: _packed(_heads(entries, bounds)), HEADS)
+    in_shards = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n"))
     return Index(
         spark=spark,
         files=_files(documents),
@@ -148,12 +146,14 @@ def build_index(
         heads=heads,
         tails=tails,
         bounds=bounds,
-        shards=shards,
+        n_shards=n_shards,
+        head_entries=in_shards.agg(F.max("n")).first()[0] or 0,
+        n_tails=bounds.count() if bounds is not None else 0,
         n_files=n_files,
         n_documents=n_documents,
         n_terms=n_terms,
         term_bytes=64 * n_terms + letters,
-        list_length=min(head_size, squares / n_entries / n_shards) if n_entries else 0.0,
+        list_length=min(head_size, squares / n_entries) / n_shards if n_entries else 0.0,
         stem=stem,
         apostrophes=apostrophes,
     )
@@ -210,14 +210,6 @@ def _files(documents: DataFrame) -> DataFrame:
     return named.join(same, "content").select("file_no", "filename", "doc_no")
 
 
-def _shards(heads: DataFrame, bounds: DataFrame | None) -> dict[int, Shard]:
-    sizes = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n")).collect()
-    n_heads = {r["shard"]: r["n"] for r in sizes}
-    with_tail = bounds.groupBy("shard").count().collect() if bounds is not None else []
-    n_tails = {r["shard"]: r["count"] for r in with_tail}
-    return {s: Shard(n_heads.get(s, 0), n_tails.get(s, 0)) for s in sorted(n_heads | n_tails)}
-
-
 def _terms(contents: DataFrame, n_files: int) -> DataFrame:
     return (
         contents.select("copies", F.inline("counts"))
@@ -248,7 +240,7 @@ def _level(impact: Column) -> Column:
 
 
 def _bounds(entries: DataFrame, head_size: int) -> DataFrame:
-    """``(shard, term, head_level, tail_max)`` of the lists with more than ``head_size`` postings.
+    """``(term, head_level, tail_max)`` of the lists with more than ``head_size`` postings.
 
     Postings are counted by impact level; the head takes whole levels from the top while
     they fit. At most ``postings / head_size`` lists have a tail, and a list has only as
@@ -256,13 +248,13 @@ def _bounds(entries: DataFrame, head_size: int) -> DataFrame:
     """
     levels = (
         entries.where(F.col("n_entries") > head_size)
-        .groupBy("shard", "term", _level(F.col("impact")).alias("level"))
+        .groupBy("term", _level(F.col("impact")).alias("level"))
         .agg(F.count("*").alias("n"), F.max("impact").alias("top"))
     )
-    above = Window.partitionBy("shard", "term").orderBy(F.col("level").desc())
+    above = Window.partitionBy("term").orderBy(F.col("level").desc())
     placed = levels.withColumn("in_head", F.sum("n").over(above) <= head_size)
     return (
-        placed.groupBy("shard", "term")
+        placed.groupBy("term")
         .agg(
             F.min(F.when(F.col("in_head"), F.col("level"))).alias("head_level"),
             F.max(F.when(~F.col("in_head"), F.col("top"))).alias("tail_max"),
@@ -274,7 +266,7 @@ def _bounds(entries: DataFrame, head_size: int) -> DataFrame:
 def _split(entries: DataFrame, bounds: DataFrame) -> DataFrame:
     """``entries`` with ``in_head``; lists without a bound have no tail."""
     head = F.coalesce(_level(F.col("impact")) >= F.col("head_level"), F.lit(False))
-    return entries.join(bounds, ["shard", "term"], "left").withColumn(
+    return entries.join(bounds, "term", "left").withColumn(
         "in_head", F.col("tail_max").isNull() | head
     )
 

@@ -152,13 +152,12 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     )
     n_asked = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     best = [rank_value(F.col("score")).desc()]
-    shards = list(index.shards) or [0]
-    if len(shards) == 1:
-        hits = _shard_hits(queries, n_asked, index, shards[0], k)
+    if index.n_shards == 1:
+        hits = _shard_hits(queries, n_asked, index, 0, k)
     else:
         queries = materialize(index.spark, lambda: queries, scratch_path(index.spark, "distinct"))
         path = scratch_path(index.spark, "shard-hits")
-        for shard in shards:
+        for shard in range(index.n_shards):
             _shard_hits(queries, n_asked, index, shard, k).write.mode("append").parquet(path)
         hits = top_per_group(
             index.spark.read.parquet(path).drop("rank"), QUERY, [*best, F.col("doc_no")], k
@@ -175,7 +174,7 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
 
 def _shard_hits(queries: DataFrame, n_asked: int, index: Index, shard: int, k: int) -> DataFrame:
     """``(*QUERY, doc_no, score, rank)``: the ``k`` best documents of one shard."""
-    if shard in index.shards and index.shards[shard].n_tails:
+    if index.n_tails:
         sums = _sums_with_tails(queries, n_asked, index, shard, k)
     else:
         sums = _head_sums(_spread(queries, n_asked, index), index, shard, ["scale"])
@@ -186,8 +185,7 @@ def _shard_hits(queries: DataFrame, n_asked: int, index: Index, shard: int, k: i
 
 def _head_sums(queries: DataFrame, index: Index, shard: int, carried: list[str]) -> DataFrame:
     """``(*QUERY, *carried, doc_no, impact, matched)`` from the heads of the query terms."""
-    n_entries = index.shards[shard].n_entries if index.shards else 0
-    heads = _small(index.heads.where(F.col("shard") == shard).select("term", "entries"), n_entries * ENTRY_BYTES + index.term_bytes)
+    heads = _small(index.heads.where(F.col("shard") == shard).select("term", "entries"), index.head_entries * ENTRY_BYTES + index.term_bytes)
     pairs = queries.select(*QUERY, *carried, F.explode("terms").alias("term")).join(heads, "term")
     return (
         pairs.select(*QUERY, *carried, F.inline("entries"))
@@ -204,8 +202,7 @@ def _sums_with_tails(
     A document that is in none of the lists opened for a query matches at most the ``j``
     tails left closed, so ``matched * impact`` is at most ``j * sum(tail_max)``.
     """
-    bounds = index.bounds.where(F.col("shard") == shard).select("term", "tail_max")
-    bounds = _small(bounds, index.shards[shard].n_tails * ROW_BYTES)
+    bounds = _small(index.bounds.select("term", "tail_max"), index.n_tails * ROW_BYTES)
     tails = index.tails.where(F.col("shard") == shard).select("term", "doc_no", "impact")
     no_tails = F.array().cast("array<struct<tail_max: double, term: string>>")
 

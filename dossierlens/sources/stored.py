@@ -77,18 +77,21 @@ def materialize(
     path: str,
     if_exists: str = "reuse",
     fingerprint: str | None = None,
+    partition_by: list[str] | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
     """The table at ``path``, computed and written first where needed.
 
     ``reuse`` takes a finished table as it is; one without its success mark is written
     again, and so is one that was written for another ``fingerprint`` of its inputs.
     ``overwrite`` always replaces it. Reading the table back cuts the lineage and gives the
-    optimizer its size.
+    optimizer its size. A table in folders by ``partition_by`` needs its ``schema`` to be read
+    when it is empty.
     """
     if if_exists not in ("reuse", "overwrite"):
         raise ValueError(f"if_exists must be 'reuse' or 'overwrite', not {if_exists!r}")
     if if_exists == "overwrite" or not is_current(spark, path, fingerprint):
-        compute().write.mode("overwrite").parquet(path)
+        compute().write.mode("overwrite").parquet(path, partitionBy=partition_by)
         if fingerprint is not None:
             spark.range(1).select(F.lit(fingerprint)).write.mode("overwrite").text(path + MARK)
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)

@@ -109,13 +109,27 @@ def test_tails_stay_closed_where_they_cannot_matter(spark):
     index = indexed(spark, docs, head_size=16)
     assert asked(spark, pages, index, 5) == brute_force(pages, docs, 5)
     # Each of the 31 common words leaves its 200 documents in the tail.
-    assert index.shards[0].n_tails == 31 and index.tails.where("term = 'the'").count() == 200
+    assert index.n_tails == 31 and index.tails.where("term = 'the'").count() == 200
     page_rows = spark.createDataFrame([(0, pages[0])], "page_id long, body string")
     queries = similar.page_queries(similar.query_terms(page_rows, index))
     scored = similar._sums_with_tails(queries.drop("page_id"), 1, index, 0, 5)
     assert scored.count() == 10, "no document with the common word alone was paired"
 
 
+def test_more_shards_do_not_mean_longer_heads(spark):
+    """Heads are limited over all shards, so a word of all documents has a tail however many
+    shards there are, and its tail stays closed where it cannot matter."""
+    docs = {f"d{i:03}": f"the own{i} " + " ".join(f"x{j}" for j in range(30)) for i in range(200)}
+    docs |= {f"r{i}": f"rare the own{i}" for i in range(10)}
+    pages = {0: "rare rare the the"}
+    index = indexed(spark, docs, head_size=16, shard_entries=1000)
+    assert index.n_shards > 4 and index.n_tails == 31
+    assert index.tails.where("term = 'the'").count() == 200
+    assert asked(spark, pages, index, 5) == brute_force(pages, docs, 5)
+    one_shard = index.tails.where("shard = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in one_shard
+
+
 def test_defaults_and_options(spark):
     docs = {f"d{i}": "common shared " + ("seldom" if i < 4 else "often") for i in range(12)}
     index = indexed(spark, docs)
