@@ -52,7 +52,7 @@ class WordIds:
             parts = [self._ids(w) for w in probe.replace("\n", " ").split(" ")]
             if b"".join(parts) != self._ids(probe):
                 raise ValueError("this tokenizer looks across spaces")
-        self.seen = Bounded(500_000)
+        self.seen = Bounded(1_000_000)
         self.marks = {mark: self._ids(mark) for mark in ",."}
         self.is_plain = self._by_model("straße") == self._ids("straße")
 
@@ -72,7 +72,8 @@ class WordIds:
         if self.is_plain and body and max(body) < LATIN_END and body.isalpha():
             low = body.lower()
             if low.isalpha():
-                return self._by_model(low) + mark
+                known = self.seen.get(low) if low != word else None
+                return (known or self._by_model(low)) + mark
         return self._ids(word)
 
     def ids(self, text: str) -> bytes:
