@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import oracles, sharding
 from .chunks import op9_substring_dedup
 from .decontamination import op7_template_decontamination
 from .html_text import op4_html_extraction
@@ -32,4 +32,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_sharding": sharding.oracle()}
+    return {
+        "op3_embedding_near_dedup": oracles.NEAR_VECTORS,
+        "op5_extendible_sharding": sharding.oracle(),
+        "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+    }
