@@ -6,7 +6,7 @@ import argparse
 
 from .functions.scoring import NORMS
 from .plans import run_context
-from .session import session
+from .session import session, size_shuffles
 
 PAGE_OPTIONS = ["min_chars", "strip_sort_key", "redirect_pattern", "text_open", "text_pattern"]
 SEARCH_OPTIONS = ["max_words", "min_term_freq", "min_doc_freq", "max_doc_freq", "max_terms"]
@@ -32,15 +32,16 @@ def main(arguments: list[str] | None = None) -> None:
     search = parser.add_argument_group("search")
     for name in SEARCH_OPTIONS:
         search.add_argument("--" + name.replace("_", "-"), type=int)
-    parser.add_argument("--shuffle-partitions", type=int, help="for inputs that need more than Spark's default")
+    parser.add_argument("--shuffle-partitions", type=int, help="at least so many; the input's size may ask for more")
     given = vars(parser.parse_args(arguments))
 
     def chosen(names: list[str]) -> dict:
         return {name: given[name] for name in names if given[name] is not None}
 
+    spark = session(shuffle_partitions=given["shuffle_partitions"])
+    size_shuffles(spark, given["dump"], given["documents"])
     run_context(
-        session(shuffle_partitions=given["shuffle_partitions"]),
-        given["dump"], given["documents"], given["out"], given["n"], given["k"], given["stem"], given["norm"],
+        spark, given["dump"], given["documents"], given["out"], given["n"], given["k"], given["stem"], given["norm"],
         given["apostrophes"], given["on_missing"], chosen(PAGE_OPTIONS), chosen(SEARCH_OPTIONS),
     )
 

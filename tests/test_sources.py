@@ -175,3 +175,35 @@ def test_scratch_lies_in_the_checkpoint_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one.startswith(base) and one != two
+
+
+def test_the_command_line_reads_present_day_dumps(spark, tmp_path, monkeypatch):
+    """Marks with attributes, options from the command line, added documents, nothing left behind."""
+    from dossierlens import __main__ as command
+    from dossierlens import session
+
+    def page(i):
+        body = f"alpha beta alpha beta word{i} " + "x " * 1100 + f"[[Category:C{i % 2}]]"
+        return f'\n  <page>\n    <title>T{i}</title>\n    <revision>\n      <text bytes="9" xml:space="preserve">{body}</text>\n    </revision>\n  </page>'
+
+    (tmp_path / "cases").mkdir()
+    for i in range(6):
+        write(tmp_path / "cases" / f"{i}.txt", f"alpha beta {i}")
+    dump = write(tmp_path / "dump.xml", "<mediawiki>" + "".join(map(page, range(4))) + "\n</mediawiki>\n")
+    monkeypatch.setattr(command, "session", lambda **_: spark)
+    monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 2000)
+    out = str(tmp_path / "out")
+    arguments = [dump, str(tmp_path / "cases"), out, "--text-pattern", "<text [^>]*>", "--on-missing", "drop", "-n", "3"]
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        command.main(arguments)
+        assert int(spark.conf.get(setting)) > 4
+        assert spark.read.parquet(f"{out}/context.parquet").select("filename").distinct().count() == 6
+        write(tmp_path / "cases" / "7.txt", "alpha beta 7")
+        command.main(arguments)
+        found = spark.read.parquet(f"{out}/context.parquet")
+        assert found.select("filename").distinct().count() == 7
+        assert {r.category for r in found.collect()} == {"C0", "C1"}
+        assert not os.path.exists(f"{out}/queries")
+    finally:
+        spark.conf.unset(setting)
