@@ -177,6 +177,19 @@ def term_stats(spark, sf_dir, docs="benchmark"):
     return _rounded(idx.term_stats(DOCUMENTS[docs](spark, sf_dir)), "idf")
 
 
+def index_terms(spark, sf_dir):
+    """The terms the index itself holds."""
+    return _rounded(_index(spark, sf_dir, "conversations", head_size=256).terms, "idf")
+
+
+def index_postings(spark, sf_dir):
+    """Every posting the index itself holds, from heads and tails, for each file."""
+    index = _index(spark, sf_dir, "conversations", head_size=256)
+    heads = index.heads.select("term", F.inline("entries"))
+    every = heads if index.tails is None else heads.unionByName(index.tails.select("term", "doc_no", "impact"))
+    return _rounded(every.join(index.files, "doc_no").select("term", "filename", "impact"), "impact")
+
+
 def doc_stats(spark, sf_dir):
     return idx.doc_stats(fixtures.benchmark_documents(spark, sf_dir))
 
@@ -269,6 +282,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "postings_conversations": lambda s, d: postings(s, d, "conversations"),
         "term_stats": term_stats,
         "term_stats_conversations": lambda s, d: term_stats(s, d, "conversations"),
+        "index_terms": index_terms,
+        "index_postings": index_postings,
         "doc_stats": doc_stats,
         "stem_vocabulary": stem_vocabulary,
         "query_terms": query_terms,

@@ -168,6 +168,9 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
         "postings_conversations": _index(conv, "select term, filename, tf from posting"),
         "term_stats": _index(bench, "select term, df, round(idf, 6) as idf from term_stat"),
         "term_stats_conversations": _index(conv, "select term, df, round(idf, 6) as idf from term_stat"),
+        "index_terms": _index(conv, "select term, df, round(idf, 6) as idf from term_stat"),
+        "index_postings": _index(conv, f"""select term, filename, round(sqrt(tf) * idf * idf * {EXACT_NORM}, 6) as impact
+            from posting join term_stat using (term) join doc_len using (filename)"""),
         "doc_stats": _index(bench, "select filename, len from doc_len"),
         "stem_vocabulary": f"""with {with_stems(f"select distinct unnest({WORDS.format('text')}) as term from documents")}
             select term, stem from stemmed""",
