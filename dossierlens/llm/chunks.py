@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, read_documents, slices
+from .common import kept, read_documents, slices, small_batches
 
 WINDOW = 16
 MEAN_BYTES = 24
@@ -112,7 +112,7 @@ CHUNKS = "doc_id long, digest long, start long, size int, words int, first boole
 def chunks(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, start, size, words, first)`` of every chunk; ``first`` is not
     true of what an earlier chunk of the same text already holds."""
-    texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    texts = small_batches(docs).where("text is not null and doc_id is not null").select("doc_id", "text")
     return texts.mapInArrow(_chunked, CHUNKS)
 
 

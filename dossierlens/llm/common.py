@@ -15,6 +15,9 @@ BROADCAST_BYTES = 64 << 20
 """Most bytes of a counted table that are broadcast; larger ones are joined by a shuffle."""
 
 
+BATCH_ROWS = 1000
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new table in the shared folder and read back.
 
@@ -41,6 +44,15 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Python at most ``BATCH_ROWS`` rows at a time.
+
+    Texts can be long, and a batch stands in the memory of both Spark and Python.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``rows`` rows, so that a task holds few long texts twice."""
     for batch in batches:

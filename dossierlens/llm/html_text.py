@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 from .trees import Tree, fit_tree
 
 N_LABELLED_PAGES = 400
@@ -240,7 +240,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(extracted, f"page_id {key}, url string, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(extracted, f"page_id {key}, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark, sf_dir):

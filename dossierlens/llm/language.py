@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_documents, slices
+from .common import read_documents, slices, small_batches
 
 SAMPLE_PER_LANGUAGE = 4000
 """About so many labelled rows of each language are learned from, chosen by a hash."""
@@ -65,7 +65,7 @@ def train(
     ``per_language`` of them in expectation, so the model is the same in every run.
     """
     size = 1 << bits
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
+    known = small_batches(labelled).where("lang is not null and text is not null").select("lang", "text")
     counts = known.groupBy("lang").count().orderBy("lang").limit(MIN_LANGUAGE_BYTES // (8 * size)).collect()
     languages = [row["lang"] for row in counts]
     rows = np.array([row["count"] for row in counts], dtype=float)
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     with score 0, as is everything if no language was learned. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("lang_pred", "score")
+    plain = small_batches(docs).drop("lang_pred", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, kept, read_documents, slices, small
+from .common import Bounded, kept, read_documents, slices, small, small_batches
 from .components import connected
 
 WORDS = 5
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an id are one document with several texts. A row without an id takes part in no link;
     its component is null and it is kept. Other columns are left aside.
     """
-    texts = docs.select("doc_id", "text")
+    texts = small_batches(docs).select("doc_id", "text")
     sketches = kept(
         texts.mapInArrow(_sketched, "doc_id long, n_shingles long, set_key binary, signature array<int>"),
         "sketches",

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Bounded, kept, read_documents, slices
+from .common import Bounded, kept, read_documents, slices, small_batches
 
 LIMIT = 4096
 END_ID = 1
@@ -52,7 +52,7 @@ class WordIds:
             parts = [self._ids(w) for w in probe.replace("\n", " ").split(" ")]
             if b"".join(parts) != self._ids(probe):
                 raise ValueError("this tokenizer looks across spaces")
-        self.seen = Bounded(1_000_000)
+        self.seen = Bounded(500_000)
         self.marks = {mark: self._ids(mark) for mark in ",."}
         self.is_plain = self._by_model("straße") == self._ids("straße")
 
@@ -124,9 +124,10 @@ def pieces_of(docs: DataFrame, path: str, limit: int = LIMIT, keep_ids: bool = F
                 columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int64) for p in parts], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        tokenizer.seen.clear()  # a worker that goes on to other tasks keeps no words
 
     schema = PIECES.format(key=docs.schema["doc_id"].dataType.simpleString())
-    return docs.select("doc_id", "text").mapInArrow(cut, schema + (", ids array<long>" if keep_ids else ""))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(cut, schema + (", ids array<long>" if keep_ids else ""))
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_documents, slices
+from .common import read_documents, slices, small_batches
 from .trees import Forest, fit_forest
 
 THRESHOLD = 0.5
@@ -241,7 +241,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "source").mapInArrow(
+    return small_batches(docs).select("doc_id", "text", "source").mapInArrow(
         found, f"doc_id {key}, start long, length long, score double, digest string"
     )
 
@@ -263,7 +263,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(cleaned, schema)
+    return small_batches(docs).mapInArrow(cleaned, schema)
 
 
 def op10_secret_scan(spark, sf_dir):

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, read_documents, slices
+from .common import Bounded, read_documents, slices, small_batches
 
 MAX_TOKENS = 4096
 SPACE = "▁"
@@ -50,7 +50,7 @@ class MergeCounter:
             if mark in ranks
         }
         self.line_break = None if "\n" in joined else (1 if "\n" in ranks else len("\n".encode()))
-        self.seen = Bounded(1_000_000)
+        self.seen = Bounded(600_000)
 
     def chunk(self, chunk: str) -> int:
         """Symbols less merges of one chunk."""
@@ -147,8 +147,9 @@ def token_counts(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> Da
                 [batch.column("doc_id"), batch.column("n_bytes"), n_tokens],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
+        counter.seen.clear()  # a worker that goes on to other tasks keeps no chunks
 
-    rows = docs.select(
+    rows = small_batches(docs).select(
         "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
     key = docs.schema["doc_id"].dataType.simpleString()
