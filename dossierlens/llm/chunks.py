@@ -2,9 +2,11 @@
 
 A gear rolling hash over the last 16 bytes cuts each text where the hash says so, so an
 insertion moves only the cuts beside it and equal passages fall into equal chunks wherever they
-stand. Chunks are matched by digest, each with its first occurrence only: whatever the
-number of copies, rows stay as many as chunks. Matches on one diagonal (the same shift
-between a document and the document of the first occurrence) make a passage.
+stand. What is matched are stretches: from each chunk on, and up to each chunk, the fewest
+chunks that hold enough words. A stretch is matched as a whole, so its parts may stand in
+whatever other documents; and as each is matched with its first occurrence only, rows
+stay within twice the chunks whatever the number of copies. Matched stretches that meet or overlap on one
+diagonal (the same shift between a document and the document of the first occurrence) make a passage.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, read_documents, slices, small_batches
+from .common import kept, read_documents, slices, small, small_batches
 
 WINDOW = 16
 MEAN_BYTES = 24
@@ -26,8 +28,8 @@ MEAN_BYTES = 24
 MIN_BYTES = 12
 MAX_BYTES = 1024
 MIN_WORDS = 20
-"""Words in matched chunks that make a passage. A passage loses up to a chunk at either
-end, so one of 50 words or more is found; a shared line is not."""
+"""Words in adjacent matched chunks that make a passage; one cut at the start counts. A passage
+loses up to a chunk at either end, so one of 50 words or more is found; a shared line is not."""
 
 _GEAR = np.random.default_rng(9).integers(0, 2**32, 256, dtype=np.uint32)
 _WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -67,18 +69,36 @@ def cuts(data: bytes) -> np.ndarray:
     return np.array(ends)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(data: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of ``data``, the words before each, and up to its end.
+
+    How far a stretch goes depends on its own bytes alone: a word that it begins within is
+    counted as if it began there.
+    """
+    ends = cuts(data)
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    if not len(ends):
+        return begins[:0], begins[:0], begins[:0], begins[:0]
+    black = ~_WHITE[np.frombuffer(data, dtype=np.uint8)]
+    begun = np.cumsum(black & ~np.concatenate(([False], black[:-1])))
+    before, upto = begun[begins] - black[begins], begun[ends - 1]
+    n, every = len(ends), np.arange(len(ends))
+    last = np.searchsorted(upto, before + min_words, "left")
+    first = np.searchsorted(before, upto - min_words, "right") - 1
+    onward, back = last < n, first >= 0
+    pairs = np.unique(np.concatenate([every[onward] * n + last[onward], first[back] * n + every[back]]))
+    i, j = pairs // n, pairs % n
+    return begins[i], ends[j], before[i], upto[j]
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 200):
-        ids, digests, starts, sizes, words, firsts = [], [], [], [], [], []
+        ids, digests, starts, sizes, befores, words, firsts = [], [], [], [], [], [], []
         for at, text in enumerate(batch.column("text").to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
-            ends = cuts(data)
+            begins, ends, before, upto = _stretches(data, min_words)
             if not len(ends):
                 continue
-            white = _WHITE[np.frombuffer(data, dtype=np.uint8)]
-            begun = np.cumsum(~white & np.concatenate(([True], white[:-1])))
-            counted = begun[ends - 1]
-            begins = np.concatenate(([0], ends[:-1]))
             found = np.array(
                 [xxhash.xxh64_intdigest(data[b:e]) for b, e in zip(begins.tolist(), ends.tolist())], dtype=np.uint64
             )
@@ -88,7 +108,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(found.view(np.int64))
             starts.append(begins)
             sizes.append(ends - begins)
-            words.append(np.diff(counted, prepend=0))
+            befores.append(before)
+            words.append(upto - before)
             firsts.append(first)
         if not ids:
             continue
@@ -99,43 +120,53 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column(digests, pa.int64()),
                 column(starts, pa.int64()),
                 column(sizes, pa.int32()),
+                column(befores, pa.int32()),
                 column(words, pa.int32()),
                 pa.array(np.concatenate(firsts)),
             ],
-            names=["doc_id", "digest", "start", "size", "words", "first"],
+            names=["doc_id", "digest", "start", "size", "before", "words", "first"],
         )
 
 
-CHUNKS = "doc_id long, digest long, start long, size int, words int, first boolean"
+CHUNKS = "doc_id long, digest long, start long, size int, before int, words int, first boolean"
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, start, size, words, first)`` of every chunk; ``first`` is not
-    true of what an earlier chunk of the same text already holds."""
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(doc_id, digest, start, size, before, words, first)`` of every stretch of chunks;
+    ``before`` counts the words in front of it, and ``first`` is not true of what an
+    earlier stretch of the same text already holds."""
     texts = small_batches(docs).where("text is not null and doc_id is not null").select("doc_id", "text")
-    return texts.mapInArrow(_chunked, CHUNKS)
+    return texts.mapInArrow(lambda batches: _chunked(batches, min_words), CHUNKS)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, length, n_words, first_doc_id, first_start, is_first)``.
 
     One row for each passage of ``docs(doc_id, text)`` that an earlier document (by id) holds as
-    well, and one with ``is_first`` for each place such a passage was first. Positions count
-    UTF-8 bytes; ``n_words`` are the words of the matched chunks between start and end.
+    well, and one with ``is_first`` for each place such a passage was first. A passage is
+    the same at both places from end to end; where its parts were first in different documents, rows
+    overlap. Positions count UTF-8 bytes; ``n_words`` are the words between start and end.
     Null and empty texts and rows without an id have no passages; a passage that repeats in
     one document only is none; rows that share an id are one document.
     """
-    every = kept(chunks(docs), "chunks")
-    owners = every.where("first").groupBy("digest").agg(
+    every = kept(chunks(docs, min_words), "chunks")
+    owners = every.where("first").groupBy("digest", "size").agg(
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("owner_start")
     ).where("owner < last").drop("last")
-    owners = kept(owners, "owners")  # as a table, so that the join can split a chunk of a third of all rows
+    owners = kept(owners, "owners")  # as a table, so that the join can split a stretch of a third of all rows
+    matched = every.join(small(owners, owners.count(), 64), ["digest", "size"]).where("doc_id <> owner").select(
+        "doc_id", "owner", (F.col("start") - F.col("owner_start")).alias("shift"), "start",
+        (F.col("start") + F.col("size")).alias("stop"), "before", (F.col("before") + F.col("words")).alias("upto"),
+    )
+    diagonal = Window.partitionBy("doc_id", "owner", "shift").orderBy("start", "stop")
+    gap = F.col("start") > F.max("stop").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    runs = matched.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn(
+        "run", F.sum("gap").over(diagonal.rowsBetween(Window.unboundedPreceding, 0))
+    )
     found = kept(
-        every.join(owners, "digest")
-        .where("doc_id <> owner")
-        .groupBy("doc_id", "owner", (F.col("start") - F.col("owner_start")).alias("shift"))
-        .agg(F.sum("words").alias("n_words"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"))
-        .where(F.col("n_words") >= min_words),
+        runs.groupBy("doc_id", "owner", "shift", "run").agg(
+            (F.max("upto") - F.min("before")).cast("long").alias("n_words"), F.min("start").alias("start"), F.max("stop").alias("stop")
+        ),
         "passages",
     )
     first = F.col("start") - F.col("shift")

@@ -188,6 +188,38 @@ def test_passages_of_fifty_words_are_found(table, rng):
     assert chunks.repeated_passages(left).where("not is_first").count() == 0
 
 
+@pytest.mark.parametrize("parts", [2, 3])
+def test_passages_whose_parts_stand_earlier_elsewhere(table, rng, parts):
+    rows, passages = [], [prose(rng, 54).split() for _ in range(60)]
+    for i, words in enumerate(passages):
+        size = len(words) // parts
+        for p in range(parts):
+            rows.append((10 * i + p, " ".join([prose(rng, 30), *words[p * size : (p + 1) * size], prose(rng, 30)])))
+        rows += [(5000 + 10 * i + k, " ".join([prose(rng, 40), *words, prose(rng, 40)])) for k in range(2)]
+    found = chunks.repeated_passages(table(rows)).collect()
+    ids = {r["doc_id"] for r in found}
+    assert sum(5000 + 10 * i + k not in ids for i in range(60) for k in range(2)) <= 0.03 * 120
+    texts = {i: t.encode() for i, t in rows}
+    for r in found:
+        mine = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert mine == texts[r["first_doc_id"]][r["first_start"] : r["first_start"] + r["length"]]
+        assert r["n_words"] == len(mine.split()) >= chunks.MIN_WORDS
+
+
+def test_header_and_footer_do_not_make_a_passage(table, rng):
+    header, footer = prose(rng, 18), prose(rng, 18)
+    bodies = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(20)]
+    docs = table([(i, f"{header} {body} {footer}") for i, body in enumerate(bodies)])
+    assert chunks.repeated_passages(docs).count() == 0
+    assert [r["text"].split()[18:78] for r in chunks.remove_repeats(docs).orderBy("doc_id").collect()] == [b.split() for b in bodies]
+
+
+def test_passages_keep_their_last_chunks(table, rng):
+    words = prose(rng, 70)
+    found = chunks.repeated_passages(table([(1, f"{prose(rng, 9)} {words}"), (2, f"{prose(rng, 20)} {words}")])).where("not is_first").collect()
+    assert len(found) == 1 and found[0]["n_words"] >= 60
+
+
 def test_passages_of_odd_documents(odd_documents):
     assert chunks.repeated_passages(odd_documents).count() == 0
     assert chunks.repeated_passages(odd_documents.limit(0)).count() == 0
