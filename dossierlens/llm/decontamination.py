@@ -6,6 +6,10 @@ the benchmark's templates. Where enough of an item is covered, the fillings of t
 compared: a re-worded question replaces each number by one number and each name by one name
 of its own, so an inconsistent filling is a chance likeness and is dropped.
 
+Whether a capitalised word that begins a sentence is a name cannot be seen. Documents read it as
+one; of items both readings are joined. Windows of the plain words, with what fills the slots, are
+a second key, so that a verbatim copy is found whatever stands around it.
+
 All of it is DataFrame functions; nothing runs in Python on the executors.
 """
 
@@ -25,7 +29,8 @@ MIN_WORDS = 4
 """Items with fewer words are too short to be told from chance and match nothing."""
 
 MIN_LITERAL = 0.5
-"""The least share of a window that is words, not placeholders."""
+"""The least share of a window that is words, not placeholders; windows of less are only
+joined as they are filled."""
 
 MIN_COVERAGE = 0.5
 """The least share of an item's words in matched windows."""
@@ -37,6 +42,8 @@ MARKS = NAME + NUMBER + UNIT
 # A capitalised word inside a sentence; what begins one may be any word. Patterns begin with
 # the test that fails soonest.
 _NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;:] )\p{Lu}"
+# Any capitalised word.
+_CAPITALISED = r"(?=\p{Lu})(?<![\p{L}\p{N}])\p{Lu}"
 _INNER = r"[.,:/](?=[0-9])(?<=[0-9][.,:/])"
 _NUMBER = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{POINT}])"
 # Units, which stand behind a digit, and number words.
@@ -50,13 +57,14 @@ _NUMBER_WORDS = (
 _BETWEEN = rf"[^\p{{L}}\p{{N}}{MARKS}{POINT}%°]++"
 
 
-def marked(text: Column) -> Column:
+def marked(text: Column, name: str = _NAME) -> Column:
     """The words of ``text``, one space apart; names, numbers and units begin with a mark.
 
+    The words are the same whatever pattern ``name`` is; only marks of names differ.
     Numbers and units are only looked for in texts that hold a digit from 0 to 9.
     """
     plain = F.translate(text, MARKS + POINT + "\t\x0b\f\r", " " * 8)
-    named = F.regexp_replace(plain, _NAME, NAME + "$0")
+    named = F.regexp_replace(plain, name, NAME + "$0")
     inner = F.regexp_replace(named, _INNER, POINT)
     units = F.regexp_replace(inner, _UNITS, "$1 " + UNIT + "$2")
     numbers = F.when(named.rlike("[0-9]"), F.regexp_replace(units, _NUMBER, NUMBER)).otherwise(named)
@@ -73,31 +81,63 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def _plain(marked_text: Column) -> Column:
+    """A marked text or word as it was, lower-cased."""
+    return F.lower(F.translate(marked_text, MARKS, ""))
+
+
 def _windows(codes: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, at, window)`` of ``codes(doc_id, code)``, the hashes of a template's words."""
-    starts = F.when(F.size("code") >= size, F.sequence(F.lit(1), F.size("code") - size + 1))
-    windows = F.transform(starts, lambda at: F.xxhash64(F.lit(size), F.slice("code", at, size)))
-    return codes.select("doc_id", F.posexplode(windows).alias("at", "window"))
+    """``(doc_id, at, window)`` of ``codes(doc_id, code, plain)``: the hashes of the windows of a
+    template's words, and those of the plain words."""
+    n = F.size("code") - size + 1
+    starts = F.when(n > 0, F.sequence(F.lit(1), n))
+
+    def hashed(words: str) -> Column:
+        return F.transform(starts, lambda at: F.xxhash64(F.lit(size), F.slice(words, at, size)))
+
+    both = codes.select("doc_id", n.alias("n"), F.posexplode(F.concat(hashed("code"), hashed("plain"))).alias("at", "window"))
+    return both.select("doc_id", F.pmod("at", "n").alias("at"), "window")
 
 
 def _codes(texts: DataFrame, id: str) -> DataFrame:
-    words = F.split(template(marked(F.col("text"))), " ")
-    return texts.select(id, F.transform(words, lambda w: F.xxhash64(w)).alias("code"))
+    words = texts.select(id, marked(F.col("text"), _CAPITALISED).alias("marked"))
+    hashed = lambda text: F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
+    return words.select(id, hashed(template(F.col("marked"))).alias("code"), hashed(_plain(F.col("marked"))).alias("plain"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(item_id, words, wpos, size, window, tokens)`` of items long enough."""
     items = benchmark.where("text is not null and item_id is not null").select(
-        "item_id", _words(marked(F.col("text"))).alias("tokens")
+        "item_id", _words(marked(F.col("text"))).alias("tokens"), _words(marked(F.col("text"), _CAPITALISED)).alias("capitalised")
     ).where(F.size("tokens") >= MIN_WORDS)
-    words = F.transform("tokens", lambda t: F.when(t.rlike(f"^[{MARKS}]"), F.substr(t, F.lit(1), F.lit(1))).otherwise(F.lower(t)))
+    kind = lambda t: F.when(t.rlike(f"^[{MARKS}]"), F.substr(t, F.lit(1), F.lit(1))).otherwise(F.lower(t))
+    # What begins the item or a sentence is read as a name and as a word.
+    begins = lambda p, i: (~p["token"].rlike(f"^[{MARKS}]")) & (F.startswith(p["capital"], F.lit(NAME)) | ((i == 0) & p["token"].rlike(r"^\p{L}")))
+    readings = F.transform(
+        F.zip_with("tokens", "capitalised", lambda t, c: F.struct(t.alias("token"), c.alias("capital"))),
+        lambda p, i: F.transform(
+            F.when(begins(p, i), F.array(F.lit(NAME), F.lower(p["token"]))).otherwise(F.array(kind(p["capital"]))), lambda w: F.xxhash64(w)
+        ),
+    )
     sized = items.select(
-        "item_id", "tokens", F.size("tokens").alias("words"), F.least(F.size("tokens"), F.lit(window)).alias("size"), words.alias("template")
-    ).withColumn("code", F.transform("template", lambda w: F.xxhash64(w)))
+        "item_id", "tokens", F.size("tokens").alias("words"), F.least(F.size("tokens"), F.lit(window)).alias("size"),
+        F.transform("tokens", kind).alias("template"), readings.alias("readings"),
+        F.transform("tokens", lambda t: F.xxhash64(_plain(t))).alias("plain"),
+    )
     placed = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("words") - F.col("size"))).alias("wpos"))
-    literal = F.size(F.filter(F.slice("template", F.col("wpos") + 1, F.col("size")), lambda w: ~w.isin(*MARKS)))
-    return placed.where(literal >= F.col("size") * MIN_LITERAL).select(
-        "item_id", "words", "wpos", "size", F.xxhash64("size", F.slice("code", F.col("wpos") + 1, F.col("size"))).alias("window"), "tokens"
+    at = F.col("wpos") + 1
+    literal = F.size(F.filter(F.slice("template", at, F.col("size")), lambda w: ~w.isin(*MARKS)))
+    every = F.aggregate(
+        F.slice("readings", at, F.col("size")),
+        F.array(F.array().cast("array<bigint>")),
+        lambda found, words: F.flatten(F.transform(found, lambda f: F.transform(words, lambda w: F.concat(f, F.array(w))))),
+    )
+    keys = F.concat(
+        F.when(literal >= F.col("size") * MIN_LITERAL, every).otherwise(F.array().cast("array<array<bigint>>")),
+        F.array(F.slice("plain", at, F.col("size"))),
+    )
+    return placed.select("*", F.explode(F.array_distinct(keys)).alias("key")).select(
+        "item_id", "words", "wpos", "size", F.xxhash64("size", "key").alias("window"), "tokens"
     )
 
 

@@ -64,6 +64,22 @@ def test_leaks_match_brute_force_without_slots(table, rng):
     assert set(leaks(table, texts, items)) == expected
 
 
+def test_leaks_whose_sentences_begin_with_a_name_or_stand_in_one(table, rng):
+    noise = prose(rng, 20)
+    items = [(1, "What is the capital of France?"), (2, "Natalia sold 48 clips in May. Natalia then sold half as many in June.")]
+    sold = items[1][1].replace("Natalia", "Maria").replace("48", "31")
+    texts = [
+        f"{noise}, Question: {items[0][1]} {noise}", f"{noise} so he said {items[0][1]} {noise}", f"{noise}. {items[0][1]} {noise}",
+        f"{noise} {items[0][1].lower()} {noise}", f"{noise}, Question: {sold} {noise}", f"{noise}. {sold} {noise}", f"{noise} {items[1][1]}",
+        f"{noise}. Where is the capital of France? {noise}", f"{noise} What is the capitol of France? {noise}",
+    ]
+    found = leaks(table, texts, items)
+    assert {(i, 1) for i in range(4)} <= set(found) and {(4, 2), (5, 2), (6, 2)} <= set(found)
+    assert (8, 1) not in found
+    assert found[(6, 2)]["coverage"] == 1 and found[(6, 2)]["exact"] and found[(0, 1)]["exact"]
+    assert found[(5, 2)]["coverage"] == 1 and not found[(5, 2)]["exact"]
+
+
 def test_leaks_of_odd_documents(odd_documents, table):
     items = table([(1, "red green blue cyan plum teal")], "item_id long, text string")
     found = find_leaks(odd_documents, items)
