@@ -33,7 +33,7 @@ MIN_LITERAL = 0.5
 joined as they are filled."""
 
 MIN_COVERAGE = 0.5
-"""The least share of an item's words in matched windows."""
+"""The least share in matched windows, of an item's words or of those in windows that have a template."""
 
 NAME, NUMBER, UNIT, POINT = "\x01", "\x02", "\x03", "\x04"
 MARKS = NAME + NUMBER + UNIT
@@ -106,7 +106,8 @@ def _codes(texts: DataFrame, id: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(item_id, words, wpos, size, window, tokens)`` of items long enough."""
+    """``(item_id, words, wpos, size, window, templated, tokens)`` of items long enough;
+    ``templated`` windows are also matched by other fillings than the item's."""
     items = benchmark.where("text is not null and item_id is not null").select(
         "item_id", _words(marked(F.col("text"))).alias("tokens"), _words(marked(F.col("text"), _CAPITALISED)).alias("capitalised")
     ).where(F.size("tokens") >= MIN_WORDS)
@@ -136,8 +137,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(literal >= F.col("size") * MIN_LITERAL, every).otherwise(F.array().cast("array<array<bigint>>")),
         F.array(F.slice("plain", at, F.col("size"))),
     )
-    return placed.select("*", F.explode(F.array_distinct(keys)).alias("key")).select(
-        "item_id", "words", "wpos", "size", F.xxhash64("size", "key").alias("window"), "tokens"
+    return placed.select("*", (literal >= F.col("size") * MIN_LITERAL).alias("templated"), F.explode(F.array_distinct(keys)).alias("key")).select(
+        "item_id", "words", "wpos", "size", F.xxhash64("size", "key").alias("window"), "templated", "tokens"
     )
 
 
@@ -184,6 +185,7 @@ def find_leaks(
     )
 
     # The words each run covers: windows overlap, so a window adds what the next leaves over.
+    # Coverage is taken over all words, and over those in windows that other fillings can match.
     def covered(found: str) -> Column:
         steps = F.transform(found, lambda w, i: F.least(F.coalesce(F.get(found, i + 1) - w, F.col("size")), F.col("size")))
         return F.aggregate(steps, F.lit(0), lambda total, s: total + s)
@@ -192,32 +194,44 @@ def find_leaks(
     marked_docs = texts.join(small(with_runs, with_runs.count(), 16), "doc_id", "left_semi").select(
         "doc_id", _words(marked(F.col("text"))).alias("mine")
     )
-    slots = F.filter(
+    # The words in matched windows beside the item's; gaps between windows say nothing.
+    base = F.get("found", F.lit(0))
+    beside = F.filter(
         F.zip_with(
-            F.slice("mine", F.col("shift") + F.get("found", F.lit(0)) + 1, F.col("span")),
-            F.slice("tokens", F.get("found", F.lit(0)) + 1, F.col("span")),
+            F.slice("mine", F.col("shift") + base + 1, F.col("span")),
+            F.slice("tokens", base + 1, F.col("span")),
             lambda mine, its: F.struct(mine.alias("mine"), its.alias("its")),
         ),
+        lambda p, i: F.exists("found", lambda w: (w <= i + base) & (i + base < w + F.col("size"))),
+    )
+    slots = F.filter(
+        "pairs",
         lambda p: p["mine"].rlike(f"^[{MARKS}]") & (F.substr(p["mine"], F.lit(1), F.lit(1)) == F.substr(p["its"], F.lit(1), F.lit(1))),
     )
-    tokens = small(items.groupBy("item_id").agg(F.first("tokens").alias("tokens")), n_windows, 1024)
+    able = F.sort_array(F.collect_set(F.when(F.col("templated"), F.col("wpos")))).alias("able")
+    tokens = small(items.groupBy("item_id").agg(F.first("tokens").alias("tokens"), able), n_windows, 1024)
     span = F.element_at("found", -1) - F.get("found", F.lit(0)) + F.col("size")
     judged = (
         runs.join(marked_docs, "doc_id")
         .join(tokens, "item_id")
         .withColumn("span", span)
-        .select("doc_id", "item_id", "words", "size", "found", F.array_distinct(slots).alias("slots"))
-        .where(_consistent(F.col("slots")))
-        .withColumn("exact", F.size(F.filter("slots", lambda p: p["mine"] != p["its"])) == 0)
+        .select("doc_id", "item_id", "words", "size", "able", "found", F.array_distinct(beside).alias("pairs"))
+        .where(_consistent(slots))
+        .withColumn("exact", ~F.exists("pairs", lambda p: _plain(p["mine"]) != _plain(p["its"])))
     )
     # An item may lie in a text in several runs, where a slot has more words than in the item.
     return (
-        judged.select("doc_id", "item_id", "words", "size", "exact", F.explode("found").alias("wpos"))
-        .groupBy("doc_id", "item_id", "words", "size")
+        judged.select("doc_id", "item_id", "words", "size", "able", "exact", F.explode("found").alias("wpos"))
+        .groupBy("doc_id", "item_id", "words", "size", "able")
         .agg(F.sort_array(F.collect_set("wpos")).alias("found"), F.bool_and("exact").alias("exact"))
+        .withColumn("templates", F.array_intersect("found", "able"))
         .select(
             "doc_id", "item_id", F.size("found").cast("long").alias("n_windows"),
-            (covered("found") / F.col("words")).alias("coverage"), "exact",
+            F.greatest(
+                covered("found") / F.col("words"),
+                F.when(F.size("able") > 0, covered("templates") / covered("able")).otherwise(0.0),
+            ).alias("coverage"),
+            "exact",
         )
         .where(F.col("coverage") >= min_coverage)
     )

@@ -80,6 +80,30 @@ def test_leaks_whose_sentences_begin_with_a_name_or_stand_in_one(table, rng):
     assert found[(5, 2)]["coverage"] == 1 and not found[(5, 2)]["exact"]
 
 
+def test_leaks_of_items_dense_in_slots_and_of_edited_ones(table, rng):
+    noise = prose(rng, 20)
+    poor = "Compute 12 + 7 - 5 * 3 / 4 now"
+    mixed = "Please add up all of these numbers here: " + " ".join(str(n) for n in range(100, 120))
+    items = [(1, poor), (2, QUESTION), (3, mixed)]
+    other = mixed.replace("1", "3")
+    texts = [f"{noise} {poor} {noise}", f"{noise} {poor.replace('12', '13')}", f"{noise} {mixed} {noise}", f"{noise}. {other}"]
+    found = leaks(table, texts, items)
+    assert found[(0, 1)]["exact"] and found[(0, 1)]["coverage"] == 1 and (1, 1) not in found
+    assert found[(2, 3)]["exact"] and found[(2, 3)]["coverage"] == 1
+    assert (3, 3) in found and not found[(3, 3)]["exact"]
+
+
+def test_leaks_whose_edited_middle_disagrees(table, rng):
+    item = "We saw that Anna took 12 red pens home and later on the same day she lent us 12 blue pens for the whole week"
+    text = item.replace("red pens home and later on the same day she lent us 12 blue", "old cups home but soon in the very week they sold us 31 grey")
+    found = leaks(table, [f"x y {item}", text], [(1, item)])
+    assert (0, 1) in found and (1, 1) not in found
+    first, last = "one fine day we all walked with Anna to see 12 small boats", "and then we went back home by the same old narrow road"
+    whole = f"{first} which cost her 12 coins each {last}"
+    edited = f"{first} that took just 31 coins total {last}"
+    assert (0, 1) in leaks(table, [edited], [(1, whole)])
+
+
 def test_leaks_of_odd_documents(odd_documents, table):
     items = table([(1, "red green blue cyan plum teal")], "item_id long, text string")
     found = find_leaks(odd_documents, items)
