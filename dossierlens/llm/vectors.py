@@ -5,7 +5,10 @@ every vector is indexed. A rotation gives a balanced 64-bit code, whose parts of
 more index a table each: codes whose Hamming distance is less than their parts share one. Parts
 are as wide as the logarithm of the number of vectors, so that buckets do not fill up, and there
 are as many tables as pairs at the least similarity need to share one with probability
-0.999: nine rotations of four parts up to 65536 vectors.
+0.999: nine rotations of four parts up to 65536 vectors whose mean is near zero. Where vectors share a
+direction, those pairs stand at a wider angle about the mean; it is measured on the sample and
+takes more tables. Each length of vectors is searched by itself; few vectors, and those that
+would take too many tables, meet all.
 Within a bucket, vectors stay that have a partner near enough over all bits; only these meet
 as vectors, in blocks, where the cosine is taken in double precision. A pair belongs to
 the first table that holds it, so links are counted once and need not be written as pairs.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +43,63 @@ BLOCK = 256
 HOT = 2048
 """Buckets with more members are searched by several tasks."""
 
+FEW = 512
+"""So many vectors of one length all meet; no codes are made."""
+
+MOST_ROTATIONS = 64
+"""If more are needed, all vectors of the length meet."""
+
 
 @dataclass(frozen=True)
 class Rotations:
     mean: np.ndarray
     planes: list[np.ndarray]
     dim: int
+    share: float = math.acos(MIN_COSINE) / math.pi
+    """The share of bits in which nearly no pair at the least similarity is expected to differ more."""
+
 
+def layout(n: int, n_bits: int = BITS, shares: np.ndarray | None = None) -> tuple[int, int]:
+    """Bits of a part, and rotations, for ``n`` vectors with codes of ``n_bits``.
 
-def layout(n: int, n_bits: int = BITS) -> tuple[int, int]:
-    """Bits of a part, and rotations, for ``n`` vectors with codes of ``n_bits``."""
+    ``shares`` are the shares of bits in which pairs at the least similarity differ. There are never
+    more than one rotation above ``MOST_ROTATIONS``.
+    """
     part = min(n_bits, max(LEAST_PART, math.ceil(math.log2(max(2, n)))))
-    agree = (1 - math.acos(MIN_COSINE) / math.pi) ** part
-    tables = math.log(MISS) / math.log(1 - agree)
-    return part, math.ceil(tables / (n_bits // part))
+    plain = math.acos(MIN_COSINE) / math.pi
+    agree = (1 - np.maximum(plain, plain if shares is None or not len(shares) else shares)) ** part
+    per = n_bits // part
+    rotations = math.ceil(math.log(MISS) / math.log(1 - (1 - plain) ** part) / per)
+    while rotations <= MOST_ROTATIONS and np.mean((1 - agree) ** (rotations * per)) > MISS * 1.0001:
+        rotations += 1
+    return part, rotations
+
+
+def shares(sample: np.ndarray, seed: int = 3) -> np.ndarray:
+    """The shares of bits in which unit vectors of ``sample`` and others at the least similarity
+    differ: their angles as codes see them, about the mean and along the principal axes.
+
+    The other vector lies towards another one of the sample.
+    """
+    mean, axes = _axes(sample)
+    towards = sample[np.random.default_rng(seed).permutation(len(sample))] - mean
+    towards = towards - (towards * sample).sum(axis=1)[:, None] * sample
+    size = np.linalg.norm(towards, axis=1)
+    known = size > 1e-9
+    mine, towards = sample[known], towards[known] / size[known][:, None]
+    other = MIN_COSINE * mine + math.sqrt(1 - MIN_COSINE**2) * towards
+    a, b = (mine - mean) @ axes, (other - mean) @ axes
+    norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    cosines = (a * b).sum(axis=1) / np.where(norms > 0, norms, 1.0)
+    return np.arccos(np.clip(np.where(norms > 0, cosines, 0.0), -1.0, 1.0)) / math.pi
+
+
+def _axes(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean, and the principal axes of most variance."""
+    mean = sample.mean(axis=0)
+    centred = sample - mean
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    return mean, axes[:, ::-1][:, : min(BITS, sample.shape[1])]
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
@@ -69,14 +116,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
-def fit(sample: np.ndarray, rotations: int = layout(0)[1], seed: int = 3) -> Rotations:
+def fit(sample: np.ndarray, rotations: int = layout(0)[1], seed: int = 3, share: float = Rotations.share) -> Rotations:
     """Iterative quantisation: turn the principal axes so that signs lose the least."""
     dim = sample.shape[1]
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    axes = axes[:, ::-1][:, : min(BITS, dim)]
-    projected = centred @ axes
+    mean, axes = _axes(sample)
+    projected = (sample - mean) @ axes
     planes, rng = [], np.random.default_rng(seed)
     for _ in range(rotations):
         turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
@@ -84,7 +128,7 @@ def fit(sample: np.ndarray, rotations: int = layout(0)[1], seed: int = 3) -> Rot
             u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
             turn = (u @ v).T
         planes.append(axes @ turn)
-    return Rotations(mean, planes, dim)
+    return Rotations(mean, planes, dim, share)
 
 
 def codes(units: np.ndarray, model: Rotations) -> np.ndarray:
@@ -127,7 +171,7 @@ def _block_links(table: pa.Table, width: int, n_bits: int) -> pa.Table:
     first = table.column("first").to_numpy(zero_copy_only=False)
     second = table.column("second").to_numpy(zero_copy_only=False)
     units = np.array([_unit(np.array(v)) for v in table.column("embedding").to_pylist()])
-    parts = _parts(np.array(table.column("codes").to_pylist(), dtype=np.int64).view(np.uint64), width, n_bits)
+    parts = _parts(np.array(table.column("codes").to_pylist(), dtype=np.int64).reshape(len(ids), -1).view(np.uint64), width, n_bits)
     left, right = np.flatnonzero(first), np.flatnonzero(second)
     near = units[left] @ units[right].T >= MIN_COSINE
     # In a block against itself each pair counts once; ids are distinct in a bucket.
@@ -138,6 +182,8 @@ def _block_links(table: pa.Table, width: int, n_bits: int) -> pa.Table:
     i, j = i[keep], j[keep]
     mine = np.ones(len(i), dtype=bool)
     for begin in range(0, len(i), 100_000):
+        if not parts.shape[1]:  # all vectors meet once
+            break
         same = parts[i[begin : begin + 100_000]] == parts[j[begin : begin + 100_000]]
         mine[begin : begin + 100_000] = same.argmax(axis=1) == part
     i, j = i[mine], j[mine]
@@ -170,8 +216,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     Vectors that are null, empty, zero or hold a null or non-finite component have no
     links, and neither have rows without an id (their component is null; they are kept).
     Equal vectors are linked with each other and are one class in the search. Vectors of
-    another length than the commonest of the sample are linked with equal ones only. Rows
-    that share an id are one vector with several values.
+    different lengths are not linked. Rows that share an id are one vector with several values.
     """
     spark = vectors.sparkSession
     rows = kept(_classes(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))), "vectors")
@@ -181,22 +226,22 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         .agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")),
         "classes",
     )
-    sizes = classes.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        model, dim = None, 0
-    else:
-        dim = sizes["dim"]
-        n = min(SAMPLE_ROWS, max(BITS, SAMPLE_BYTES // (8 * dim)))
-        drawn = classes.where(F.size("embedding") == dim).select("embedding").where(
-            F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < min(1.0, 1.2 * n / sizes["count"]) * (1 << 30)
-        ).limit(n).toArrow()
-        sample = np.array([_unit(np.array(v)) for v in drawn.column("embedding").to_pylist()]).reshape(-1, dim)
-        width, rotations = layout(sizes["count"], min(BITS, dim))
-        model = fit(sample, rotations) if len(sample) else None
-    if model is None:
-        links = spark.createDataFrame([], "id long, n long, other long")
-    else:
-        links = kept(_links(classes.where(F.size("embedding") == dim), model, width), "links")
+    sizes = classes.groupBy(F.size("embedding").alias("dim")).count().where("count > 1").orderBy(F.desc("count"), "dim").collect()
+    coded, all_meet = [], []
+    for dim, count in sizes:
+        model, width = _model(classes, dim, count) if count > FEW else (None, 0)
+        if model is None:
+            all_meet.append(dim)
+        else:
+            coded.append(_links(classes.where(F.size("embedding") == dim), model, width))
+    if all_meet:
+        dims = spark.createDataFrame([(dim,) for dim in all_meet], "dim int")
+        near = classes.select("id", F.size("embedding").alias("dim")).join(F.broadcast(dims), "dim").select(
+            F.col("dim").alias("part"), F.lit(0).cast("long").alias("bits"), "id", F.array().cast("array<bigint>").alias("codes")
+        )
+        coded.append(_meet(classes, near, 1, 1))
+    none = spark.createDataFrame([], "id long, n long, other long")
+    links = kept(reduce(DataFrame.unionByName, coded), "links") if coded else none
 
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     found = connected(links.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
@@ -212,6 +257,23 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _model(classes: DataFrame, dim: int, count: int) -> tuple[Rotations | None, int]:
+    """The rotations of the ``count`` vectors of one length, and the bits of a part; none if there would be too many."""
+    n = min(SAMPLE_ROWS, max(BITS, SAMPLE_BYTES // (8 * dim)))
+    drawn = classes.where(F.size("embedding") == dim).select("embedding").where(
+        F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < min(1.0, 1.2 * n / count) * (1 << 30)
+    ).limit(n).toArrow()
+    sample = np.array([_unit(np.array(v)) for v in drawn.column("embedding").to_pylist()]).reshape(-1, dim)
+    if not len(sample):
+        return None, 0
+    measured = shares(sample)
+    width, rotations = layout(count, min(BITS, dim), measured)
+    if rotations > MOST_ROTATIONS:
+        return None, 0
+    widest = float(np.quantile(measured, 0.999)) if len(measured) else 0.0
+    return fit(sample, rotations, share=max(Rotations.share, widest)), width
+
+
 def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
     """``(id, n, other)``: links counted per block, and a link of each vector that has one."""
     shared = classes.sparkSession.sparkContext.broadcast(model)
@@ -245,9 +307,9 @@ def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
     counted = entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
     crowded = kept(entries.join(counted, bucket), "buckets")
 
-    # Who has a partner near over all bits: a pair at the least cosine differs in a share of
-    # acos(0.95) / pi of them, with a standard error that 4.5 times over is added here.
-    share, total = math.acos(MIN_COSINE) / math.pi, rotations * n_bits
+    # Who has a partner near over all bits: a pair at the least cosine differs in the model's
+    # share of them, with a standard error that 4.5 times over is added here.
+    share, total = model.share, rotations * n_bits
     most = math.ceil(total * share + 4.5 * 1.5 * math.sqrt(total * share * (1 - share)))
     distance = sum((F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("codes2", F.lit(r)))) for r in range(rotations)), F.lit(0))
     tasks = F.ceil(F.col("n") / HOT)
@@ -265,6 +327,12 @@ def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
         ).select(*bucket, "id", "codes"),
         "near",
     )
+    return _meet(classes, near, width, n_bits)
+
+
+def _meet(classes: DataFrame, near: DataFrame, width: int, n_bits: int) -> DataFrame:
+    """``(id, n, other)`` of the members of each bucket of ``near(part, bits, id, codes)``, in pairs of blocks."""
+    bucket = ["part", "bits"]
     sizes = near.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = near.join(sizes, bucket).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # Every pair of blocks of a bucket, each block with itself included.

@@ -120,6 +120,36 @@ def test_vectors_match_brute_force(table, rng, monkeypatch):
         assert {r["vec_id"]: r["component_id"] for r in found} == components(links, range(len(rows)))
 
 
+def links_by_hand(groups):
+    truth = {}
+    for ids, values in groups:
+        units = values / np.linalg.norm(values, axis=1)[:, None]
+        linked = units @ units.T >= 0.95
+        truth |= {i: int(n) - 1 for i, n in zip(ids, linked.sum(axis=1))}
+    return truth
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.2, 20.0])
+def test_vectors_of_two_lengths_and_a_shifted_mean(table, monkeypatch, shift):
+    monkeypatch.setattr(vectors, "FEW", 50)
+    random = np.random.default_rng(5)
+    groups, rows, begin = [], [], 0
+    for dim, n in ((32, 180), (20, 120)):
+        base = random.standard_normal((n, dim)) + shift * np.eye(dim)[0] * np.sqrt(dim)
+        noise = random.standard_normal((n, dim))
+        noise *= (0.3 * np.linalg.norm(base, axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+        values = np.vstack([base, base + noise])
+        ids = list(range(begin, begin + 2 * n))
+        begin += 2 * n
+        groups.append((ids, values))
+        rows += [(i, [float(x) for x in v]) for i, v in zip(ids, values)]
+    truth = links_by_hand(groups)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(table(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and all(got[i] <= truth[i] for i in got)
+    for ids, _ in groups:
+        assert sum(got[i] for i in ids) >= 0.99 * sum(truth[i] for i in ids) > 0
+
+
 def test_odd_vectors(table):
     nan, inf = float("nan"), float("inf")
     odd = [(1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (10, [1e200, 2e200])]
