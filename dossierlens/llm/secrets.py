@@ -191,7 +191,8 @@ def trained_forest(n: int = N_LABELLED) -> Forest:
 
 
 def scan(texts: list[str | None], paths: list[str | None], forest: Forest, threshold: float = THRESHOLD):
-    """``(row, begin, end, score)`` of the secrets in each text, in order."""
+    """``(row, begin, end, score)`` of the secrets in each text, in order; candidates that
+    overlap are one secret, with the best of their scores."""
     found = [
         (i, begin, end)
         for i, text in enumerate(texts)
@@ -207,7 +208,15 @@ def scan(texts: list[str | None], paths: list[str | None], forest: Forest, thres
         ]
     )
     scores = forest.predict(rows)
-    return [(*f, float(s)) for f, s in zip(found, scores) if s >= threshold]
+    secrets = []
+    for (i, begin, end), score in zip(found, scores.tolist()):
+        if score < threshold:
+            continue
+        if secrets and secrets[-1][0] == i and begin < secrets[-1][2]:
+            _, first, last, best = secrets.pop()
+            begin, end, score = first, max(last, end), max(best, score)
+        secrets.append((i, begin, end, score))
+    return secrets
 
 
 def _paths(batch: pa.RecordBatch) -> list[str | None]:
