@@ -9,6 +9,7 @@ main text. All blocks it takes are kept whole, in page order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -51,6 +52,9 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+# What a hidden element's attributes hold, and those of others may.
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 FEATURES = 12
@@ -66,24 +70,45 @@ class Block:
     inside: bool
 
 
+def hidden(attributes: str) -> bool:
+    """Whether the attributes of a tag hide the element."""
+    if not _HIDDEN.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip()
+        if (
+            name == "hidden" and not value.lower().startswith("until")
+            or name == "aria-hidden" and value.lower() == "true"
+            or name == "style" and _NOT_SHOWN.search(value)
+        ):
+            return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page that hold text, in page order."""
+    """The blocks of a page that hold text, in page order.
+
+    A form is outside, unless it holds an article or main, or several blocks with most of the page's words.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside by hint, outside for good, inside
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []  # tag, outside by hint, outside for good, inside, forms
+    within: list[tuple[int, ...]] = []  # the forms around each block
+    wraps: list[bool] = []  # of each form: whether it holds an article or main
     pieces: list[str] = []
     linked: list[str] = []
     in_link = 0
     tag_now = "body"
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, bool, tuple[int, ...]]:
+        return stack[-1][1:] if stack else (False, False, False, ())
 
     def end_block() -> None:
         text = " ".join(unescape("".join(pieces)).split())
         if text:
             words = text.count(" ") + 1
             in_links = len(unescape(" ".join(linked)).split())
-            hint, good, inside = state()
+            hint, good, inside, forms = state()
+            within.append(forms)
             found.append(Block(text, tag_now, words, min(1.0, in_links / words), hint or good, inside))
         pieces.clear()
         linked.clear()
@@ -119,7 +144,7 @@ def blocks(html: str) -> list[Block]:
             continue
         while stack and tag in CLOSED_BY_NEXT.get(stack[-1][0], ()):
             stack.pop()
-        hint, good, inside = state()
+        hint, good, inside, forms = state()
         rest = token.group("rest")
         names = {
             part.lower()
@@ -129,15 +154,29 @@ def blocks(html: str) -> list[Block]:
         }
         if tag in ("article", "main"):
             hint, inside = False, True
+            for form in forms:
+                wraps[form] = True
         if tag in ("body", "html", "main"):
             names = set()
-        good = good or bool(names & REMARKS) or tag in OUTSIDE and not (tag == "header" and inside)
-        good = good or bool(rest) and bool(_HIDDEN.search(rest))
-        stack.append((tag, hint or bool(names & HINTS), good, inside))
+        if tag == "form":
+            forms = (*forms, len(wraps))
+            wraps.append(False)
+        good = good or bool(names & REMARKS) or tag in OUTSIDE and tag != "form" and not (tag == "header" and inside)
+        good = good or bool(rest) and hidden(rest)
+        stack.append((tag, hint or bool(names & HINTS), good, inside, forms))
         if tag in BLOCKS:
             tag_now = tag
     add(html[at:])
     end_block()
+    if wraps:
+        words, holds = Counter(), Counter()
+        for block, forms in zip(found, within):
+            for form in forms:
+                words[form] += block.words
+                holds[form] += 1
+        total = sum(b.words for b in found)
+        for block, forms in zip(found, within):
+            block.outside = block.outside or any(not wraps[f] and (holds[f] < 2 or 2 * words[f] <= total) for f in forms)
     return found
 
 

@@ -133,6 +133,26 @@ def test_extraction_of_a_page(table):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_only_what_is_hidden_is_outside():
+    tree = html_text.trained_tree()
+    text = "This is the story of a day on which a good many things came about that had not been seen before."
+    for shown in ['class="post overflow-hidden"', 'style="overflow: hidden"', "data-state='hidden'", 'title="the hidden valley"', "id=hidden", 'hidden="until-found"', 'data-x="display:none"']:
+        page = f"<nav><a href=/a>Home</a></nav><div {shown}><article><h1>A day</h1><p>{text}</p></article></div>"
+        assert html_text.main_blocks(page, tree) == ["A day", text], shown
+    for hid in ["hidden", 'class="a" hidden', 'HIDDEN=""', "aria-hidden=true", "style='color: red; display : none'"]:
+        assert html_text.main_blocks(f"<article><p>{text}</p><div {hid}><p>{text} Not this.</p></div></article>", tree) == [text], hid
+
+
+def test_a_page_wrapped_in_a_form():
+    tree = html_text.trained_tree()
+    text = "This is the story of a day on which a good many things came about that had not been seen before."
+    for inner in [f"<main><h1>A day</h1><p>{text}</p></main>", f"<h1>A day</h1><p>{text}</p><p>{text}</p>"]:
+        page = f"<form id=aspnet action=/x><nav><a href=/a>Home</a></nav><div>{inner}</div><footer>Us.</footer></form>"
+        assert text in html_text.main_blocks(page, tree)
+    small = f"<article><p>{text}</p><form><label>Your mail</label><p>Send.</p></form></article>"
+    assert html_text.main_blocks(small, tree) == [text]
+
+
 def test_broken_and_long_pages():
     tree = html_text.trained_tree()
     for page in ["<", "<p", "a < b", "<p>" * 3000 + "x", "</div></p>", "<!-- open", "<script>open", "&am", "<div " + "a" * 10_000]:
