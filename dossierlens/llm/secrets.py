@@ -203,7 +203,7 @@ def scan(texts: list[str | None], paths: list[str | None], forest: Forest, thres
         return []
     rows = np.array(
         [
-            features(texts[i][b:e][:4096], texts[i][max(0, b - AROUND) : b], texts[i][e : e + AROUND], paths[i])
+            features(texts[i][b:e], texts[i][max(0, b - AROUND) : b], texts[i][e : e + AROUND], paths[i])
             for i, b, e in found
         ]
     )

@@ -225,6 +225,18 @@ def test_clean_text_behind_overlapping_secrets_stays(spark):
     assert [(r["start"], r["length"]) for r in secrets.find_secrets(docs, 0.0).collect()] == [(12, 25)]
 
 
+def test_a_long_candidate_is_judged_whole():
+    seen = []
+
+    class Sees(Takes):
+        def predict(self, rows):
+            seen.extend(rows[:, 0])
+            return super().predict(rows)
+
+    secrets.scan(["x " + "a1B2" * 5000], [None], Sees())
+    assert seen == [20_000]
+
+
 def test_secrets_of_odd_documents(odd_documents):
     assert secrets.find_secrets(odd_documents).count() == 0
     assert sorted(map(str, secrets.redact(odd_documents).collect())) == sorted(map(str, odd_documents.collect()))
