@@ -26,8 +26,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no determinable language: null texts and texts without a letter."""
+    """Drop documents of no determinable language: null texts and texts without a letter.
+
+    Where no row has a language to learn from, all others stay.
+    """
     model = language.train(docs.select("text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs.withColumnRenamed("lang", "_lang"), model)
     return found.where(F.col("lang_pred") != language.UNDETERMINED).withColumnRenamed("_lang", "lang").select(*docs.columns)
 

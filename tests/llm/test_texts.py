@@ -350,6 +350,11 @@ def test_shards_of_odd_documents(odd_documents, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "shards")).count() >= 10
 
 
+def test_without_a_known_language_only_texts_without_a_letter_go(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (4, "", None, "s", 1), (None, "é1", None, "s", 1)], DOCS)
+    assert [r["text"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == ["some text", "é1"]
+
+
 def test_the_pipeline_by_hand(spark, tmp_path, rng):
     texts = [prose(rng, 60) for _ in range(12)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
