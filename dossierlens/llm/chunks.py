@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, read_documents, slices, small, small_batches
+from .common import kept, read_documents, slices, small_batches
 
 WINDOW = 16
 MEAN_BYTES = 24
@@ -154,7 +154,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("owner_start")
     ).where("owner < last").drop("last")
     owners = kept(owners, "owners")  # as a table, so that the join can split a stretch of a third of all rows
-    matched = every.join(small(owners, owners.count(), 64), ["digest", "size"]).where("doc_id <> owner").select(
+    matched = every.join(owners, ["digest", "size"]).where("doc_id <> owner").select(
         "doc_id", "owner", (F.col("start") - F.col("owner_start")).alias("shift"), "start",
         (F.col("start") + F.col("size")).alias("stop"), "before", (F.col("before") + F.col("words")).alias("upto"),
     )
