@@ -1,10 +1,14 @@
-"""Top-k rows per group."""
+"""Top-k rows per group, and places of rows within groups of any size."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import scratch_path
+
 
 def top_per_group(
     rows: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank"
@@ -16,3 +20,24 @@ def top_per_group(
     """
     numbered = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return numbered.where(F.col(rank) <= k)
+
+
+def places_within(rows: DataFrame, group: list[str], order: list[str], place: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, in the ascending order (nulls first) of ``order`` in their group.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over as many
+    tasks as it fills. Each task numbers its part, and sums of the parts' counts in front of it
+    are added. The sorted rows are a written table, so that numbers and parts stay fixed. An
+    empty ``group`` numbers the whole table. Rows equal in group and order get places in any order.
+    """
+    path = scratch_path(rows.sparkSession, "sorted")
+    keys = [*group, *order]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    # A number holds the task's above its lower 33 bits.
+    dealt = rows.sparkSession.read.parquet(path).withColumn("_task", F.shiftright(place, 33))
+    runs = dealt.groupBy(*group, "_task").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = {c: f"_of_{c}" for c in [*group, "_task"]}
+    shift = runs.select(*(F.col(c).alias(n) for c, n in named.items()), (before + 1 - F.col("_first")).alias("_shift"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()))
+    return dealt.join(shift, same).select(*rows.columns, (F.col(place) + F.col("_shift")).alias(place))
