@@ -15,6 +15,9 @@ BROADCAST_BYTES = 64 << 20
 """Most bytes of a counted table that are broadcast; larger ones are joined by a shuffle."""
 
 
+SALT_ROWS = 1000
+"""Rows of one key that are never dealt to several tasks."""
+
 BATCH_ROWS = 1000
 
 
@@ -39,6 +42,22 @@ def tasks_of(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_task))
 
 
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``many`` joined with ``few``, which has at most one row per key, without a hot task.
+
+    A key with more rows in ``many`` than a task has on average is dealt to several tasks, and its row
+    of ``few`` is repeated there. There are fewer such keys than tasks, so their list is broadcast.
+    """
+    counts = kept(many.groupBy(*keys).agg(F.count("*").alias("_n")), "counts")
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot_at = max(SALT_ROWS, math.ceil((counts.agg(F.sum("_n")).first()[0] or 0) / tasks))
+    hot = F.broadcast(counts.where(F.col("_n") > hot_at).select(*keys, F.ceil(F.col("_n") / hot_at).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), parts)).drop("_parts")
+    every = few.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(every, [*keys, "_salt"]).drop("_salt")
+
+
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of ``documents``."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
