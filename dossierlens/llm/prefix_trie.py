@@ -162,16 +162,20 @@ def _nodes(paths: DataFrame, members: DataFrame) -> DataFrame:
     return kept(alone.unionByName(refined).unionByName(root), "nodes")
 
 
-def _texts_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(k1, k2, first, ids)``: sorted ids of equal keys as one text per run."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k1, k2, ids = (batch.column(c).to_numpy() for c in ("k1", "k2", "conv_id"))
-        new = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
-        cuts = sorted({0, len(ids), *new.tolist(), *range(0, len(ids), IDS_PER_TEXT)})
-        found = [(int(k1[b]), int(k2[b]), int(ids[b]), ",".join(map(str, ids[b:e].tolist()))) for b, e in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["k1", "k2", "first", "ids"])
+def _texts_of_ids(most: int):
+    """``(k1, k2, first, ids)``: sorted ids of equal keys as texts of at most so many ids."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k1, k2, ids = (batch.column(c).to_numpy() for c in ("k1", "k2", "conv_id"))
+            new = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
+            cuts = sorted({0, len(ids), *new.tolist(), *range(0, len(ids), most)})
+            found = [(int(k1[b]), int(k2[b]), int(ids[b]), ",".join(map(str, ids[b:e].tolist()))) for b, e in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["k1", "k2", "first", "ids"])
+
+    return texts
 
 
 def _digests_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +206,7 @@ def _ends(paths: DataFrame, members: DataFrame) -> DataFrame:
     last = paths.groupBy("conv_id").agg(F.max(F.struct("block", "k1", "k2")).alias("last")).select("last.k1", "last.k2", "conv_id")
     every = last.unionByName(members.where("n_turns = 0").select(zero.alias("k1"), zero.alias("k2"), "conv_id"))
     keys = ["k1", "k2", "conv_id"]
-    texts = every.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_texts_of_ids, "k1 long, k2 long, first long, ids string")
+    texts = every.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_texts_of_ids(IDS_PER_TEXT), "k1 long, k2 long, first long, ids string")
     return texts.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "first").mapInArrow(_digests_of_texts, "k1 long, k2 long, ends_sha256 string")
 
 
