@@ -127,6 +127,30 @@ def page_source_revisions(spark, sf_dir):
     return read_wiki_pages(spark, path).select(_title(), F.md5(body).alias("digest"))
 
 
+SPLIT_BYTES = 64 << 10
+
+
+def page_source_preamble(spark, sf_dir):
+    """Records behind stray end marks, with start marks inside them, and records that their file does not
+    end, in plain and packed files of many splits."""
+    path = f"{scratch_path(spark, 'preamble')}/a b"
+    nested = F.replace("value", F.lit("    <revision>"), F.lit("    <revision>" + PAGE_OPEN))
+    records = fixtures.page_records(spark, sf_dir).select(F.concat(F.lit("stray" + PAGE_CLOSE + " text"), nested))
+    left_open = spark.range(1).select(F.lit("x" + PAGE_OPEN + PAGE_OPEN + "left open"))
+    for packing in ("none", "bzip2"):
+        records.coalesce(2).write.mode("append").option("compression", packing).text(path)
+        left_open.write.mode("append").option("compression", packing).text(path)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(SPLIT_BYTES))
+    try:
+        value = F.col("value")
+        found = read_delimited(spark, path, PAGE_OPEN, PAGE_CLOSE).select(_title(), F.md5(value).alias("digest"), F.octet_length(value).alias("n_bytes"))
+        return materialize(spark, lambda: found, scratch_path(spark, "read"))
+    finally:
+        spark.conf.set(setting, before)
+
+
 def oversize_records_dropped(spark, sf_dir):
     records = read_delimited(spark, _dump(spark, sf_dir), PAGE_OPEN, PAGE_CLOSE, MAX_RECORD_BYTES)
     return records.select(_title(), F.octet_length("value").alias("n_bytes"))
@@ -270,6 +294,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_source_roundtrip": page_source_roundtrip,
         "page_source_bzip2": page_source_bzip2,
         "page_source_revisions": page_source_revisions,
+        "page_source_preamble": page_source_preamble,
         "oversize_records_dropped": oversize_records_dropped,
         "case_documents_roundtrip": case_documents_roundtrip,
         "page_titles": page_titles,

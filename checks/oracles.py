@@ -151,6 +151,10 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
             strlen(value) as n_bytes from record""",
         "page_source_bzip2": BODIES,
         "page_source_revisions": BODIES,
+        "page_source_preamble": f"""{WITH_PAGES}, nested as (
+              select replace(value, '    <revision>', '    <revision>' || chr(10) || '  <page>') as value from record)
+            select split_part(split_part(value, '<title>', 2), '</title>', 1) as title, md5(value) as digest, strlen(value) as n_bytes
+            from nested, range(2)""",
         "oversize_records_dropped": f"""{WITH_PAGES} select split_part(split_part(value, '<title>', 2), '</title>', 1) as title,
             strlen(value) as n_bytes from record where strlen(value) <= {max_record_bytes}""",
         "case_documents_roundtrip": f"with d as ({conv}) select length(text) as n_chars, md5(text) as digest from d",

@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rows import computed_once
+from .stored import scratch_path
 
-TAIL_BYTES = 1 << 20
-"""How much of a file's end is looked at for an unfinished record."""
-
-BETWEEN_BYTES = 1 << 20
-"""Text between two records that a limit on record bytes leaves room for."""
-
-LINE_LIMIT = "mapreduce.input.linerecordreader.line.maxlength"
-
-
-def _ends_finished(spark: SparkSession, path: str, start: str, end: str) -> bool:
-    """Whether no record is left open at the end of a plain file. Reads its last bytes."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
-    if jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file) is not None:
-        return False
-    system = file.getFileSystem(conf)
-    stream = system.open(file)
-    try:
-        stream.seek(max(0, system.getFileStatus(file).getLen() - TAIL_BYTES))
-        tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    finally:
-        stream.close()
-    _, found, rest = tail.rpartition(end.encode())
-    return bool(found) and start.encode() not in rest
+BROADCAST_FILES = 100_000
+"""Names of so many files are broadcast; more are joined by a shuffle."""
 
 
 def read_delimited(
@@ -44,51 +22,102 @@ def read_delimited(
 ) -> DataFrame:
     """Read ``(value)``: every record from a ``start`` mark to the next ``end`` mark.
 
-    Both marks stay in the record; text outside is skipped. The text source splits files
-    (bzip2 ones too) among tasks and gives a record to the split that holds its start.
+    Both marks stay in the record; text outside is skipped, and so is a record that the file
+    does not end. A start mark inside a record is part of it. The result is that of reading each file
+    from its first byte to its last, however it is packed and split.
+
+    The text source cuts files (bzip2 ones too, in splits) at end marks. A piece then begins
+    outside any record, and holds one at most, from its first start mark on; so no task needs to know what
+    another has read. Only the piece behind a file's last end mark is no record, and the reader does
+    not tell whether an end mark closed a piece. A first job finds the last piece of each file; where that
+    has a start mark, a second one looks for an end mark behind the file's last start mark. Both
+    run over splits, and only names of files with an open record come back.
 
-    ``anchor="end"`` cuts the file at end marks. A piece then holds one record at most, from
-    its first start mark on, so text in front of the first record is skipped and start
-    marks may repeat inside a record; but an unfinished last record comes through.
-    ``anchor="start"`` cuts at start marks: an unfinished record is dropped, but a start mark
-    inside a record begins a new one, and an end mark before the first start mark yields a
-    record of its own. In escaped dumps neither mark can occur inside a record, and both
-    are exact. ``"auto"`` looks at the end of each plain file and cuts it at end marks, unless
-    a record is left open there; such files and compressed ones are cut at start marks.
+    ``max_bytes`` drops records above that many bytes, marks included: one that has got longer is
+    forgotten there, and the next start mark may begin a record before the same end mark. A
+    piece is held as a whole, so two gigabytes between two end marks are the most there can be.
 
-    ``max_bytes`` drops records above that many bytes, marks included. Pieces far above it
-    are passed over by the reader and never held.
+    ``anchor`` takes the first job away for callers who know their files: with ``"end"`` an open record at the end
+    comes through; ``"start"`` cuts at start marks, for files whose records hold none and have
+    no end mark in front of them.
     """
     if not start or not end:
         raise ValueError("both marks must be non-empty")
     if anchor not in ("auto", "start", "end"):
         raise ValueError(f"anchor must be 'auto', 'start' or 'end', not {anchor!r}")
+    if start in end or end in start or any(start.endswith(end[:n]) for n in range(1, len(end))):
+        raise ValueError("the marks must not overlap")
     value = F.col("value")
+    if anchor == "start":
+        record = F.concat(F.lit(start), F.substring_index(value, end, 1), F.lit(end))
+        records = spark.read.option("lineSep", start).text(path).where(F.contains(value, F.lit(end))).select(computed_once(record).alias("value"))
+        return records if max_bytes is None else records.where(F.octet_length("value") <= max_bytes)
+    pieces = _pieces(spark, path, end)
+    if anchor == "auto":
+        left_open = _open_records(spark, path, start, end, pieces)
+        if left_open is not None:
+            pieces = pieces.join(left_open, ["file", "block", "row"], "left_anti")
+    begin = F.locate(start, value)
+    if max_bytes is not None:
+        begin = _begin_within(value, start, len(end.encode()), max_bytes)
+    # Without a place to begin at the record is null, and the row goes.
+    record = F.when(begin > 0, F.concat(F.substr(value, begin), F.lit(end)))
+    return pieces.where(F.contains(value, F.lit(start))).select(computed_once(record).alias("value"))
 
-    def pieces(paths: str | list[str], cut: str) -> DataFrame:
-        reader = spark.read.option("lineSep", cut)
-        if max_bytes is not None:
-            reader = reader.option(LINE_LIMIT, str(min(max_bytes + BETWEEN_BYTES, 2**31 - 1)))
-        return reader.text(paths)
 
-    def from_starts(paths: str | list[str]) -> DataFrame:
-        record = F.concat(F.lit(start), F.substring_index(value, end, 1), F.lit(end))
-        return pieces(paths, start).where(F.contains(value, F.lit(end))).select(computed_once(record).alias("value"))
+def _pieces(spark: SparkSession, path: str | list[str], cut: str) -> DataFrame:
+    """``(value, file, block, row)``: what stands between the cuts, in the order of ``block`` and ``row`` in each file."""
+    return spark.read.option("lineSep", cut).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
 
-    def from_ends(paths: str | list[str]) -> DataFrame:
-        record = F.concat(F.substr(value, F.locate(start, value)), F.lit(end))
-        return pieces(paths, end).where(F.contains(value, F.lit(start))).select(computed_once(record).alias("value"))
 
-    if anchor == "auto":
-        files = spark.read.text(path).inputFiles()
-        finished = [f for f in files if _ends_finished(spark, f, start, end)]
-        others = sorted(set(files) - set(finished))
-        if len(finished) == len(files):
-            records = from_ends(path)
-        elif len(others) == len(files):
-            records = from_starts(path)
-        else:
-            records = from_ends(finished).unionByName(from_starts(others))
-    else:
-        records = from_starts(path) if anchor == "start" else from_ends(path)
-    return records if max_bytes is None else records.where(F.octet_length("value") <= max_bytes)
+def _last_pieces(pieces: DataFrame, has: str) -> DataFrame:
+    """``(file, block, row, has)`` of the last piece of each file."""
+    last = F.max(F.struct("block", "row", F.contains("value", F.lit(has)).alias("has")))
+    return pieces.groupBy("file").agg(last.alias("last")).select("file", "last.*")
+
+
+def _open_records(spark: SparkSession, path: str | list[str], start: str, end: str, pieces: DataFrame) -> DataFrame | None:
+    """``(file, block, row)`` of the pieces that are an open record at the end of a file; none if there are none."""
+
+    def written(found: DataFrame, name: str) -> tuple[DataFrame, int]:
+        place = scratch_path(spark, name)
+        found.write.parquet(place)
+        table = spark.read.parquet(place)
+        return table, table.count()
+
+    doubtful, n = written(_last_pieces(pieces, start).where("has").drop("has"), "last-pieces")
+    if not n:
+        return None
+    small = F.broadcast if n <= BROADCAST_FILES else lambda table: table
+    behind = _pieces(spark, path, start).join(small(doubtful.select("file")), "file", "left_semi")
+    left_open, n = written(doubtful.join(_last_pieces(behind, end).where("not has").select("file"), "file", "left_semi"), "open-records")
+    return (F.broadcast(left_open) if n <= BROADCAST_FILES else left_open) if n else None
+
+
+def _begin_within(value: Column, start: str, end_bytes: int, max_bytes: int) -> Column:
+    """Where the record of a piece begins (from 1, in characters) that has at most ``max_bytes``; 0 if there is none.
+
+    Reading forgets a record as soon as it has more bytes, and only then looks for the next start mark.
+    """
+    mark = len(start.encode())
+    total = F.octet_length(value) + end_bytes
+    first = F.locate(start, value)
+    fits = F.octet_length(F.substr(value, first)) + end_bytes <= max_bytes
+    # Bytes in front of each start mark of the piece: those of the parts before it, and of the marks between.
+    parts = F.transform(F.split(value, rf"\Q{start}\E", -1), lambda part: F.octet_length(part))
+    before = F.aggregate(
+        F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("resume"), F.lit(-1).alias("found")),
+        lambda state, length: F.struct(
+            (state["at"] + length + mark).alias("at"),
+            F.when((state["found"] >= 0) | (state["at"] + length < state["resume"]), state["resume"]).otherwise(state["at"] + length + max_bytes + 1).alias("resume"),
+            F.when((state["found"] < 0) & (state["at"] + length >= state["resume"]) & (total - state["at"] - length <= max_bytes), state["at"] + length)
+            .otherwise(state["found"]).alias("found"),
+        ),
+        lambda state: state["found"],
+    )
+    in_bytes = F.substr(F.encode(value, "utf-8"), F.lit(1), before)
+    later = F.when(before >= 0, F.length(F.decode(in_bytes, "utf-8")) + 1).otherwise(0)
+    return F.when(fits, first).otherwise(later)

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = ".made-for"
-"""What is put behind a table's path to name the place of its fingerprint."""
+MANIFEST = "_manifest"
+"""The name, in a fingerprinted table's folder, of the place that says which data are current and what for."""
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
@@ -39,12 +39,18 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+def _current_data(spark: SparkSession, path: str, fingerprint: str) -> str | None:
+    """The folder of the data that the manifest at ``path`` names for ``fingerprint``."""
+    manifest = f"{path}/{MANIFEST}"
+    if not is_complete(spark, manifest):
+        return None
+    name, _, made_for = "\n".join(r[0] for r in spark.read.text(manifest).collect()).partition("\t")
+    return f"{path}/{name}" if made_for == fingerprint and is_complete(spark, f"{path}/{name}") else None
+
+
 def is_current(spark: SparkSession, path: str, fingerprint: str | None) -> bool:
     """Whether ``path`` holds a finished table, made for ``fingerprint`` if that is given."""
-    if not is_complete(spark, path) or fingerprint is None:
-        return is_complete(spark, path)
-    mark = path + MARK
-    return is_complete(spark, mark) and [r[0] for r in spark.read.text(mark).collect()] == [fingerprint]
+    return is_complete(spark, path) if fingerprint is None else _current_data(spark, path, fingerprint) is not None
 
 
 def files_fingerprint(spark: SparkSession, path: str | list[str], *settings) -> str:
@@ -83,15 +89,34 @@ def materialize(
     """The table at ``path``, computed and written first where needed.
 
     ``reuse`` takes a finished table as it is; one without its success mark is written
-    again, and so is one that was written for another ``fingerprint`` of its inputs.
-    ``overwrite`` always replaces it. Reading the table back cuts the lineage and gives the
+    again. ``overwrite`` always replaces it. Reading the table back cuts the lineage and gives the
     optimizer its size. A table in folders by ``partition_by`` needs its ``schema`` to be read
     when it is empty.
+
+    With a ``fingerprint`` of its inputs, data go to a new folder in ``path``, and a manifest written last
+    names folder and fingerprint together. A run that is lost at any time leaves the
+    former manifest with the data it names, or none; data that no manifest names are never
+    read, and go when the next ones are in place.
     """
     if if_exists not in ("reuse", "overwrite"):
         raise ValueError(f"if_exists must be 'reuse' or 'overwrite', not {if_exists!r}")
-    if if_exists == "overwrite" or not is_current(spark, path, fingerprint):
-        compute().write.mode("overwrite").parquet(path, partitionBy=partition_by)
-        if fingerprint is not None:
-            spark.range(1).select(F.lit(fingerprint)).write.mode("overwrite").text(path + MARK)
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    place = path if fingerprint is None else _current_data(spark, path, fingerprint)
+    if if_exists == "overwrite" or place is None or not is_complete(spark, place):
+        if fingerprint is None:
+            compute().write.mode("overwrite").parquet(path, partitionBy=partition_by)
+        else:
+            name = f"made-{uuid.uuid4().hex}"
+            place = f"{path}/{name}"
+            compute().write.parquet(place, partitionBy=partition_by)
+            spark.range(1).select(F.lit(f"{name}\t{fingerprint}")).write.mode("overwrite").text(f"{path}/{MANIFEST}")
+            _drop_others(spark, path, name)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(place)
+
+
+def _drop_others(spark: SparkSession, path: str, name: str) -> None:
+    """Delete the data in ``path`` that the manifest no longer names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.listStatus(folder):
+        if found.getPath().getName() not in (name, MANIFEST):
+            system.delete(found.getPath(), True)

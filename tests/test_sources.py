@@ -1,5 +1,7 @@
 import bz2
+import gzip
 import os
+import random
 
 import pytest
 from conftest import record
@@ -52,12 +54,85 @@ def test_delimited_preamble_nested_marks_and_open_tails(spark, tmp_path):
     assert values(read_delimited(spark, str(packed), "<a>", "<z>")) == ["<a>six<z>"]
 
 
-def test_a_record_far_above_the_limit_is_passed_over(spark, tmp_path, monkeypatch):
-    from dossierlens.sources import delimited
+def read_by_hand(data, start, end, max_bytes=None):
+    """One file from its first byte to its last."""
+    records, at = [], 0
+    while (begin := data.find(start, at)) >= 0:
+        close = data.find(end, begin + len(start))
+        size = close + len(end) - begin
+        if max_bytes is not None and (close < 0 or size > max_bytes):
+            at = begin + max_bytes + 1
+        elif close < 0:
+            break
+        else:
+            records.append(data[begin : close + len(end)].decode())
+            at = close + len(end)
+    return sorted(records)
 
-    monkeypatch.setattr(delimited, "BETWEEN_BYTES", 100)
-    path = write(tmp_path / "f", "{aa}{" + "b" * 200_000 + "}{cc}")
-    assert values(read_delimited(spark, path, "{", "}", max_bytes=6)) == ["{aa}", "{cc}"]
+
+PACKED = {"": lambda data: data, ".bz2": lambda data: bz2.compress(data, 1), ".gz": gzip.compress}
+
+
+@pytest.fixture
+def split_size(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda n: spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("packing", PACKED)
+@pytest.mark.parametrize("split", [1024, 128 << 20])
+def test_records_are_the_same_in_any_packing_and_split(spark, tmp_path, split_size, packing, split):
+    rng = random.Random(5)
+    split_size(split)
+    folder = tmp_path / "a b%20+é"
+    folder.mkdir()
+    expected, short = [], []
+    tails = [b"", b"<a>open", b"<a>open <a>again", b"\n", b"<z>", b"<a>whole<z>", b"<a>" + b"x" * 5000, b"gap" * 2000]
+    for k, tail in enumerate(tails):
+        parts = [rng.choice([b"<a>", b"<a>", b"<z>", b"<z>", "é".encode() * rng.randint(0, 400), b"text", b"<", b"a>", b"<<a"]) for _ in range(300)]
+        data = (b"" if k % 3 else b"junk <z> tail ") + b"".join(parts) + tail
+        (folder / f"f{k}{packing}").write_bytes(PACKED[packing](data))
+        expected += read_by_hand(data, b"<a>", b"<z>")
+        short += read_by_hand(data, b"<a>", b"<z>", 300)
+    assert values(read_delimited(spark, str(folder), "<a>", "<z>")) == sorted(expected)
+    assert values(read_delimited(spark, str(folder), "<a>", "<z>", max_bytes=300)) == sorted(short)
+
+
+def test_mixed_files_and_splits_of_one_packed_file(spark, tmp_path, split_size):
+    rng = random.Random(6)
+    data = b"<z>" + b"".join(b"<a>" + rng.randbytes(3000).hex().encode() + b"<a><z>" for _ in range(400)) + b"<a>open"
+    for packing, pack in PACKED.items():
+        (tmp_path / f"f{packing}").write_bytes(pack(data))
+    split_size(100_000)
+    found = read_delimited(spark, str(tmp_path), "<a>", "<z>")
+    assert values(found) == sorted(3 * read_by_hand(data, b"<a>", b"<z>"))
+    one = spark.read.option("lineSep", "<z>").text(str(tmp_path / "f.bz2"))
+    assert one.rdd.getNumPartitions() > 5
+
+
+def test_many_files_are_looked_at_in_one_job(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f{k}").write_bytes(b"<a>%d<z>" % k + b"<a>open" * (k % 2))
+    spark.sparkContext.setJobGroup("many files", "many files")
+    found = read_delimited(spark, str(tmp_path), "<a>", "<z>")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many files"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20
+    assert values(found) == sorted(f"<a>{k}<z>" for k in range(300))
+
+
+def test_records_beside_long_gaps_and_open_records_are_kept(spark, tmp_path):
+    gap = "-" * (2 << 20)
+    path = write(tmp_path / "f", gap + "{aa}" + gap + "{bb}" + gap + "{" + "c" * (40 << 20) + "{dd}" + gap)
+    assert values(read_delimited(spark, path, "{", "}", max_bytes=6)) == ["{aa}", "{bb}", "{dd}"]
+
+
+def test_an_oversize_record_is_forgotten_and_the_next_start_mark_counts(spark, tmp_path):
+    path = write(tmp_path / "f", "{ééééé{x}{ab{cd}{{{{{{{e}")
+    for most in range(2, 16):
+        expected = read_by_hand((tmp_path / "f").read_bytes(), b"{", b"}", most)
+        assert values(read_delimited(spark, path, "{", "}", max_bytes=most)) == expected, most
 
 
 def test_delimited_rejects_bad_arguments(spark, tmp_path):
@@ -65,6 +140,9 @@ def test_delimited_rejects_bad_arguments(spark, tmp_path):
         read_delimited(spark, str(tmp_path), "", "}")
     with pytest.raises(ValueError):
         read_delimited(spark, str(tmp_path), "{", "}", anchor="middle")
+    for marks in (("ab", "bc"), ("a", "a"), ("<a>", "<a>>"), ("xx", "x")):
+        with pytest.raises(ValueError, match="overlap"):
+            read_delimited(spark, str(tmp_path), *marks)
 
 
 def test_oversize_records_are_dropped_and_reading_goes_on(spark, tmp_path):
@@ -171,6 +249,40 @@ def test_materialize(spark, tmp_path):
         materialize(spark, lambda: spark.range(1), path, "append")
 
 
+def test_a_lost_run_leaves_the_former_table(spark, tmp_path, monkeypatch):
+    """The second run ends after its data and before its manifest; the third one asks for the first inputs again."""
+    from dossierlens.sources import stored
+
+    path = str(tmp_path / "t")
+    made = []
+
+    def kept(n, fingerprint):
+        return materialize(spark, lambda: made.append(n) or spark.range(n), path, fingerprint=fingerprint).count()
+
+    assert kept(1, "A") == 1
+    real = stored.MANIFEST
+    monkeypatch.setattr(stored, "_drop_others", lambda *_: None)
+    monkeypatch.setattr(stored, "MANIFEST", "no such folder/\0")  # the write of the manifest fails
+    with pytest.raises(Exception):
+        kept(5, "B")
+    monkeypatch.undo()
+    assert stored.MANIFEST == real
+    assert len([f for f in os.listdir(path) if f.startswith("made-")]) == 2
+    assert (kept(1, "A"), made) == (1, [1, 5])
+    assert (kept(5, "B"), made) == (5, [1, 5, 5])
+    assert len([f for f in os.listdir(path) if f.startswith("made-")]) == 1
+    assert (kept(1, "A"), made) == (1, [1, 5, 5, 1])
+    # Data whose own job did not end are not taken either.
+    (data,) = [f for f in os.listdir(path) if f.startswith("made-")]
+    os.remove(os.path.join(path, data, "_SUCCESS"))
+    assert (kept(2, "A"), made) == (2, [1, 5, 5, 1, 2])
+
+
+def test_a_record_far_above_the_limit_is_passed_over(spark, tmp_path):
+    path = write(tmp_path / "f", "{aa}{" + "b" * 200_000 + "}{cc}")
+    assert values(read_delimited(spark, path, "{", "}", max_bytes=6)) == ["{aa}", "{cc}"]
+
+
 def test_scratch_lies_in_the_checkpoint_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
