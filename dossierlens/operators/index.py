@@ -10,7 +10,8 @@ the form the similarity join reads:
 * ``heads(term, df, entries, shard)``: the postings of highest impact of each term, at most
   ``head_size`` of them over all shards, packed in one row per shard.
 * ``tails(term, df, doc_no, impact, shard)``: all other postings, one row each.
-* ``bounds(term, head_level, tail_max)``: the highest impact in each tail.
+* ``bounds(term, head_level, tail_max)``: the lists that have a tail, and where it begins.
+* ``tail_maxima(term, shard, tail_max)``: the highest impact of each tail in each shard.
 
 Heads and tails are written in a folder per shard, so that a job reads only its own.
 
@@ -75,11 +76,13 @@ class Index:
     heads: DataFrame
     tails: DataFrame | None
     bounds: DataFrame | None
+    tail_maxima: DataFrame | None
     n_shards: int
     head_entries: int
     """Packed entries in the heads of the largest shard."""
     n_tails: int
     """Terms with a tail."""
+    n_tail_maxima: int
     n_files: int
     n_documents: int
     n_terms: int
@@ -130,13 +133,14 @@ def build_index(
     n_terms, n_entries, longest, squares, letters = (value or 0 for value in sizes)
 
     n_shards = max(1, math.ceil(n_entries / shard_entries))
-    tails = bounds = None
+    tails = bounds = maxima = None
     if longest <= head_size:
         heads = stored("heads", lambda: _packed(_entries(contents, terms, NORMS[norm], n_shards)), HEADS)
     else:
         entries = stored("entries", lambda: _entries(contents, terms, NORMS[norm], n_shards))
         bounds = stored("bounds", lambda: _bounds(entries, head_size))
         tails = stored("tails", lambda: _tails(entries, bounds), TAILS)
+        maxima = stored("tail-maxima", lambda: tails.groupBy("term", "shard").agg(F.max("impact").alias("tail_max")))
         heads = stored("heads", lambda: _packed(_heads(entries, bounds)), HEADS)
     in_shards = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n"))
     return Index(
@@ -146,9 +150,11 @@ def build_index(
         heads=heads,
         tails=tails,
         bounds=bounds,
+        tail_maxima=maxima,
         n_shards=n_shards,
         head_entries=in_shards.agg(F.max("n")).first()[0] or 0,
         n_tails=bounds.count() if bounds is not None else 0,
+        n_tail_maxima=maxima.count() if maxima is not None else 0,
         n_files=n_files,
         n_documents=n_documents,
         n_terms=n_terms,

@@ -5,19 +5,22 @@ Three properties keep the join small without changing its result:
 
 * Pages with the same terms ask the same query. Queries are scored once, so a group of
   copies of any size costs one query.
-* Queries stay where they are: a shard of the index has a size that can be broadcast, so a
-  query's pairs are made and summed in the task that holds it. Shards are taken in turn,
-  and only the ``k`` best of each are kept for the final choice.
-* Long posting lists are not paired with every query. Their heads give each query a lower
-  bound for its k-th score; a tail is opened only if documents found nowhere else could
-  still reach that bound, and is otherwise looked up for the documents that can.
+* Pairs are made and summed in the task that holds a query and a shard of the index, and never
+  move. One shard is broadcast. Several meet the queries in one job: a tile is a block of
+  queries with a shard, both are dealt by tile once, and only the ``k`` best of each query and tile
+  go on to the final choice.
+* Long posting lists are not paired with every query. The heads of all shards give each query a lower
+  bound for its k-th score; in each shard a tail is opened only if documents found nowhere else could
+  still reach that bound with the highest impacts of that shard's tails, and is otherwise looked up for
+  the documents that can.
 """
 
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rank_value
@@ -42,6 +45,8 @@ ENTRY_BYTES = 16
 ROW_BYTES = 64
 PAIRS_PER_TASK = 20_000_000
 
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
 _SLACK = 1 - 1e-6
 """Scores are ranked as 32-bit numbers; bounds leave more room than their rounding."""
 
@@ -50,6 +55,17 @@ def _small(table: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(table) if n_bytes <= BROADCAST_BYTES else table
 
 
+@contextmanager
+def _dealt_by_tile(spark: SparkSession):
+    """Plans made inside take rows dealt by tile for rows dealt by tile and term, and do not deal them again."""
+    before = spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+
+
 def _spread(queries: DataFrame, n_asked: int, index: Index) -> DataFrame:
     """``queries``, asking ``n_asked`` terms in all, in tasks sized by the pairs they will
     make, not by their own few bytes.
@@ -153,15 +169,11 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     n_asked = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     best = [rank_value(F.col("score")).desc()]
     if index.n_shards == 1:
-        hits = _shard_hits(queries, n_asked, index, 0, k)
+        hits = _best_documents(queries, n_asked, index, k)
     else:
         queries = materialize(index.spark, lambda: queries, scratch_path(index.spark, "distinct"))
-        path = scratch_path(index.spark, "shard-hits")
-        for shard in range(index.n_shards):
-            _shard_hits(queries, n_asked, index, shard, k).write.mode("append").parquet(path)
-        hits = top_per_group(
-            index.spark.read.parquet(path).drop("rank"), QUERY, [*best, F.col("doc_no")], k
-        )
+        with _dealt_by_tile(index.spark):
+            hits = materialize(index.spark, lambda: _best_documents(queries, n_asked, index, k), scratch_path(index.spark, "hits"))
     if index.n_documents == index.n_files:
         return hits.select(*QUERY, F.col("doc_no").alias("file_no"), "score", "rank")
     # No query can take more than the k first copies of a document.
@@ -172,108 +184,134 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     )
 
 
-def _shard_hits(queries: DataFrame, n_asked: int, index: Index, shard: int, k: int) -> DataFrame:
-    """``(*QUERY, doc_no, score, rank)``: the ``k`` best documents of one shard."""
+def _best_documents(queries: DataFrame, n_asked: int, index: Index, k: int) -> DataFrame:
+    """``(*QUERY, doc_no, score, rank)``: the ``k`` best documents of all shards."""
     if index.n_tails:
-        sums = _sums_with_tails(queries, n_asked, index, shard, k)
+        sums = _sums_with_tails(queries, n_asked, index, k)
     else:
-        sums = _head_sums(_spread(queries, n_asked, index), index, shard, ["scale"])
+        sums = _head_sums(_in_shards(queries, index), n_asked, index, ["scale"])
     scored = sums.withColumn("score", F.col("scale") * F.col("matched") * F.col("impact"))
     order = [rank_value(F.col("score")).desc(), F.col("doc_no")]
     return top_per_group(scored, QUERY, order, k).select(*QUERY, "doc_no", "score", "rank")
 
 
-def _head_sums(queries: DataFrame, index: Index, shard: int, carried: list[str]) -> DataFrame:
-    """``(*QUERY, *carried, doc_no, impact, matched)`` from the heads of the query terms."""
-    heads = _small(index.heads.where(F.col("shard") == shard).select("term", "entries"), index.head_entries * ENTRY_BYTES + index.term_bytes)
-    pairs = queries.select(*QUERY, *carried, F.explode("terms").alias("term")).join(heads, "term")
+def _in_shards(queries: DataFrame, index: Index) -> DataFrame:
+    """``queries``, once for each ``shard``."""
+    if index.n_shards == 1:
+        return queries.withColumn("shard", F.lit(0))
+    return queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.n_shards - 1))))
+
+
+def _head_sums(asked: DataFrame, n_asked: int, index: Index, carried: list[str]) -> DataFrame:
+    """``(tile, *QUERY, shard, *carried, doc_no, impact, matched)`` from the heads of the terms of
+    ``asked(*QUERY, shard, terms, *carried)``, summed where queries and shard meet."""
+    kept = [*QUERY, "shard", *carried]
+    if index.n_shards == 1:
+        heads = _small(index.heads.select("term", "entries"), index.head_entries * ENTRY_BYTES + index.term_bytes)
+        pairs = _spread(asked, n_asked, index).select(*kept, F.lit(0).alias("tile"), F.explode("terms").alias("term")).join(heads, "term")
+    else:
+        # Pairs of one tile are what a task makes; a list is repeated for each block of queries.
+        blocks = max(1, math.ceil(n_asked * index.list_length / PAIRS_PER_TASK))
+        n_tasks = max(index.spark.sparkContext.defaultParallelism, index.n_shards * blocks)
+        n_tasks += n_tasks == int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+        block = F.pmod(F.xxhash64(F.lit("block"), *QUERY), F.lit(blocks)).cast("int")
+        tiled = asked.withColumn("tile", F.col("shard") * blocks + block).repartition(n_tasks, "tile")
+        heads = index.heads.select("term", "entries", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        heads = heads.select("term", "entries", (F.col("shard") * blocks + F.col("block")).alias("tile")).repartition(n_tasks, "tile")
+        pairs = tiled.select(*kept, "tile", F.explode("terms").alias("term")).join(heads, ["tile", "term"])
     return (
-        pairs.select(*QUERY, *carried, F.inline("entries"))
-        .groupBy(*QUERY, *carried, "doc_no")
+        pairs.select("tile", *kept, F.inline("entries"))
+        .groupBy("tile", *kept, "doc_no")
         .agg(F.sum("impact").alias("impact"), F.count("*").alias("matched"))
     )
 
 
-def _sums_with_tails(
-    queries: DataFrame, n_asked: int, index: Index, shard: int, k: int
-) -> DataFrame:
-    """Complete sums of every document that can be among the ``k`` best.
+def _needed(found: DataFrame, k: int) -> DataFrame:
+    """``(*QUERY, needed)``: the k-th highest ``matched * impact`` that each query has in the heads of all shards."""
+    reach = found.select(*QUERY, (F.col("matched") * F.col("impact")).alias("needed"))
+    return top_per_group(reach, QUERY, [F.col("needed").desc()], k).where(F.col("rank") == k).drop("rank")
 
-    A document that is in none of the lists opened for a query matches at most the ``j``
-    tails left closed, so ``matched * impact`` is at most ``j * sum(tail_max)``.
-    """
-    bounds = _small(index.bounds.select("term", "tail_max"), index.n_tails * ROW_BYTES)
-    tails = index.tails.where(F.col("shard") == shard).select("term", "doc_no", "impact")
+
+def _decided(bounded: DataFrame, needed: DataFrame) -> DataFrame:
+    """``bounded(*QUERY, shard, tails, ...)`` with the tails that stay closed in each shard: those of lowest bounds,
+    while all of them together fall short of what is needed."""
+    fall_short = F.filter(
+        F.sequence(F.lit(1), F.size("tails")),
+        lambda j: j * _total(F.slice("tails", 1, j)) < F.col("needed") * _SLACK,
+    )
+    return (
+        bounded.join(needed, QUERY, "left")
+        .withColumn("needed", F.coalesce("needed", F.lit(0.0)))
+        .withColumn("n_closed", F.when(F.size("tails") > 0, F.size(fall_short)).otherwise(0))
+        .withColumn("closed", F.slice("tails", 1, F.col("n_closed")))
+        .withColumn("closed_sum", _total(F.col("closed")))
+    )
+
+
+def _total(tails: Column) -> Column:
+    return F.aggregate(tails, F.lit(0.0), lambda acc, t: acc + t["tail_max"])
+
+
+def _with_tails(queries: DataFrame, index: Index) -> DataFrame:
+    """``queries`` in each ``shard``, with ``tails``: the terms that have a tail there, and its highest
+    impact, from the lowest on."""
+    maxima = _small(index.tail_maxima.select("term", "shard", "tail_max"), index.n_tail_maxima * ROW_BYTES)
+    in_tail = (
+        queries.select(*QUERY, F.explode("terms").alias("term"))
+        .join(maxima, "term")
+        .groupBy(*QUERY, "shard")
+        .agg(F.sort_array(F.collect_list(F.struct("tail_max", "term"))).alias("tails"))
+    )
     no_tails = F.array().cast("array<struct<tail_max: double, term: string>>")
+    return _in_shards(queries, index).join(in_tail, [*QUERY, "shard"], "left").withColumn("tails", F.coalesce("tails", no_tails))
 
-    def with_tails() -> DataFrame:
-        in_tail = (
-            queries.select(*QUERY, F.explode("terms").alias("term"))
-            .join(bounds, "term")
-            .groupBy(*QUERY)
-            .agg(F.sort_array(F.collect_list(F.struct("tail_max", "term"))).alias("tails"))
-        )
-        return queries.join(in_tail, QUERY, "left").withColumn("tails", F.coalesce("tails", no_tails))
 
-    bounded = materialize(index.spark, with_tails, scratch_path(index.spark, "bounded"))
+def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) -> DataFrame:
+    """Complete sums of every document that can be among the ``k`` best.
 
-    def total(tails: Column) -> Column:
-        return F.aggregate(tails, F.lit(0.0), lambda acc, t: acc + t["tail_max"])
+    A document that is in none of the lists opened for a query in its shard matches at most the ``j``
+    tails left closed there, so ``matched * impact`` is at most ``j * sum(tail_max)``.
+    """
+    tails = index.tails.select("term", "shard", "doc_no", "impact")
+    bounded = materialize(index.spark, lambda: _with_tails(queries, index), scratch_path(index.spark, "bounded"))
 
-    # Lower bounds from the heads: the k-th of them is what a document has to reach.
+    # What the heads of one tile give is kept if it can reach the tile's own k-th; all that is among the k best
+    # of all shards is there, and gives the bound that holds everywhere.
     reach = F.col("matched") * F.col("impact")
-    by_reach = Window.partitionBy(*QUERY).orderBy(reach.desc())
+    by_reach = Window.partitionBy("tile", *QUERY).orderBy(reach.desc())
     heads = _head_sums(
-        _spread(bounded, n_asked, index).withColumn("n_tails", F.size("tails")).withColumn("tail_sum", total(F.col("tails"))),
-        index,
-        shard,
-        ["scale", "n_tails", "tail_sum"],
+        bounded.withColumn("n_tails", F.size("tails")).withColumn("tail_sum", _total(F.col("tails"))), n_asked, index, ["scale", "n_tails", "tail_sum"]
     )
     placed = heads.withColumn("place", F.row_number().over(by_reach)).withColumn(
         "needed",
-        F.coalesce(
-            F.max(F.when(F.col("place") == k, reach)).over(Window.partitionBy(*QUERY)), F.lit(0.0)
-        ),
+        F.coalesce(F.max(F.when(F.col("place") == k, reach)).over(Window.partitionBy("tile", *QUERY)), F.lit(0.0)),
     )
     possible = (F.col("matched") + F.col("n_tails")) * (F.col("impact") + F.col("tail_sum"))
     found = materialize(
         index.spark,
-        lambda: placed.where(possible >= F.col("needed") * _SLACK).select(
-            *QUERY, "scale", "doc_no", "impact", "matched", "needed"
-        ),
+        lambda: placed.where(possible >= F.col("needed") * _SLACK).select(*QUERY, "scale", "shard", "doc_no", "impact", "matched"),
         scratch_path(index.spark, "found"),
     )
 
-    # Tails with the lowest bounds stay closed while all of them together fall short.
-    needed = found.groupBy(*QUERY).agg(F.max("needed").alias("needed"))
-    fall_short = F.filter(
-        F.sequence(F.lit(1), F.size("tails")),
-        lambda j: j * total(F.slice("tails", 1, j)) < F.col("needed") * _SLACK,
-    )
-    decided = (
-        _spread(bounded, n_asked, index)
-        .join(needed, QUERY, "left")
-        .withColumn("needed", F.coalesce("needed", F.lit(0.0)))
-        .withColumn("n_closed", F.when(F.size("tails") > 0, F.size(fall_short)).otherwise(0))
-        .withColumn("closed", F.slice("tails", 1, F.col("n_closed")))
-        .withColumn("closed_sum", total(F.col("closed")))
+    decided = materialize(
+        index.spark,
+        lambda: _decided(bounded, _needed(found, k)).select(*QUERY, "shard", "scale", "needed", "n_closed", "closed", "closed_sum", "tails"),
+        scratch_path(index.spark, "decided"),
     )
     opened = (
         decided.select(
-            *QUERY,
-            "scale",
+            *QUERY, "shard", "scale",
             F.explode(F.slice("tails", F.col("n_closed") + 1, F.size("tails"))).alias("tail"),
         )
-        .select(*QUERY, "scale", F.col("tail.term").alias("term"))
-        .join(tails, "term")
-        .select(*QUERY, "scale", "doc_no", "impact", F.lit(1).cast("long").alias("matched"))
+        .select(*QUERY, "shard", "scale", F.col("tail.term").alias("term"))
+        .join(tails, ["shard", "term"])
+        .select(*QUERY, "scale", "shard", "doc_no", "impact", F.lit(1).cast("long").alias("matched"))
     )
     candidates = (
-        found.drop("needed")
-        .unionByName(opened)
-        .groupBy(*QUERY, "scale", "doc_no")
+        found.unionByName(opened)
+        .groupBy(*QUERY, "scale", "shard", "doc_no")
         .agg(F.sum("impact").alias("impact"), F.sum("matched").alias("matched"))
-        .join(decided.select(*QUERY, "needed", "n_closed", "closed", "closed_sum"), QUERY)
+        .join(decided.select(*QUERY, "shard", "needed", "n_closed", "closed", "closed_sum"), [*QUERY, "shard"])
     )
     possible = (F.col("matched") + F.col("n_closed")) * (F.col("impact") + F.col("closed_sum"))
 
@@ -283,7 +321,7 @@ def _sums_with_tails(
     rows = (
         candidates.where(possible >= F.col("needed") * _SLACK)
         .select(*QUERY, "scale", "doc_no", "impact", "matched", F.explode(asked).alias("term"))
-        .join(tails.withColumnRenamed("impact", "added"), ["term", "doc_no"], "left")
+        .join(tails.select("term", "doc_no", F.col("impact").alias("added")), ["term", "doc_no"], "left")
     )
     is_sum = F.col("term").isNull()
     return rows.groupBy(*QUERY, "scale", "doc_no").agg(

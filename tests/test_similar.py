@@ -112,7 +112,7 @@ def test_tails_stay_closed_where_they_cannot_matter(spark):
     assert index.n_tails == 31 and index.tails.where("term = 'the'").count() == 200
     page_rows = spark.createDataFrame([(0, pages[0])], "page_id long, body string")
     queries = similar.page_queries(similar.query_terms(page_rows, index))
-    scored = similar._sums_with_tails(queries.drop("page_id"), 1, index, 0, 5)
+    scored = similar._sums_with_tails(queries.drop("page_id"), 1, index, 5)
     assert scored.count() == 10, "no document with the common word alone was paired"
 
 
@@ -130,6 +130,64 @@ def test_more_shards_do_not_mean_longer_heads(spark):
     assert "PartitionFilters: [isnotnull(shard" in one_shard
 
 
+def page_queries(spark, pages, index):
+    rows = spark.createDataFrame(list(pages.items()), "page_id long, body string")
+    path = scratch_path(spark, "asked")
+    similar.page_queries(similar.query_terms(rows, index)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_all_shards_are_scored_in_one_job(spark):
+    """The jobs do not grow with the shards, and pairs are summed in the task that makes them."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    pages, docs = corpus(7)
+    jobs, plans = [], []
+    for shard_entries in (400, 20):
+        index = indexed(spark, docs, shard_entries=shard_entries)
+        queries = page_queries(spark, pages, index)
+        spark.sparkContext.setJobGroup(f"shards-{shard_entries}", "")
+        found = similar.query_hits(queries, index)
+        jobs.append((index.n_shards, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"shards-{shard_entries}"))))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert found.count() > 0
+        spark.conf.set(threshold, "-1")
+        with similar._dealt_by_tile(spark):
+            distinct = queries.select(*similar.QUERY, "terms", "scale").dropDuplicates(similar.QUERY)
+            sums = similar._head_sums(similar._in_shards(distinct, index), 100, index, ["scale"])
+            plans.append(sums._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set(threshold, before)
+    (few, jobs_of_few), (many, jobs_of_many) = jobs
+    assert 1 < few < 5 and many > 50
+    assert jobs_of_many == jobs_of_few
+    for plan in plans:
+        assert plan.count("REPARTITION_BY_NUM") == 2
+        # Behind the join there is no exchange: the only other one makes queries distinct.
+        assert plan.count("Exchange") == 3, plan
+
+
+def test_heads_of_all_shards_keep_more_tails_closed_than_those_of_one(spark, monkeypatch):
+    """The bound each query gets from all shards is no lower than that of a single shard."""
+    rng = random.Random(3)
+    docs = {f"d{i:03}": " ".join(["the", "of", *(f"x{rng.randrange(30)}" for _ in range(rng.choice([3, 60])))]) for i in range(400)}
+    docs |= {f"r{i}": f"rare the own{i}" for i in range(12)}
+    pages = {0: "rare rare the the of of", 1: "x1 x1 x2 x2 the the"}
+    index = indexed(spark, docs, head_size=24, shard_entries=1500)
+    assert index.n_shards > 4
+    tables, real = {}, similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda s, compute, path, *rest: tables.setdefault(path.rsplit("/", 1)[-1].split("-")[0], real(s, compute, path, *rest)))
+    assert asked(spark, pages, index, 5) == brute_force(pages, docs, 5)
+    monkeypatch.undo()
+    opened = F.sum(F.size("tails") - F.col("n_closed"))
+    everywhere = tables["decided"].agg(opened).first()[0]
+    by_shard = 0
+    for shard in range(index.n_shards):
+        here = F.col("shard") == shard
+        decided = similar._decided(tables["bounded"].where(here), similar._needed(tables["found"].where(here), 5))
+        by_shard += decided.agg(opened).first()[0]
+    assert everywhere < by_shard
+
+
 def test_defaults_and_options(spark):
     docs = {f"d{i}": "common shared " + ("seldom" if i < 4 else "often") for i in range(12)}
     index = indexed(spark, docs)
