@@ -207,11 +207,13 @@ def index_terms(spark, sf_dir):
 
 
 def index_postings(spark, sf_dir):
-    """Every posting the index itself holds, from heads and tails, for each file."""
+    """Every posting the index itself holds, from heads and tails, for each file, as it counts with its idf."""
     index = _index(spark, sf_dir, "conversations", head_size=256)
     heads = index.heads.select("term", F.inline("entries"))
     every = heads if index.tails is None else heads.unionByName(index.tails.select("term", "doc_no", "impact"))
-    return _rounded(every.join(index.files, "doc_no").select("term", "filename", "impact"), "impact")
+    impact = F.col("impact") * F.col("idf") * F.col("idf")
+    every = every.join(index.files, "doc_no").join(index.terms, "term")
+    return _rounded(every.select("term", "filename", impact.alias("impact")), "impact")
 
 
 def doc_stats(spark, sf_dir):

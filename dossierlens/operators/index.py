@@ -7,9 +7,9 @@ the form the similarity join reads:
   ties by number is ranking them by name. Files with the same words share one ``doc_no``,
   the lowest of their numbers, and are scored once.
 * ``terms(term, df, idf)``.
-* ``heads(term, df, entries, shard)``: the postings of highest impact of each term, at most
+* ``heads(term, entries, shard)``: the postings of highest impact of each term, at most
   ``head_size`` of them over all shards, packed in one row per shard.
-* ``tails(term, df, doc_no, impact, shard)``: all other postings, one row each.
+* ``tails(term, doc_no, impact, shard)``: all other postings, one row each.
 * ``bounds(term, head_level, tail_max)``: the lists that have a tail, and where it begins.
 * ``tail_maxima(term, shard, tail_max)``: the highest impact of each tail in each shard.
 
@@ -18,8 +18,9 @@ Heads and tails are written in a folder per shard, so that a job reads only its
 Documents are dealt to as many shards as it takes for the postings of one shard to be
 broadcast. A document is in one shard only, so its score never needs another one.
 
-The impact ``sqrt(tf) * idf^2 * norm`` is all of a document's score that does not depend on
-the query.
+The impact ``sqrt(tf) * norm`` is what a posting by itself adds to a score; the query brings ``idf^2``, so
+postings never meet the table of terms. Texts are taken apart where they are read: names alone are sorted
+for the numbers, and no exchange holds a text.
 """
 
 from __future__ import annotations
@@ -35,13 +36,18 @@ from ..functions.rows import let
 from ..functions.scoring import NORMS, idf
 from ..functions.words import word_counts, words
 from ..sources.stored import is_current, materialize, scratch_path
+from .ranking import places_within
 from .terms import stem_vocabulary, term_counts
 
 HEAD_SIZE = 65_536
 """Most postings of a term, in the whole collection, that every query asking it is paired with."""
 
-HEADS = "term string, df long, entries array<struct<doc_no: long, impact: double>>, shard int"
-TAILS = "term string, df long, doc_no long, impact double, shard int"
+HEADS = "term string, entries array<struct<doc_no: long, impact: double>>, shard int"
+TAILS = "term string, doc_no long, impact double, shard int"
+
+BROADCAST_BYTES = 256 << 20
+BOUND_BYTES = 64
+"""What a row of ``bounds`` takes when it is broadcast; there are at most postings / head size of them."""
 
 SHARD_ENTRIES = 4_000_000
 """Postings per shard: 64 MB of numbers, and what a task can hold of an index."""
@@ -122,9 +128,11 @@ def build_index(
         replace = replace or not is_current(spark, f"{folder}/{name}", fingerprint)
         return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse", fingerprint, ["shard"] if schema else None, schema)
 
-    counted = stored("counted" if stem else "documents", lambda: _numbered_counts(case_docs, apostrophes))
-    documents = stored("documents", lambda: _stem_counts(counted)) if stem else counted
+    counted = stored("counted", lambda: _counted(case_docs, apostrophes))
+    numbers = stored("numbers", lambda: places_within(counted.select("filename", "row"), [], ["filename", "row"], "file_no").select("row", "file_no"))
+    documents = stored("documents", lambda: _numbered(_stem_counts(counted) if stem else counted, numbers))
     n_files, n_documents = documents.agg(F.count("*"), F.count_distinct("content")).first()
+    files = stored("files", lambda: _files(documents, n_documents < n_files))
     contents = _contents(documents, n_documents < n_files)
     terms = stored("terms", lambda: _terms(contents, n_files))
     n = F.col("n_entries")
@@ -134,18 +142,21 @@ def build_index(
 
     n_shards = max(1, math.ceil(n_entries / shard_entries))
     tails = bounds = maxima = None
+    n_tails = 0
     if longest <= head_size:
-        heads = stored("heads", lambda: _packed(_entries(contents, terms, NORMS[norm], n_shards)), HEADS)
+        heads = stored("heads", lambda: _packed(_entries(contents, NORMS[norm], n_shards)), HEADS)
     else:
-        entries = stored("entries", lambda: _entries(contents, terms, NORMS[norm], n_shards))
+        entries = stored("entries", lambda: _entries(contents, NORMS[norm], n_shards))
         bounds = stored("bounds", lambda: _bounds(entries, head_size))
-        tails = stored("tails", lambda: _tails(entries, bounds), TAILS)
+        n_tails = bounds.count()
+        split = _split(entries, F.broadcast(bounds) if n_tails * BOUND_BYTES <= BROADCAST_BYTES else bounds)
+        tails = stored("tails", lambda: split.where("not in_head").select("shard", "term", "doc_no", "impact"), TAILS)
         maxima = stored("tail-maxima", lambda: tails.groupBy("term", "shard").agg(F.max("impact").alias("tail_max")))
-        heads = stored("heads", lambda: _packed(_heads(entries, bounds)), HEADS)
+        heads = stored("heads", lambda: _packed(split.where("in_head")), HEADS)
     in_shards = heads.groupBy("shard").agg(F.sum(F.size("entries")).alias("n"))
     return Index(
         spark=spark,
-        files=_files(documents),
+        files=files,
         terms=terms.select("term", "df", "idf"),
         heads=heads,
         tails=tails,
@@ -153,7 +164,7 @@ def build_index(
         tail_maxima=maxima,
         n_shards=n_shards,
         head_entries=in_shards.agg(F.max("n")).first()[0] or 0,
-        n_tails=bounds.count() if bounds is not None else 0,
+        n_tails=n_tails,
         n_tail_maxima=maxima.count() if maxima is not None else 0,
         n_files=n_files,
         n_documents=n_documents,
@@ -169,31 +180,33 @@ def _content() -> Column:
     return F.coalesce(F.sha2(F.to_json("counts"), 256), F.lit("no words"))
 
 
-def _numbered_counts(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
-    """Documents sorted as they come, and counted behind the sort: the sampling that a range
-    partitioning begins with then reads texts but does not take them apart."""
+def _counted(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
+    """``(row, filename, len, counts)``: documents counted where they are read; ``row`` is any number of their own."""
     found = words(F.col("text"), apostrophes)
-    counted = case_docs.select("filename", "text").orderBy("filename").select(
-        F.monotonically_increasing_id().alias("file_no"),
+    return case_docs.select(
+        F.monotonically_increasing_id().alias("row"),
         "filename",
         F.inline(F.array(let(found, lambda w: F.struct(F.size(w).alias("len"), word_counts(w).alias("counts"))))),
     )
-    return counted.withColumn("content", _content())
+
+
+def _numbered(counted: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(file_no, filename, len, counts, content)``."""
+    return counted.join(numbers, "row").select("file_no", "filename", "len", "counts", _content().alias("content"))
 
 
 def _stem_counts(counted: DataFrame) -> DataFrame:
-    """``counted`` with words replaced by their stems. File numbers are the key, as names may repeat."""
+    """``counted`` with words replaced by their stems. Rows are the key, as names may repeat."""
     lexicon = stem_vocabulary(counted.select(F.explode("counts.term").alias("term")).distinct())
     stems = (
-        counted.select("file_no", F.inline("counts"))
+        counted.select("row", F.inline("counts"))
         .join(lexicon, "term")
-        .groupBy("file_no", F.col("stem").alias("term"))
+        .groupBy("row", F.col("stem").alias("term"))
         .agg(F.sum("tf").cast("int").alias("tf"))
-        .groupBy("file_no")
+        .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("counts"))
     )
-    stemmed = counted.select("file_no", "filename", "len").join(stems, "file_no", "left")
-    return stemmed.withColumn("content", _content())
+    return counted.select("row", "filename", "len").join(stems, "row", "left")
 
 
 def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:
@@ -210,7 +223,10 @@ def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:
     ).select("doc_no", "copies", "len", "counts")
 
 
-def _files(documents: DataFrame) -> DataFrame:
+def _files(documents: DataFrame, has_copies: bool) -> DataFrame:
+    """``(file_no, filename, doc_no)``."""
+    if not has_copies:
+        return documents.select("file_no", "filename", F.col("file_no").alias("doc_no"))
     named = documents.select("file_no", "filename", "content")
     same = named.groupBy("content").agg(F.min("file_no").alias("doc_no"))
     return named.join(same, "content").select("file_no", "filename", "doc_no")
@@ -225,18 +241,11 @@ def _terms(contents: DataFrame, n_files: int) -> DataFrame:
     )
 
 
-def _entries(contents: DataFrame, terms: DataFrame, norm, n_shards: int) -> DataFrame:
-    """``(shard, term, df, n_entries, doc_no, impact)`` of every posting."""
-    impact = F.sqrt("tf") * F.col("idf") * F.col("idf") * norm(F.col("len"))
-    return (
-        contents.select(
-            F.pmod(F.xxhash64("doc_no"), F.lit(n_shards)).cast("int").alias("shard"),
-            "doc_no",
-            "len",
-            F.inline("counts"),
-        )
-        .join(terms, "term")
-        .select("shard", "term", "df", "n_entries", "doc_no", impact.alias("impact"))
+def _entries(contents: DataFrame, norm, n_shards: int) -> DataFrame:
+    """``(shard, term, doc_no, impact)`` of every posting, made where the counts are."""
+    shard = F.pmod(F.xxhash64("doc_no"), F.lit(n_shards)).cast("int").alias("shard")
+    return contents.select(shard, "doc_no", norm(F.col("len")).alias("norm"), F.inline("counts")).select(
+        "shard", "term", "doc_no", (F.sqrt("tf") * F.col("norm")).alias("impact")
     )
 
 
@@ -252,11 +261,9 @@ def _bounds(entries: DataFrame, head_size: int) -> DataFrame:
     they fit. At most ``postings / head_size`` lists have a tail, and a list has only as
     many levels as quarter-octaves separate its lowest from its highest impact.
     """
-    levels = (
-        entries.where(F.col("n_entries") > head_size)
-        .groupBy("term", _level(F.col("impact")).alias("level"))
-        .agg(F.count("*").alias("n"), F.max("impact").alias("top"))
-    )
+    counts = entries.groupBy("term", _level(F.col("impact")).alias("level")).agg(F.count("*").alias("n"), F.max("impact").alias("top"))
+    whole = F.sum("n").over(Window.partitionBy("term"))
+    levels = counts.withColumn("whole", whole).where(F.col("whole") > head_size)
     above = Window.partitionBy("term").orderBy(F.col("level").desc())
     placed = levels.withColumn("in_head", F.sum("n").over(above) <= head_size)
     return (
@@ -279,14 +286,4 @@ def _split(entries: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def _packed(heads: DataFrame) -> DataFrame:
     """One row per list; a head holds no more than ``head_size`` entries."""
-    return heads.groupBy("shard", "term", "df").agg(
-        F.collect_list(F.struct("doc_no", "impact")).alias("entries")
-    )
-
-
-def _heads(entries: DataFrame, bounds: DataFrame) -> DataFrame:
-    return _split(entries, bounds).where("in_head").select("shard", "term", "df", "doc_no", "impact")
-
-
-def _tails(entries: DataFrame, bounds: DataFrame) -> DataFrame:
-    return _split(entries, bounds).where("not in_head").select("shard", "term", "df", "doc_no", "impact")
+    return heads.groupBy("shard", "term").agg(F.collect_list(F.struct("doc_no", "impact")).alias("entries"))

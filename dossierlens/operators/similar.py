@@ -136,8 +136,9 @@ def _lexicon(pages: DataFrame, index: Index, known: DataFrame) -> DataFrame:
 
 
 def page_queries(terms: DataFrame) -> DataFrame:
-    """``(page_id, query_a, query_b, terms, scale)``: one query per page.
+    """``(page_id, query_a, query_b, terms, squares, scale)``: one query per page.
 
+    ``squares`` are the squared idf of the terms, what a query brings to the impacts of their postings.
     ``scale`` holds the factors common to all documents: the query norm
     ``1 / sqrt(sum(idf^2))`` over the number of terms asked.
     """
@@ -146,12 +147,16 @@ def page_queries(terms: DataFrame) -> DataFrame:
     return (
         terms.groupBy("page_id")
         .agg(chosen.alias("chosen"))
-        .select("page_id", F.col("chosen.term").alias("terms"), (1.0 / F.sqrt(squares) / F.size("chosen")).alias("scale"))
+        .select(
+            "page_id", F.col("chosen.term").alias("terms"), F.transform("chosen", lambda c: c["idf"] * c["idf"]).alias("squares"),
+            (1.0 / F.sqrt(squares) / F.size("chosen")).alias("scale"),
+        )
         .select(
             "page_id",
             F.xxhash64("terms").alias(QUERY[0]),
             F.xxhash64(F.lit(1), "terms").alias(QUERY[1]),
             "terms",
+            "squares",
             "scale",
         )
     )
@@ -161,10 +166,10 @@ def query_hits(asked: DataFrame, index: Index, k: int = MAX_HITS) -> DataFrame:
     """``(query_a, query_b, file_no, score, rank)``: the ``k`` best files of each query.
 
     ``asked`` is a stored ``page_queries`` table. A score is
-    ``matched / asked * query norm * sum(impact)``; ties go by file name.
+    ``matched / asked * query norm * sum(idf^2 * impact)``; ties go by file name.
     """
     queries = asked.groupBy(*QUERY).agg(
-        F.first("terms").alias("terms"), F.first("scale").alias("scale")
+        F.first("terms").alias("terms"), F.first("squares").alias("squares"), F.first("scale").alias("scale")
     )
     n_asked = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     best = [rank_value(F.col("score")).desc()]
@@ -204,11 +209,11 @@ def _in_shards(queries: DataFrame, index: Index) -> DataFrame:
 
 def _head_sums(asked: DataFrame, n_asked: int, index: Index, carried: list[str]) -> DataFrame:
     """``(tile, *QUERY, shard, *carried, doc_no, impact, matched)`` from the heads of the terms of
-    ``asked(*QUERY, shard, terms, *carried)``, summed where queries and shard meet."""
+    ``asked(*QUERY, shard, terms, squares, *carried)``, summed where queries and shard meet."""
     kept = [*QUERY, "shard", *carried]
     if index.n_shards == 1:
         heads = _small(index.heads.select("term", "entries"), index.head_entries * ENTRY_BYTES + index.term_bytes)
-        pairs = _spread(asked, n_asked, index).select(*kept, F.lit(0).alias("tile"), F.explode("terms").alias("term")).join(heads, "term")
+        pairs = _spread(asked, n_asked, index).select(*kept, F.lit(0).alias("tile"), _asked_terms()).join(heads, "term")
     else:
         # Pairs of one tile are what a task makes; a list is repeated for each block of queries.
         blocks = max(1, math.ceil(n_asked * index.list_length / PAIRS_PER_TASK))
@@ -218,14 +223,19 @@ def _head_sums(asked: DataFrame, n_asked: int, index: Index, carried: list[str])
         tiled = asked.withColumn("tile", F.col("shard") * blocks + block).repartition(n_tasks, "tile")
         heads = index.heads.select("term", "entries", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         heads = heads.select("term", "entries", (F.col("shard") * blocks + F.col("block")).alias("tile")).repartition(n_tasks, "tile")
-        pairs = tiled.select(*kept, "tile", F.explode("terms").alias("term")).join(heads, ["tile", "term"])
+        pairs = tiled.select(*kept, "tile", _asked_terms()).join(heads, ["tile", "term"])
     return (
-        pairs.select("tile", *kept, F.inline("entries"))
+        pairs.select("tile", *kept, "square", F.inline("entries"))
         .groupBy("tile", *kept, "doc_no")
-        .agg(F.sum("impact").alias("impact"), F.count("*").alias("matched"))
+        .agg(F.sum(F.col("square") * F.col("impact")).alias("impact"), F.count("*").alias("matched"))
     )
 
 
+def _asked_terms() -> Column:
+    """``(term, square)`` of a query, one row each."""
+    return F.inline(F.zip_with("terms", "squares", lambda t, s: F.struct(t.alias("term"), s.alias("square"))))
+
+
 def _needed(found: DataFrame, k: int) -> DataFrame:
     """``(*QUERY, needed)``: the k-th highest ``matched * impact`` that each query has in the heads of all shards."""
     reach = found.select(*QUERY, (F.col("matched") * F.col("impact")).alias("needed"))
@@ -257,12 +267,13 @@ def _with_tails(queries: DataFrame, index: Index) -> DataFrame:
     impact, from the lowest on."""
     maxima = _small(index.tail_maxima.select("term", "shard", "tail_max"), index.n_tail_maxima * ROW_BYTES)
     in_tail = (
-        queries.select(*QUERY, F.explode("terms").alias("term"))
+        queries.select(*QUERY, _asked_terms())
         .join(maxima, "term")
+        .withColumn("tail_max", F.col("tail_max") * F.col("square"))
         .groupBy(*QUERY, "shard")
-        .agg(F.sort_array(F.collect_list(F.struct("tail_max", "term"))).alias("tails"))
+        .agg(F.sort_array(F.collect_list(F.struct("tail_max", "term", "square"))).alias("tails"))
     )
-    no_tails = F.array().cast("array<struct<tail_max: double, term: string>>")
+    no_tails = F.array().cast("array<struct<tail_max: double, term: string, square: double>>")
     return _in_shards(queries, index).join(in_tail, [*QUERY, "shard"], "left").withColumn("tails", F.coalesce("tails", no_tails))
 
 
@@ -303,9 +314,9 @@ def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) ->
             *QUERY, "shard", "scale",
             F.explode(F.slice("tails", F.col("n_closed") + 1, F.size("tails"))).alias("tail"),
         )
-        .select(*QUERY, "shard", "scale", F.col("tail.term").alias("term"))
+        .select(*QUERY, "shard", "scale", "tail.term", "tail.square")
         .join(tails, ["shard", "term"])
-        .select(*QUERY, "scale", "shard", "doc_no", "impact", F.lit(1).cast("long").alias("matched"))
+        .select(*QUERY, "scale", "shard", "doc_no", (F.col("square") * F.col("impact")).alias("impact"), F.lit(1).cast("long").alias("matched"))
     )
     candidates = (
         found.unionByName(opened)
@@ -317,11 +328,14 @@ def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) ->
 
     # What closed tails add is looked up by (document, term). The first row of a candidate
     # has no term and carries its sums.
-    asked = F.concat(F.array(F.lit(None).cast("string")), F.col("closed.term"))
+    sums = F.struct(F.lit(None).cast("double").alias("tail_max"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("square"))
+    asked = F.concat(F.array(sums), F.col("closed"))
     rows = (
         candidates.where(possible >= F.col("needed") * _SLACK)
-        .select(*QUERY, "scale", "doc_no", "impact", "matched", F.explode(asked).alias("term"))
+        .select(*QUERY, "scale", "doc_no", "impact", "matched", F.explode(asked).alias("asked"))
+        .select(*QUERY, "scale", "doc_no", "impact", "matched", "asked.term", "asked.square")
         .join(tails.select("term", "doc_no", F.col("impact").alias("added")), ["term", "doc_no"], "left")
+        .withColumn("added", F.col("square") * F.col("added"))
     )
     is_sum = F.col("term").isNull()
     return rows.groupBy(*QUERY, "scale", "doc_no").agg(

@@ -50,7 +50,7 @@ def test_query_terms_are_cut_before_the_shuffle(stored):
 def test_scoring_moves_queries_but_no_pairs(spark, stored):
     _, pages, index = stored
     asked = materialize(spark, lambda: similar.page_queries(similar.query_terms(pages, index)), scratch_path(spark, "q"))
-    text = plan(similar._head_sums(similar._spread(asked, 80, index), index, 0, ["scale"]))
+    text = plan(similar._head_sums(similar._in_shards(asked, index), 80, index, ["scale"]))
     # The one exchange spreads the queries; their pairs are summed where they are made.
     assert text.count("hashpartitioning") == 1
     assert text.index("HashAggregate") < text.index("inline(entries") < text.index("hashpartitioning")

@@ -130,6 +130,24 @@ def test_more_shards_do_not_mean_longer_heads(spark):
     assert "PartitionFilters: [isnotnull(shard" in one_shard
 
 
+def test_building_an_index_moves_no_text_and_joins_no_posting(spark):
+    from dossierlens.functions.scoring import length_norm
+    from dossierlens.operators import index as idx
+
+    docs = spark.createDataFrame([(f"d{i}", f"text number {i}") for i in range(20)], "filename string, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    counted = idx._counted(docs, False)
+    assert "Exchange" not in plan(counted)
+    contents = idx._contents(idx._numbered(counted, counted.select("row", "row").toDF("row", "file_no")), False)
+    stored = scratch_path(spark, "contents")
+    contents.write.parquet(stored)
+    entries = idx._entries(spark.read.parquet(stored), length_norm, 3)
+    assert "Join" not in plan(entries) and "Exchange" not in plan(entries)
+    assert "Join" not in plan(idx._packed(entries))
+    index = build_index(docs, stem=False)
+    assert [r.filename for r in index.files.orderBy("file_no").collect()] == sorted(f"d{i}" for i in range(20))
+
+
 def page_queries(spark, pages, index):
     rows = spark.createDataFrame(list(pages.items()), "page_id long, body string")
     path = scratch_path(spark, "asked")
@@ -153,7 +171,7 @@ def test_all_shards_are_scored_in_one_job(spark):
         assert found.count() > 0
         spark.conf.set(threshold, "-1")
         with similar._dealt_by_tile(spark):
-            distinct = queries.select(*similar.QUERY, "terms", "scale").dropDuplicates(similar.QUERY)
+            distinct = queries.select(*similar.QUERY, "terms", "squares", "scale").dropDuplicates(similar.QUERY)
             sums = similar._head_sums(similar._in_shards(distinct, index), 100, index, ["scale"])
             plans.append(sums._jdf.queryExecution().executedPlan().toString())
         spark.conf.set(threshold, before)
