@@ -70,7 +70,7 @@ DOCUMENTS = {
 
 
 def _index(spark: SparkSession, sf_dir: str, docs: str = "benchmark", **options) -> Index:
-    options = {"stem": False, **options}
+    options = {"stem": False, "forms": False, **options}
     case_docs = _stored_documents(spark, sf_dir, docs)
     return build_index(case_docs, _path(spark, "index", sf_dir, docs), **options)
 
@@ -193,6 +193,23 @@ def tokens(spark, sf_dir):
     return terms.tokenize(fixtures.benchmark_documents(spark, sf_dir), "filename", "text")
 
 
+def _with_forms(texts: DataFrame, id: str) -> DataFrame:
+    """``texts`` with a line of addresses, hosts, acronyms and possessives that their ids make."""
+    return texts.withColumn("text", F.concat("text", F.expr(fixtures.FORMS.format(id=id))))
+
+
+def tokens_word_forms(spark, sf_dir):
+    return terms.tokenize(_with_forms(fixtures.table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", forms=True)
+
+
+def page_similarity_word_forms(spark, sf_dir):
+    """Both sides in the analyzer's word forms."""
+    found = _stored_pages(spark, sf_dir, require_category=False, require_title=True)
+    docs = materialize(spark, lambda: _with_forms(fixtures.conversation_documents(spark, sf_dir), "filename"), scratch_path(spark, "formed"))
+    pages = _with_forms(found.withColumnRenamed("body", "text"), "page_id").withColumnRenamed("text", "body")
+    return _rounded(page_similarity(pages, build_index(docs, stem=False)), "score")
+
+
 def postings(spark, sf_dir, docs="benchmark"):
     return idx.postings(DOCUMENTS[docs](spark, sf_dir))
 
@@ -265,7 +282,7 @@ def context_run_reuse(spark, sf_dir):
     docs = _stored_documents(spark, sf_dir, "benchmark")
     out = scratch_path(spark, "run")
     for _ in range(2):
-        context = run_context(spark, _dump(spark, sf_dir), docs, out, stem=False)
+        context = run_context(spark, _dump(spark, sf_dir), docs, out, stem=False, forms=False)
     return _rounded(context, "score")
 
 
@@ -305,6 +322,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_weights": category_weights,
         "weights_export_roundtrip": weights_export_roundtrip,
         "tokens": tokens,
+        "tokens_word_forms": tokens_word_forms,
         "postings": postings,
         "postings_conversations": lambda s, d: postings(s, d, "conversations"),
         "term_stats": term_stats,
@@ -324,6 +342,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_similarity_many_shards": lambda s, d: page_similarity_of(
             s, d, "conversations", head_size=256, shard_entries=20_000
         ),
+        "page_similarity_word_forms": page_similarity_word_forms,
         "page_similarity_stemmed": lambda s, d: page_similarity_of(s, d, "conversations", stem=True),
         "document_category_scores": document_category_scores,
         "document_context": document_context_of,

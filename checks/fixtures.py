@@ -27,6 +27,12 @@ chr(10) || '  <page>' || chr(10) || '    <title>doc ' || doc_id || '</title>'
 """
 
 
+FORMS = """
+chr(10) || 'Ann.B-' || {id} || '@mail.example.org O''Neil''s state''s U.S.A. u.s.a at&t rock''n''roll www.site.org. ' || {id} || '.5 x2''y a.b@c end.Next Ann.b@'
+"""
+"""Word forms, as text that serves Spark and the SQL check."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, spread out if its files split into fewer tasks than there are cores.
 

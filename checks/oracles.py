@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import RECORD
+from .fixtures import FORMS, RECORD
 from .stems import with_stems
 
 UTF16_LENGTH = r"length(body) + length(regexp_replace(body, '[^\x{10000}-\x{10FFFF}]', '', 'g'))"
@@ -35,14 +35,25 @@ CONVERSATION_DOCS = """select 'conv/' || conv_id as filename, string_agg(text, c
 
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
+_FORM = (
+    r"[\p{{L}}\p{{N}}]+(?:[._-][\p{{L}}\p{{N}}]+)*@[\p{{L}}\p{{N}}]+(?:[.-][\p{{L}}\p{{N}}]+)+"
+    r"|\p{{L}}+(?:(?:''\p{{L}}+)+|[&@]\p{{L}}+)"
+    r"|[\p{{L}}\p{{N}}]+(?:(?:\.[\p{{L}}\p{{N}}]+)+\.?)?"
+)
+WORD_FORMS = (
+    "list_transform(regexp_extract_all(lower({}), '" + _FORM + "'), lambda t: case when contains(t, '@') then t "
+    "when contains(t, '''') then regexp_replace(t, '''s$', '') "
+    r"when regexp_matches(t, '^(\p{{L}}\.)+$') then replace(t, '.', '') else regexp_replace(t, '\.$', '') end)"
+)
+
 EXACT_NORM = "1.0 / sqrt(len)"
 BYTE_EXPONENT = "pow(2.0, 2 - floor(log2(1.0 / sqrt(len))))"
 BYTE_NORM = f"floor({BYTE_EXPONENT} / sqrt(len)) / {BYTE_EXPONENT}"
 
 
-def with_index(docs: str, stem_with: str | None = None) -> str:
+def with_index(docs: str, stem_with: str | None = None, rule: str = WORDS) -> str:
     """The index tables; ``stem_with`` names the pages whose words are stemmed as well."""
-    words = WORDS.format("text")
+    words = rule.format("text")
     found, stems = f"select filename, unnest({words}) as term from case_doc", ""
     if stem_with:
         every = f"(select text from case_doc union all select body as text from {stem_with})"
@@ -52,15 +63,15 @@ def with_index(docs: str, stem_with: str | None = None) -> str:
 case_doc as ({docs}),{stems}
 doc_word as ({found}),
 posting as (select term, filename, count(*) as tf from doc_word group by term, filename),
-doc_len as (select filename, len({WORDS.format('text')}) as len from case_doc),
+doc_len as (select filename, len({words}) as len from case_doc),
 term_stat as (
   select term, count(*) as df, ln((select count(*) from case_doc)::double / (count(*) + 1)) + 1 as idf
   from posting group by term
 )"""
 
 
-def with_terms(pages: str, max_words: int | None = None, stem: bool = False) -> str:
-    found = WORDS.format("body")
+def with_terms(pages: str, max_words: int | None = None, stem: bool = False, rule: str = WORDS) -> str:
+    found = rule.format("body")
     if max_words is not None:
         found = f"list_slice({found}, 1, {max_words})"
     words = f"select page_id, unnest({found}) as term from {pages}"
@@ -136,6 +147,12 @@ def _similarity(docs: str, norm: str = EXACT_NORM, stem: bool = False) -> str:
     return f"{WITH_PAGES}, {index}, {with_terms('any_page', stem=stem)}, {with_hits(norm)} {SIMILARITY}"
 
 
+def _similarity_of_forms(docs: str) -> str:
+    pages = f"formed_page as (select page_id, body || {FORMS.format(id='page_id')} as body from any_page)"
+    docs = f"select filename, text || {FORMS.format(id='filename')} as text from ({docs})"
+    return f"{WITH_PAGES}, {pages}, {with_index(docs, rule=WORD_FORMS)}, {with_terms('formed_page', rule=WORD_FORMS)}, {with_hits()} {SIMILARITY}"
+
+
 def _scores(docs: str, select: str, stem: bool = False) -> str:
     index = with_index(docs, "page" if stem else None)
     return f"{WITH_PAGES}, {index}, {with_terms('page', stem=stem)}, {with_hits()}, {WITH_SCORES} {select}"
@@ -168,6 +185,9 @@ def oracle_sql(max_record_bytes: int) -> dict[str, str]:
         "weights_export_roundtrip": _from_pages(WEIGHTS),
         "tokens": f"""with w as (select item_id, {WORDS.format('text')} as w from benchmark)
             select 'case/' || item_id as filename, generate_subscripts(w, 1) - 1 as pos, unnest(w) as term from w""",
+        "tokens_word_forms": f"""with w as (select doc_id, {WORD_FORMS.format(f"text || {FORMS.format(id='doc_id')}")} as w from documents where text is not null)
+            select doc_id, generate_subscripts(w, 1) - 1 as pos, unnest(w) as term from w""",
+        "page_similarity_word_forms": _similarity_of_forms(conv),
         "postings": _index(bench, "select term, filename, tf from posting"),
         "postings_conversations": _index(conv, "select term, filename, tf from posting"),
         "term_stats": _index(bench, "select term, df, round(idf, 6) as idf from term_stat"),

@@ -97,6 +97,7 @@ class Index:
     """Entries a shard's head has on average, seen from a posting drawn at random."""
     stem: bool
     apostrophes: bool
+    forms: bool
 
 
 def build_index(
@@ -105,6 +106,7 @@ def build_index(
     stem: bool = True,
     norm: str = "exact",
     apostrophes: bool = False,
+    forms: bool | None = None,
     head_size: int = HEAD_SIZE,
     shard_entries: int = SHARD_ENTRIES,
     if_exists: str = "reuse",
@@ -112,6 +114,8 @@ def build_index(
 ) -> Index:
     """Write the tables of ``case_docs(filename, text)`` below ``path`` and open them.
 
+    Words are the analyzer's forms (see ``words``) unless ``forms`` is false or ``apostrophes`` is asked for.
+
     Settings are part of the folder name, so a finished index is reused only for the
     settings it was built with, and only for the ``fingerprint`` of its documents if one is
     given. A step that has to be written again also replaces the steps that follow from it.
@@ -119,7 +123,9 @@ def build_index(
     if norm not in NORMS:
         raise ValueError(f"norm must be one of {sorted(NORMS)}, not {norm!r}")
     spark = case_docs.sparkSession
-    settings = ["stems" if stem else "words", *(["apostrophes"] if apostrophes else []), norm, str(head_size), str(shard_entries)]
+    forms = not apostrophes if forms is None else forms
+    rule = ["forms"] if forms else ["apostrophes"] if apostrophes else []
+    settings = ["stems" if stem else "words", *rule, norm, str(head_size), str(shard_entries)]
     folder = f"{path or scratch_path(spark, 'index')}/{'-'.join(settings)}"
     replace = if_exists == "overwrite"
 
@@ -128,11 +134,10 @@ def build_index(
         replace = replace or not is_current(spark, f"{folder}/{name}", fingerprint)
         return materialize(spark, compute, f"{folder}/{name}", "overwrite" if replace else "reuse", fingerprint, ["shard"] if schema else None, schema)
 
-    counted = stored("counted", lambda: _counted(case_docs, apostrophes))
-    numbers = stored("numbers", lambda: places_within(counted.select("filename", "row"), [], ["filename", "row"], "file_no").select("row", "file_no"))
-    documents = stored("documents", lambda: _numbered(_stem_counts(counted) if stem else counted, numbers))
+    counted = stored("counted", lambda: _counted(case_docs, apostrophes, forms))
+    documents = stored("documents", lambda: _numbered(_stem_counts(counted) if stem else counted, _numbers(counted)))
     n_files, n_documents = documents.agg(F.count("*"), F.count_distinct("content")).first()
-    files = stored("files", lambda: _files(documents, n_documents < n_files))
+    files = stored("files", lambda: _files(documents)) if n_documents < n_files else _own_files(documents)
     contents = _contents(documents, n_documents < n_files)
     terms = stored("terms", lambda: _terms(contents, n_files))
     n = F.col("n_entries")
@@ -173,6 +178,7 @@ def build_index(
         list_length=min(head_size, squares / n_entries) / n_shards if n_entries else 0.0,
         stem=stem,
         apostrophes=apostrophes,
+        forms=forms,
     )
 
 
@@ -180,9 +186,9 @@ def _content() -> Column:
     return F.coalesce(F.sha2(F.to_json("counts"), 256), F.lit("no words"))
 
 
-def _counted(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
+def _counted(case_docs: DataFrame, apostrophes: bool = False, forms: bool = False) -> DataFrame:
     """``(row, filename, len, counts)``: documents counted where they are read; ``row`` is any number of their own."""
-    found = words(F.col("text"), apostrophes)
+    found = words(F.col("text"), apostrophes, forms=forms)
     return case_docs.select(
         F.monotonically_increasing_id().alias("row"),
         "filename",
@@ -190,6 +196,11 @@ def _counted(case_docs: DataFrame, apostrophes: bool) -> DataFrame:
     )
 
 
+def _numbers(counted: DataFrame) -> DataFrame:
+    """``(row, file_no)``: the places of rows in the order of names."""
+    return places_within(counted.select("filename", "row"), [], ["filename", "row"], "file_no").select("row", "file_no")
+
+
 def _numbered(counted: DataFrame, numbers: DataFrame) -> DataFrame:
     """``(file_no, filename, len, counts, content)``."""
     return counted.join(numbers, "row").select("file_no", "filename", "len", "counts", _content().alias("content"))
@@ -223,10 +234,13 @@ def _contents(documents: DataFrame, has_copies: bool = True) -> DataFrame:
     ).select("doc_no", "copies", "len", "counts")
 
 
-def _files(documents: DataFrame, has_copies: bool) -> DataFrame:
+def _own_files(documents: DataFrame) -> DataFrame:
+    """``(file_no, filename, doc_no)`` where no two files have the same words."""
+    return documents.select("file_no", "filename", F.col("file_no").alias("doc_no"))
+
+
+def _files(documents: DataFrame) -> DataFrame:
     """``(file_no, filename, doc_no)``."""
-    if not has_copies:
-        return documents.select("file_no", "filename", F.col("file_no").alias("doc_no"))
     named = documents.select("file_no", "filename", "content")
     same = named.groupBy("content").agg(F.min("file_no").alias("doc_no"))
     return named.join(same, "content").select("file_no", "filename", "doc_no")

@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rank_value
+from ..functions.words import word_counts, words
 from ..sources.stored import materialize, scratch_path
 from .index import Index
 from .ranking import top_per_group
-from .terms import stem_vocabulary, term_counts, vocabulary
+from .terms import stem_vocabulary, term_counts
 
 QUERY = ["query_a", "query_b"]
 """Two 64-bit hashes of a query's terms, together its key."""
@@ -97,20 +98,21 @@ def query_terms(
     if max_doc_freq is not None:
         known = known.where(F.col("df") <= max_doc_freq)
     known = _small(known.select("term", "idf"), index.term_bytes)
-    counts = term_counts(
-        pages, "page_id", "body", index.apostrophes, max_words, 1 if index.stem else min_term_freq
-    )
     if index.stem:
-        lexicon = _lexicon(pages, index, known)
+        # Texts are taken apart once: the vocabulary, its stems and the terms all come from the stored counts.
+        found = words(F.col("body"), index.apostrophes, max_words, index.forms)
+        counted = materialize(index.spark, lambda: pages.select("page_id", word_counts(found).alias("counts")), scratch_path(index.spark, "counts"))
+        lexicon = _lexicon(counted.select(F.explode("counts.term").alias("term")).distinct(), index, known)
         counts = (
-            counts.join(lexicon, "term")
+            counted.select("page_id", F.inline("counts"))
+            .join(lexicon, "term")
             .repartition("page_id")
             .groupBy("page_id", F.col("stem").alias("term"), "idf")
             .agg(F.sum("tf").alias("tf"))
             .where(F.col("tf") >= min_term_freq)
         )
     else:
-        counts = counts.join(known, "term")
+        counts = term_counts(pages, "page_id", "body", index.apostrophes, max_words, min_term_freq, index.forms).join(known, "term")
     weighted = counts.withColumn("weight", F.col("tf") * F.col("idf"))
     order = [rank_value(F.col("weight")).desc(), F.col("term")]
     return top_per_group(weighted, ["page_id"], order, max_terms).select(
@@ -118,17 +120,16 @@ def query_terms(
     )
 
 
-def _lexicon(pages: DataFrame, index: Index, known: DataFrame) -> DataFrame:
-    """``(term, stem, idf)`` of the words on pages whose stem can be asked for.
+def _lexicon(spoken: DataFrame, index: Index, known: DataFrame) -> DataFrame:
+    """``(term, stem, idf)`` of the words ``spoken(term)`` on pages whose stem can be asked for.
 
     Written down so that its size is known: in most cases it can be broadcast, and the
     words of the pages are not shuffled to meet it. One shuffle by page then serves both
     the sum over words of one stem and the choice of the best terms.
     """
-    spoken = stem_vocabulary(vocabulary(pages, "body", index.apostrophes))
     lexicon = materialize(
         index.spark,
-        lambda: spoken.join(known.withColumnRenamed("term", "stem"), "stem"),
+        lambda: stem_vocabulary(spoken).join(known.withColumnRenamed("term", "stem"), "stem"),
         scratch_path(index.spark, "lexicon"),
     )
     rows, letters = lexicon.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("stem"))).first()

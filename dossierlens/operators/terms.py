@@ -9,9 +9,9 @@ from ..functions.english import stems
 from ..functions.words import word_counts, words
 
 
-def tokenize(texts: DataFrame, id: str, text: str, apostrophes: bool = False) -> DataFrame:
+def tokenize(texts: DataFrame, id: str, text: str, apostrophes: bool = False, forms: bool = False) -> DataFrame:
     """``(id, pos, term)``: the lower-cased words of each text, counted from 0."""
-    return texts.select(id, F.posexplode(words(F.col(text), apostrophes)).alias("pos", "term"))
+    return texts.select(id, F.posexplode(words(F.col(text), apostrophes, forms=forms)).alias("pos", "term"))
 
 
 def term_counts(
@@ -21,16 +21,17 @@ def term_counts(
     apostrophes: bool = False,
     max_words: int | None = None,
     min_count: int = 1,
+    forms: bool = False,
 ) -> DataFrame:
     """``(id, term, tf)``: how often each word occurs in each text. Needs no shuffle."""
-    found = words(F.col(text), apostrophes, max_words)
+    found = words(F.col(text), apostrophes, max_words, forms)
     return texts.select(id, F.inline(word_counts(found, min_count)))
 
 
-def vocabulary(texts: DataFrame, text: str, apostrophes: bool = False) -> DataFrame:
+def vocabulary(texts: DataFrame, text: str, apostrophes: bool = False, forms: bool = False) -> DataFrame:
     """``(term)``: the distinct words of all texts."""
     return texts.select(
-        F.explode(F.array_distinct(words(F.col(text), apostrophes))).alias("term")
+        F.explode(F.array_distinct(words(F.col(text), apostrophes, forms=forms))).alias("term")
     ).distinct()
 
 

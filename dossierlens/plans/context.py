@@ -113,6 +113,7 @@ def run_context(
     stem: bool = True,
     norm: str = "exact",
     apostrophes: bool = False,
+    forms: bool | None = None,
     on_missing: str = "error",
     page_options: dict | None = None,
     search_options: dict | None = None,
@@ -141,7 +142,7 @@ def run_context(
     else:
         case_docs, made_for = documents, rows_fingerprint(documents.select("filename", "text"))
     index = build_index(
-        case_docs, f"{out}/index", stem=stem, norm=norm, apostrophes=apostrophes, fingerprint=made_for
+        case_docs, f"{out}/index", stem=stem, norm=norm, apostrophes=apostrophes, forms=forms, fingerprint=made_for
     )
     queries = f"{out}/queries"
     context = materialize(

@@ -30,7 +30,7 @@ def rows(columns, values):
     "name",
     [
         "eligible_pages", "page_source_roundtrip", "page_source_bzip2", "page_source_revisions", "page_source_preamble", "document_context_rendered", "stem_vocabulary", "page_similarity_stemmed", "document_context_stemmed", "oversize_records_dropped", "case_documents_roundtrip",
-        "page_titles", "page_category_pairs_no_sort_key", "weights_export_roundtrip", "term_stats", "index_terms", "index_postings", "page_similarity_many_shards",
+        "page_titles", "page_category_pairs_no_sort_key", "weights_export_roundtrip", "tokens_word_forms", "page_similarity_word_forms", "term_stats", "index_terms", "index_postings", "page_similarity_many_shards",
         "query_terms", "page_similarity_bounded_lists", "document_context", "context_run_reuse",
     ],
 )

@@ -20,6 +20,25 @@ def test_words(spark):
     assert df.select(words(F.col("t"), limit=2)).first()[0] == ["it", "s"]
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("The state's U.S. aid", "the state us aid"), ("O'Neil's rock'n'roll 's", "o'neil rock'n'roll s"), ("u.s.a u.s.a. a.", "u.s.a usa a"),
+        ("See www.site.org. End.Next 3.5.", "see www.site.org end.next 3.5"), ("AT&T&T me@home", "at&t t me@home"),
+        ("ann.b-c_d@mail.x-y.org, a@b.c.", "ann.b-c_d@mail.x-y.org a@b.c"), ("x2'y dogs' state’s", "x2 y dogs state s"), ("wi-fi über_all a.b.com", "wi fi über all a.b.com"),
+        ("", ""), (" '. @ ", ""), ("a'b12 a@b12 é.à.", "a'b 12 a@b 12 éà"),
+    ],
+)
+def test_word_forms(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(words(F.col("t"), forms=True)).first()[0] == expected.split()
+
+
+def test_word_forms_of_long_odd_texts_take_linear_time(spark):
+    df = spark.createDataFrame([("a." * 100_000,), ("a" * 200_000,), ("a-" * 100_000 + "@",), ("a'" * 100_000,)], "t string")
+    assert [len(r[0]) for r in df.select(words(F.col("t"), forms=True)).collect()][:2] == [1, 1]
+
+
 def test_tokenize_counts_from_zero(spark):
     df = spark.createDataFrame([(1, "b A b")], "id long, t string")
     assert [tuple(r) for r in tokenize(df, "id", "t").orderBy("pos").collect()] == [
