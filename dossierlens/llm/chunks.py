@@ -183,31 +183,49 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return copies.unionByName(originals)
 
 
+def _whole_characters(data: bytes, first: int, stop: int) -> tuple[int, int]:
+    """The stretch of the characters that lie in it as a whole."""
+    while first < stop and first < len(data) and data[first] & 0xC0 == 0x80:
+        first += 1
+    while stop > first and stop < len(data) and data[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return first, stop
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with every passage cut out of ``text`` but where it was first; rows stay."""
+    """``docs`` with every passage cut out of ``text`` but where it was first; rows stay, with all their columns.
+
+    Passages are stretches of bytes: of a character that a passage holds in part nothing is cut. Null texts stay null, and rows that
+    share an id are cut at the same places, as ``repeated_passages`` takes them for one document.
+    """
+    spans_name = "_spans"
+    while spans_name in docs.columns:
+        spans_name += "_"
     spans = repeated_passages(docs, min_words).where("not is_first").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans")
+        F.sort_array(F.collect_list(F.struct("start", "length"))).alias(spans_name)
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             at = batch.schema.names.index("text")
             out = []
-            for text, cut_out in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, cut_out in zip(batch.column("text").to_pylist(), batch.column(spans_name).to_pylist()):
                 if not cut_out or text is None:
                     out.append(text)
                     continue
                 data, pieces, end = text.encode("utf-8", "surrogatepass"), [], 0
                 for span in cut_out:
-                    pieces.append(data[end : max(end, span["start"])])
-                    end = max(end, span["start"] + span["length"])
-                out.append(b"".join([*pieces, data[end:]]).decode("utf-8", "ignore"))
+                    first, stop = _whole_characters(data, span["start"], span["start"] + span["length"])
+                    if stop > max(end, first):
+                        pieces.append(data[end : max(end, first)])
+                        end = stop
+                out.append(b"".join([*pieces, data[end:]]).decode("utf-8", "surrogatepass"))
             columns = list(batch.columns)[:-1]
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
+    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, spans_name)
     return joined.mapInArrow(cut, fields)
 
 

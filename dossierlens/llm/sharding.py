@@ -36,6 +36,11 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id") -> Dat
     and is cut into ``part`` 0, 1, ... by the hash of their texts, as many as it takes on
     average; a text above the limit, or equal rows that exceed it together, share one part.
     """
+    return _placed(docs, limit, key).drop("content")
+
+
+def _placed(docs: DataFrame, limit: int, key: str) -> DataFrame:
+    """``shard`` with ``content``, the hash of the text; rows of equal id and content share a place."""
     rows = kept(
         docs.select(
             F.col(key).alias("doc_id"),
@@ -88,21 +93,27 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id") -> Dat
         "depth",
         _prefix(F.col("depth")).alias("bucket"),
         F.pmod(F.col("content"), F.greatest(parts, F.lit(1))).cast("int").alias("part"),
+        "content",
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write ``docs`` as one folder per shard, ``path/depth=/bucket=/part=``; a shard is one task."""
-    placed = shard(docs, limit).select(F.col("doc_id").alias("_id"), "depth", "bucket", "part").distinct()
-    names = ["depth", "bucket", "part"]
-    (
-        docs.drop(*names)
-        .join(placed, docs["doc_id"].eqNullSafe(F.col("_id")))
-        .drop("_id")
-        .repartition(*names)
-        .write.partitionBy(*names)
-        .parquet(path)
-    )
+    """Write ``docs`` as one folder per shard, ``path/depth=/bucket=/part=``; a shard is one task.
+
+    Every row is written once, with all its columns: rows of one id that hold different texts may go to different parts,
+    repeated rows stay repeated. Where ``docs`` has a column of such a name, the folders' is ``shard_`` and that name.
+    Null ids and texts have places as in ``shard``; an empty table writes no folder.
+    """
+    names = []
+    for name in ("depth", "bucket", "part"):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name = f"shard_{name}"
+        names.append(name)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("its_content"))
+    placed = _placed(docs, limit, "doc_id").select("doc_id", "content", *(F.col(p).alias(n) for p, n in zip(("depth", "bucket", "part"), names))).distinct()
+    joined = whole.join(placed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("its_content") == F.col("content")))
+    joined.select("row.*", *names).repartition(*names).write.partitionBy(*names).parquet(path)
 
 
 def op5_extendible_sharding(spark, sf_dir):

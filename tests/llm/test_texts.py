@@ -350,6 +350,31 @@ def test_shards_of_odd_documents(odd_documents, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "shards")).count() >= 10
 
 
+def test_every_row_is_written_to_a_shard_once(spark, tmp_path):
+    rows = [(7, f"text {i}" * 5, i, "x") for i in range(40)] + [(7, "text 0" * 5, 99, "again"), (None, None, 1, None), (8, None, 2, "y"), (9, "é" * 50, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, depth int, part string")
+    sharding.write_shards(docs, str(tmp_path / "s"), 200)
+    found = spark.read.parquet(str(tmp_path / "s"))
+    assert set(found.columns) == {*docs.columns, "shard_depth", "bucket", "shard_part"}
+    assert sorted(map(repr, found.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    assert found.where("doc_id = 7").select("shard_part").distinct().count() > 5
+
+
+def test_removing_repeats_cuts_no_character(spark, rng):
+    """Texts of three bytes a character: what is left is made of characters that were there, in order."""
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) + (" " if rng.random() < 0.3 else "") for _ in range(n))
+    shared = han(400)
+    texts = [han(rng.randrange(200)) + shared + han(rng.randrange(200)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _spans long")
+    left = {r["doc_id"]: (r["text"], r["_spans"]) for r in chunks.remove_repeats(docs).collect()}
+    assert sum(len(left[i][0]) < len(t) for i, t in enumerate(texts)) >= 10
+    for i, text in enumerate(texts):
+        rest = iter(text)
+        assert all(c in rest for c in left[i][0]) and left[i][1] == i
+    assert chunks._whole_characters("aé中b".encode(), 2, 5) == (3, 3)
+    assert chunks._whole_characters("aé中b".encode(), 2, 6) == (3, 6)
+
+
 def test_without_a_known_language_only_texts_without_a_letter_go(spark):
     docs = spark.createDataFrame([(1, "some text", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (4, "", None, "s", 1), (None, "é1", None, "s", 1)], DOCS)
     assert [r["text"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == ["some text", "é1"]
