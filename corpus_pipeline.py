@@ -33,17 +33,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs.select("text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs.withColumnRenamed("lang", "_lang"), model)
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).withColumnRenamed("_lang", "lang").select(*docs.columns)
+    # Other columns go through under names that cannot clash with what is found.
+    others = {c: f"_column_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    found = language.identify(docs.select("text", *(F.col(f"`{c}`").alias(n) for c, n in others.items())), model)
+    known = found.where(F.col("lang_pred") != language.UNDETERMINED)
+    return known.select(*(F.col(others.get(c, "text")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near copies, and one row per id."""
+    """Keep the document of least id of each group of near copies, and of rows that share id and text the least one.
+
+    Different texts of one id are one document: they stay or go together.
+    """
     found = near_duplicates.near_duplicates(docs)
     left = _without(docs, found.where("not kept").select("doc_id"))
     repeated = kept(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     again = small(repeated, repeated.count(), 16)
-    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    least = F.min(F.struct(*docs.columns)).alias("row")
+    once = left.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(least).select("row.*").select(*docs.columns)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
