@@ -29,6 +29,7 @@ from dossierlens.sources import (
     write_context,
     write_weights,
 )
+from dossierlens.session import size_in_bytes
 from dossierlens.sources.wiki import PAGE_CLOSE, PAGE_OPEN
 
 MAX_RECORD_BYTES = 4096
@@ -127,7 +128,8 @@ def page_source_revisions(spark, sf_dir):
     return read_wiki_pages(spark, path).select(_title(), F.md5(body).alias("digest"))
 
 
-SPLIT_BYTES = 64 << 10
+SPLITS = 200
+"""About so many splits the files of ``page_source_preamble`` are read in."""
 
 
 def page_source_preamble(spark, sf_dir):
@@ -138,11 +140,11 @@ def page_source_preamble(spark, sf_dir):
     records = fixtures.page_records(spark, sf_dir).select(F.concat(F.lit("stray" + PAGE_CLOSE + " text"), nested))
     left_open = spark.range(1).select(F.lit("x" + PAGE_OPEN + PAGE_OPEN + "left open"))
     for packing in ("none", "bzip2"):
-        records.coalesce(2).write.mode("append").option("compression", packing).text(path)
+        records.write.mode("append").option("compression", packing).text(path)
         left_open.write.mode("append").option("compression", packing).text(path)
     setting = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(SPLIT_BYTES))
+    spark.conf.set(setting, str(max(16 << 10, size_in_bytes(spark, path) // SPLITS)))
     try:
         value = F.col("value")
         found = read_delimited(spark, path, PAGE_OPEN, PAGE_CLOSE).select(_title(), F.md5(value).alias("digest"), F.octet_length(value).alias("n_bytes"))

@@ -27,17 +27,23 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+def size_in_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes of all files below ``paths``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n_bytes = 0
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        system = path.getFileSystem(conf)
+        n_bytes += sum(system.getContentSummary(found.getPath()).getLength() for found in system.globStatus(path) or [])
+    return n_bytes
+
+
 def size_shuffles(spark: SparkSession, *paths: str) -> int:
     """Let shuffles begin with as many partitions as the files below ``paths`` ask for.
 
     Adaptive execution merges partitions but never adds any, so its first number has to fit
     the input. It is set for this session, and no lower than Spark's own.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n_bytes = 0
-    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
-        system = path.getFileSystem(conf)
-        n_bytes += sum(system.getContentSummary(found.getPath()).getLength() for found in system.globStatus(path) or [])
+    n_bytes = size_in_bytes(spark, *paths)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BYTES_PER_SHUFFLE_PARTITION))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
     return n
