@@ -238,8 +238,11 @@ def _asked_terms() -> Column:
 
 
 def _needed(found: DataFrame, k: int) -> DataFrame:
-    """``(*QUERY, needed)``: the k-th highest ``matched * impact`` that each query has in the heads of all shards."""
-    reach = found.select(*QUERY, (F.col("matched") * F.col("impact")).alias("needed"))
+    """``(*QUERY, needed)``: the k-th highest ``matched * impact`` that each query has in the heads of all shards.
+
+    Only the first ``k`` of each tile, by their ``place`` there, can be among them.
+    """
+    reach = found.where(F.col("place") <= k).select(*QUERY, (F.col("matched") * F.col("impact")).alias("needed"))
     return top_per_group(reach, QUERY, [F.col("needed").desc()], k).where(F.col("rank") == k).drop("rank")
 
 
@@ -286,6 +289,9 @@ def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) ->
     """
     tails = index.tails.select("term", "shard", "doc_no", "impact")
     bounded = materialize(index.spark, lambda: _with_tails(queries, index), scratch_path(index.spark, "bounded"))
+    if index.n_shards == 1:
+        # A constant costs nothing as a key.
+        bounded, tails = (table.withColumn("shard", F.lit(0)) for table in (bounded, tails))
 
     # What the heads of one tile give is kept if it can reach the tile's own k-th; all that is among the k best
     # of all shards is there, and gives the bound that holds everywhere.
@@ -301,7 +307,7 @@ def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) ->
     possible = (F.col("matched") + F.col("n_tails")) * (F.col("impact") + F.col("tail_sum"))
     found = materialize(
         index.spark,
-        lambda: placed.where(possible >= F.col("needed") * _SLACK).select(*QUERY, "scale", "shard", "doc_no", "impact", "matched"),
+        lambda: placed.where(possible >= F.col("needed") * _SLACK).select(*QUERY, "scale", "shard", "doc_no", "impact", "matched", "place"),
         scratch_path(index.spark, "found"),
     )
 
@@ -311,7 +317,7 @@ def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) ->
         scratch_path(index.spark, "decided"),
     )
     opened = (
-        decided.select(
+        _spread(decided, n_asked, index).select(
             *QUERY, "shard", "scale",
             F.explode(F.slice("tails", F.col("n_closed") + 1, F.size("tails"))).alias("tail"),
         )
@@ -320,7 +326,7 @@ def _sums_with_tails(queries: DataFrame, n_asked: int, index: Index, k: int) ->
         .select(*QUERY, "scale", "shard", "doc_no", (F.col("square") * F.col("impact")).alias("impact"), F.lit(1).cast("long").alias("matched"))
     )
     candidates = (
-        found.unionByName(opened)
+        found.drop("place").unionByName(opened)
         .groupBy(*QUERY, "scale", "shard", "doc_no")
         .agg(F.sum("impact").alias("impact"), F.sum("matched").alias("matched"))
         .join(decided.select(*QUERY, "shard", "needed", "n_closed", "closed", "closed_sum"), [*QUERY, "shard"])
