@@ -8,15 +8,15 @@ of its own, so an inconsistent filling is a chance likeness and is dropped.
 
 Whether a capitalised word that begins a sentence is a name cannot be seen. Documents read it as
 one; of items both readings are joined. Windows of the plain words, with what fills the slots, are
-a second key, so that a verbatim copy is found whatever stands around it.
+a second key, so that a verbatim copy is found whatever stands around it; a window without a slot
+has one key only. Items of fewer than ``MIN_WORDS`` words have the plain key alone. One pass over
+the texts makes the windows of all sizes that items have.
 
 All of it is DataFrame functions; nothing runs in Python on the executors.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ WINDOW = 8
 """Template words per window; an item of fewer words is one window of its own length."""
 
 MIN_WORDS = 4
-"""Items with fewer words are too short to be told from chance and match nothing."""
+"""The template of an item with fewer words says too little; it is matched as it is filled."""
 
 MIN_LITERAL = 0.5
 """The least share of a window that is words, not placeholders; windows of less are only
@@ -52,7 +52,7 @@ _UNITS = (
     r"meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|cents?|usd|eur|percent)(?![\p{L}\p{N}])"
 )
 _NUMBER_WORDS = (
-    r" (two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million)(?= |$)"
+    r" (?=[tfsenhm])(two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million)(?= |$)"
 )
 _BETWEEN = rf"[^\p{{L}}\p{{N}}{MARKS}{POINT}%°]++"
 
@@ -63,7 +63,7 @@ def marked(text: Column, name: str = _NAME) -> Column:
     The words are the same whatever pattern ``name`` is; only marks of names differ.
     Numbers and units are only looked for in texts that hold a digit from 0 to 9.
     """
-    plain = F.translate(text, MARKS + POINT + "\t\x0b\f\r", " " * 8)
+    plain = F.regexp_replace(text, "[" + MARKS + POINT + "\t\x0b\f\r]", " ")
     named = F.regexp_replace(plain, name, NAME + "$0")
     inner = F.regexp_replace(named, _INNER, POINT)
     units = F.regexp_replace(inner, _UNITS, "$1 " + UNIT + "$2")
@@ -86,31 +86,50 @@ def _plain(marked_text: Column) -> Column:
     return F.lower(F.translate(marked_text, MARKS, ""))
 
 
-def _windows(codes: DataFrame, size: int) -> DataFrame:
+def _windows(codes: DataFrame, sizes: list[int]) -> DataFrame:
     """``(doc_id, at, window)`` of ``codes(doc_id, code, plain)``: the hashes of the windows of a
-    template's words, and those of the plain words."""
-    n = F.size("code") - size + 1
-    starts = F.when(n > 0, F.sequence(F.lit(1), n))
+    template's words, and, where they hold a slot, those of the plain words.
+
+    Positions are exploded and the words of a window are read by place, so that windows are hashed
+    in generated code and no array is made for one. Nulls, behind a window's end, do not count in a hash.
+    """
+    kinds = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(plain).alias("as_is")) for n in sizes for plain in (False, True)])
+    placed = codes.select("doc_id", "code", "plain", F.posexplode("code").alias("at", "first"))
+    sized = placed.select("*", F.inline(kinds)).where(F.col("at") + F.col("size") <= F.size("code"))
+
+    def within(k: int, value: Column) -> Column:
+        return value if k < sizes[0] else F.when(F.col("size") > k, value)
 
-    def hashed(words: str) -> Column:
-        return F.transform(starts, lambda at: F.xxhash64(F.lit(size), F.slice(words, at, size)))
+    def word(words: str, k: int) -> Column:
+        return F.get(words, F.col("at") + k)
 
-    both = codes.select("doc_id", n.alias("n"), F.posexplode(F.concat(hashed("code"), hashed("plain"))).alias("at", "window"))
-    return both.select("doc_id", F.pmod("at", "n").alias("at"), "window")
+    ks = range(sizes[-1])
+    slot = F.lit(False)
+    for k in ks:
+        slot = slot | F.coalesce(within(k, word("code", k) != word("plain", k)), F.lit(False))
+    chosen = [within(k, F.when(F.col("as_is"), word("plain", k)).otherwise(word("code", k))) for k in ks]
+    return sized.where(~F.col("as_is") | slot).select("doc_id", "at", F.xxhash64("size", *chosen).alias("window"))
 
 
 def _codes(texts: DataFrame, id: str) -> DataFrame:
-    words = texts.select(id, marked(F.col("text"), _CAPITALISED).alias("marked"))
-    hashed = lambda text: F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
-    return words.select(id, hashed(template(F.col("marked"))).alias("code"), hashed(_plain(F.col("marked"))).alias("plain"))
+    """``(id, code, plain)``: hashes of the words of a template, and of those as they were. The words are taken apart once."""
+    words = texts.select(id, F.split(F.lower(marked(F.col("text"), _CAPITALISED)), " ").alias("words"))
+
+    def hashed(slot) -> Column:
+        # Marks sort before all that a word can begin with.
+        return F.transform("words", lambda w: F.xxhash64(F.when(w < POINT, slot(w)).otherwise(w)))
+
+    return words.select(
+        id, hashed(lambda w: F.substr(w, F.lit(1), F.lit(1))).alias("code"), hashed(lambda w: F.translate(w, MARKS, "")).alias("plain")
+    )
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(item_id, words, wpos, size, window, templated, tokens)`` of items long enough;
+    """``(item_id, words, wpos, size, window, templated, tokens)`` of items that hold a word;
     ``templated`` windows are also matched by other fillings than the item's."""
     items = benchmark.where("text is not null and item_id is not null").select(
         "item_id", _words(marked(F.col("text"))).alias("tokens"), _words(marked(F.col("text"), _CAPITALISED)).alias("capitalised")
-    ).where(F.size("tokens") >= MIN_WORDS)
+    ).where(F.size("tokens") > 0)
     kind = lambda t: F.when(t.rlike(f"^[{MARKS}]"), F.substr(t, F.lit(1), F.lit(1))).otherwise(F.lower(t))
     # What begins the item or a sentence is read as a name and as a word.
     begins = lambda p, i: (~p["token"].rlike(f"^[{MARKS}]")) & (F.startswith(p["capital"], F.lit(NAME)) | ((i == 0) & p["token"].rlike(r"^\p{L}")))
@@ -133,11 +152,12 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         F.array(F.array().cast("array<bigint>")),
         lambda found, words: F.flatten(F.transform(found, lambda f: F.transform(words, lambda w: F.concat(f, F.array(w))))),
     )
+    templated = (literal >= F.col("size") * MIN_LITERAL) & (F.col("words") >= MIN_WORDS)
     keys = F.concat(
-        F.when(literal >= F.col("size") * MIN_LITERAL, every).otherwise(F.array().cast("array<array<bigint>>")),
+        F.when(templated, every).otherwise(F.array().cast("array<array<bigint>>")),
         F.array(F.slice("plain", at, F.col("size"))),
     )
-    return placed.select("*", (literal >= F.col("size") * MIN_LITERAL).alias("templated"), F.explode(F.array_distinct(keys)).alias("key")).select(
+    return placed.select("*", templated.alias("templated"), F.explode(F.array_distinct(keys)).alias("key")).select(
         "item_id", "words", "wpos", "size", F.xxhash64("size", "key").alias("window"), "templated", "tokens"
     )
 
@@ -172,9 +192,7 @@ def find_leaks(
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [window]
     n_windows = items.count()
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
-    codes = _codes(texts, "doc_id")
-    # All long items share one size; each shorter one, fewer than that, takes a pass of its own.
-    windows = reduce(DataFrame.unionByName, [_windows(codes, size) for size in sizes])
+    windows = _windows(_codes(texts, "doc_id"), sizes)
     places = small(items.select("window", "item_id", "wpos", "words", "size"), n_windows, 64)
     shift = (F.col("at") - F.col("wpos")).alias("shift")
     runs = kept(

@@ -46,10 +46,19 @@ def test_leaks_of_short_long_and_repeated_items(table, rng):
     items = [(1, "alpha beta gamma delta"), (2, "too short here"), (3, " ".join(words)), (3, " ".join(words)), (4, None), (5, ""), (None, "alpha beta gamma delta")]
     texts = ["x alpha, beta gamma. delta y", "too short here", " ".join(words[:120]), " ".join(words[:80]), "alpha beta gamma " * 50 + "delta"]
     found = leaks(table, texts, items)
-    assert set(found) == {(0, 1), (2, 3), (4, 1)}
+    assert set(found) == {(0, 1), (1, 2), (2, 3), (4, 1)}
+    assert found[(1, 2)]["coverage"] == 1 and found[(1, 2)]["exact"]
     assert 0.5 <= found[(2, 3)]["coverage"] < 0.7
 
 
+def test_leaks_of_items_under_four_words_are_verbatim(table):
+    items = [(1, "too short here"), (2, "Paris"), (3, "in 1999"), (4, "Paul ran 9 km"), (5, "...")]
+    texts = ["It was Too short, here.", "too short", "here too short", "to Paris in 1999!", "in 1998", "x Anna ran 7 km y", "short here paris", ""]
+    found = leaks(table, texts, items)
+    assert set(found) == {(0, 1), (3, 2), (3, 3), (5, 4), (6, 2)}
+    assert all(r["exact"] == (k != (5, 4)) and r["n_windows"] == 1 for k, r in found.items())
+
+
 def test_leaks_match_brute_force_without_slots(table, rng):
     items = [(i, prose(rng, rng.randint(8, 30), "abcd")) for i in range(20)]
     texts = [" ".join([prose(rng, rng.randint(0, 60), "abcd"), *(rng.choice(items)[1] for _ in range(rng.randint(0, 2))), prose(rng, 9, "abcd")]) for _ in range(60)]
