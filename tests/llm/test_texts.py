@@ -1,6 +1,7 @@
 """Decontamination, extraction, secrets, passages, shards and the pipeline."""
 
 import html
+import time
 import re
 
 import numpy as np
@@ -170,6 +171,48 @@ def test_broken_and_long_pages():
     assert len(html_text.main_blocks(long, tree)) == 20_000
 
 
+HOSTILE = [
+    "<script ", '<a href="x ', "<b ", '<a ">" ', "<a ' \">", "<a \"\" '>", "<!--", "</script", "<form>", "<div>", "<div></p>", '<p class="x', "&", "<script>",
+]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_the_scan_is_linear_on_broken_markup(piece):
+    tree = html_text.trained_tree()
+    for page in (piece * (1_000_000 // len(piece)), piece * (500_000 // len(piece)) + ">text"):
+        begin = time.perf_counter()
+        html_text.main_blocks(page, tree)
+        assert time.perf_counter() - begin < 10  # a quadratic scan takes many minutes
+
+
+def test_tags_end_outside_quotes():
+    tags = [(tag, closing, rest) for _, _, closing, tag, rest in html_text.tags("<a title='x > y' b>1</a ><P CLASS=\"a\"><br/><!-- <i> --><script>if (a<b) '</p>'</SCRIPT ><q t='>z<u>")]
+    assert tags == [("a", False, " title='x > y' b"), ("a", True, " "), ("p", False, ' CLASS="a"'), ("br", False, "/"), ("", False, ""), ("", False, ""), ("q", False, " t='"), ("u", False, "")]
+
+
+def test_the_tree_asks_neighbours():
+    # Columns 2 to 5 are the words and the link density of the blocks before and after.
+    asked = set(html_text.trained_tree().feature.tolist())
+    assert asked & {2, 4} and asked & {3, 5}
+
+
+TALE = "This is the story of a day on which a good many things came about that had not been seen before."
+MORE = "People of the town came out to look, and some of them told us what they made of it all afterwards."
+
+
+@pytest.mark.parametrize("name", ["main-content has-sidebar", "search-results layout", "page footer-fixed", "post has-comments"])
+def test_an_element_around_the_article_may_have_any_name(name):
+    tree = html_text.trained_tree()
+    article = f"<h1>A day</h1><p>{TALE}</p><p>Well, well.</p><p>{MORE}</p>"
+    side = "<div class=sidebar><p>Other tales.</p></div><div class=comments><p>I was there too, and it was not like that.</p></div>"
+    for page in (
+        f'<div class="{name}">{article}{side}</div>',
+        f'<nav><a href=x>Home</a></nav><div class="{name}">{article}</div><p>© 2020 Someone</p>',
+        f'<body><div class="{name}"><div class=inner>{article}</div>{side}</div><footer>Us</footer></body>',
+    ):
+        assert html_text.main_blocks(page, tree) == ["A day", TALE, "Well, well.", MORE], page
+
+
 def test_extraction_on_pages_not_learned_from():
     tree = html_text.trained_tree()
     right = total = 0
