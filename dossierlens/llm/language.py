@@ -2,12 +2,13 @@
 
 Training counts hashed n-grams per language on the tasks and sums them in a shuffle; only
 the ``languages x buckets`` matrix, whose size does not depend on the corpus, reaches the
-driver. It is broadcast, and each document is scored in numpy as a sparse sum of rows.
+driver. It is broadcast. Documents are counted into sparse rows of buckets, in pieces of bounded length,
+and batches of such rows are multiplied with the matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,16 @@ SAMPLE_PER_LANGUAGE = 4000
 BITS = 15
 """The n-grams fall into 2^15 buckets."""
 
+PIECE = 1 << 18
+"""Characters whose n-grams stand in memory at a time."""
+
+ENTRIES = 1 << 20
+"""Numbers of the matrix that a batch of documents takes from it at a time."""
+
 SMOOTHING = 0.1
 UNDETERMINED = "und"
-MIN_LANGUAGE_BYTES = 64 * (8 << 20)
-"""Bound of the model: with 2^15 buckets of 8 bytes, 2048 languages."""
+MODEL_BYTES = 64 * (8 << 20)
+"""Bound of the model: with 2^15 buckets of 8 bytes, 2048 languages. More are refused, none is left out."""
 
 _ODD = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
@@ -44,18 +51,28 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def buckets(text: str, bits: int = BITS) -> np.ndarray:
-    """The buckets of all 1-, 2- and 3-grams of the lower-cased characters of ``text``."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _grams(code: np.ndarray, bits: int, starts: int) -> np.ndarray:
+    """The buckets of the 1-, 2- and 3-grams that begin in the first ``starts`` characters."""
     grams, mixed = [], np.zeros(len(code), dtype=np.uint32)
     for n, odd in enumerate(_ODD, 1):
         if len(code) < n:
             break
         mixed = (mixed[: len(code) - n + 1] + code[n - 1 :]) * odd
-        grams.append((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - bits))
+        hashed = mixed[:starts]
+        grams.append((hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - bits))
     return np.concatenate(grams) if grams else code
 
 
+def counted(text: str, bits: int = BITS, piece: int = PIECE) -> np.ndarray:
+    """How many 1-, 2- and 3-grams of the lower-cased characters of ``text`` fall into each bucket."""
+    lowered, total = text.lower(), np.zeros(1 << bits, dtype=np.int64)
+    for begin in range(0, len(lowered), piece):
+        characters = lowered[begin : begin + piece + len(_ODD) - 1]
+        code = np.frombuffer(characters.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        total += np.bincount(_grams(code, bits, piece), minlength=1 << bits)
+    return total
+
+
 def train(
     labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, bits: int = BITS
 ) -> Model:
@@ -66,7 +83,10 @@ def train(
     """
     size = 1 << bits
     known = small_batches(labelled).where("lang is not null and text is not null").select("lang", "text")
-    counts = known.groupBy("lang").count().orderBy("lang").limit(MIN_LANGUAGE_BYTES // (8 * size)).collect()
+    most = MODEL_BYTES // (8 * size)
+    counts = known.groupBy("lang").count().orderBy("lang").limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages: a model of 2^{bits} buckets would pass MODEL_BYTES")
     languages = [row["lang"] for row in counts]
     rows = np.array([row["count"] for row in counts], dtype=float)
     if not languages:
@@ -82,7 +102,7 @@ def train(
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 total = sums.setdefault(lang, np.zeros(size, dtype=np.int64))
-                total += np.bincount(buckets(text, bits), minlength=size)
+                total += counted(text, bits)
         for lang, total in sums.items():
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -101,14 +121,49 @@ def train(
     return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(rows / rows.sum()))
 
 
+def _scores(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The log odds of documents given as ``(buckets, counts)``: one sparse product with the matrix."""
+    begins = np.cumsum([0] + [len(found) for found, _ in rows[:-1]])
+    taken = model.weights[np.concatenate([found for found, _ in rows])] * np.concatenate([n for _, n in rows])[:, None]
+    return np.add.reduceat(taken, begins, axis=0) + model.prior
+
+
+def classify_all(model: Model, texts: Iterable[str | None], bits: int = BITS) -> list[tuple[str, float]]:
+    """Of each text the most probable language, the first in the alphabet among equals, and its posterior probability."""
+    out: list[tuple[str, float]] = []
+    places: list[int] = []
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def score() -> None:
+        if rows:
+            logs = _scores(model, rows)
+            odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+            best = odds.argmax(axis=1)
+            for k, place in enumerate(places):
+                out[place] = model.languages[best[k]], float(odds[k, best[k]] / odds[k].sum())
+        places.clear()
+        rows.clear()
+
+    waiting = 0
+    for text in texts:
+        out.append((UNDETERMINED, 0.0))
+        if not text or not model.languages or not has_letter(text):
+            continue
+        n = counted(text, bits)
+        found = np.flatnonzero(n)
+        places.append(len(out) - 1)
+        rows.append((found, n[found]))
+        waiting += len(found) * len(model.languages)
+        if waiting > ENTRIES:
+            score()
+            waiting = 0
+    score()
+    return out
+
+
 def classify(model: Model, text: str | None, bits: int = BITS) -> tuple[str, float]:
     """The most probable language and its posterior probability."""
-    if not text or not model.languages or not has_letter(text):
-        return UNDETERMINED, 0.0
-    logs = model.weights[buckets(text, bits)].sum(axis=0) + model.prior
-    odds = np.exp(logs - logs.max())
-    best = int(odds.argmax())
-    return model.languages[best], float(odds[best] / odds.sum())
+    return classify_all(model, [text], bits)[0]
 
 
 def identify(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
@@ -123,7 +178,7 @@ def identify(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [classify(shared.value, t, bits) for t in batch.column("text").to_pylist()]
+            found = classify_all(shared.value, batch.column("text").to_pylist(), bits)
             lang, score = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -68,6 +71,50 @@ def test_language_is_told_on_texts_not_learned_from(spark, rng):
     assert all(0.33 < r["score"] <= 1 for r in found)
 
 
+def test_posteriors_match_brute_force(rng, monkeypatch):
+    weights = np.random.default_rng(1).normal(size=(1 << 6, 3))
+    model = language.Model(["a", "b", "c"], weights, np.log([0.5, 0.3, 0.2]))
+    texts = [None, "", "12 3", "x", "Ab", "ÀÉ 😀 straße", *(prose(rng, n) for n in (1, 5, 40, 400)), "equal " * 50, "equal " * 50]
+    monkeypatch.setattr(language, "ENTRIES", 100)  # several products
+    for text, (lang, score) in zip(texts, language.classify_all(model, texts, 6), strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs, code = model.prior.copy(), [ord(c) for c in text.lower()]
+        for at in range(len(code)):
+            mixed = 0
+            for c, odd in zip(code[at : at + 3], language._ODD):
+                mixed = (mixed + c) * int(odd) % 2**32
+                logs += weights[((mixed ^ (mixed >> 15)) * 0x27D4EB2F % 2**32) >> 26]
+        odds = np.exp(logs - logs.max())
+        assert lang == "abc"[odds.argmax()] and score == pytest.approx(odds.max() / odds.sum())
+
+
+def test_pieces_of_a_text_count_as_the_whole(rng):
+    text = prose(rng, 300)
+    for piece in (1, 2, 3, 7, 1000):
+        assert (language.counted(text, 8, piece) == language.counted(text, 8)).all()
+
+
+def test_long_texts_take_little_memory():
+    model = language.Model([str(k) for k in range(10)], np.zeros((1 << language.BITS, 10)), np.zeros(10))
+    text = "The cat sat on a mat. " * 900_000
+    tracemalloc.start()
+    # Posteriors are equal: the first of the alphabet.
+    assert language.classify(model, text) == ("0", pytest.approx(0.1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_too_many_languages_are_refused(table, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_BYTES", 2 * (8 << language.BITS))
+    rows = [(k, "some text", lang, None, None) for k, lang in enumerate("aabc")]
+    assert language.train(table(rows[:3], DOCS)).languages == ["a", "b"]
+    with pytest.raises(ValueError, match="languages"):
+        language.train(table(rows, DOCS))
+
+
 def test_language_of_odd_documents(spark, odd_documents):
     model = language.train(odd_documents)
     assert model.languages == ["en", "fr"]
