@@ -1,15 +1,17 @@
 """Near-duplicate embeddings: iterative quantisation, Hamming tables, exact rerank.
 
 Rotations are learned on a bounded sample, each by iterative quantisation from another start;
-every vector is indexed. A rotation gives a balanced 64-bit code, whose parts of 16 bits or
-more index a table each: codes whose Hamming distance is less than their parts share one. Parts
-are as wide as the logarithm of the number of vectors, so that buckets do not fill up, and there
-are as many tables as pairs at the least similarity need to share one with probability
-0.999: nine rotations of four parts up to 65536 vectors whose mean is near zero. Where vectors share a
-direction, those pairs stand at a wider angle about the mean; it is measured on the sample and
-takes more tables. Each length of vectors is searched by itself; few vectors, and those that
-would take too many tables, meet all.
-Within a bucket, vectors stay that have a partner near enough over all bits; only these meet
+every vector is indexed. A rotation gives a balanced code of 64 bits, whose parts index a table
+each: codes whose Hamming distance is less than their parts share one. There are as many tables
+as pairs at the least similarity need to share one with probability 0.999.
+How wide a part is, and how much of the mean is subtracted first, follows from two angles
+measured on the sample, that of pairs at the least similarity and that of any two: of all widths
+and centres the one is taken whose rows and expected comparisons cost least. Wide parts take more
+tables and hold fewer vectors in a bucket; a direction that all vectors share is subtracted
+where that sets them further apart. Each length of vectors is searched by itself, by codes at
+every size. A vector's work grows as a small power of their number; where a shared direction leaves any two nearly as
+close as links, a model's most rotations leave a fixed share of the pairs to be compared as codes.
+Within a bucket, vectors stay that have a partner near enough over the first codes; only these meet
 as vectors, in blocks, where the cosine is taken in double precision. A pair belongs to
 the first table that holds it, so links are counted once and need not be written as pairs.
 """
@@ -36,67 +38,115 @@ SAMPLE_BYTES = 32 << 20
 """The rotations are learned on no more rows, and no more bytes, than these."""
 
 BITS = 64
-LEAST_PART = 16
+LEAST_PART = 8
 MISS = 0.001
 ROUNDS = 25
+LEARN_ROWS = 2_000
+"""Rows of the sample on which a rotation is turned; its axes are those of the whole sample."""
+
+CENTRES = (1.0, 0.5, 0.0)
+"""Shares of the mean that may be subtracted."""
+
+COMPARED = 64
+"""Codes that are compared in the time that a row more in the tables takes."""
+
+CHECKED = 8
+"""Rotations whose codes go into the tables, to be compared there."""
+
+MOST_ROTATIONS = 512
+"""A model has no more, some 10 MB; where wide parts would take more, parts are narrower and buckets larger."""
+
 BLOCK = 256
 HOT = 2048
 """Buckets with more members are searched by several tasks."""
 
-FEW = 512
-"""So many vectors of one length all meet; no codes are made."""
-
-MOST_ROTATIONS = 64
-"""If more are needed, all vectors of the length meet."""
+PLAIN = math.acos(MIN_COSINE) / math.pi
 
 
 @dataclass(frozen=True)
 class Rotations:
     mean: np.ndarray
-    planes: list[np.ndarray]
+    axes: np.ndarray
+    turns: list[np.ndarray]
     dim: int
-    share: float = math.acos(MIN_COSINE) / math.pi
+    share: float = PLAIN
     """The share of bits in which nearly no pair at the least similarity is expected to differ more."""
 
 
-def layout(n: int, n_bits: int = BITS, shares: np.ndarray | None = None) -> tuple[int, int]:
-    """Bits of a part, and rotations, for ``n`` vectors with codes of ``n_bits``.
+@dataclass(frozen=True)
+class Layout:
+    part: int
+    rotations: int
+    cost: float
+    """Rows in the tables for each vector, and comparisons in terms of rows."""
 
-    ``shares`` are the shares of bits in which pairs at the least similarity differ. There are never
-    more than one rotation above ``MOST_ROTATIONS``.
-    """
-    part = min(n_bits, max(LEAST_PART, math.ceil(math.log2(max(2, n)))))
-    plain = math.acos(MIN_COSINE) / math.pi
-    agree = (1 - np.maximum(plain, plain if shares is None or not len(shares) else shares)) ** part
-    per = n_bits // part
-    rotations = math.ceil(math.log(MISS) / math.log(1 - (1 - plain) ** part) / per)
-    while rotations <= MOST_ROTATIONS and np.mean((1 - agree) ** (rotations * per)) > MISS * 1.0001:
-        rotations += 1
-    return part, rotations
 
+def layout(n: int, n_bits: int = BITS, near: np.ndarray | None = None, apart: np.ndarray | None = None) -> Layout:
+    """The width of parts, and the rotations, that cost least for ``n`` vectors with codes of ``n_bits``.
 
-def shares(sample: np.ndarray, seed: int = 3) -> np.ndarray:
+    ``near`` are the shares of bits in which pairs at the least similarity differ, ``apart`` those of any two.
+    """
+    near = np.maximum(PLAIN, [PLAIN] if near is None or not len(near) else near)
+    apart = np.array([0.5]) if apart is None or not len(apart) else apart
+    found = []
+    for part in range(min(LEAST_PART, n_bits), n_bits + 1):
+        per = n_bits // part
+        tables = _tables(near, part)
+        rotations = math.ceil(tables / per) if tables <= MOST_ROTATIONS * per else 0
+        cost = (rotations * per or math.inf) * (1 + n * float(np.mean((1 - apart) ** part)) / COMPARED)
+        found.append(Layout(part, rotations, cost))
+    return min(found, key=lambda way: way.cost)
+
+
+def _tables(near: np.ndarray, part: int) -> float:
+    """How many tables of parts so wide leave ``MISS`` of the pairs out; infinite beyond a million."""
+    apart = 1 - (1 - near) ** part
+
+    def enough(tables: int) -> bool:
+        return float(np.mean(apart**tables)) <= MISS * 1.0001
+
+    most = 1
+    while not enough(most):
+        most *= 2
+        if most > 1 << 20:
+            return math.inf
+    least = most // 2
+    while most - least > 1:
+        middle = (least + most) // 2
+        least, most = (least, middle) if enough(middle) else (middle, most)
+    return most
+
+
+def shares(sample: np.ndarray, centre: float = 1.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The shares of bits in which unit vectors of ``sample`` and others at the least similarity
-    differ: their angles as codes see them, about the mean and along the principal axes.
+    differ, and those in which they differ from any other one: their angles as codes see them, about
+    ``centre`` of the mean and along the principal axes.
 
-    The other vector lies towards another one of the sample.
+    The vector at the least similarity lies towards another one of the sample.
     """
-    mean, axes = _axes(sample)
-    towards = sample[np.random.default_rng(seed).permutation(len(sample))] - mean
-    towards = towards - (towards * sample).sum(axis=1)[:, None] * sample
+    mean, axes = _axes(sample, centre)
+    others = sample[np.random.default_rng(seed).permutation(len(sample))]
+    towards = others - (others * sample).sum(axis=1)[:, None] * sample
     size = np.linalg.norm(towards, axis=1)
     known = size > 1e-9
     mine, towards = sample[known], towards[known] / size[known][:, None]
-    other = MIN_COSINE * mine + math.sqrt(1 - MIN_COSINE**2) * towards
-    a, b = (mine - mean) @ axes, (other - mean) @ axes
+    near = MIN_COSINE * mine + math.sqrt(1 - MIN_COSINE**2) * towards
+    return _angles((mine - mean) @ axes, (near - mean) @ axes), _angles((mine - mean) @ axes, (others[known] - mean) @ axes)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles of the rows, as shares of half a turn."""
     norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
     cosines = (a * b).sum(axis=1) / np.where(norms > 0, norms, 1.0)
     return np.arccos(np.clip(np.where(norms > 0, cosines, 0.0), -1.0, 1.0)) / math.pi
 
 
-def _axes(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mean, and the principal axes of most variance."""
-    mean = sample.mean(axis=0)
+def _axes(sample: np.ndarray, centre: float) -> tuple[np.ndarray, np.ndarray]:
+    """What is subtracted, and the principal axes of most variance about it.
+
+    The mean of a few vectors would set near ones apart; it counts in the measure of their number.
+    """
+    mean = sample.mean(axis=0) * (centre * len(sample) / (len(sample) + BITS))
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     return mean, axes[:, ::-1][:, : min(BITS, sample.shape[1])]
@@ -116,28 +166,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
-def fit(sample: np.ndarray, rotations: int = layout(0)[1], seed: int = 3, share: float = Rotations.share) -> Rotations:
+def fit(sample: np.ndarray, rotations: int, centre: float = 1.0, share: float = PLAIN, seed: int = 3) -> Rotations:
     """Iterative quantisation: turn the principal axes so that signs lose the least."""
-    dim = sample.shape[1]
-    mean, axes = _axes(sample)
-    projected = (sample - mean) @ axes
-    planes, rng = [], np.random.default_rng(seed)
+    mean, axes = _axes(sample, centre)
+    projected = (sample[:LEARN_ROWS] - mean) @ axes
+    turns, rng = [], np.random.default_rng(seed)
     for _ in range(rotations):
         turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
         for _ in range(ROUNDS):
             u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
             turn = (u @ v).T
-        planes.append(axes @ turn)
-    return Rotations(mean, planes, dim, share)
+        turns.append(turn.astype(np.float32))
+    return Rotations(mean, axes, turns, sample.shape[1], share)
 
 
 def codes(units: np.ndarray, model: Rotations) -> np.ndarray:
     """``(rows, rotations)`` 64-bit codes."""
-    out = np.zeros((len(units), len(model.planes)), dtype=np.uint64)
-    for r, plane in enumerate(model.planes):
-        bits = (units - model.mean) @ plane >= 0
-        weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
-        out[:, r] = (bits * weights).sum(axis=1, dtype=np.uint64)
+    out = np.zeros((len(units), len(model.turns)), dtype=np.uint64)
+    projected = ((units - model.mean) @ model.axes).astype(np.float32)
+    weights = np.uint64(1) << np.arange(projected.shape[1], dtype=np.uint64)
+    for r, turn in enumerate(model.turns):
+        out[:, r] = ((projected @ turn >= 0) * weights).sum(axis=1, dtype=np.uint64)
     return out
 
 
@@ -182,8 +231,6 @@ def _block_links(table: pa.Table, width: int, n_bits: int) -> pa.Table:
     i, j = i[keep], j[keep]
     mine = np.ones(len(i), dtype=bool)
     for begin in range(0, len(i), 100_000):
-        if not parts.shape[1]:  # all vectors meet once
-            break
         same = parts[i[begin : begin + 100_000]] == parts[j[begin : begin + 100_000]]
         mine[begin : begin + 100_000] = same.argmax(axis=1) == part
     i, j = i[mine], j[mine]
@@ -227,19 +274,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         "classes",
     )
     sizes = classes.groupBy(F.size("embedding").alias("dim")).count().where("count > 1").orderBy(F.desc("count"), "dim").collect()
-    coded, all_meet = [], []
-    for dim, count in sizes:
-        model, width = _model(classes, dim, count) if count > FEW else (None, 0)
-        if model is None:
-            all_meet.append(dim)
-        else:
-            coded.append(_links(classes.where(F.size("embedding") == dim), model, width))
-    if all_meet:
-        dims = spark.createDataFrame([(dim,) for dim in all_meet], "dim int")
-        near = classes.select("id", F.size("embedding").alias("dim")).join(F.broadcast(dims), "dim").select(
-            F.col("dim").alias("part"), F.lit(0).cast("long").alias("bits"), "id", F.array().cast("array<bigint>").alias("codes")
-        )
-        coded.append(_meet(classes, near, 1, 1))
+    coded = [_links(classes.where(F.size("embedding") == dim), *_model(classes, dim, count)) for dim, count in sizes]
     none = spark.createDataFrame([], "id long, n long, other long")
     links = kept(reduce(DataFrame.unionByName, coded), "links") if coded else none
 
@@ -257,21 +292,29 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _model(classes: DataFrame, dim: int, count: int) -> tuple[Rotations | None, int]:
-    """The rotations of the ``count`` vectors of one length, and the bits of a part; none if there would be too many."""
+def planned(sample: np.ndarray, count: int) -> tuple[Layout, float, float]:
+    """The layout that costs least for ``count`` vectors like the sample's, the share of the mean it
+    subtracts, and the share of bits in which nearly no pair at the least similarity differs more."""
+    n_bits = min(BITS, sample.shape[1])
+    ways = []
+    for centre in CENTRES:
+        near, apart = shares(sample, centre)
+        ways.append((layout(count, n_bits, near, apart), centre, near))
+    way, centre, near = min(ways, key=lambda found: found[0].cost)
+    if way.cost == math.inf:  # the sample's angles hold for no model: plain angles about the origin
+        way, centre = layout(count, n_bits), 0.0
+    return way, centre, max(PLAIN, float(np.quantile(near, 0.999)) if len(near) else 0.0)
+
+
+def _model(classes: DataFrame, dim: int, count: int) -> tuple[Rotations, int]:
+    """The rotations of the ``count`` vectors of one length, and the bits of a part."""
     n = min(SAMPLE_ROWS, max(BITS, SAMPLE_BYTES // (8 * dim)))
     drawn = classes.where(F.size("embedding") == dim).select("embedding").where(
-        F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < min(1.0, 1.2 * n / count) * (1 << 30)
+        F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < max(1.2 * n / count, 64 / count) * (1 << 30)
     ).limit(n).toArrow()
     sample = np.array([_unit(np.array(v)) for v in drawn.column("embedding").to_pylist()]).reshape(-1, dim)
-    if not len(sample):
-        return None, 0
-    measured = shares(sample)
-    width, rotations = layout(count, min(BITS, dim), measured)
-    if rotations > MOST_ROTATIONS:
-        return None, 0
-    widest = float(np.quantile(measured, 0.999)) if len(measured) else 0.0
-    return fit(sample, rotations, share=max(Rotations.share, widest)), width
+    way, centre, share = planned(sample, count)
+    return fit(sample, way.rotations, centre, share), way.part
 
 
 def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
@@ -289,7 +332,7 @@ def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
             )
 
     coded_ids = kept(classes.select("id", "embedding").mapInArrow(coded, "id long, codes array<long>"), "codes")
-    n_bits, rotations = min(BITS, model.dim), len(model.planes)
+    n_bits, rotations = min(BITS, model.dim), len(model.turns)
     shifts = range(0, n_bits - n_bits % width, width)
     mask = (1 << width) - 1 if width < 64 else -1
     parts = F.array(
@@ -302,16 +345,18 @@ def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
             for p, shift in enumerate(shifts)
         ]
     )
-    entries = coded_ids.select("id", "codes", F.explode(parts).alias("e")).select("id", "codes", "e.part", "e.bits")
+    checked = min(CHECKED, rotations)
+    first = F.slice("codes", 1, checked).alias("codes")
+    entries = coded_ids.select("id", first, F.explode(parts).alias("e")).select("id", "codes", "e.part", "e.bits")
     bucket = ["part", "bits"]
     counted = entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
     crowded = kept(entries.join(counted, bucket), "buckets")
 
     # Who has a partner near over all bits: a pair at the least cosine differs in the model's
     # share of them, with a standard error that 4.5 times over is added here.
-    share, total = model.share, rotations * n_bits
+    share, total = model.share, checked * n_bits
     most = math.ceil(total * share + 4.5 * 1.5 * math.sqrt(total * share * (1 - share)))
-    distance = sum((F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("codes2", F.lit(r)))) for r in range(rotations)), F.lit(0))
+    distance = sum((F.bit_count(F.get("codes", F.lit(r)).bitwiseXOR(F.get("codes2", F.lit(r)))) for r in range(checked)), F.lit(0))
     tasks = F.ceil(F.col("n") / HOT)
     asking = crowded.withColumn("salt", F.pmod(F.xxhash64("id"), tasks))
     asked = crowded.select(
@@ -324,14 +369,15 @@ def _links(classes: DataFrame, model: Rotations, width: int) -> DataFrame:
             (asking["part"] == asked["part"]) & (asking["bits"] == asked["bits"]) & (asking["salt"] == asked["salt"])
             & (asking["id"] != asked["id2"]) & (distance <= most),
             "left_semi",
-        ).select(*bucket, "id", "codes"),
+        ).select(*bucket, "id"),
         "near",
     )
-    return _meet(classes, near, width, n_bits)
+    return _meet(classes.select("id", "copies", "embedding").join(coded_ids, "id"), near, width, n_bits)
 
 
-def _meet(classes: DataFrame, near: DataFrame, width: int, n_bits: int) -> DataFrame:
-    """``(id, n, other)`` of the members of each bucket of ``near(part, bits, id, codes)``, in pairs of blocks."""
+def _meet(members: DataFrame, near: DataFrame, width: int, n_bits: int) -> DataFrame:
+    """``(id, n, other)`` of the members of each bucket of ``near(part, bits, id)``, in pairs of blocks;
+    ``members(id, copies, embedding, codes)`` holds what they are."""
     bucket = ["part", "bits"]
     sizes = near.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = near.join(sizes, bucket).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -340,10 +386,10 @@ def _meet(classes: DataFrame, near: DataFrame, width: int, n_bits: int) -> DataF
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")),
     )
-    dealt = placed.select(*bucket, "id", "codes", "mine", F.explode(pairs).alias("p")).select(
-        *bucket, "id", "codes", "p.i", "p.j", (F.col("mine") == F.col("p.i")).alias("first"), (F.col("mine") == F.col("p.j")).alias("second")
+    dealt = placed.select(*bucket, "id", "mine", F.explode(pairs).alias("p")).select(
+        *bucket, "id", "p.i", "p.j", (F.col("mine") == F.col("p.i")).alias("first"), (F.col("mine") == F.col("p.j")).alias("second")
     )
-    full = dealt.join(classes.select("id", "copies", "embedding"), "id")
+    full = dealt.join(members, "id")
     return full.groupBy(*bucket, "i", "j").applyInArrow(lambda table: _block_links(table, width, n_bits), "id long, n long, other long")
 
 

@@ -130,8 +130,7 @@ def links_by_hand(groups):
 
 
 @pytest.mark.parametrize("shift", [0.0, 1.2, 20.0])
-def test_vectors_of_two_lengths_and_a_shifted_mean(table, monkeypatch, shift):
-    monkeypatch.setattr(vectors, "FEW", 50)
+def test_vectors_of_two_lengths_and_a_shifted_mean(table, shift):
     random = np.random.default_rng(5)
     groups, rows, begin = [], [], 0
     for dim, n in ((32, 180), (20, 120)):
@@ -150,6 +149,43 @@ def test_vectors_of_two_lengths_and_a_shifted_mean(table, monkeypatch, shift):
         assert sum(got[i] for i in ids) >= 0.99 * sum(truth[i] for i in ids) > 0
 
 
+def shifted(shift, n=1500, dim=64):
+    """Unit vectors, of which ``i`` and ``n + i`` are at a cosine of 0.95 and a little more."""
+    random = np.random.default_rng(11)
+    base = random.standard_normal((n, dim))
+    base[:, 0] += shift
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = random.standard_normal((n, dim))
+    aside -= (aside * base).sum(axis=1)[:, None] * base
+    aside *= (np.sqrt(1 / 0.951**2 - 1) / np.linalg.norm(aside, axis=1))[:, None]
+    near = base + aside
+    return np.vstack([base, near / np.linalg.norm(near, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("shift, most", [(0, 0.05), (3, 0.05), (20, 0.95)])
+def test_codes_meet_near_vectors_and_not_all(shift, most):
+    units = shifted(shift)
+    n = len(units) // 2
+    way, centre, share = vectors.planned(units, len(units))
+    model = vectors.fit(units, way.rotations, centre, share)
+    parts = vectors._parts(vectors.codes(units, model), way.part, 64)
+    met = np.zeros((2 * n, 2 * n), dtype=bool)
+    for column in parts.T:
+        met |= column[:, None] == column[None, :]
+    assert np.diagonal(met, n).mean() >= 0.99
+    assert (met.sum() - 2 * n) / (2 * n * (2 * n - 1)) <= most
+
+
+@pytest.mark.parametrize("shift, least, most, power", [(0, 18, 36, 0.3), (3, 18, 36, 0.3), (20, 12, 20, 0.9)])
+def test_work_of_a_vector_grows_less_than_the_table(shift, least, most, power):
+    units = shifted(shift)
+    costs = [vectors.planned(units, 2**e)[0].cost for e in (least, most)]
+    assert costs[1] / costs[0] <= 2 ** ((most - least) * power)
+    assert all(vectors.planned(units, 2**e)[0].rotations <= vectors.MOST_ROTATIONS for e in (1, 10, 36))
+    plain = vectors.layout(2**36)
+    assert plain.rotations * (64 // plain.part) <= 8 * 36
+
+
 def test_odd_vectors(table):
     nan, inf = float("nan"), float("inf")
     odd = [(1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (10, [1e200, 2e200])]
