@@ -3,9 +3,11 @@
 1. Each text becomes the set of its 5-word shingles (64-bit hashes) and a signature of 96
    minima. Texts with equal sets are one class from here on, whatever their number.
 2. The forest has 24 orders of the signature, one beginning at every fourth place. A region
-   is what shares the first 4 values of an order. Candidates are pairs with the longest
-   common prefixes: the two members of a region of two, or neighbours in the sorted order of
-   a larger one. Regions of many members are cut deeper, and in the end by a hash, to be sorted.
+   is what shares the first 4 values of an order; one of many members is descended by two values
+   at a time until few share the longer prefix, so that each region has the depth its own crowd asks
+   for, up to 12 values. Members are sorted by the rest of their order. Candidates are those with
+   the longest common prefixes: the two members of a region of two, or neighbours in the sorted order.
+   What still crowds at 12 values is nearly equal; it is cut by a hash to be sorted.
 3. Candidates whose signatures agree in too few places are left; the others are confirmed
    on full sets, and what is linked forms components.
 4. Neighbours are not all pairs of a large region. So in regions of more than a neighbourhood
@@ -30,6 +32,12 @@ from .components import connected
 WORDS = 5
 PERCENT = 75
 DEPTH = 4
+SORTED = 8
+"""Values of an order behind those of the region, by which members are sorted."""
+
+STEP = 2
+"""Values by which a crowded region is descended at once."""
+
 ORDERS = 24
 HASHES = DEPTH * ORDERS
 NEAR = 4
@@ -117,7 +125,7 @@ def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4000):
         column = batch.column("signature")
         values = column.flatten().to_numpy().view(np.uint32).reshape(-1, HASHES).astype(np.uint64)
-        values = np.hstack([values, values[:, : DEPTH + 2]])
+        values = np.hstack([values, values[:, : DEPTH + SORTED]])
         ids = batch.column("id").to_numpy()
         for order in range(ORDERS):
             begin = order * DEPTH
@@ -125,25 +133,52 @@ def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place in range(begin, begin + DEPTH):
                 region = (region ^ values[:, place]) * np.uint64(0x9E3779B97F4A7C15)
                 region ^= region >> np.uint64(32)
-            deeper = (values[:, begin + DEPTH] << _SHIFT) + values[:, begin + DEPTH + 1]
+            rest = values[:, begin + DEPTH : begin + DEPTH + SORTED].astype(">u4")
+            deeper = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SORTED), len(ids), [None, pa.py_buffer(rest.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(region.view(np.int64)), pa.array(deeper.view(np.int64)), pa.array(ids)],
+                [pa.array(region.view(np.int64)), deeper.cast(pa.binary()), pa.array(ids)],
                 names=["region", "deeper", "id"],
             )
 
 
 def _forest(classes: DataFrame) -> DataFrame:
-    """``(region, deeper, id)``: every class in every order."""
-    return classes.select("id", "signature").mapInArrow(_in_orders, "region long, deeper long, id long")
+    """``(region, deeper, id)``: every class in every order, with the bytes of the next values."""
+    return classes.select("id", "signature").mapInArrow(_in_orders, "region long, deeper binary, id long")
+
+
+def _descended(members: DataFrame) -> DataFrame:
+    """``members(region, deeper, id, n)`` with ``cut``: what of a crowded region shares a prefix so long that few do.
+
+    Of prefixes only the crowded ones are looked up, and there are fewer of them than members by ``BLOCK``.
+    """
+    depths = range(STEP, SORTED + 1, STEP)
+    crowded = F.col("n") > BLOCK
+
+    def prefix(depth: int):
+        return F.xxhash64("region", F.substring("deeper", 1, 4 * depth))
+
+    longer = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix")) for d in depths]))
+    counted = members.where(crowded).select(longer.alias("p")).groupBy("p.depth", "p.prefix").agg(F.count("*").alias("held"))
+    full = kept(counted.where(F.col("held") > BLOCK), "prefixes")
+    rows = full.count()
+    cut = None
+    for depth in reversed(depths):
+        mine = small(full.where(F.col("depth") == depth), rows, 24).select(
+            F.col("prefix").alias(f"prefix{depth}"), F.col("held").alias(f"held{depth}")
+        )
+        members = members.withColumn(f"prefix{depth}", F.when(crowded, prefix(depth))).join(mine, f"prefix{depth}", "left")
+        if cut is None:
+            cut = F.xxhash64(f"prefix{depth}", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce(f"held{depth}", F.lit(1)) / BLOCK)))
+        else:
+            cut = F.when(F.col(f"held{depth}").isNull(), F.col(f"prefix{depth}")).otherwise(cut)
+    return members.select("region", "deeper", "id", "n", F.when(crowded, cut).otherwise(F.lit(0).cast("long")).alias("cut"))
 
 
 def _neighbours(members: DataFrame) -> DataFrame:
-    """``(a, b)``: members of a region that are near in its sorted order."""
-    parts = F.ceil(F.col("n") / BLOCK)
-    cut = F.when(F.col("n") > BLOCK, F.xxhash64("deeper", F.pmod(F.xxhash64("id"), parts)))
+    """``(a, b)``: members of a region with the longest common prefixes, near in its sorted order."""
     order = Window.partitionBy("region", "cut").orderBy("deeper", "id")
     ahead = F.array(*[F.lead("id", k).over(order) for k in range(1, NEAR + 1)])
-    paired = members.withColumn("cut", F.coalesce(cut, F.lit(0))).select("id", ahead.alias("ahead"))
+    paired = _descended(members).select("id", ahead.alias("ahead"))
     return paired.select(F.col("id").alias("a"), F.explode("ahead").alias("b")).where("b is not null")
 
 

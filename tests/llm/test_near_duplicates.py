@@ -83,6 +83,34 @@ def test_a_crowded_region_loses_no_link(table, rng, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: c for i, (_, c) in expected.items()}
 
 
+def test_crowded_regions_are_descended_until_few_share_a_prefix(table, rng, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 10)
+
+    def order(*values):
+        return b"".join(v.to_bytes(4, "big") for v in (*values, *(rng.randrange(2**32) for _ in range(near.SORTED - len(values)))))
+
+    shallow = [order() for _ in range(8)]  # a region that is small as it is
+    deep = [order(7, 7, k % 4, 1) for k in range(30)]  # small groups at the second step
+    equal = [bytes(4 * near.SORTED)] * 45  # no depth is enough
+    rows = [(1, d, i, len(shallow)) for i, d in enumerate(shallow)]
+    rows += [(2, d, 100 + i, len(deep + equal)) for i, d in enumerate(deep + equal)]
+    found = near._descended(table(rows, "region long, deeper binary, id long, n long")).collect()
+    assert sorted(r["id"] for r in found) == [r[2] for r in rows]
+    cuts = {}
+    for r in found:
+        cuts.setdefault((r["region"], r["cut"]), []).append(bytes(r["deeper"]))
+    small = [c for (region, _), c in cuts.items() if region == 1]
+    assert [len(c) for c in small] == [8]
+    descended = [c for (region, _), c in cuts.items() if region == 2 and c[0][0:4] == (7).to_bytes(4, "big")]
+    assert sorted(len(c) for c in descended) == [7, 7, 8, 8]
+    assert all(len({d[: 4 * 2 * near.STEP] for d in c}) == 1 and len({d for d in c}) > 1 for c in descended)
+    assert 1 < len([c for (region, _), c in cuts.items() if c[0] == equal[0]]) <= 5
+    pairs = near._neighbours(table(rows, "region long, deeper binary, id long, n long")).collect()
+    by_id = {r[2]: r[1] for r in rows}
+    common = lambda a, b: next((i for i in range(near.SORTED) if by_id[a][4 * i : 4 * i + 4] != by_id[b][4 * i : 4 * i + 4]), near.SORTED)
+    assert all(common(r["a"], r["b"]) >= 2 * near.STEP for r in pairs if r["a"] >= 100)
+
+
 def test_near_duplicates_of_odd_documents(odd_documents):
     found = near.near_duplicates(odd_documents).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in found if r["doc_id"] != 4) == [
