@@ -78,11 +78,13 @@ def train(
 ) -> Model:
     """Learn from ``labelled(text, lang)``; rows without a language or text are left out.
 
-    Rows of a language are sampled by a hash of the text at the rate that keeps
-    ``per_language`` of them in expectation, so the model is the same in every run.
+    Rows of a language are sampled by a hash of the text, and of ``doc_id`` where there is one, at the
+    rate that keeps ``per_language`` of them in expectation, so the model is the same in every run and
+    copies of a text are not taken or left all together.
     """
     size = 1 << bits
-    known = small_batches(labelled).where("lang is not null and text is not null").select("lang", "text")
+    drawn_by = ["text", *(c for c in labelled.columns if c == "doc_id")]
+    known = small_batches(labelled).where("lang is not null and text is not null").select("lang", "text", *drawn_by[1:])
     most = MODEL_BYTES // (8 * size)
     counts = known.groupBy("lang").count().orderBy("lang").limit(most + 1).collect()
     if len(counts) > most:
@@ -95,7 +97,7 @@ def train(
         F.create_map(*[F.lit(x) for l, n in zip(languages, rows) for x in (l, min(1.0, per_language / n))]),
         F.col("lang"),
     )
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * (1 << 30))
+    drawn = known.where(F.pmod(F.xxhash64(*drawn_by), F.lit(1 << 30)) < rate * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
