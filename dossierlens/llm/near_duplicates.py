@@ -125,7 +125,6 @@ def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4000):
         column = batch.column("signature")
         values = column.flatten().to_numpy().view(np.uint32).reshape(-1, HASHES).astype(np.uint64)
-        values = np.hstack([values, values[:, : DEPTH + SORTED]])
         ids = batch.column("id").to_numpy()
         for order in range(ORDERS):
             begin = order * DEPTH
@@ -133,17 +132,38 @@ def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place in range(begin, begin + DEPTH):
                 region = (region ^ values[:, place]) * np.uint64(0x9E3779B97F4A7C15)
                 region ^= region >> np.uint64(32)
-            rest = values[:, begin + DEPTH : begin + DEPTH + SORTED].astype(">u4")
-            deeper = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SORTED), len(ids), [None, pa.py_buffer(rest.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(region.view(np.int64)), deeper.cast(pa.binary()), pa.array(ids)],
-                names=["region", "deeper", "id"],
+                [pa.array(region.view(np.int64)), pa.array(np.full(len(ids), order, dtype=np.int8)), pa.array(ids)],
+                names=["region", "tree", "id"],
             )
 
 
 def _forest(classes: DataFrame) -> DataFrame:
-    """``(region, deeper, id)``: every class in every order, with the bytes of the next values."""
-    return classes.select("id", "signature").mapInArrow(_in_orders, "region long, deeper binary, id long")
+    """``(region, tree, id)``: every class in every order."""
+    return classes.select("id", "signature").mapInArrow(_in_orders, "region long, tree byte, id long")
+
+
+def _rest_of_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 4000):
+        values = batch.column("signature").flatten().to_numpy().view(np.uint32).reshape(-1, HASHES)
+        begin = (batch.column("tree").to_numpy().astype(np.int64) + 1) * DEPTH
+        rest = np.take_along_axis(values, (begin[:, None] + np.arange(SORTED)) % HASHES, axis=1).astype(">u4")
+        deeper = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SORTED), len(rest), [None, pa.py_buffer(rest.tobytes())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("region"), deeper.cast(pa.binary()), batch.column("id"), batch.column("n")],
+            names=["region", "deeper", "id", "n"],
+        )
+
+
+def _sorted_by(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(region, deeper, id, n)``: members with the bytes of the next values of their order.
+
+    In a region of no more than a neighbourhood all are neighbours in any order, and nothing is read.
+    """
+    larger = crowded.where(F.col("n") > NEAR + 1).join(classes.select("id", "signature"), "id")
+    found = larger.mapInArrow(_rest_of_order, "region long, deeper binary, id long, n long")
+    few = crowded.where(F.col("n") <= NEAR + 1).select("region", F.lit(None).cast("binary").alias("deeper"), "id", "n")
+    return kept(found, "sorted").unionByName(few)
 
 
 def _descended(members: DataFrame) -> DataFrame:
@@ -296,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).where("n > 1")
     regions = kept(regions, "regions")
     members = kept(entries.join(regions.where("n > 2").select("region", "n"), "region"), "crowded")
-    pairs = regions.where("n = 2").select("a", "b").unionByName(_neighbours(members))
+    pairs = regions.where("n = 2").select("a", "b").unionByName(_neighbours(_sorted_by(members, classes)))
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     left = classes.select(F.col("id").alias("a"), F.col("signature").alias("ga"))
     right = classes.select(F.col("id").alias("b"), F.col("signature").alias("gb"))
