@@ -319,3 +319,20 @@ def test_the_command_line_reads_present_day_dumps(spark, tmp_path, monkeypatch):
         assert not os.path.exists(f"{out}/queries")
     finally:
         spark.conf.unset(setting)
+
+
+def test_small_case_files_share_tasks(spark, tmp_path):
+    """Tasks are as many as the bytes ask for, not as the files."""
+    folder = tmp_path / "case"
+    folder.mkdir()
+    for i in range(200):
+        (folder / f"{i}.txt").write_text(f"text {i}")
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1")
+    try:
+        found = read_case_documents(spark, str(folder))
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert {(r.filename, r.text) for r in found.collect()} == {(f"case/{i}.txt", f"text {i}") for i in range(200)}
+    finally:
+        spark.conf.set(setting, before)
