@@ -336,3 +336,14 @@ def test_small_case_files_share_tasks(spark, tmp_path):
         assert {(r.filename, r.text) for r in found.collect()} == {(f"case/{i}.txt", f"text {i}") for i in range(200)}
     finally:
         spark.conf.set(setting, before)
+
+
+def test_kept_tables_are_packed_closely_in_any_session(spark, tmp_path):
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.conf.set("spark.sql.parquet.compression.codec", "snappy")
+    try:
+        for fingerprint in (None, "rows"):
+            files = materialize(spark, lambda: spark.range(5), str(tmp_path / f"t-{fingerprint}"), fingerprint=fingerprint).inputFiles()
+            assert files and all(f.endswith(".zstd.parquet") for f in files)
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", before)

@@ -57,3 +57,39 @@ def test_shards_are_one_file_each(spark):
     assert index.n_shards > 10
     for table in (index.heads, index.tails):
         assert len(table.inputFiles()) <= index.n_shards
+
+
+def test_tiles_grow_no_faster_than_the_tables():
+    """Postings go to every block and queries to every group: both numbers stay as tables grow together, until a tile is full."""
+    dealt = []
+    for size in (1, 10):
+        n_entries, n_queries = 6_600_000 * size, 108_000 * size
+        groups, blocks = tiles._layout(n_entries, n_queries, -(-n_entries // tiles.TILE_ENTRIES), 12, 20)
+        assert groups * blocks >= 12 and n_entries / groups <= tiles.HELD_ENTRIES
+        dealt.append((6 * n_entries * blocks + 670 * n_queries * groups) / size)
+    assert dealt[1] < 1.5 * dealt[0]
+
+
+def test_only_asked_lists_are_dealt(spark, by_tiles, monkeypatch):
+    """Most terms of a collection are in no query; their lists do not meet the queries."""
+    pages, docs = corpus(25)
+    docs = docs | {"rare": " ".join(f"rare{i}" for i in range(500))}
+    index = build_index(spark.createDataFrame(list(docs.items()), "filename string, text string"), stem=False, head_size=8)
+    queries = page_queries(spark, pages, index)
+    asked = {term for row in queries.collect() for term in row.terms}
+    given = []
+    inner = similar.best_in_tiles
+    monkeypatch.setattr(similar, "best_in_tiles", lambda queries, index, k: given.append(index) or inner(queries, index, k))
+    similar.query_hits(queries, index)
+    assert {r.term for lists in (given[0].heads, given[0].tails) for r in lists.select("term").collect()} <= asked
+
+
+@pytest.mark.parametrize("held, queries", [(200, 10**6), (10**9, 3), (200, 3)])
+def test_same_with_any_groups_and_blocks(spark, by_tiles, monkeypatch, held, queries):
+    """A tile of several parts, and queries in several groups, have the same best."""
+    monkeypatch.setattr(tiles, "TILE_ENTRIES", 150)
+    monkeypatch.setattr(tiles, "HELD_ENTRIES", held)
+    monkeypatch.setattr(tiles, "HELD_QUERIES", queries)
+    for k in (3, 20):
+        pages, docs = corpus(26)
+        assert run(spark, pages, docs, k, 8, 100) == brute_force(pages, docs, k)
