@@ -45,12 +45,12 @@ def tasks_of(spark: SparkSession, rows: int, rows_per_task: int) -> int:
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """``many`` joined with ``few``, which has at most one row per key, without a hot task.
 
-    A key with more rows in ``many`` than a task has on average is dealt to several tasks, and its row
+    A key with more rows in ``many``, a stored table, than a task has on average is dealt to several tasks, and its row
     of ``few`` is repeated there. There are fewer such keys than tasks, so their list is broadcast.
     """
-    counts = kept(many.groupBy(*keys).agg(F.count("*").alias("_n")), "counts")
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot_at = max(SALT_ROWS, math.ceil((counts.agg(F.sum("_n")).first()[0] or 0) / tasks))
+    hot_at = max(SALT_ROWS, math.ceil(many.count() / tasks))
+    counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
     hot = F.broadcast(counts.where(F.col("_n") > hot_at).select(*keys, F.ceil(F.col("_n") / hot_at).alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     dealt = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), parts)).drop("_parts")

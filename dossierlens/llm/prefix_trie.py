@@ -14,7 +14,8 @@ doubled along that tree in as many rounds as the logarithm of its height, and th
 
 No conversation, node or group of equal conversations is gathered in one row or task: turns get
 their places from a sort by ranges, running values go in stretches of ``STRETCH``, joins on a
-parent are salted, and members' ids are joined to texts in parts before they are digested.
+parent are salted, and members' ids are joined to texts in parts before they are digested. Most tables are written; the
+small ones of a row a conversation, on which no long chain of steps hangs, are persisted.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import places_within
+from ..operators.ranking import dealt_in_order
 from .common import kept, salted_join
 
 BLOCK_TURNS = 4
@@ -45,15 +46,18 @@ def _digest(value: Column) -> Column:
     return F.left(F.sha2(value, 256), F.lit(32))
 
 
-def running(rows: DataFrame, key: str, place: str, values: dict[str, str], descending: bool = False) -> DataFrame:
+def running(rows: DataFrame, key: str, place: str, values: dict[str, str], descending: bool = False, most: int | None = None) -> DataFrame:
     """``rows`` with each of ``values`` (column: ``sum`` or ``bit_xor``) taken over the rows of
     equal ``key`` up to its own ``place``, or from it on if ``descending``.
 
-    Places are distinct within a key. Stretches of ``STRETCH`` places are folded first, so no
-    window runs over more rows of a key than a stretch has, or than it has stretches.
+    Places are distinct within a key, from 0 and, if it is given, not above ``most``. If that may be more than one stretch of ``STRETCH`` places, rows are
+    written and stretches folded first, so no window runs over more rows of a key than a stretch has, or than it has stretches.
     """
     fold = {"sum": F.sum, "bit_xor": F.bit_xor}
-    cut = rows.withColumn("_stretch", F.floor(F.col(place) / STRETCH).cast("long"))
+    if most is not None and most < STRETCH:
+        along = Window.partitionBy(key).orderBy(F.col(place).desc() if descending else F.col(place)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({c: fold[f](c).over(along) for c, f in values.items()})
+    cut = kept(rows, "running").withColumn("_stretch", F.floor(F.col(place) / STRETCH).cast("long"))
     order = F.col("_stretch").desc() if descending else F.col("_stretch")
     earlier = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     folded = cut.groupBy(key, "_stretch").agg(*(fold[f](c).alias(c) for c, f in values.items()))
@@ -78,30 +82,29 @@ def _rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = conversations.where("conv_id is not null").select(
         "conv_id", "turn", _digest(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)).alias("digest"), F.length(text).cast("long").alias("n_chars")
     )
-    turns = kept(places_within(given, ["conv_id"], ["turn", "digest"]).select("conv_id", "place", "digest", "n_chars"), "turns")
+    dealt, runs = dealt_in_order(given, ["conv_id"], ["turn", "digest"])
+    runs = runs.persist()
+    run, at = ["conv_id", "_task"], F.col("place") + F.col("_shift")
     base, h = F.col("conv_id") - F.col("conv_id") % 100, taken_over(F.col("conv_id"))
-    first = F.struct("place", "digest", "n_chars")
+    is_base = F.col("conv_id") % 100 == 0
+    first = F.struct(at.alias("place"), "digest", "n_chars")
     heads = (
-        turns.where((F.col("place") <= MOST_HEAD) & (F.col("conv_id") % 100 == 0))
+        dealt.where(is_base).join(runs.where(is_base & (F.col("_before") < MOST_HEAD)), run).where(at <= MOST_HEAD)
         .groupBy(F.col("conv_id").alias("base"))
         .agg(F.sort_array(F.collect_list(first)).alias("head"))
     )
     members = (
-        turns.groupBy("conv_id").agg(F.count("*").alias("n_own"))
+        runs.groupBy("conv_id").agg(F.sum("_n").alias("n_own"))
         .withColumns({"base": base, "h": h})
         .join(heads, "base", "left")
         .withColumn("head", F.slice(F.coalesce("head", F.array().cast("array<struct<place:bigint,digest:string,n_chars:bigint>>")), F.lit(1), F.col("h").cast("int")))
         .select("conv_id", "h", "n_own", "head", F.size("head").cast("long").alias("n_head"))
     )
-    members = kept(members, "members")
+    members = members.persist()
     copied = members.select("conv_id", F.inline("head"))
-    # A member meets its own turns in parts, so a long conversation is no hot key.
-    part = F.floor(F.col("place") / STRETCH)
-    stretches = members.where("n_own > h").select("conv_id", "h", "n_head", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_own") / STRETCH))).alias("part"))
-    own = (
-        turns.withColumn("part", part).join(stretches, ["conv_id", "part"]).where("place > h")
-        .select("conv_id", (F.col("place") - F.col("h") + F.col("n_head")).alias("place"), "digest", "n_chars")
-    )
+    # Turns meet what is known of their run, so a long conversation is no hot key.
+    known = runs.join(members.where("n_own > h").select("conv_id", "h", "n_head"), "conv_id").select(*run, "_shift", "h", "n_head")
+    own = dealt.join(known, run).where(at > F.col("h")).select("conv_id", (at - F.col("h") + F.col("n_head")).alias("place"), "digest", "n_chars")
     return copied.unionByName(own), members.select("conv_id", (F.col("n_head") + F.greatest(F.col("n_own") - F.col("h"), F.lit(0))).alias("n_turns"))
 
 
@@ -113,16 +116,16 @@ def _joined_digest(turns: Column) -> Column:
     return _digest(F.array_join(F.transform(turns, lambda t: t["digest"]), ""))
 
 
-def _paths(turns: DataFrame) -> DataFrame:
-    """``(conv_id, block, turns, p1, p2, k1, k2)``: the path before (p) and after (k) each block."""
+def _paths(turns: DataFrame, most: int) -> DataFrame:
+    """``(conv_id, block, turns, p1, p2, k1, k2)``: the path before (p) and after (k) each block of conversations of at most ``most`` turns."""
     blocks = (
         turns.groupBy("conv_id", F.floor((F.col("place") - 1) / BLOCK_TURNS).cast("long").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("place", "digest", "n_chars"))).alias("turns"))
         .select("conv_id", "block", F.transform("turns", lambda t: F.struct(t["digest"].alias("digest"), t["n_chars"].alias("n_chars"))).alias("turns"))
     )
     h1, h2 = _hashes(F.col("block"), _joined_digest(F.col("turns")))
-    hashed = kept(blocks.withColumns({"h1": h1, "h2": h2, "k1": h1, "k2": h2}), "blocks")
-    along = running(hashed, "conv_id", "block", {"k1": "bit_xor", "k2": "bit_xor"})
+    hashed = blocks.withColumns({"h1": h1, "h2": h2, "k1": h1, "k2": h2})
+    along = running(hashed, "conv_id", "block", {"k1": "bit_xor", "k2": "bit_xor"}, most=most // BLOCK_TURNS)
     return along.withColumns({"p1": F.col("k1").bitwiseXOR(F.col("h1")), "p2": F.col("k2").bitwiseXOR(F.col("h2"))}).drop("h1", "h2")
 
 
@@ -200,13 +203,23 @@ def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
 
-def _ends(paths: DataFrame, members: DataFrame) -> DataFrame:
+def _ends(paths: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(k1, k2, ends_sha256)`` of every path at which a conversation ends."""
     zero = F.lit(0).cast("long")
     last = paths.groupBy("conv_id").agg(F.max(F.struct("block", "k1", "k2")).alias("last")).select("last.k1", "last.k2", "conv_id")
     every = last.unionByName(members.where("n_turns = 0").select(zero.alias("k1"), zero.alias("k2"), "conv_id"))
+    # Nodes of more members than a text has ids are few; the ends of all others need no order over tasks.
+    path = ["k1", "k2"]
+    long = F.broadcast(nodes.where(F.col("k1").isNotNull() & (F.col("n_convs") > IDS_PER_TEXT)).select(*path))
+    ids = F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",")
+    short = every.join(long, path, "left_anti").groupBy(*path).agg(F.sha2(ids, 256).alias("ends_sha256"))
+    return short.unionByName(_digests_in_parts(every.join(long, path, "left_semi")))
+
+
+def _digests_in_parts(ends: DataFrame) -> DataFrame:
+    """``(k1, k2, ends_sha256)`` of ``ends(k1, k2, conv_id)``, however many ids a path has."""
     keys = ["k1", "k2", "conv_id"]
-    texts = every.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_texts_of_ids(IDS_PER_TEXT), "k1 long, k2 long, first long, ids string")
+    texts = ends.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_texts_of_ids(IDS_PER_TEXT), "k1 long, k2 long, first long, ids string")
     return texts.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "first").mapInArrow(_digests_of_texts, "k1 long, k2 long, ends_sha256 string")
 
 
@@ -224,7 +237,7 @@ def _chain_totals(chains: DataFrame) -> DataFrame:
             chains.drop("up").join(below, "conv_id", "left").join(jumped.select("conv_id", F.col("above").alias("up")), "conv_id", "left").select(
                 "conv_id", "up", (F.col("saved") + F.coalesce("more_saved", zero)).alias("saved"), (F.col("leaves") + F.coalesce("more_leaves", zero)).alias("leaves")
             ),
-            "chains",
+            "totals",
         )
     return chains.select("conv_id", "saved", "leaves")
 
@@ -238,21 +251,19 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     table has no nodes. Other columns are not looked at.
     """
     turns, members = _rebuilt(conversations.select("conv_id", "turn", "role", "text"))
-    paths = kept(_paths(turns), "paths")
+    most = members.agg(F.max("n_turns")).first()[0] or 0
+    paths = kept(_paths(turns, most), "paths")
     nodes = _nodes(paths, members)
 
-    spans = kept(
-        nodes.groupBy("conv_id").agg(
-            F.min(F.struct("depth", "p1", "p2")).alias("top"), F.max("depth").alias("last"), F.sum((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved")
-        ).select("conv_id", "top.*", "last", "saved"),
-        "spans",
-    )
+    spans = nodes.groupBy("conv_id").agg(
+        F.min(F.struct("depth", "p1", "p2")).alias("top"), F.max("depth").alias("last"), F.sum((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved")
+    ).select("conv_id", "top.*", "last", "saved").persist()
     places = nodes.where("k1 is not null").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("up"))
-    hung = kept(salted_join(kept(spans.where("depth > 0"), "tops").drop("last", "saved"), places, ["p1", "p2"]).select("conv_id", "depth", "up"), "hung")
+    hung = kept(salted_join(spans.where("depth > 0").drop("last", "saved"), places, ["p1", "p2"]).select("conv_id", "depth", "up"), "hung")
     # A chain's last node is a leaf if no chain hangs on it.
     holding = hung.select(F.col("up").alias("conv_id"), (F.col("depth") - 1).alias("last")).distinct()
     leaves = spans.join(holding.withColumn("held", F.lit(True)), ["conv_id", "last"], "left").select("conv_id", "saved", F.when(F.col("held").isNull(), 1).otherwise(0).cast("long").alias("leaves"))
-    totals = _chain_totals(kept(leaves.join(hung.select("conv_id", "up"), "conv_id", "left"), "chains"))
+    totals = _chain_totals(kept(leaves.join(hung.select("conv_id", "up"), "conv_id", "left"), "totals"))
 
     # What is known of single nodes: chains that hang on them, who their own chain hangs on, and where it ends.
     none, zero, one = F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -272,8 +283,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         (F.coalesce("leaves", zero) + F.when(children == 0, one).otherwise(zero)).alias("n_leaves"),
         (F.coalesce("saved", zero) + (F.col("n_convs") - 1) * F.col("n_chars")).alias("saved_tokens"),
     )
-    summed = running(kept(own, "own"), "conv_id", "depth", {"n_leaves": "sum", "saved_tokens": "sum"}, descending=True)
-    ended = summed.join(_ends(paths, members), ["k1", "k2"], "left")
+    summed = running(own, "conv_id", "depth", {"n_leaves": "sum", "saved_tokens": "sum"}, descending=True, most=most)
+    ended = summed.join(_ends(paths, members, nodes), ["k1", "k2"], "left")
     nobody = F.lit(hashlib.sha256(b"").hexdigest())
     return ended.withColumn("ends_sha256", F.coalesce("ends_sha256", nobody)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 

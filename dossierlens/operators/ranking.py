@@ -25,10 +25,21 @@ def top_per_group(
 def places_within(rows: DataFrame, group: list[str], order: list[str], place: str = "place") -> DataFrame:
     """``rows`` with their place, from 1, in the ascending order (nulls first) of ``order`` in their group.
 
+    See ``dealt_in_order``. An empty ``group`` numbers the whole table. Rows equal in group and order get places in any order.
+    """
+    dealt, runs = dealt_in_order(rows, group, order, place)
+    named = {c: f"_of_{c}" for c in [*group, "_task"]}
+    shift = runs.select(*(F.col(c).alias(n) for c, n in named.items()), "_shift")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()))
+    return dealt.join(shift, same).select(*rows.columns, (F.col(place) + F.col("_shift")).alias(place))
+
+
+def dealt_in_order(rows: DataFrame, group: list[str], order: list[str], place: str = "place") -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``place`` and ``_task``, and ``(*group, _task, _n, _before, _shift)``: a row's place in its group is ``place + _shift``.
+
     Rows are dealt by ranges of group and order, so a group of any size is spread over as many
     tasks as it fills. Each task numbers its part, and sums of the parts' counts in front of it
-    are added. The sorted rows are a written table, so that numbers and parts stay fixed. An
-    empty ``group`` numbers the whole table. Rows equal in group and order get places in any order.
+    are added. The sorted rows are a written table, so that numbers and parts stay fixed.
     """
     path = scratch_path(rows.sparkSession, "sorted")
     keys = [*group, *order]
@@ -37,7 +48,5 @@ def places_within(rows: DataFrame, group: list[str], order: list[str], place: st
     dealt = rows.sparkSession.read.parquet(path).withColumn("_task", F.shiftright(place, 33))
     runs = dealt.groupBy(*group, "_task").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    named = {c: f"_of_{c}" for c in [*group, "_task"]}
-    shift = runs.select(*(F.col(c).alias(n) for c, n in named.items()), (before + 1 - F.col("_first")).alias("_shift"))
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()))
-    return dealt.join(shift, same).select(*rows.columns, (F.col(place) + F.col("_shift")).alias(place))
+    runs = runs.withColumn("_before", before).withColumn("_shift", F.col("_before") + 1 - F.col("_first")).drop("_first")
+    return dealt, runs

@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from dossierlens.llm import common
 from dossierlens.llm import prefix_trie as trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -103,3 +104,31 @@ def test_running_values_of_one_long_key(spark, monkeypatch):
         assert (r["v"], r["x"]) == (total, mixed)
     down = trie.running(df, "key", "place", {"v": "sum"}, descending=True).collect()
     assert all(r["v"] == sum(range(r["place"], 100)) for r in down)
+
+
+def test_short_conversations_need_few_tables(spark, rng, monkeypatch):
+    """Short conversations are one stretch, so what runs along them is not written first, nor are counts and ids of small groups."""
+    written = []
+    real = trie.kept
+    monkeypatch.setattr(trie, "kept", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(common, "kept", lambda df, name: written.append(name) or real(df, name))
+    rows = conversations(rng, 60)
+    assert found(spark, rows) == by_hand(rows)
+    assert [name for name in written if name != "totals"] == ["paths", "distinct", "chains", "nodes", "hung"]
+
+
+@pytest.mark.parametrize("stretch", [14, 15, 16])
+def test_stretches_about_as_long_as_the_longest_conversation(spark, rng, monkeypatch, stretch):
+    monkeypatch.setattr(trie, "STRETCH", stretch)
+    monkeypatch.setattr(trie, "BLOCK_TURNS", 1)
+    monkeypatch.setattr(trie, "IDS_PER_TEXT", 2)
+    rows = conversations(rng, 30) + [(500, t, "u", "a") for t in range(15)]
+    assert found(spark, rows) == by_hand(rows)
+
+
+def test_running_values_within_one_stretch_and_over_several(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id % 3 as key", "id as place", "id as v")
+    one = trie.running(df, "key", "place", {"v": "sum"}, descending=True, most=49)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(trie, "STRETCH", 7)
+    assert sorted(one.collect()) == sorted(trie.running(df, "key", "place", {"v": "sum"}, descending=True, most=49).collect())
