@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,6 +37,17 @@ LATIN_END = "\u0250"
 (the one exception is screened)."""
 
 
+class Seen(Bounded):
+    """A cache that makes what it does not hold, so that a word it holds costs one look."""
+
+    def __init__(self, limit: int, make: Callable[[str], bytes]):
+        super().__init__(limit)
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        return self.put(word, self.make(word))
+
+
 class WordIds:
     """Ids of texts by a tokenizer that never looks across a space or a line break.
 
@@ -52,7 +63,7 @@ class WordIds:
             parts = [self._ids(w) for w in probe.replace("\n", " ").split(" ")]
             if b"".join(parts) != self._ids(probe):
                 raise ValueError("this tokenizer looks across spaces")
-        self.seen = Bounded(500_000)
+        self.seen = Seen(500_000, self._new)
         self.marks = {mark: self._ids(mark) for mark in ",."}
         self.is_plain = self._by_model("straße") == self._ids("straße")
 
@@ -62,14 +73,15 @@ class WordIds:
     def _by_model(self, word: str) -> bytes:
         """The ids of lower-case letters: what the library's normalizer and splitter would
         hand to its model, in the byte alphabet."""
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_ALPHABET))
-        return array("I", [token.id for token in tokens]).tobytes()
+        # ASCII letters stand for themselves.
+        symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        return array("I", [token.id for token in self.model.tokenize(symbols)]).tobytes()
 
     def _new(self, word: str) -> bytes:
         body, mark = word, b""
         if word[-1:] in self.marks and len(word) > 1 and "A" <= word[-2] < LATIN_END:
             body, mark = word[:-1], self.marks[word[-1]]
-        if self.is_plain and body and max(body) < LATIN_END and body.isalpha():
+        if self.is_plain and body.isalpha() and (body.isascii() or max(body) < LATIN_END):
             low = body.lower()
             if low.isalpha():
                 known = self.seen.get(low) if low != word else None
@@ -78,15 +90,7 @@ class WordIds:
 
     def ids(self, text: str) -> bytes:
         """The ids as unsigned 32-bit numbers in the machine's (little-endian) order."""
-        words = text.replace("\n", " ").split(" ")
-        seen = self.seen
-        for word in words:
-            if word not in seen:
-                seen.put(word, self._new(word))
-        try:
-            return b"".join([seen[w] for w in words])
-        except KeyError:  # the cache was emptied in between
-            return b"".join([seen[w] if w in seen else self._new(w) for w in words])
+        return b"".join(map(self.seen.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache

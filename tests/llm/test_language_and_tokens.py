@@ -204,3 +204,15 @@ def test_equal_lengths_are_ranked_across_groups(spark):
     found = packing.pack_documents(docs, WORDS, limit=8)
     assert found.select("sequence_id", "offset").distinct().count() == 3000
     assert found.select("sequence_id").distinct().count() == 750
+
+
+def test_a_word_that_is_known_costs_one_look(monkeypatch):
+    """Only new words reach Python code, also where the cache is emptied within a text."""
+    words, made = packing.WordIds(WORDS), []
+    real = words._new
+    words.seen = packing.Seen(3, lambda word: made.append(word) or real(word))
+    monkeypatch.setattr(packing.Seen, "__contains__", lambda *_: pytest.fail("a second look"), raising=False)
+    text = "red red\nred blue red blue"
+    assert words.ids(text) == words._ids(text) and made == ["red", "blue"]
+    text = "one two. Three, é Élan ß 4 &&& one one red"
+    assert words.ids(text) == words._ids(text) and len(words.seen) <= 3
