@@ -56,3 +56,11 @@ def test_flagship_query(spark):
     found = entry.entry(spark)
     assert found.columns == ["filename", "rank", "category", "score"]
     assert found.count() > 0 and found.where("rank > 10").count() == 0
+
+
+def test_word_forms_keep_no_text(spark, monkeypatch):
+    """The query's disk is that of counts: neither texts of pages nor of documents are written down."""
+    written, inner = [], entry.materialize
+    monkeypatch.setattr(entry, "materialize", lambda spark, compute, *rest: written.append(compute().columns) or inner(spark, compute, *rest))
+    assert entry.page_similarity_word_forms(spark, SF).count() > 0
+    assert [columns for columns in written if {"body", "text"} & set(columns)] == []

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierlens.operators import categories as cat
-from dossierlens.operators import similar
+from dossierlens.operators import index as idx, similar
 from dossierlens.operators.index import build_index
 from dossierlens.operators.pages import eligible_pages
 from dossierlens.plans import page_similarity
@@ -112,3 +112,18 @@ def test_documents_without_words_are_one_content(spark):
     for stem in (False, True):
         index = build_index(docs, stem=stem)
         assert (index.n_files, index.n_documents) == (900, 601)
+
+
+def test_numbers_come_to_the_counts(spark, monkeypatch):
+    """The counts of documents are not moved to meet their numbers, unless these are too many to be broadcast."""
+    docs = spark.range(30).select(F.format_string("d%02d", "id").alias("filename"), F.lit("word other").alias("text"))
+    counted = materialize(spark, lambda: idx._counted(docs), scratch_path(spark, "counted"))
+    joined = lambda: plan(idx._numbered(counted, idx._numbers(counted), counted.count()))
+    assert joined().startswith("AdaptiveSparkPlan") and "BroadcastHashJoin [row" in joined()
+    monkeypatch.setattr(idx, "BROADCAST_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin [row" in joined()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

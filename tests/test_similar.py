@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlens.operators import similar
 from dossierlens.operators.index import build_index, doc_stats, postings, term_stats
+from dossierlens.operators.terms import counted_pages
 from dossierlens.plans import page_similarity
 from dossierlens.sources import scratch_path
 
@@ -289,3 +290,16 @@ def test_partitioning_does_not_change_the_result(spark):
     ]
     assert found[0] == found[1]
     assert max(map(len, found[0].values())) <= 20
+
+
+@pytest.mark.parametrize("stem, choice", [(False, {}), (True, {}), (False, {"max_words": 9, "min_term_freq": 1}), (True, {"max_words": 12, "min_term_freq": 3})])
+def test_counts_ask_as_texts_do(spark, stem, choice):
+    """Pages kept as counts hold no text, and ask with the same terms; a stem's words are summed before rare ones go."""
+    texts = [(1, "treaty treaties fish fishing fished o'neil o'neil"), (2, "fish law law state's state's law U.S. u.s."), (3, None), (4, "")]
+    pages = spark.createDataFrame(texts, "page_id long, body string").withColumn("title", F.lit("t"))
+    docs = spark.createDataFrame([(f"d{i}", "treaty fish law state us o'neil") for i in range(6)], "filename string, text string")
+    index = build_index(docs, stem=stem)
+    kept = counted_pages(pages, stem=stem, **choice)
+    assert kept.columns == ["page_id", "counts", "title"]
+    found, expected = (sorted(map(tuple, similar.query_terms(p, index, **choice).collect())) for p in (kept, pages))
+    assert found == expected and {row[0] for row in found} == {1, 2}
