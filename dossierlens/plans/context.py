@@ -9,6 +9,7 @@ from ..operators import categories as cat
 from ..operators.index import Index, build_index
 from ..operators.pages import eligible_pages
 from ..operators.similar import MAX_HITS, QUERY, page_queries, query_hits, query_terms
+from ..operators.terms import counted_pages
 from ..sources.stored import drop_table, files_fingerprint, rows_fingerprint
 from ..sources import (
     materialize,
@@ -122,17 +123,20 @@ def run_context(
 
     ``page_options`` go to ``eligible_pages``, ``search_options`` to ``query_terms``. Pages,
     weights and index are kept, each with a fingerprint of its inputs and options, and are made
-    anew when these have changed; the context is always made anew. ``out/weights`` and
+    anew when these have changed; the context is always made anew. Pages are kept with the counts of their words
+    in place of their texts, which no run takes apart a second time. ``out/weights`` and
     ``out/context`` are tab-separated text, the rest is parquet.
     """
-    page_options = page_options or {}
+    page_options, search_options = page_options or {}, search_options or {}
+    rule = {"stem": stem, "apostrophes": apostrophes, "forms": forms}
+    rule |= {option: search_options[option] for option in ("max_words", "min_term_freq") if option in search_options}
     marks = {"text_open": page_options["text_open"]} if "text_open" in page_options else {}
     made_for = files_fingerprint(spark, dump, "pages", sorted(page_options.items()))
     pages = materialize(
         spark,
-        lambda: eligible_pages(read_wiki_pages(spark, dump, **marks), **page_options),
+        lambda: counted_pages(eligible_pages(read_wiki_pages(spark, dump, **marks), **page_options), **rule),
         f"{out}/pages",
-        fingerprint=made_for,
+        fingerprint=f"{made_for} {sorted(rule.items())}",
     )
     weights = materialize(
         spark, lambda: cat.category_weights(pages), f"{out}/weights.parquet", fingerprint=made_for
@@ -148,7 +152,7 @@ def run_context(
     context = materialize(
         spark,
         lambda: document_context(
-            pages, index, weights, n, k, on_missing, work_path=queries, **(search_options or {})
+            pages, index, weights, n, k, on_missing, work_path=queries, **search_options
         ),
         f"{out}/context.parquet",
         "overwrite",

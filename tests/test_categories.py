@@ -114,6 +114,26 @@ def test_second_run_reuses_tables_and_replaces_the_context(spark, inputs, tmp_pa
     assert stamp("context.parquet") != replaced
 
 
+def test_runs_take_texts_apart_once(spark, inputs, monkeypatch):
+    """Pages are kept as counts; the second run reads no text, and other rules for words make the pages anew."""
+    import os
+
+    from dossierlens.operators import index, similar, terms
+
+    dump, folder, out = inputs
+    data = lambda: [f"{out}/pages/{f}" for f in os.listdir(f"{out}/pages") if f.startswith("made-")]
+    first = run_context(spark, dump, folder, out, stem=False).collect()
+    kept = data()
+    assert "body" not in spark.read.parquet(*kept).columns
+    with monkeypatch.context() as patched:
+        for module, name in ((similar, "words"), (similar, "term_counts"), (terms, "words"), (index, "words")):
+            patched.setattr(module, name, lambda *_, **__: pytest.fail("a text was taken apart again"))
+        assert sorted(run_context(spark, dump, folder, out, stem=False).collect()) == sorted(first)
+    assert data() == kept
+    found = run_context(spark, dump, folder, out, stem=False, search_options={"max_words": 2, "min_term_freq": 1}).collect()
+    assert sorted(found) != sorted(first) and data() != kept
+
+
 def test_command_line(spark, inputs, tmp_path):
     from dossierlens.__main__ import main
 
