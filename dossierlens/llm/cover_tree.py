@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
-from .inner_products import ANY, LEAST, MOST, SLACK, draw, one_query_each, packed, placed, search, whole_vectors
+from .inner_products import ANY, LEAST, MOST, SLACK, beside, draw, one_query_each, packed, placed, search, whole_vectors
 
 SCALE = 256
 FAN = 4
@@ -186,11 +186,11 @@ def hard_negatives(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     by_anchor = kept(by_anchor, "positives")
     # The least whole score of 80 hundredths or more. The product may not fit a long; hundreds and the rest do.
     least = F.expr(f"transform(positives, p -> p.score div 100 * {LEAST_SHARE} + (p.score % 100 * {LEAST_SHARE} + 99) div 100)")
-    windows = anchors.join(by_anchor, "query").select(
+    windows = anchors.join(beside(by_anchor), "query").select(
         *anchors.columns, least.alias("lows"), F.transform("positives", lambda p: p["score"]).alias("highs")
     )
     negatives = search(kept(windows, "windows"), index, bounds, NEGATIVES, same_label=False)
-    return negatives.join(by_anchor, "query").withColumn("positive", F.get("positives", F.col("slot"))).select(
+    return negatives.join(beside(by_anchor), "query").withColumn("positive", F.get("positives", F.col("slot"))).select(
         F.col("query").alias("anchor_id"), "positive.positive_id", "rank", F.col("vec_id").alias("negative_id"),
         F.col("positive.score").alias("positive_score"), F.col("score").alias("negative_score"),
     )

@@ -35,6 +35,13 @@ SAMPLE_ROWS = 10_000
 SAMPLE_BYTES = 32 << 20
 """Centres are chosen from no more rows, and no more bytes, than these; every row is indexed."""
 
+BROADCAST_BYTES = 16 << 20
+"""Most bytes of a table that a join gives to every task, by its counted rows. Spark would go by packed bytes, of which
+ids that repeat take a hundredth: millions of pairs would be built into one table on the driver."""
+
+ROW_BYTES = 64
+"""What a row of a few numbers takes in such a table."""
+
 SLACK = 1e-6
 """Share of the squared norms added to a bound, far above the rounding of doubles."""
 
@@ -168,7 +175,10 @@ def _packing(rows: int):
 @dataclass(frozen=True)
 class Index:
     blocks: DataFrame
-    """``(block, cell, ...)`` as in ``BLOCKS``."""
+    """``(block, ...)`` as in ``BLOCKS``."""
+    members: DataFrame
+    """``(cell, block)``: the blocks of each cell."""
+    n_blocks: int
     cells: dict[str, np.ndarray]
     """The directory: ``cell, dim, centre, low, high, norm, label_low, label_high``, a value per cell."""
 
@@ -178,15 +188,21 @@ def packed(rows: DataFrame, *order: str) -> Index:
     keys = ["dim", "centre", *order, "vec_id"]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_packing(BLOCK_ROWS), BLOCKS)
     blocks = kept(dealt.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    run = F.floor(F.col("block") / math.ceil(max(1, blocks.count()) / MOST_CELLS)).alias("run")
+    n_blocks = blocks.count()
+    run = F.floor(F.col("block") / math.ceil(max(1, n_blocks) / MOST_CELLS)).alias("run")
     cells = blocks.groupBy("dim", "centre", run).agg(
         F.min("block").alias("cell"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"),
         F.min("label_low").alias("label_low"), F.max("label_high").alias("label_high"),
     )
     cells = kept(cells, "cells")
-    named = blocks.withColumn("run", run).join(F.broadcast(cells.select("dim", "centre", "run", "cell")), ["dim", "centre", "run"])
+    named = blocks.select("dim", "centre", run, "block").join(F.broadcast(cells.select("dim", "centre", "run", "cell")), ["dim", "centre", "run"])
     found = cells.drop("run").orderBy("cell").toArrow()
-    return Index(named.drop("run"), {name: found.column(name).to_numpy() for name in found.column_names})
+    return Index(blocks, kept(named.select("cell", "block"), "members"), n_blocks, {name: found.column(name).to_numpy() for name in found.column_names})
+
+
+def beside(table: DataFrame, n_bytes: float = math.inf) -> DataFrame:
+    """``table`` as a side of a join: given to every task if it is counted to be within the bound, else met by a sort."""
+    return F.broadcast(table) if n_bytes <= BROADCAST_BYTES else table.hint("merge")
 
 
 Bounds = Callable[[int, np.ndarray, np.ndarray, np.ndarray, dict], tuple[np.ndarray, np.ndarray]]
@@ -273,15 +289,17 @@ def search(queries: DataFrame, index: Index, bounds: Bounds, k: int, same_label:
     """
     order = [F.col("score").desc(), F.col("vec_id")]
     asked = queries.withColumn("floors", F.col("lows"))
-    buckets = math.ceil(max(1, queries.count()) / QUERIES_AT_ONCE)
+    n_queries, query_bytes = queries.agg(F.count("*"), F.sum(ROW_BYTES + F.octet_length("vec") + 16 * F.size("lows"))).first()
+    buckets = math.ceil(max(1, n_queries) / QUERIES_AT_ONCE)
     bucket = F.pmod(F.xxhash64("query"), F.lit(buckets)).alias("bucket")
     seen = best = None
     for limit in (*OPENED, None):
         pairs = asked.select("query", "label", "dim", "vec", "floors", "highs").mapInArrow(_opened(limit, index, bounds, same_label), "query long, cell long")
-        pairs = kept(pairs if seen is None else pairs.join(seen, ["query", "cell"], "left_anti"), "pairs")
-        dealt = pairs.join(index.blocks.select("cell", "block"), "cell").select("query", "block", bucket)
+        pairs = kept(pairs if seen is None else pairs.join(beside(seen), ["query", "cell"], "left_anti"), "pairs")
+        dealt = pairs.join(beside(index.members, index.n_blocks * ROW_BYTES), "cell").select("query", "block", bucket)
         wanted = dealt.select(F.col("block").alias("asked"), F.col("bucket").alias("part")).distinct()
-        full = dealt.join(asked.select("query", "label", "vec", "floors", "highs"), "query")
+        full = dealt.join(beside(asked.select("query", "label", "vec", "floors", "highs"), query_bytes or 0), "query")
+        wanted = beside(wanted, index.n_blocks * buckets * ROW_BYTES)
         held = index.blocks.select("block", "dim", "ids", "labels", "vectors").join(wanted, F.col("block") == F.col("asked")).drop("block")
         found = full.groupBy("block", "bucket").cogroup(held.groupBy("asked", "part")).applyInArrow(
             _scored(k, same_label), "query long, slot int, vec_id long, score long"
@@ -294,7 +312,7 @@ def search(queries: DataFrame, index: Index, bounds: Bounds, k: int, same_label:
         # A full window only takes what is no worse than its last; a cell has to be able to hold that.
         full_slots = best.where(F.col("rank") == k).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("kth"))
         raised = F.transform("lows", lambda low, s: F.greatest(low, F.coalesce(F.element_at("kth", s), low)))
-        asked = kept(queries.join(full_slots, "query", "left").withColumn("floors", raised).drop("kth"), "asked")
+        asked = kept(queries.join(beside(full_slots), "query", "left").withColumn("floors", raised).drop("kth"), "asked")
     return best
 
 
