@@ -153,3 +153,21 @@ def test_scores_beyond_doubles_are_exact():
     assert inner_products.exact_scores(q, q).tolist() == [[(2**31 + 1) ** 2 + 9]]
     big = np.array([[2**62, 2**62]], dtype=np.int64)
     assert inner_products.exact_scores(big, -big).tolist() == [[LOW]]
+
+
+@pytest.mark.parametrize("operator,by_hand", OPERATORS)
+def test_tables_that_grow_with_the_queries_are_not_broadcast(spark, rng, monkeypatch, small_blocks, operator, by_hand):
+    """Packed, pairs are small; built into a table on the driver they are not."""
+    rows = vectors(rng, 300)
+    plans, real = {}, inner_products.kept
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(inner_products, "kept", seen)
+    monkeypatch.setattr(inner_products, "BROADCAST_BYTES", 0)
+    assert run(spark, rows, operator) == by_hand(rows) != []
+    assert len(plans["pairs"]) > 1 and "LeftAnti" in plans["pairs"][1]
+    for name in ("pairs", "best", "asked"):
+        assert [plan for plan in plans[name] if "BroadcastHashJoin" in plan] == []
