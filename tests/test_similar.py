@@ -303,3 +303,35 @@ def test_counts_ask_as_texts_do(spark, stem, choice):
     assert kept.columns == ["page_id", "counts", "title"]
     found, expected = (sorted(map(tuple, similar.query_terms(p, index, **choice).collect())) for p in (kept, pages))
     assert found == expected and {row[0] for row in found} == {1, 2}
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_terms_are_chosen_in_the_row_of_a_page(spark, monkeypatch, stem):
+    """Words of pages are not moved to be chosen; the same rows as by the join, where ids repeat or are null too."""
+    rng = random.Random(5)
+    said = ["run", "runs", "running", "cats", "cat", "flies", "fly", "été", "the", "zzz", "über"]
+    docs = spark.createDataFrame([(f"d{i}", " ".join(rng.choice(said[:-2]) for _ in range(9))) for i in range(60)], "filename string, text string")
+    texts = [(i, " ".join(rng.choice(said) for _ in range(rng.randrange(1, 40)))) for i in range(40)]
+    texts += [texts[0], (1, "runs runs fly"), (None, "cat cat the"), (None, "cat fly fly"), (77, None), (78, "")]
+    index = build_index(docs, stem=stem)
+
+    def chosen(rows):
+        pages = spark.createDataFrame(rows, "page_id long, body string")
+        found = similar.query_terms(pages, index, max_terms=4)
+        return found._jdf.queryExecution().optimizedPlan().toString(), sorted(map(repr, found.collect()))
+
+    plan, alone = chosen(texts[2:40])
+    assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan
+    every = chosen(texts)[1]
+    monkeypatch.setattr(similar, "LEXICON_BYTES", 0)
+    joined, rows = chosen(texts)
+    assert "Join" in joined and rows == every != []
+    assert chosen(texts[2:40])[1] == alone != []
+
+
+def test_hits_are_not_moved_to_meet_titles(spark):
+    index = build_index(spark.createDataFrame([(f"d{i}", "a a b") for i in range(9)], "filename string, text string"), stem=False)
+    pages = spark.createDataFrame([(1, "t", "a a b b")], "page_id long, title string, body string")
+    plan = page_similarity(pages, index)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "query_a" in top and "page_id" not in top
