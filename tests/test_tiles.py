@@ -93,3 +93,15 @@ def test_same_with_any_groups_and_blocks(spark, by_tiles, monkeypatch, held, que
     for k in (3, 20):
         pages, docs = corpus(26)
         assert run(spark, pages, docs, k, 8, 100) == brute_force(pages, docs, k)
+
+
+def test_lists_of_small_shards_are_dealt_as_one(spark):
+    """What is repeated for every block of queries is a list for each term and part, not one for each shard."""
+    docs = spark.createDataFrame([(f"d{i}", f"the the a{i % 7} b{i}") for i in range(120)], "filename string, text string")
+    index = build_index(docs, stem=False, head_size=8, shard_entries=20)
+    assert index.n_shards > 10 and index.n_tails
+    dealt = tiles._dealt_lists(index, 2, 1, 3)
+    assert dealt.count() == dealt.select("term", "part", "tile").distinct().count()
+    one = dealt.where("tile = 0 and term = 'the'").selectExpr("inline(arrays_zip(doc_nos, impacts)) as (doc_no, impact)")
+    every = index.heads.selectExpr("term", "inline(entries)").unionByName(index.tails.select("term", "doc_no", "impact")).where("term = 'the'").drop("term")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, every.collect()))
